@@ -1 +1,312 @@
-"""Registered queries (quality)."""
+"""Quality queries: rules, cleaning, landing loads, profiling and drift."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stockpulse.functions.parsing import to_number
+from stockpulse.operators import cleaning, landing, profile, rules
+from stockpulse.plans.registry import register
+from stockpulse.sources.tables import TX_SQL, landing_transactions, read_table, sku_master
+
+# --------------------------------------------------------------------- rules
+
+_LANDING_SQL = TX_SQL + """,
+landing AS (
+  SELECT transaction_id, transaction_code, hospital_id, CAST(NULL AS VARCHAR) AS dept_id,
+         CAST(NULL AS VARCHAR) AS physician_id, CAST(NULL AS VARCHAR) AS patient_id,
+         CAST(NULL AS VARCHAR) AS prescription_id, CAST(NULL AS VARCHAR) AS prescription_detail_id,
+         CAST(NULL AS VARCHAR) AS bill_id, CAST(NULL AS VARCHAR) AS procedure_id, sku_id, transaction_time,
+         CAST(quantity_consumed AS VARCHAR) AS quantity_consumed, CAST(NULL AS VARCHAR) AS unit_cogs,
+         CAST(NULL AS VARCHAR) AS unit_price, CAST(NULL AS VARCHAR) AS margin_amount,
+         CAST(NULL AS VARCHAR) AS margin_percentage, CAST(total_revenue AS VARCHAR) AS total_revenue,
+         transaction_type, CAST(NULL AS VARCHAR) AS last_updated
+  FROM transactions
+)"""
+
+# Rules run on typed values (quantity parsed), as a typed landing would hold.
+_TYPED_SQL = _LANDING_SQL + """,
+typed AS (
+  SELECT * REPLACE (TRY_CAST(quantity_consumed AS DOUBLE) AS quantity_consumed) FROM landing
+),
+dups AS (
+  SELECT transaction_id FROM typed WHERE transaction_id IS NOT NULL
+  GROUP BY transaction_id HAVING count(*) > 1
+),
+flagged AS (
+  SELECT t.*,
+    concat_ws(',',
+      CASE WHEN t.transaction_id IS NULL THEN 'transaction_id_not_null' END,
+      CASE WHEN t.transaction_time IS NULL THEN 'transaction_time_not_null' END,
+      CASE WHEN t.sku_id IS NULL THEN 'sku_id_not_null' END,
+      CASE WHEN d.transaction_id IS NOT NULL THEN 'transaction_id_unique' END,
+      CASE WHEN t.quantity_consumed IS NOT NULL AND (t.quantity_consumed < 0 OR isnan(t.quantity_consumed))
+           THEN 'quantity_consumed_between' END) AS failed_rules
+  FROM typed t LEFT JOIN dups d ON t.transaction_id = d.transaction_id
+)"""
+
+
+def _typed_landing(spark, sf_dir):
+    lt = landing_transactions(spark, sf_dir)
+    return lt.withColumn("quantity_consumed", to_number(F.col("quantity_consumed")))
+
+
+@register("d6_rule_rejects", sql=f"""WITH {_TYPED_SQL}
+SELECT transaction_id, sku_id, transaction_time, quantity_consumed, failed_rules
+FROM flagged WHERE failed_rules <> ''""")
+def rule_rejects(spark, sf_dir):
+    """Rejected rows with the names of the rules they fail."""
+    _, rejected = rules.split(_typed_landing(spark, sf_dir), rules.TRANSACTIONS_SUITE)
+    return rejected.select("transaction_id", "sku_id", "transaction_time", "quantity_consumed",
+                           F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@register("d6_rule_passed", sql=f"""WITH {_TYPED_SQL}
+SELECT transaction_id, sku_id, transaction_time, quantity_consumed, total_revenue
+FROM flagged WHERE failed_rules = ''""")
+def rule_passed(spark, sf_dir):
+    """Rows that fail no rule."""
+    passed, _ = rules.split(_typed_landing(spark, sf_dir), rules.TRANSACTIONS_SUITE)
+    return passed.select("transaction_id", "sku_id", "transaction_time", "quantity_consumed", "total_revenue")
+
+
+@register("f12_split_counts", sql=f"""WITH {_TYPED_SQL}
+SELECT count_if(failed_rules = '') AS passed, count_if(failed_rules <> '') AS failed,
+       count(*) AS loaded FROM flagged""")
+def split_counts(spark, sf_dir):
+    """passed / failed / loaded row counts of one rule run."""
+    ann = rules.annotate(_typed_landing(spark, sf_dir), rules.TRANSACTIONS_SUITE)
+    return ann.agg(F.count_if(F.size("failed_rules") == 0).alias("passed"),
+                   F.count_if(F.size("failed_rules") > 0).alias("failed"),
+                   F.count(F.lit(1)).alias("loaded"))
+
+
+@register("d7_rule_results", sql=f"""WITH {_TYPED_SQL},
+agg AS (
+  SELECT count(*) AS n, count(transaction_id) AS nn_id, count(quantity_consumed) AS nn_q,
+    count_if(transaction_id IS NULL) AS v_id, count_if(transaction_time IS NULL) AS v_time,
+    count_if(sku_id IS NULL) AS v_sku, count_if(failed_rules LIKE '%transaction_id_unique%') AS v_uniq,
+    count_if(failed_rules LIKE '%quantity_consumed_between%') AS v_q
+  FROM flagged),
+r AS (
+  SELECT 'transaction_id_not_null' AS rule, 'transaction_id' AS column_name, n AS element_count, v_id AS unexpected_count FROM agg
+  UNION ALL SELECT 'transaction_time_not_null', 'transaction_time', n, v_time FROM agg
+  UNION ALL SELECT 'sku_id_not_null', 'sku_id', n, v_sku FROM agg
+  UNION ALL SELECT 'transaction_id_unique', 'transaction_id', nn_id, v_uniq FROM agg
+  UNION ALL SELECT 'quantity_consumed_between', 'quantity_consumed', nn_q, v_q FROM agg)
+SELECT rule, column_name, element_count, unexpected_count,
+  CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END AS unexpected_percent,
+  (CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END) <= 1e-12 AS success
+FROM r""")
+def rule_results(spark, sf_dir):
+    """Per-rule success and unexpected counts (one aggregate)."""
+    return rules.results(_typed_landing(spark, sf_dir), rules.TRANSACTIONS_SUITE)
+
+
+@register("d7_sku_rule_results", sql="""
+WITH agg AS (SELECT count(*) AS n, count(p_partkey) AS nn,
+               count_if(p_partkey IS NULL) AS v_id, count_if(p_name IS NULL) AS v_name,
+               count(p_partkey) - (SELECT count(*) FROM (SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL
+                                    GROUP BY p_partkey HAVING count(*) = 1)) AS v_uniq
+             FROM part),
+r AS (SELECT 'sku_id_not_null' AS rule, 'sku_id' AS column_name, n AS element_count, v_id AS unexpected_count FROM agg
+      UNION ALL SELECT 'sku_name_not_null', 'sku_name', n, v_name FROM agg
+      UNION ALL SELECT 'sku_id_unique', 'sku_id', nn, v_uniq FROM agg)
+SELECT rule, column_name, element_count, unexpected_count,
+  CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END AS unexpected_percent,
+  (CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END) <= 1e-12 AS success
+FROM r""")
+def sku_rule_results(spark, sf_dir):
+    """The SKU checkpoint's per-rule results over the SKU master."""
+    return rules.results(sku_master(spark, sf_dir), rules.SKU_SUITE)
+
+
+# ------------------------------------------------------------------ cleaning
+
+@register("d1_clean_transactions", sql=f"""WITH {_LANDING_SQL}
+SELECT transaction_id,
+  lower(translate(trim(transaction_code), '_-', '  ')) AS transaction_code,
+  hospital_id, dept_id, patient_id, sku_id, transaction_time,
+  q AS quantity_consumed, CAST(NULL AS DOUBLE) AS unit_cogs, CAST(NULL AS DOUBLE) AS unit_price,
+  CAST(NULL AS DOUBLE) AS margin_amount, CAST(NULL AS DOUBLE) AS margin_percentage,
+  TRY_CAST(total_revenue AS DOUBLE) AS total_revenue,
+  lower(translate(trim(transaction_type), '_-', '  ')) AS transaction_type,
+  CAST(NULL AS TIMESTAMP) AS last_updated
+FROM (SELECT *, TRY_CAST(quantity_consumed AS DOUBLE) AS q FROM landing)
+WHERE q >= 0 AND NOT isnan(q)""")
+def clean_transactions(spark, sf_dir):
+    """Landing text -> clean typed transactions."""
+    return cleaning.clean_transactions(landing_transactions(spark, sf_dir))
+
+
+_SENT = "('nan', 'NaN', 'NULL', 'None', '', 'unknown', 'Unknown')"
+
+
+def _sent(c):
+    return f"CASE WHEN {c} IN {_SENT} THEN NULL ELSE {c} END AS {c}"
+
+
+@register("c4_clean_sku_master", sql=f"""
+WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_brand AS sku_code, p_name AS sku_name,
+                  p_type AS category, 'unit' AS unit_of_measure, CAST(p_retailprice AS VARCHAR) AS standard_cost,
+                  CAST(p_size AS VARCHAR) AS minimum_order_quantity FROM part)
+SELECT {', '.join(_sent(c) for c in ['sku_id', 'sku_code', 'sku_name', 'category', 'unit_of_measure',
+                                      'standard_cost', 'minimum_order_quantity'])}
+FROM s""")
+def clean_skus(spark, sf_dir):
+    """SKU master cleaning (all-null columns dropped, so the
+    fills for absent columns are skipped)."""
+    return cleaning.clean_sku_master(sku_master(spark, sf_dir))
+
+
+@register("f5_null_counts", sql=f"""WITH {_LANDING_SQL}
+SELECT column_name, null_count FROM (
+  SELECT {', '.join(f"count_if({c} IS NULL) AS {c}" for c in rules.TRANSACTION_COLUMNS)} FROM landing
+) UNPIVOT (null_count FOR column_name IN ({', '.join(rules.TRANSACTION_COLUMNS)}))""")
+def null_counts(spark, sf_dir):
+    """null count per landing column."""
+    return cleaning.null_counts(landing_transactions(spark, sf_dir))
+
+
+# ------------------------------------------------------------------- landing
+
+_HASH_COLS = [c for c in rules.TRANSACTION_COLUMNS if c != "transaction_time"]
+
+
+@register("b2_landing_load", sql=f"""WITH {_LANDING_SQL}
+SELECT DISTINCT *, md5(concat_ws('||', {', '.join(f"coalesce(CAST({c} AS VARCHAR), 'nan')" for c in _HASH_COLS)})) AS row_hash
+FROM landing""")
+def landing_load(spark, sf_dir):
+    """Row hash + dedup on (row_hash, transaction_time)."""
+    return landing.load_transactions(landing_transactions(spark, sf_dir))
+
+
+@register("b1_keyed_load_skus", sql="""
+SELECT sku_id, arg_min(sku_name, pos) AS sku_name, arg_min(sku_code, pos) AS sku_code
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_name AS sku_name, p_brand AS sku_code,
+             p_partkey AS pos FROM part)
+GROUP BY sku_id""")
+def keyed_load_skus(spark, sf_dir):
+    """B1: keyed load of the SKU master, first copy of a key wins."""
+    s = sku_master(spark, sf_dir).select("sku_id", "sku_name", "sku_code",
+                                         F.col("sku_id").cast("bigint").alias("pos"))
+    return landing.keyed_first_wins(s, ["sku_id"], "pos").drop("pos")
+
+
+@register("b1_first_part_per_brand", sql="""
+SELECT p_brand AS sku_code, arg_min(p_partkey, p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name
+FROM part GROUP BY p_brand""")
+def first_part_per_brand(spark, sf_dir):
+    """B1 / I5 with real repeats: key = brand, position = part key."""
+    p = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("sku_code"), "p_partkey", "p_name",
+                                                 F.col("p_partkey").alias("pos"))
+    return landing.keyed_first_wins(p, ["sku_code"], "pos").drop("pos")
+
+
+# ----------------------------------------------------------------- profiling
+
+_PROFILE_COLS = ["sku_id", "hospital_id", "transaction_type", "quantity_consumed"]
+
+
+def _profile_sql():
+    vc = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM transactions WHERE {c} IS NOT NULL"
+        for c in _PROFILE_COLS)
+    return f"""WITH {TX_SQL},
+v AS ({vc}),
+vc AS (SELECT column_name, value, count(*) AS cnt FROM v GROUP BY 1, 2),
+cat AS (SELECT column_name, sum(cnt) AS count, count(*) AS "unique",
+               arg_min(value, (-cnt, value)) AS top, max(cnt) AS freq FROM vc GROUP BY 1),
+num AS (SELECT 'quantity_consumed' AS column_name, round(avg(quantity_consumed), 6) AS mean,
+               round(stddev_samp(quantity_consumed), 6) AS std, min(quantity_consumed) AS min,
+               max(quantity_consumed) AS max FROM transactions)
+SELECT cat.*, num.mean, num.std, num.min, num.max FROM cat LEFT JOIN num USING (column_name)"""
+
+
+@register("f6_describe", sql=_profile_sql())
+def describe(spark, sf_dir):
+    """column profile (count, unique, top, freq, mean, std, min, max)."""
+    from stockpulse.sources.tables import transactions
+    tx = transactions(spark, sf_dir).select(*_PROFILE_COLS)
+    d = profile.describe(tx)
+    return d.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@register("f6_describe_quartiles")
+def describe_quartiles(spark, sf_dir):
+    """F6 with approximate quartiles over every lineitem column."""
+    return profile.describe(read_table(spark, sf_dir, "lineitem"), quartiles=True)
+
+
+@register("f16_quality_summary", sql=f"""WITH {_LANDING_SQL},
+u AS (SELECT {', '.join(f'count(DISTINCT {c}) AS {c}' for c in rules.TRANSACTION_COLUMNS)} FROM landing)
+SELECT (SELECT count(*) FROM landing) AS rows, {len(rules.TRANSACTION_COLUMNS)} AS columns,
+  (SELECT {' + '.join(f'count_if({c} IS NULL)' for c in rules.TRANSACTION_COLUMNS)} FROM landing) AS missing_cells,
+  (SELECT {' + '.join(f'CAST({c} = 1 AS BIGINT)' for c in rules.TRANSACTION_COLUMNS)} FROM u) AS constant_columns,
+  (SELECT count(*) FROM landing) - (SELECT count(*) FROM (SELECT DISTINCT * FROM landing)) AS duplicated_rows""")
+def quality_summary(spark, sf_dir):
+    """F16: data quality summary of the landing table."""
+    return profile.quality_summary(landing_transactions(spark, sf_dir))
+
+
+_DRIFT_SPLIT = "TIMESTAMP '1998-06-01 00:00:00'"
+_DRIFT_NUM = ["l_quantity", "l_discount", "l_tax"]
+_DRIFT_CAT = ["l_returnflag", "l_linestatus"]
+
+
+def _drift_sides(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select(*_DRIFT_NUM, *_DRIFT_CAT, "l_shipdate")
+    split_ts = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
+    ref = li.where(F.col("l_shipdate") < split_ts).drop("l_shipdate")
+    cur = li.where(F.col("l_shipdate") >= split_ts).drop("l_shipdate")
+    return ref, cur
+
+
+def _drift_sql():
+    def side(c, flag, cmp):
+        return f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS x, {flag} AS is_ref FROM lineitem WHERE l_shipdate {cmp} {_DRIFT_SPLIT} AND {c} IS NOT NULL"
+    num = " UNION ALL ".join(side(c, 1, "<") + " UNION ALL " + side(c, 0, ">=") for c in _DRIFT_NUM)
+
+    def cside(c, cmp):
+        return f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM lineitem WHERE l_shipdate {cmp} {_DRIFT_SPLIT} AND {c} IS NOT NULL"
+    cref = " UNION ALL ".join(cside(c, "<") for c in _DRIFT_CAT)
+    ccur = " UNION ALL ".join(cside(c, ">=") for c in _DRIFT_CAT)
+    std = " UNION ALL ".join(f"SELECT '{c}' AS column_name, stddev_pop(CAST({c} AS DOUBLE)) AS std_ref FROM lineitem WHERE l_shipdate < {_DRIFT_SPLIT}" for c in _DRIFT_NUM)
+    return f"""WITH b AS ({num}),
+cnt AS (SELECT column_name, x, count_if(is_ref = 1) AS n_ref, count_if(is_ref = 0) AS n_cur FROM b GROUP BY 1, 2),
+tot AS (SELECT column_name, sum(n_ref) AS t_ref, sum(n_cur) AS t_cur FROM cnt GROUP BY 1),
+cum AS (SELECT c.column_name, c.x,
+          sum(n_ref) OVER (PARTITION BY c.column_name ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cr,
+          sum(n_cur) OVER (PARTITION BY c.column_name ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cc,
+          lead(x) OVER (PARTITION BY c.column_name ORDER BY x) AS nx
+        FROM cnt c),
+per AS (SELECT cum.column_name, abs(cr / t_ref - cc / t_cur) AS d,
+               abs(cr / t_ref - cc / t_cur) * coalesce(nx - x, 0.0) AS area
+        FROM cum JOIN tot USING (column_name)),
+std AS ({std}),
+numr AS (SELECT column_name, 'numeric' AS kind, round(sum(area) / greatest(max(std_ref), 0.001), 9) AS drift_score,
+                round(max(d), 9) AS ks_statistic, 0.1 AS threshold
+         FROM per JOIN std USING (column_name) GROUP BY column_name),
+r AS (SELECT column_name, value, count(*) AS n_ref FROM ({cref}) GROUP BY 1, 2),
+c AS (SELECT column_name, value, count(*) AS n_cur FROM ({ccur}) GROUP BY 1, 2),
+j AS (SELECT coalesce(r.column_name, c.column_name) AS column_name, coalesce(n_ref, 0) AS n_ref, coalesce(n_cur, 0) AS n_cur
+      FROM r FULL JOIN c ON r.column_name = c.column_name AND r.value = c.value),
+jt AS (SELECT j.*, sum(n_ref) OVER (PARTITION BY column_name) AS t_ref, sum(n_cur) OVER (PARTITION BY column_name) AS t_cur FROM j),
+pq AS (SELECT column_name, CAST(n_ref AS DOUBLE) / t_ref AS p, CAST(n_cur AS DOUBLE) / t_cur AS q FROM jt),
+catr AS (SELECT column_name, 'categorical' AS kind,
+           round(sqrt(greatest((sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END)
+                      + sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)) / 2, 0)), 9) AS drift_score,
+           CAST(NULL AS DOUBLE) AS ks_statistic, 0.1 AS threshold FROM pq GROUP BY column_name),
+rep AS (SELECT * FROM numr UNION ALL SELECT * FROM catr),
+rep2 AS (SELECT *, drift_score >= threshold AS drifted FROM rep)
+SELECT rep2.*, s.drift_share, s.drift_share >= 0.5 AS dataset_drift
+FROM rep2, (SELECT CAST(count_if(drifted) AS DOUBLE) / count(*) AS drift_share FROM rep2) s"""
+
+
+@register("f15_drift", sql=_drift_sql())
+def drift(spark, sf_dir):
+    """Drift of lineitem columns, shipments before vs after 1998-06-01."""
+    ref, cur = _drift_sides(spark, sf_dir)
+    rep = profile.drift_report(ref, cur)
+    return (rep.withColumn("drift_score", F.round("drift_score", 9))
+            .withColumn("ks_statistic", F.round("ks_statistic", 9)))
