@@ -1 +1,123 @@
-"""Registered queries (features)."""
+"""Feature-registry queries over `events`: as-of join, online lookup,
+incremental materialisation, on-demand views and services.
+
+Mapping: entity = user (user_id); feature rows = non-purchase events (value,
+event_type; `event_id` orders rows with equal timestamps, like a created
+column); entity rows = purchase events, whose `props.k` is a request-time
+value.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stockpulse.operators import featureviews as fv
+from stockpulse.operators.pointintime import latest_per_key, materialize_incremental
+from stockpulse.plans.registry import register
+from stockpulse.sources.tables import read_table
+
+TTL_SECONDS = 6 * 3600
+USER = fv.Entity("user", "user_id")
+
+
+def activity_view(spark, sf_dir) -> fv.FeatureView:
+    ev = read_table(spark, sf_dir, "events")
+    src = ev.where(F.col("event_type") != "purchase").select("user_id", "ts", "event_id", "value", "event_type")
+    return fv.FeatureView("user_activity", USER, src, "ts", {"value": "double", "event_type": "string"},
+                          ttl_seconds=TTL_SECONDS, created_field="event_id", tags={"team": "demand"})
+
+
+def value_plus_request() -> fv.OnDemandView:
+    return fv.OnDemandView("value_plus_request", ["user_activity"], ["val_to_add"],
+                           lambda df: df.withColumn("value_plus_val", F.col("value") + F.col("val_to_add")),
+                           ["value_plus_val"])
+
+
+def registry(spark, sf_dir) -> fv.FeatureRegistry:
+    return fv.FeatureRegistry().apply(
+        activity_view(spark, sf_dir), value_plus_request(),
+        fv.FeatureService("activity_v1", ["user_activity:value", "value_plus_request"]))
+
+
+def purchase_entities(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return ev.where(F.col("event_type") == "purchase").select(
+        "user_id", F.col("ts").alias("event_timestamp"), "event_id",
+        F.get_json_object("props", "$.k").cast("bigint").alias("val_to_add"))
+
+
+_ENT_SQL = """ent AS (SELECT user_id, ts AS event_timestamp, event_id,
+                   CAST(json_extract_string(props, '$.k') AS BIGINT) AS val_to_add
+            FROM events WHERE event_type = 'purchase'),
+feat AS (SELECT user_id, ts, event_id AS created, value, event_type FROM events WHERE event_type <> 'purchase')"""
+_ASOF_SQL = f"""WITH {_ENT_SQL},
+j AS (SELECT e.*, f.ts AS fts, f.value AS fvalue, f.event_type AS ftype
+      FROM ent e ASOF LEFT JOIN feat f ON e.user_id = f.user_id AND e.event_timestamp >= f.ts)
+"""
+_OK = f"fts IS NOT NULL AND fts >= event_timestamp - INTERVAL {TTL_SECONDS} SECOND"
+
+
+@register("e5_point_in_time", sql=_ASOF_SQL + f"""
+SELECT user_id, event_timestamp, event_id, val_to_add,
+       CASE WHEN {_OK} THEN fvalue END AS value, CASE WHEN {_OK} THEN ftype END AS event_type FROM j""")
+def point_in_time(spark, sf_dir):
+    """E5: as-of join with TTL (6 h), ties broken by the created column."""
+    reg = registry(spark, sf_dir)
+    return reg.historical(purchase_entities(spark, sf_dir), ["user_activity:value", "user_activity:event_type"])
+
+
+@register("e5_point_in_time_hourly_buckets", sql=_ASOF_SQL + f"""
+SELECT user_id, event_timestamp, event_id, val_to_add,
+       CASE WHEN {_OK} THEN fvalue END AS value, CASE WHEN {_OK} THEN ftype END AS event_type FROM j""")
+def point_in_time_hourly(spark, sf_dir):
+    """E5 with 1-hour time buckets: most matches come through the carry step."""
+    reg = registry(spark, sf_dir)
+    return reg.historical(purchase_entities(spark, sf_dir), ["user_activity:value", "user_activity:event_type"],
+                          bucket_seconds=3600)
+
+
+@register("l1_on_demand_service", sql=_ASOF_SQL + f"""
+SELECT user_id, event_timestamp, event_id, val_to_add,
+       CASE WHEN {_OK} THEN fvalue END AS value,
+       CASE WHEN {_OK} THEN fvalue END + val_to_add AS value_plus_val FROM j""")
+def on_demand_service(spark, sf_dir):
+    """Feature service = one view feature + an
+    on-demand view fed by a request-time column."""
+    reg = registry(spark, sf_dir)
+    return reg.historical(purchase_entities(spark, sf_dir), "activity_v1")
+
+
+@register("e6_online_lookup", sql="""
+WITH latest AS (SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_type, (ts, event_id)) AS event_type
+                FROM events WHERE event_type <> 'purchase' GROUP BY user_id)
+SELECT c.c_custkey AS user_id, l.value, l.event_type
+FROM customer c LEFT JOIN latest l ON c.c_custkey = l.user_id""")
+def online_lookup(spark, sf_dir):
+    """Online lookup of every customer key; keys without events -> NULL."""
+    keys = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    reg = registry(spark, sf_dir)
+    return reg.online(keys, ["user_activity:value", "user_activity:event_type"])
+
+
+@register("k2_materialize_incremental", sql="""
+SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value,
+       arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id
+FROM events WHERE event_type <> 'purchase' AND ts <= TIMESTAMP '2024-02-01 00:00:00' GROUP BY user_id""")
+def materialize(spark, sf_dir):
+    """K2: two incremental runs (to Jan 15, then to Feb 1) == one batch run."""
+    v = activity_view(spark, sf_dir)
+    cols = ["value", "event_type"]
+    mid = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    end = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    first = materialize_incremental(None, v.source, "user_id", "ts", cols, None, mid, "event_id")
+    return materialize_incremental(first, v.source, "user_id", "ts", cols, mid, end, "event_id")
+
+
+@register("g15_latest_event_per_user", sql="""
+SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value,
+       arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id
+FROM events GROUP BY user_id""")
+def latest_event(spark, sf_dir):
+    """Latest row per key (max_by, partial aggregation)."""
+    ev = read_table(spark, sf_dir, "events")
+    return latest_per_key(ev, "user_id", "ts", ["value", "event_type"], "event_id")
