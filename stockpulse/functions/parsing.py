@@ -70,10 +70,10 @@ def int_or_zero(c: Column) -> Column:
     return F.coalesce(to_number(c).cast("int"), F.lit(0))
 
 
-def parse_key_list(s: Column) -> Column:
+def parse_key_list(s: Column, key_type: str = "bigint") -> Column:
     """J26: '12, 7,,3' -> [12, 7, 3]; blanks dropped."""
     parts = F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(parts, lambda x: x.cast("bigint"))
+    return F.transform(parts, lambda x: x.cast(key_type))
 
 
 def sanitize_landing_name(name: str) -> str:
