@@ -1 +1,113 @@
-"""Registered queries (ops)."""
+"""Operations queries: call metrics over `events`, run log of a staged run.
+
+Mapping: every event is one inference call at `ts`; `event_type` is the
+request path; 'error' events are failed calls; `value` is the latency in
+milliseconds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stockpulse.operators import monitoring as mon
+from stockpulse.plans.registry import register
+from stockpulse.sources.tables import read_table
+
+HOLD_SECONDS = 10
+
+
+def calls(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select("ts", F.col("event_type").alias("path"), (F.col("event_type") != "error").alias("ok"),
+                     (F.col("value") / 1000.0).alias("latency_s"))
+
+
+_CALLS_SQL = """calls AS (SELECT ts, event_type AS path, event_type <> 'error' AS ok, value / 1000.0 AS latency_s FROM events)"""
+
+
+@register("f17_call_counters", sql=f"""WITH {_CALLS_SQL}
+SELECT count_if(ok) AS success_total, count_if(NOT ok) AS failure_total, count(*) AS calls_total FROM calls""")
+def call_counters(spark, sf_dir):
+    """Inference success / failure totals."""
+    return mon.call_counters(calls(spark, sf_dir))
+
+
+@register("f20_failure_ratio", sql=f"""WITH {_CALLS_SQL}
+SELECT count_if(NOT ok) AS failure_total, count(*) AS calls_total,
+       count_if(NOT ok) / nullif(count(*), 0) AS failure_ratio,
+       coalesce(count_if(NOT ok) / nullif(count(*), 0) > 0.2, false) AS alert FROM calls""")
+def failure_ratio(spark, sf_dir):
+    """failure ratio and the > 0.2 alert."""
+    return mon.failure_ratio(calls(spark, sf_dir))
+
+
+_BOUNDS = mon.LATENCY_BUCKETS + [float("inf")]
+_HIST_SQL = f"""WITH {_CALLS_SQL},
+hist AS ({' UNION ALL '.join(f"SELECT CAST('{b}' AS DOUBLE) AS le, count_if(latency_s <= CAST('{b}' AS DOUBLE)) AS count FROM calls" for b in _BOUNDS)})"""
+
+
+@register("f18_latency_histogram", sql=_HIST_SQL + "\nSELECT le, count FROM hist")
+def latency_histogram(spark, sf_dir):
+    """cumulative latency histogram with the fixed bucket bounds."""
+    return mon.latency_histogram(calls(spark, sf_dir))
+
+
+def _quantile_sql(q):
+    return f"""SELECT {q} AS quantile,
+  CASE WHEN le = CAST('inf' AS DOUBLE) THEN prev_le WHEN count = coalesce(prev_count, 0) THEN le
+       ELSE coalesce(prev_le, 0.0) + (le - coalesce(prev_le, 0.0)) * ({q} * total - coalesce(prev_count, 0))
+            / (count - coalesce(prev_count, 0)) END AS value
+FROM (SELECT *, lag(le) OVER (ORDER BY le) AS prev_le, lag(count) OVER (ORDER BY le) AS prev_count,
+             max(count) OVER () AS total FROM hist) h
+WHERE count >= {q} * total AND total > 0
+ORDER BY le LIMIT 1"""
+
+
+@register("f19_latency_quantiles", sql=_HIST_SQL + f"\nSELECT * FROM ({_quantile_sql(0.9)}) UNION ALL SELECT * FROM ({_quantile_sql(0.95)})")
+def latency_quantiles(spark, sf_dir):
+    """p90 / p95 latency from the histogram buckets (interpolated)."""
+    h = mon.latency_histogram(calls(spark, sf_dir))
+    return mon.bucket_quantile(h, 0.9).unionByName(mon.bucket_quantile(h, 0.95))
+
+
+_SLIDE_SQL = f"""WITH {_CALLS_SQL},
+slid AS (SELECT date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start, path, ok
+         FROM calls, (SELECT unnest(range(0, 5)) AS k)),
+agg AS (SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, path,
+               count(*) AS calls, count_if(NOT ok) AS failures FROM slid GROUP BY 1, 2, 3)"""
+
+
+@register("k3_rate_5m", sql=_SLIDE_SQL + "\nSELECT window_start, window_end, path, calls / 300.0 AS rate FROM agg")
+def rate_5m(spark, sf_dir):
+    """K3: calls per second per path over sliding 5-minute windows (1-minute step)."""
+    return mon.rate(calls(spark, sf_dir), "path")
+
+
+@register("f21_rate_by_status", sql=f"""WITH {_CALLS_SQL},
+c2 AS (SELECT ts, CASE WHEN ok THEN 'success' ELSE 'failure' END AS status, ok FROM calls),
+slid AS (SELECT date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start, status
+         FROM c2, (SELECT unnest(range(0, 5)) AS k))
+SELECT window_start + INTERVAL 5 MINUTE AS window_end, status, sum(r) AS rate FROM (
+  SELECT window_start, status, count(*) / 300.0 AS r FROM slid GROUP BY 1, 2) GROUP BY 1, 2""")
+def rate_by_status(spark, sf_dir):
+    """sum(rate) by a label (call status)."""
+    c = calls(spark, sf_dir).withColumn("status", F.when(F.col("ok"), "success").otherwise("failure"))
+    return mon.rate_sum_by(mon.rate(c, "status"), "status")
+
+
+@register("k4_failure_alerts", sql=_SLIDE_SQL + f""",
+tot AS (SELECT window_end, sum(calls) AS calls, sum(failures) AS failures FROM agg GROUP BY 1),
+x AS (SELECT window_end, coalesce(failures / nullif(calls, 0) > 0.2, false) AS p,
+             row_number() OVER (ORDER BY window_end) AS rn FROM tot),
+t AS (SELECT *, rn - row_number() OVER (ORDER BY window_end) AS island FROM x WHERE p)
+SELECT min(window_end) AS start, max(window_end) AS "end", count(*) AS evaluations,
+       CAST(epoch(max(window_end)) - epoch(min(window_end)) AS BIGINT) AS held_seconds,
+       epoch(max(window_end)) - epoch(min(window_end)) >= {HOLD_SECONDS} AS fired
+FROM t GROUP BY island""")
+def failure_alerts(spark, sf_dir):
+    """K4: failure share over the sliding 5-minute window above 0.2, held for
+    10 s across 1-minute evaluations (gaps and islands)."""
+    s = mon.sliding_counts(calls(spark, sf_dir), "path")
+    tot = s.groupBy("window_end").agg(F.sum("calls").alias("calls"), F.sum("failures").alias("failures"))
+    pred = (F.col("failures") / F.nullif(F.col("calls"), F.lit(0))) > mon.FAILURE_RATIO_LIMIT
+    return mon.held_alerts(tot, "window_end", pred, HOLD_SECONDS)
