@@ -121,3 +121,28 @@ def latest_event(spark, sf_dir):
     """Latest row per key (max_by, partial aggregation)."""
     ev = read_table(spark, sf_dir, "events")
     return latest_per_key(ev, "user_id", "ts", ["value", "event_type"], "event_id")
+
+
+@register("k1_push_stream", sql="""
+SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value,
+       arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id
+FROM events WHERE event_type <> 'purchase' GROUP BY user_id""")
+def push_stream(spark, sf_dir):
+    """Replay the events as a stream (availableNow) into the offline
+    and online stores; the result is the final online (latest) table."""
+    import uuid
+
+    from stockpulse.session import scratch_path
+    from stockpulse.sources.tables import table_path
+    from stockpulse.streaming.push import PushTarget, push_stream as start, read_online
+
+    ev = read_table(spark, sf_dir, "events")
+    # the table is one file in a shared folder: stream the folder, keep that file
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", table_path("", "events").lstrip("/"))
+              .parquet(sf_dir).where(F.col("event_type") != "purchase"))
+    run = scratch_path(spark, f"push/{uuid.uuid4().hex}")
+    target = PushTarget(run, "user_id", "ts", ["value", "event_type"], created="event_id")
+    q = start(stream, target, f"{run}/_checkpoint")
+    q.awaitTermination()
+    return read_online(spark, target)
