@@ -78,23 +78,37 @@ def demand_features(daily: DataFrame) -> DataFrame:
     w = Window.partitionBy(*SERIES_KEYS).orderBy("tx_date")
     w7 = w.rowsBetween(-(SHORT_ROWS - 1), 0)
     w28 = w.rowsBetween(-(LONG_ROWS - 1), 0)
-    return daily.select(
+    # each frame aggregate once; averages derive from the sums and counts
+    win = daily.select(
+        "tx_date", "hospital_id", "sku_id", "total_quantity", "total_revenue",
+        F.sum("total_quantity").over(w7).alias("qty_7d"),
+        F.sum("total_quantity").over(w28).alias("qty_28d"),
+        F.count("total_quantity").over(w7).alias("__nq7"),
+        F.count("total_quantity").over(w28).alias("__nq28"),
+        F.lag("total_quantity", 1, 0.0).over(w).alias("lag_qty_1d"),
+        F.lag("total_quantity", 7, 0.0).over(w).alias("lag_qty_7d"),
+        F.sum("total_revenue").over(w7).alias("__r7"),
+        F.sum("total_revenue").over(w28).alias("__r28"),
+        F.count("total_revenue").over(w7).alias("__nr7"),
+        F.count("total_revenue").over(w28).alias("__nr28"),
+    )
+    return win.select(
         F.col("tx_date").alias("ds"),
         "hospital_id",
         "sku_id",
         *calendar_columns(F.col("tx_date"), TRAINING),
         F.col("total_quantity").alias("qty_1d"),
-        F.sum("total_quantity").over(w7).alias("qty_7d"),
-        F.sum("total_quantity").over(w28).alias("qty_28d"),
-        _avg("total_quantity", w7).alias("avg_qty_7d"),
-        _avg("total_quantity", w28).alias("avg_qty_28d"),
-        F.lag("total_quantity", 1, 0.0).over(w).alias("lag_qty_1d"),
-        F.lag("total_quantity", 7, 0.0).over(w).alias("lag_qty_7d"),
+        "qty_7d",
+        "qty_28d",
+        (F.col("qty_7d").cast("double") / F.col("__nq7")).alias("avg_qty_7d"),
+        (F.col("qty_28d").cast("double") / F.col("__nq28")).alias("avg_qty_28d"),
+        "lag_qty_1d",
+        "lag_qty_7d",
         F.col("total_revenue").cast("double").alias("rev_1d"),
-        F.sum("total_revenue").over(w7).cast("double").alias("rev_7d"),
-        F.sum("total_revenue").over(w28).cast("double").alias("rev_28d"),
-        _avg("total_revenue", w7).alias("avg_rev_7d"),
-        _avg("total_revenue", w28).alias("avg_rev_28d"),
+        F.col("__r7").cast("double").alias("rev_7d"),
+        F.col("__r28").cast("double").alias("rev_28d"),
+        (F.col("__r7").cast("double") / F.col("__nr7")).alias("avg_rev_7d"),
+        (F.col("__r28").cast("double") / F.col("__nr28")).alias("avg_rev_28d"),
     )
 
 
@@ -108,9 +122,20 @@ def feature_table(tx: DataFrame) -> DataFrame:
     return demand_features(daily_demand(tx, keep_decimal=True))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared checkpoint folder and read it
+    back (reliable checkpoint: survives executor loss, cuts the lineage)."""
+    from stockpulse.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def feature_table_top(tx: DataFrame, k: int = TOP_K) -> DataFrame:
-    """B9 (top k): transactions -> daily -> semi join top k -> features."""
-    daily = daily_demand(tx, keep_decimal=True)
+    """B9 (top k): transactions -> daily (materialised, as the daily table is
+    in the source pipeline) -> semi join top k -> features. Materialising
+    matters: otherwise Catalyst pushes the semi join below the daily
+    aggregate and the ranking branch recomputes the whole fact-table scan."""
+    daily = materialize(daily_demand(tx, keep_decimal=True))
     top = top_skus(daily, k, qty_col="total_quantity")
     return demand_features(restrict_to(daily, top))
 

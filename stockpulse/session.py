@@ -77,5 +77,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate
     tables (lineage cuts, versioned 'latest' tables)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    # the configured folder is stable across sessions (SparkContext adds a
+    # per-application subfolder for RDD checkpoints); fall back to that one
+    base = (configured or ensure_checkpoint_dir(spark)).rstrip("/")
     return f"{base}/stockpulse/{name}"

@@ -11,9 +11,11 @@ Mapping (one transaction per line item):
   transaction_type  = l_returnflag || '_' || l_linestatus
 
 Join strategy: `part` and `supplier` grow with the data (200k and 10k rows per
-TPC-H scale unit), so they are plain joins and Catalyst/AQE chooses broadcast
-or sort-merge from measured sizes. `nation` is fixed at 25 rows; it is
-broadcast behind an explicit row-count guard.
+TPC-H scale unit). Each is broadcast only after a bounded row count shows it
+under `DIM_BROADCAST_MAX_ROWS` (then the fact table is never shuffled for the
+adapter); past the bound the join is left to sort-merge, with AQE splitting
+skewed partitions (a part or supplier may carry a third of the line items).
+`nation` is fixed at 25 rows and goes through the same guard.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Fixed dimension bound: TPC-H nation has 25 rows at every scale.
 NATION_MAX_ROWS = 1000
+# Largest dimension broadcast to every task (~40 bytes per hashed row -> ~80 MB).
+DIM_BROADCAST_MAX_ROWS = 2_000_000
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -56,8 +60,9 @@ def supplier_hospital(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     nat = bounded_broadcast(nat, NATION_MAX_ROWS, "nation")
-    return (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
-            .select("s_suppkey", F.col("n_regionkey").cast("string").alias("hospital_id")))
+    out = (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
+           .select("s_suppkey", F.col("n_regionkey").cast("string").alias("hospital_id")))
+    return bounded_broadcast(out, DIM_BROADCAST_MAX_ROWS, "supplier")
 
 
 def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand") -> DataFrame:
@@ -71,6 +76,7 @@ def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand") -> DataFr
     hosp = supplier_hospital(spark, sf_dir)
     if sku == "brand":
         part = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sku_id"))
+        part = bounded_broadcast(part, DIM_BROADCAST_MAX_ROWS, "part")
         li = li.join(part, li.l_partkey == part.p_partkey)
     elif sku == "part":
         li = li.withColumn("sku_id", F.col("l_partkey").cast("string"))
@@ -122,11 +128,20 @@ transactions AS (
 )"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a plan whose scan yields fewer partitions than the
+    session's default parallelism (one file with one row group runs in one
+    task). Used before per-row text work only. On cluster inputs (many files
+    and row groups) it is a no-op and adds no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def landing_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing shape: every column text except `transaction_time` (as the
     relational landing table is), with the 20 reference column names. Columns
     the star schema has no source for are NULL text."""
-    tx = transactions(spark, sf_dir)
+    tx = spread(transactions(spark, sf_dir))
     s = lambda c: F.col(c).cast("string")
     null = F.lit(None).cast("string")
     return tx.select(
