@@ -111,3 +111,18 @@ def failure_alerts(spark, sf_dir):
     tot = s.groupBy("window_end").agg(F.sum("calls").alias("calls"), F.sum("failures").alias("failures"))
     pred = (F.col("failures") / F.nullif(F.col("calls"), F.lit(0))) > mon.FAILURE_RATIO_LIMIT
     return mon.held_alerts(tot, "window_end", pred, HOLD_SECONDS)
+
+
+@register("l14_run_stages")
+def run_stages(spark, sf_dir):
+    """Run the five stages (validation, clean
+    zone, daily table, both feature tables) through the run-log wrapper into
+    a fresh shared folder; the result is the run log with each job's last
+    state and its START/COMPLETE/FAIL counts."""
+    import uuid
+
+    from stockpulse.plans.stages import run_stages as run
+    from stockpulse.session import scratch_path
+    log = run(spark, sf_dir, scratch_path(spark, f"stages/{uuid.uuid4().hex}"))
+    rl = log.read()
+    return mon.last_state(rl).join(mon.state_counters(rl), "job")

@@ -310,3 +310,38 @@ def drift(spark, sf_dir):
     rep = profile.drift_report(ref, cur)
     return (rep.withColumn("drift_score", F.round("drift_score", 9))
             .withColumn("ks_statistic", F.round("ks_statistic", 9)))
+
+
+@register("b2_partitioned_landing_roundtrip", sql=f"""WITH {_LANDING_SQL}
+SELECT DISTINCT *, md5(concat_ws('||', {', '.join(f"coalesce(CAST({c} AS VARCHAR), 'nan')" for c in _HASH_COLS)})) AS row_hash,
+       strftime(transaction_time, '%Y-%m') AS tx_month
+FROM landing""")
+def partitioned_landing_roundtrip(spark, sf_dir):
+    """Landing load written time-partitioned by month (the
+    hypertable analogue), read back (partition column restored as text)."""
+    import uuid
+
+    from stockpulse.session import scratch_path
+    from stockpulse.sources import io
+    df = landing.load_transactions(landing_transactions(spark, sf_dir)).withColumn(
+        "tx_month", F.date_format("transaction_time", "yyyy-MM"))
+    path = scratch_path(spark, f"roundtrip/landing/{uuid.uuid4().hex}")
+    io.write_table(df, path, partition_by=["tx_month"])
+    back = spark.read.option("basePath", path).schema(df.schema).parquet(path)
+    return back.select(*df.columns)
+
+
+@register("b5_rejects_roundtrip", sql=f"""WITH {_TYPED_SQL}
+SELECT transaction_id, sku_id, transaction_time, quantity_consumed, failed_rules
+FROM flagged WHERE failed_rules <> ''""")
+def rejects_roundtrip(spark, sf_dir):
+    """Reject table written only when non-empty, read back."""
+    import uuid
+
+    from stockpulse.session import scratch_path
+    from stockpulse.sources import io
+    rej = rule_rejects(spark, sf_dir)
+    path = scratch_path(spark, f"roundtrip/rejects/{uuid.uuid4().hex}")
+    if not io.write_if_rows(rej, path):
+        return rej
+    return spark.read.parquet(path)
