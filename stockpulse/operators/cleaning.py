@@ -77,3 +77,26 @@ def strip_zone(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name)
                        if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
                        for f in df.schema.fields])
+
+
+# Candidate date columns, in preference order.
+DATE_CANDIDATES = ["ds", "date", "day", "forecast_date"]
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def pick_date_column(df: DataFrame, candidates=DATE_CANDIDATES) -> str | None:
+    """C14: the first candidate date column present (schema only)."""
+    return next((c for c in candidates if c in df.columns), None)
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """C14: numeric columns only."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
+
+
+def require_columns(df: DataFrame, required) -> DataFrame:
+    """Error naming the missing columns, else the frame unchanged."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"Missing required features: {missing}")
+    return df

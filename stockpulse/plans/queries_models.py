@@ -280,3 +280,58 @@ def last_30_days(spark, sf_dir):
     mx = f.groupBy(*SERIES).agg(F.max("ds").alias("__mds"))
     return (f.join(mx, SERIES).where(F.col("ds") > F.date_sub("__mds", 30))
             .select("hospital_id", "sku_id", "ds", "qty_1d"))
+
+
+@register("e8_sku_model_overview", sql=_RUN_METRICS_SQL + """,
+prod AS (SELECT model_name, arg_max(version, CAST(version AS INTEGER)) AS version,
+                max(last_updated_ms) AS last_updated_ms FROM versions WHERE stage = 'Production' GROUP BY model_name),
+lm AS (SELECT sku_id, arg_max(value, run_ts) AS mape FROM run_metrics GROUP BY sku_id),
+skus AS (SELECT DISTINCT p_brand AS sku_id FROM part)
+SELECT s.sku_id, p.version IS NOT NULL AS model_available, p.version,
+       round(lm.mape, 2) AS mape, make_timestamp(p.last_updated_ms * 1000) AS last_trained
+FROM skus s LEFT JOIN prod p ON p.model_name = 'sku_forecast_model_' || s.sku_id
+LEFT JOIN lm ON lm.sku_id = s.sku_id""")
+def sku_model_overview(spark, sf_dir):
+    """Every SKU with model availability, production version,
+    latest MAPE (two decimals) and last training time."""
+    from stockpulse.sources.tables import read_table
+    skus = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("sku_id")).distinct()
+    prod = ev.resolve_model(_versions(spark, sf_dir), "Production").select(
+        "model_name", "version", "last_updated_ms")
+    lm = _run_metrics(spark, sf_dir).groupBy("sku_id").agg(F.max_by("value", "run_ts").alias("mape"))
+    j = (skus.withColumn("model_name", ev.model_name(F.col("sku_id")))
+         .join(prod, "model_name", "left").join(lm, "sku_id", "left"))
+    return j.select("sku_id", F.col("version").isNotNull().alias("model_available"), "version",
+                    F.round("mape", 2).alias("mape"),
+                    F.timestamp_micros(F.col("last_updated_ms") * 1000).alias("last_trained"))
+
+
+@register("b12_forecast_append_roundtrip", sql=f"""WITH rf AS ({_rf_sql()})
+SELECT sku_id, ds AS date, CAST(round_even(avg_qty_7d, 0) AS INTEGER) AS predicted_qty,
+       'Day ' || CAST(step AS VARCHAR) AS day_label, true AS has_created_at
+FROM rf""")
+def forecast_append(spark, sf_dir):
+    """Forecast rows (roll-forward, rounded) appended to a
+    forecast_results table with a default created_at, read back; each row
+    also carries its horizon label and a JSON record."""
+    import uuid
+
+    from stockpulse.session import scratch_path
+    from stockpulse.sources import io
+    rf = _roll(spark, sf_dir)
+    rows = rf.select("sku_id", F.col("ds").alias("date"),
+                     fc.round_prediction(F.col("avg_qty_7d")).alias("predicted_qty"),
+                     F.concat(F.lit("Day "), F.col("step").cast("string")).alias("day_label"))
+    path = scratch_path(spark, f"roundtrip/forecast_results/{uuid.uuid4().hex}")
+    io.append_with_created_at(rows, path)
+    back = spark.read.parquet(path)
+    return back.select("sku_id", "date", "predicted_qty", "day_label",
+                       F.col("created_at").isNotNull().alias("has_created_at"))
+
+
+@register("j28_forecast_records")
+def forecast_records(spark, sf_dir):
+    """Forecast rows as JSON records (one per series and day)."""
+    rf = _roll(spark, sf_dir)
+    return rf.select(F.to_json(F.struct("sku_id", "hospital_id", F.col("ds").cast("string").alias("ds"),
+                                        "step", "avg_qty_7d")).alias("record"))

@@ -345,3 +345,33 @@ def rejects_roundtrip(spark, sf_dir):
     if not io.write_if_rows(rej, path):
         return rej
     return spark.read.parquet(path)
+
+
+@register("a2_csv_ingest_roundtrip", sql=f"""WITH {_LANDING_SQL}
+SELECT transaction_id, transaction_code, hospital_id, sku_id, transaction_time, quantity_consumed,
+       total_revenue, transaction_type FROM landing""")
+def csv_ingest_roundtrip(spark, sf_dir):
+    """Landing rows exported as a CSV with display-style
+    headers, then ingested as text with a required-column check, names
+    normalised and the time column parsed."""
+    import uuid
+
+    from stockpulse.session import scratch_path
+    from stockpulse.sources import io
+    cols = ["transaction_id", "transaction_code", "hospital_id", "sku_id", "transaction_time",
+            "quantity_consumed", "total_revenue", "transaction_type"]
+    src = landing_transactions(spark, sf_dir).select(*cols)
+    shown = src.select(*[F.col(c).alias(c.replace("_", " ").title()) for c in cols])
+    path = scratch_path(spark, f"roundtrip/csv_ingest/{uuid.uuid4().hex}")
+    io.write_csv(shown.withColumn("Transaction Time",
+                                  F.date_format("Transaction Time", "yyyy-MM-dd HH:mm:ss")), path)
+    back = landing.read_csv_landing(spark, path, required=["transaction_time"])
+    return back.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "transaction_time" else c
+                         for c in cols])
+
+
+@register("a6_describe_schema")
+def describe_lineitem(spark, sf_dir):
+    """Schema introspection (column, type, nullable) of a source table."""
+    from stockpulse.sources import io
+    return io.describe_schema(read_table(spark, sf_dir, "lineitem"))
