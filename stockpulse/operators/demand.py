@@ -36,11 +36,27 @@ TOP_K = 10
 SERIES_KEYS = ["hospital_id", "sku_id"]
 
 
+UNITS = "revenue_units"          # exact long revenue (1e-4 units), when the input has it
+REVENUE_SCALE = 10_000.0
+
+
 def daily_demand(tx: DataFrame, keep_decimal: bool = False) -> DataFrame:
-    """sum quantity and revenue per (sku, hospital, day)."""
-    out = (tx.groupBy("sku_id", "hospital_id", F.to_date("transaction_time").alias("tx_date"))
-           .agg(F.sum("quantity_consumed").alias("total_quantity"),
-                F.sum("total_revenue").alias("total_revenue")))
+    """sum quantity and revenue per (sku, hospital, day).
+
+    With a `revenue_units` column the revenue is summed as exact longs; the
+    double result is units / 1e4 (correctly rounded, as a decimal->double
+    cast is). `keep_decimal=True` keeps the exact representation (units, or
+    the decimal sum) for further window sums."""
+    keys = ["sku_id", "hospital_id", F.to_date("transaction_time").alias("tx_date")]
+    if UNITS in tx.columns:
+        out = tx.groupBy(*keys).agg(F.sum("quantity_consumed").alias("total_quantity"),
+                                    F.sum(UNITS).alias(UNITS))
+        if keep_decimal:
+            return out
+        return out.select("sku_id", "hospital_id", "tx_date", "total_quantity",
+                          (F.col(UNITS) / REVENUE_SCALE).alias("total_revenue"))
+    out = tx.groupBy(*keys).agg(F.sum("quantity_consumed").alias("total_quantity"),
+                                F.sum("total_revenue").alias("total_revenue"))
     if not keep_decimal:
         out = out.withColumn("total_revenue", F.col("total_revenue").cast("double"))
     return out
@@ -78,6 +94,11 @@ def demand_features(daily: DataFrame) -> DataFrame:
     w = Window.partitionBy(*SERIES_KEYS).orderBy("tx_date")
     w7 = w.rowsBetween(-(SHORT_ROWS - 1), 0)
     w28 = w.rowsBetween(-(LONG_ROWS - 1), 0)
+    if UNITS in daily.columns:                       # exact long revenue units
+        daily = daily.withColumnRenamed(UNITS, "total_revenue")
+        rev = lambda c: F.col(c) / REVENUE_SCALE      # noqa: E731
+    else:
+        rev = lambda c: F.col(c).cast("double")       # noqa: E731
     # each frame aggregate once; averages derive from the sums and counts
     win = daily.select(
         "tx_date", "hospital_id", "sku_id", "total_quantity", "total_revenue",
@@ -104,11 +125,11 @@ def demand_features(daily: DataFrame) -> DataFrame:
         (F.col("qty_28d").cast("double") / F.col("__nq28")).alias("avg_qty_28d"),
         "lag_qty_1d",
         "lag_qty_7d",
-        F.col("total_revenue").cast("double").alias("rev_1d"),
-        F.col("__r7").cast("double").alias("rev_7d"),
-        F.col("__r28").cast("double").alias("rev_28d"),
-        (F.col("__r7").cast("double") / F.col("__nr7")).alias("avg_rev_7d"),
-        (F.col("__r28").cast("double") / F.col("__nr28")).alias("avg_rev_28d"),
+        rev("total_revenue").alias("rev_1d"),
+        rev("__r7").alias("rev_7d"),
+        rev("__r28").alias("rev_28d"),
+        (rev("__r7") / F.col("__nr7")).alias("avg_rev_7d"),
+        (rev("__r28") / F.col("__nr28")).alias("avg_rev_28d"),
     )
 
 

@@ -38,7 +38,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-               .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m"))
+               .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
+               # single-host session: no reason to hold tasks back for locality
+               .config("spark.locality.wait", "0s"))
     for k, v in CORE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -55,6 +55,18 @@ def revenue_expr(price: Column, discount: Column) -> Column:
     return (p * (F.lit(1).cast("decimal(18,2)") - d)).cast("decimal(18,4)")
 
 
+REVENUE_SCALE = 10_000   # revenue units: 1e-4 of the currency
+
+
+def revenue_units_expr(price: Column, discount: Column) -> Column:
+    """The same revenue as `revenue_expr`, as an exact long count of 1e-4
+    units (cents x percent). Sums of longs stay on the fast codegen path;
+    DECIMAL(38,4) products and sums go through BigDecimal per row."""
+    cents = F.round(price * 100).cast("long")
+    pct = F.round(discount * 100).cast("long")
+    return cents * (F.lit(100) - pct)
+
+
 def supplier_hospital(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -> hospital_id (region key as text)."""
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -92,6 +104,7 @@ def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand") -> DataFr
         F.col("l_quantity").alias("quantity_consumed"),
         revenue_expr(F.col("l_extendedprice"), F.col("l_discount")).alias("total_revenue"),
         F.concat_ws("_", "l_returnflag", "l_linestatus").alias("transaction_type"),
+        revenue_units_expr(F.col("l_extendedprice"), F.col("l_discount")).alias("revenue_units"),
     )
 
 
