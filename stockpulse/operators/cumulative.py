@@ -17,21 +17,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockpulse.session import ensure_checkpoint_dir
+from stockpulse.session import reliable_checkpoint
 
 
 def running_sums(df: DataFrame, group_col: str, order_col: str, value_cols: list[str],
                  num_partitions: int | None = None) -> DataFrame:
     """Return df + `cum_<v>` (inclusive running sum of v within group_col
-    ordered by order_col; order values must be unique per group) and
-    `next_<order_col>` (the next order value in the group, NULL at the end)."""
+    ordered by order_col; order values must be unique per group),
+    `total_<v>` (the group's sum) and `next_<order_col>` (the next order
+    value in the group, NULL at the end)."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, group_col, order_col)
-              .sortWithinPartitions(group_col, order_col)
-              .withColumn("__pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = reliable_checkpoint(df.repartitionByRange(n, group_col, order_col)
+                                 .sortWithinPartitions(group_col, order_col)
+                                 .withColumn("__pid", F.spark_partition_id()))
     tot = ranged.groupBy("__pid", group_col).agg(
         *[F.sum(v).alias(f"__tot_{v}") for v in value_cols],
         F.min(order_col).alias("__first"))
@@ -40,6 +39,7 @@ def running_sums(df: DataFrame, group_col: str, order_col: str, value_cols: list
     offsets = tot.select(
         "__pid", group_col,
         *[F.coalesce(F.sum(f"__tot_{v}").over(before), F.lit(0)).alias(f"__off_{v}") for v in value_cols],
+        *[F.sum(f"__tot_{v}").over(Window.partitionBy(group_col)).alias(f"__all_{v}") for v in value_cols],
         F.lead("__first").over(wg).alias("__next_part_first"))
     wp = Window.partitionBy("__pid", group_col).orderBy(order_col)
     inner = ranged.select(
@@ -50,4 +50,5 @@ def running_sums(df: DataFrame, group_col: str, order_col: str, value_cols: list
     return out.select(
         *df.columns,
         *[(F.col(f"__off_{v}") + F.col(f"__in_{v}")).alias(f"cum_{v}") for v in value_cols],
+        *[F.col(f"__all_{v}").alias(f"total_{v}") for v in value_cols],
         F.coalesce("__next_in", "__next_part_first").alias(f"next_{order_col}"))

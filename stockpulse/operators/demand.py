@@ -146,9 +146,8 @@ def feature_table(tx: DataFrame) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared checkpoint folder and read it
     back (reliable checkpoint: survives executor loss, cuts the lineage)."""
-    from stockpulse.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from stockpulse.session import reliable_checkpoint
+    return reliable_checkpoint(df)
 
 
 def feature_table_top(tx: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -190,10 +189,11 @@ def event_features(tx: DataFrame, k: int = TOP_K) -> DataFrame:
     k x days rows; the join is left to AQE, which broadcasts it when its
     measured shuffle output is small and otherwise splits skewed partitions
     of the transaction side (top-k SKUs are, by definition, the hot keys).
-    The ranking is taken from the (sku, day) aggregate, so the fact table is
-    scanned twice in all: once aggregated, once for the event rows.
+    The ranking is taken from the materialised (sku, day) aggregate, so the
+    fact table is scanned twice in all: once aggregated, once for the event
+    rows.
     """
-    all_daily = sku_day_demand(tx)
+    all_daily = materialize(sku_day_demand(tx))     # one aggregate pass over the facts
     top = top_skus(all_daily, k, qty_col="daily_qty")
     feats = sku_day_features(restrict_to(all_daily, top))
     tx_top = restrict_to(tx, top)

@@ -102,8 +102,9 @@ def _runs(feats):
                        F.concat_ws("-", "sku_id", F.date_format("month_end", "yyyyMM")).alias("run_id"))
 
 
-def _versions(spark, sf_dir):
-    return ev.register_versions(_runs(top_features(spark, sf_dir)), "sku_id", "run_ts", "run_id")
+def _versions(spark, sf_dir, feats=None):
+    feats = top_features(spark, sf_dir) if feats is None else feats
+    return ev.register_versions(_runs(feats), "sku_id", "run_ts", "run_id")
 
 
 _RUNS_SQL = _FEATS + """,
@@ -153,9 +154,9 @@ def exporter(spark, sf_dir):
     return ev.exporter_view(_versions(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
 
 
-def _run_metrics(spark, sf_dir):
+def _run_metrics(spark, sf_dir, feats=None):
     """Per run, the naive forecast's MAPE over the run's month."""
-    feats = top_features(spark, sf_dir)
+    feats = top_features(spark, sf_dir) if feats is None else feats
     runs = _runs(feats)
     m = ev.regression_metrics(feats.withColumn("run_ts", F.last_day("ds").cast("timestamp")),
                               ["sku_id", "run_ts"], "qty_1d", "lag_qty_1d")
@@ -296,9 +297,10 @@ def sku_model_overview(spark, sf_dir):
     latest MAPE (two decimals) and last training time."""
     from stockpulse.sources.tables import read_table
     skus = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("sku_id")).distinct()
-    prod = ev.resolve_model(_versions(spark, sf_dir), "Production").select(
+    feats = top_features(spark, sf_dir)              # one materialised daily table for both
+    prod = ev.resolve_model(_versions(spark, sf_dir, feats), "Production").select(
         "model_name", "version", "last_updated_ms")
-    lm = _run_metrics(spark, sf_dir).groupBy("sku_id").agg(F.max_by("value", "run_ts").alias("mape"))
+    lm = _run_metrics(spark, sf_dir, feats).groupBy("sku_id").agg(F.max_by("value", "run_ts").alias("mape"))
     j = (skus.withColumn("model_name", ev.model_name(F.col("sku_id")))
          .join(prod, "model_name", "left").join(lm, "sku_id", "left"))
     return j.select("sku_id", F.col("version").isNotNull().alias("model_available"), "version",

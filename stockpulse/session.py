@@ -84,3 +84,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     # per-application subfolder for RDD checkpoints); fall back to that one
     base = (configured or ensure_checkpoint_dir(spark)).rstrip("/")
     return f"{base}/stockpulse/{name}"
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    The input is persisted first, so writing the checkpoint does not compute
+    it a second time; the cache is dropped once the files are written (the
+    result reads from the checkpoint files, which survive executor loss)."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
