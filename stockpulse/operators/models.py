@@ -180,8 +180,15 @@ def evaluate(test: DataFrame, models: dict[str, TrainedSku]) -> DataFrame:
 
 def score(df: DataFrame, models: dict[str, TrainedSku]) -> DataFrame:
     """Score rows by their SKU's model; rows with no model or invalid
-    input get an `error` value instead of failing the batch."""
+    input get an `error` value instead of failing the batch.
+
+    Each model reads its SKU's slice of the input, so the input is
+    materialised once (reliable checkpoint) instead of being recomputed for
+    every one of the (top-k bounded) models."""
+    from stockpulse.session import reliable_checkpoint
     df = prepare(df)
+    if len(models) > 1:
+        df = reliable_checkpoint(df)
     bad_input = F.lit(False)
     for c in FEATURE_COLS:
         bad_input = bad_input | F.col(c).isNull() | F.isnan(F.col(c))
@@ -214,11 +221,29 @@ def params_table(spark, models: dict[str, TrainedSku]) -> DataFrame:
     return spark.createDataFrame(rows, "sku_id string, key string, value string")
 
 
+_LOADED: dict[tuple, PipelineModel] = {}
+
+
+def _stamp(path: str):
+    from pyspark import SparkContext
+    sc = SparkContext.getOrCreate()
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None
+
+
 def load_first(paths: list[str]) -> PipelineModel | None:
-    """The first path that loads, else None (caller skips the SKU)."""
+    """The first path that loads, else None (caller skips the SKU).
+    Loaded models are kept per (path, modification time) in this process."""
     for p in paths:
         try:
-            return PipelineModel.load(p)
+            stamp = _stamp(p)
+            if stamp is None:
+                continue
+            key = (p, stamp)
+            if key not in _LOADED:
+                _LOADED[key] = PipelineModel.load(p)
+            return _LOADED[key]
         except Exception:  # noqa: BLE001
             continue
     return None
