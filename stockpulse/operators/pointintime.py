@@ -35,9 +35,34 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+# Bucket widths the automatic sizing chooses from (divisors of a day, then weeks).
+BUCKET_WIDTHS = [1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 10800, 21600,
+                 43200, DAY, 7 * DAY]
+TARGET_BUCKET_ROWS = 2_000_000
+
+
+def auto_bucket_seconds(entities: DataFrame, features: DataFrame, key: str, entity_ts: str,
+                        feature_ts: str, target_rows: int = TARGET_BUCKET_ROWS) -> int:
+    """Widest bucket whose hottest (key, bucket) holds about `target_rows`
+    rows, judged from per-(key, day) counts of both inputs (one partial
+    aggregate each; only a single number reaches the driver)."""
+    day = lambda c: F.floor(_micros(F.col(c)) / (DAY * 1_000_000))
+    counts = (entities.select(F.col(key).alias("k"), day(entity_ts).alias("d"))
+              .unionByName(features.select(F.col(key).alias("k"), day(feature_ts).alias("d")))
+              .groupBy("k", "d").agg(F.count(F.lit(1)).alias("n")))
+    hottest = counts.agg(F.max("n")).first()[0] or 1
+    # assume rows spread over the day; scale the day down to the target
+    fitting = [w for w in BUCKET_WIDTHS if hottest * w / DAY <= target_rows]
+    return max(fitting) if fitting else BUCKET_WIDTHS[0]
+
+
 def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: str, feature_ts: str,
                feature_cols: list[str], ttl_seconds: int | None, created_col: str | None = None,
-               bucket_seconds: int = DAY, prefix: str = "") -> DataFrame:
+               bucket_seconds: int | None = DAY, prefix: str = "") -> DataFrame:
+    """`bucket_seconds=None` sizes the buckets from the data
+    (`auto_bucket_seconds`)."""
+    if bucket_seconds is None:
+        bucket_seconds = auto_bucket_seconds(entities, features, key, entity_ts, feature_ts)
     bucket_us = int(bucket_seconds) * 1_000_000
     created = F.col(created_col) if created_col else F.lit(None)
     feat_struct = F.struct(_micros(F.col(feature_ts)).alias("__fts"),

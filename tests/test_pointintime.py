@@ -101,3 +101,18 @@ def test_registry_refs_and_schema_check(spark):
     bad = fv.FeatureView("bad", drv, src, "event_timestamp", {"conv_rate": "string"})
     with pytest.raises(ValueError):
         fv.FeatureRegistry().apply(bad)
+
+
+def test_auto_bucket_sizing(spark):
+    from stockpulse.operators.pointintime import DAY, auto_bucket_seconds
+    rng = random.Random(4)
+    base = dt.datetime(2024, 1, 1)
+    feats = [(0, base + dt.timedelta(seconds=rng.randint(0, 86399)), i, float(i)) for i in range(5000)]
+    ents = [(0, base + dt.timedelta(seconds=rng.randint(0, 2 * 86400)), f"e{i}") for i in range(300)]
+    f = spark.createDataFrame(feats, "k long, ts timestamp, created long, v double")
+    e = spark.createDataFrame(ents, "k long, t timestamp, tag string")
+    assert auto_bucket_seconds(e, f, "k", "t", "ts", target_rows=10_000_000) >= DAY
+    w = auto_bucket_seconds(e, f, "k", "t", "ts", target_rows=500)
+    assert w == 7200                                # ~5,150 rows on the hottest day: 2 h holds ~430
+    got = sorted(tuple(r) for r in as_of_join(e, f, "k", "t", "ts", ["v"], 3600, "created", w).collect())
+    assert got == sorted(tuple(r) for r in brute(ents, feats, 3600))
