@@ -185,7 +185,12 @@ def score(df: DataFrame, models: dict[str, TrainedSku]) -> DataFrame:
     Each model reads its SKU's slice of the input, so the input is
     materialised once (reliable checkpoint) instead of being recomputed for
     every one of the (top-k bounded) models."""
+    from stockpulse.functions.parsing import int_or_zero
+    from stockpulse.operators.cleaning import require_columns
     from stockpulse.session import reliable_checkpoint
+    require_columns(df, FEATURE_COLS)                               # D12: name what is missing
+    df = df.select(*[int_or_zero(F.col(c)).alias(c) if c in INT_COLS else F.col(c)   # J21
+                     for c in df.columns])
     df = prepare(df)
     if len(models) > 1:
         df = reliable_checkpoint(df)

@@ -61,7 +61,8 @@ _OK = f"fts IS NOT NULL AND fts >= event_timestamp - INTERVAL {TTL_SECONDS} SECO
 SELECT user_id, event_timestamp, event_id, val_to_add,
        CASE WHEN {_OK} THEN fvalue END AS value, CASE WHEN {_OK} THEN ftype END AS event_type FROM j""")
 def point_in_time(spark, sf_dir):
-    """E5: as-of join with TTL (6 h), ties broken by the created column."""
+    """As-of join with TTL (6 h) against a registered feature
+    view over a Parquet source; ties broken by the created column."""
     reg = registry(spark, sf_dir)
     return reg.historical(purchase_entities(spark, sf_dir), ["user_activity:value", "user_activity:event_type"])
 

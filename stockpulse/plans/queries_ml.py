@@ -48,7 +48,7 @@ def trained(spark, sf_dir, params: M.GBTParams = M.GBTParams()):
 
 @register("l3_train_per_sku")
 def train_per_sku(spark, sf_dir):
-    """One GBT regressor per top SKU (200 trees, depth 6,
+    """One GBT regressor per top SKU (200 trees, depth 6,
     rate 0.1, row/column sampling 0.8, seed 42), evaluated on the last 20 %;
     summary sorted by MAPE."""
     _, split, models = trained(spark, sf_dir)
@@ -57,7 +57,7 @@ def train_per_sku(spark, sf_dir):
 
 @register("l9_batch_scoring")
 def batch_scoring(spark, sf_dir):
-    """Score every row of the all-SKU feature table; rows of SKUs
+    """Score every row of the all-SKU feature table; rows of SKUs
     without a model get error 'no model' instead of failing the batch."""
     _, _, models = trained(spark, sf_dir)
     allf = demand.feature_table(transactions(spark, sf_dir))

@@ -65,7 +65,7 @@ SELECT sku_id, round({_MAPE_SQL}, 9) AS mape, avg(abs(qty_1d - lag_qty_1d)) AS m
        sqrt(avg((qty_1d - lag_qty_1d) * (qty_1d - lag_qty_1d))) AS rmse, count(*) AS n_test
 FROM split WHERE NOT is_train GROUP BY sku_id""")
 def backtest_metrics(spark, sf_dir):
-    """F7-F9, L5 arithmetic: MAPE/MAE/RMSE of the naive forecast on the
+    """F7-F9, J19, L5 arithmetic: MAPE/MAE/RMSE of the naive forecast on the
     last 20 % of each SKU."""
     test = _split(spark, sf_dir).where(~F.col("is_train"))
     m = ev.regression_metrics(test, ["sku_id"], "qty_1d", "lag_qty_1d")
@@ -244,7 +244,7 @@ def _roll(spark, sf_dir, horizon=7):
 
 @register("g17_roll_forward", sql=_rf_sql())
 def roll_forward(spark, sf_dir):
-    """7-day roll-forward features for every series."""
+    """7-day roll-forward features for every series."""
     return _roll(spark, sf_dir)
 
 
@@ -313,7 +313,7 @@ SELECT sku_id, ds AS date, CAST(round_even(avg_qty_7d, 0) AS INTEGER) AS predict
        'Day ' || CAST(step AS VARCHAR) AS day_label, true AS has_created_at
 FROM rf""")
 def forecast_append(spark, sf_dir):
-    """Forecast rows (roll-forward, rounded) appended to a
+    """Forecast rows (roll-forward, rounded) appended to a
     forecast_results table with a default created_at, read back; each row
     also carries its horizon label and a JSON record."""
     import uuid

@@ -115,7 +115,7 @@ def failure_alerts(spark, sf_dir):
 
 @register("l14_run_stages")
 def run_stages(spark, sf_dir):
-    """Run the five stages (validation, clean
+    """Run the five stages (validation, clean
     zone, daily table, both feature tables) through the run-log wrapper into
     a fresh shared folder; the result is the run log with each job's last
     state and its START/COMPLETE/FAIL counts."""

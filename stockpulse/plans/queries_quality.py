@@ -55,7 +55,7 @@ def _typed_landing(spark, sf_dir):
 SELECT transaction_id, sku_id, transaction_time, quantity_consumed, failed_rules
 FROM flagged WHERE failed_rules <> ''""")
 def rule_rejects(spark, sf_dir):
-    """Rejected rows with the names of the rules they fail."""
+    """Rejected rows with the names of the rules they fail."""
     _, rejected = rules.split(_typed_landing(spark, sf_dir), rules.TRANSACTIONS_SUITE)
     return rejected.select("transaction_id", "sku_id", "transaction_time", "quantity_consumed",
                            F.array_join("failed_rules", ",").alias("failed_rules"))
@@ -93,13 +93,15 @@ r AS (
   UNION ALL SELECT 'transaction_time_not_null', 'transaction_time', n, v_time FROM agg
   UNION ALL SELECT 'sku_id_not_null', 'sku_id', n, v_sku FROM agg
   UNION ALL SELECT 'transaction_id_unique', 'transaction_id', nn_id, v_uniq FROM agg
-  UNION ALL SELECT 'quantity_consumed_between', 'quantity_consumed', nn_q, v_q FROM agg)
+  UNION ALL SELECT 'quantity_consumed_between', 'quantity_consumed', nn_q, v_q FROM agg
+  UNION ALL SELECT 'table_columns_match_set', CAST(NULL AS VARCHAR), CAST(20 AS BIGINT), CAST(0 AS BIGINT) FROM agg)
 SELECT rule, column_name, element_count, unexpected_count,
   CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END AS unexpected_percent,
   (CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END) <= 1e-12 AS success
 FROM r""")
 def rule_results(spark, sf_dir):
-    """Per-rule success and unexpected counts (one aggregate)."""
+    """Per-rule success and unexpected counts (one aggregate), plus
+    the dataset-level column-set rule."""
     return rules.results(_typed_landing(spark, sf_dir), rules.TRANSACTIONS_SUITE)
 
 
@@ -111,7 +113,8 @@ WITH agg AS (SELECT count(*) AS n, count(p_partkey) AS nn,
              FROM part),
 r AS (SELECT 'sku_id_not_null' AS rule, 'sku_id' AS column_name, n AS element_count, v_id AS unexpected_count FROM agg
       UNION ALL SELECT 'sku_name_not_null', 'sku_name', n, v_name FROM agg
-      UNION ALL SELECT 'sku_id_unique', 'sku_id', nn, v_uniq FROM agg)
+      UNION ALL SELECT 'sku_id_unique', 'sku_id', nn, v_uniq FROM agg
+      UNION ALL SELECT 'table_columns_match_set', CAST(NULL AS VARCHAR), CAST(23 AS BIGINT), CAST(0 AS BIGINT) FROM agg)
 SELECT rule, column_name, element_count, unexpected_count,
   CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END AS unexpected_percent,
   (CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END) <= 1e-12 AS success
@@ -351,7 +354,7 @@ def rejects_roundtrip(spark, sf_dir):
 SELECT transaction_id, transaction_code, hospital_id, sku_id, transaction_time, quantity_consumed,
        total_revenue, transaction_type FROM landing""")
 def csv_ingest_roundtrip(spark, sf_dir):
-    """Landing rows exported as a CSV with display-style
+    """Landing rows exported as a CSV with display-style
     headers, then ingested as text with a required-column check, names
     normalised and the time column parsed."""
     import uuid
