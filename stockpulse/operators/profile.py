@@ -43,9 +43,11 @@ def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, quartiles: bool = False, accuracy: int = 10000) -> DataFrame:
-    """one row per column: count, unique, top, freq; numeric columns add
-    mean, std (sample), min, max and optionally approximate quartiles.
-    `top` is the most frequent value; ties go to the smallest value."""
+    """one row per column: count for all; unique, top, freq for
+    non-numeric columns (NULL for numeric ones, as a mixed-type describe
+    reports them); mean, std (sample), min, max and optionally approximate
+    quartiles for numeric columns. `top` is the most frequent value; ties go
+    to the smallest value."""
     cols = df.columns
     vc = value_counts(df, cols)
     cat = vc.groupBy("column_name").agg(
@@ -56,6 +58,9 @@ def describe(df: DataFrame, quartiles: bool = False, accuracy: int = 10000) -> D
     nums = numeric_columns(df)
     if not nums:
         return cat
+    is_num = F.col("column_name").isin(*nums)
+    cat = cat.select("column_name", "count",
+                     *[F.when(~is_num, F.col(c)).alias(c) for c in ("unique", "top", "freq")])
     aggs = []
     for i, c in enumerate(nums):
         x = F.col(f"`{c}`").cast("double")

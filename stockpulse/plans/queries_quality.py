@@ -223,7 +223,11 @@ cat AS (SELECT column_name, sum(cnt) AS count, count(*) AS "unique",
 num AS (SELECT 'quantity_consumed' AS column_name, round(avg(quantity_consumed), 6) AS mean,
                round(stddev_samp(quantity_consumed), 6) AS std, min(quantity_consumed) AS min,
                max(quantity_consumed) AS max FROM transactions)
-SELECT cat.*, num.mean, num.std, num.min, num.max FROM cat LEFT JOIN num USING (column_name)"""
+SELECT cat.column_name, cat.count,
+       CASE WHEN cat.column_name = 'quantity_consumed' THEN NULL ELSE cat."unique" END AS "unique",
+       CASE WHEN cat.column_name = 'quantity_consumed' THEN NULL ELSE cat.top END AS top,
+       CASE WHEN cat.column_name = 'quantity_consumed' THEN NULL ELSE cat.freq END AS freq,
+       num.mean, num.std, num.min, num.max FROM cat LEFT JOIN num USING (column_name)"""
 
 
 @register("f6_describe", sql=_profile_sql())
