@@ -44,9 +44,10 @@ def to_number(c: Column) -> Column:
 
 
 def to_timestamp_lenient(c: Column) -> Column:
-    """Text -> timestamp, unparseable -> NULL (never raises under ANSI)."""
+    """Text -> zone-free timestamp (the wall clock written in the text),
+    unparseable -> NULL (never raises under ANSI)."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TIME_FORMATS])
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TIME_FORMATS]).cast("timestamp_ntz")
 
 
 def null_sentinels(c: Column) -> Column:

@@ -92,7 +92,7 @@ def quality_summary(df: DataFrame) -> DataFrame:
     agg = g.agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
                 F.sum(F.col("__n") * nulls_in_row).alias("missing_cells"),
                 *[F.count_distinct(F.col(f"`{c}`")).alias(f"__u{i}") for i, c in enumerate(cols)])
-    constant = sum(((F.col(f"__u{i}") == 1).cast("int") for i in range(len(cols))), F.lit(0))
+    constant = sum(((F.col(f"__u{i}") == 1).cast("long") for i in range(len(cols))), F.lit(0).cast("long"))
     return agg.select(F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(len(cols)).alias("columns"),
                       F.coalesce("missing_cells", F.lit(0)).alias("missing_cells"),
                       constant.alias("constant_columns"),

@@ -73,7 +73,7 @@ def backtest_metrics(spark, sf_dir):
 
 
 @register("d10_history_gates", sql=_POS + """
-SELECT sku_id, count(*) AS n_rows, count_if(is_train) AS n_train, count(*) >= 90 AS can_train,
+SELECT sku_id, count(*) AS n_rows, CAST(count_if(is_train) AS BIGINT) AS n_train, count(*) >= 90 AS can_train,
        count_if(is_train) > 100 AS can_tune, count(*) >= 30 AS can_forecast
 FROM split GROUP BY sku_id""")
 def history_gates(spark, sf_dir):
@@ -98,7 +98,7 @@ def _runs(feats):
     from pyspark.sql import Window
     w = Window.partitionBy("sku_id").orderBy("month_end").rowsBetween(Window.unboundedPreceding, 0)
     runs = per_month.withColumn("cum", F.sum("n").over(w)).where(F.col("cum") >= ev.MIN_TRAIN_ROWS)
-    return runs.select("sku_id", F.col("month_end").cast("timestamp").alias("run_ts"),
+    return runs.select("sku_id", F.col("month_end").cast("timestamp_ntz").alias("run_ts"),
                        F.concat_ws("-", "sku_id", F.date_format("month_end", "yyyyMM")).alias("run_id"))
 
 
@@ -158,7 +158,7 @@ def _run_metrics(spark, sf_dir, feats=None):
     """Per run, the naive forecast's MAPE over the run's month."""
     feats = top_features(spark, sf_dir) if feats is None else feats
     runs = _runs(feats)
-    m = ev.regression_metrics(feats.withColumn("run_ts", F.last_day("ds").cast("timestamp")),
+    m = ev.regression_metrics(feats.withColumn("run_ts", F.last_day("ds").cast("timestamp_ntz")),
                               ["sku_id", "run_ts"], "qty_1d", "lag_qty_1d")
     return (m.join(runs, ["sku_id", "run_ts"])
             .select("run_id", "sku_id", "run_ts", F.lit("metric").alias("kind"), F.lit("mape").alias("key"),
@@ -305,7 +305,7 @@ def sku_model_overview(spark, sf_dir):
          .join(prod, "model_name", "left").join(lm, "sku_id", "left"))
     return j.select("sku_id", F.col("version").isNotNull().alias("model_available"), "version",
                     F.round("mape", 2).alias("mape"),
-                    F.timestamp_micros(F.col("last_updated_ms") * 1000).alias("last_trained"))
+                    F.timestamp_micros(F.col("last_updated_ms") * 1000).cast("timestamp_ntz").alias("last_trained"))
 
 
 @register("b12_forecast_append_roundtrip", sql=f"""WITH rf AS ({_rf_sql()})

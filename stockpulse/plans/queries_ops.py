@@ -26,14 +26,15 @@ _CALLS_SQL = """calls AS (SELECT ts, event_type AS path, event_type <> 'error' A
 
 
 @register("f17_call_counters", sql=f"""WITH {_CALLS_SQL}
-SELECT count_if(ok) AS success_total, count_if(NOT ok) AS failure_total, count(*) AS calls_total FROM calls""")
+SELECT CAST(count_if(ok) AS BIGINT) AS success_total, CAST(count_if(NOT ok) AS BIGINT) AS failure_total,
+       count(*) AS calls_total FROM calls""")
 def call_counters(spark, sf_dir):
     """Inference success / failure totals."""
     return mon.call_counters(calls(spark, sf_dir))
 
 
 @register("f20_failure_ratio", sql=f"""WITH {_CALLS_SQL}
-SELECT count_if(NOT ok) AS failure_total, count(*) AS calls_total,
+SELECT CAST(count_if(NOT ok) AS BIGINT) AS failure_total, count(*) AS calls_total,
        count_if(NOT ok) / nullif(count(*), 0) AS failure_ratio,
        coalesce(count_if(NOT ok) / nullif(count(*), 0) > 0.2, false) AS alert FROM calls""")
 def failure_ratio(spark, sf_dir):
@@ -43,7 +44,7 @@ def failure_ratio(spark, sf_dir):
 
 _BOUNDS = mon.LATENCY_BUCKETS + [float("inf")]
 _HIST_SQL = f"""WITH {_CALLS_SQL},
-hist AS ({' UNION ALL '.join(f"SELECT CAST('{b}' AS DOUBLE) AS le, count_if(latency_s <= CAST('{b}' AS DOUBLE)) AS count FROM calls" for b in _BOUNDS)})"""
+hist AS ({' UNION ALL '.join(f"SELECT CAST('{b}' AS DOUBLE) AS le, CAST(count_if(latency_s <= CAST('{b}' AS DOUBLE)) AS BIGINT) AS count FROM calls" for b in _BOUNDS)})"""
 
 
 @register("f18_latency_histogram", sql=_HIST_SQL + "\nSELECT le, count FROM hist")
@@ -53,7 +54,7 @@ def latency_histogram(spark, sf_dir):
 
 
 def _quantile_sql(q):
-    return f"""SELECT {q} AS quantile,
+    return f"""SELECT CAST({q} AS DOUBLE) AS quantile,
   CASE WHEN le = CAST('inf' AS DOUBLE) THEN prev_le WHEN count = coalesce(prev_count, 0) THEN le
        ELSE coalesce(prev_le, 0.0) + (le - coalesce(prev_le, 0.0)) * ({q} * total - coalesce(prev_count, 0))
             / (count - coalesce(prev_count, 0)) END AS value

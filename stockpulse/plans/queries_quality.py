@@ -71,7 +71,7 @@ def rule_passed(spark, sf_dir):
 
 
 @register("f12_split_counts", sql=f"""WITH {_TYPED_SQL}
-SELECT count_if(failed_rules = '') AS passed, count_if(failed_rules <> '') AS failed,
+SELECT CAST(count_if(failed_rules = '') AS BIGINT) AS passed, CAST(count_if(failed_rules <> '') AS BIGINT) AS failed,
        count(*) AS loaded FROM flagged""")
 def split_counts(spark, sf_dir):
     """passed / failed / loaded row counts of one rule run."""
@@ -95,7 +95,7 @@ r AS (
   UNION ALL SELECT 'transaction_id_unique', 'transaction_id', nn_id, v_uniq FROM agg
   UNION ALL SELECT 'quantity_consumed_between', 'quantity_consumed', nn_q, v_q FROM agg
   UNION ALL SELECT 'table_columns_match_set', CAST(NULL AS VARCHAR), CAST(20 AS BIGINT), CAST(0 AS BIGINT) FROM agg)
-SELECT rule, column_name, element_count, unexpected_count,
+SELECT rule, column_name, CAST(element_count AS BIGINT) AS element_count, CAST(unexpected_count AS BIGINT) AS unexpected_count,
   CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END AS unexpected_percent,
   (CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END) <= 1e-12 AS success
 FROM r""")
@@ -115,7 +115,7 @@ r AS (SELECT 'sku_id_not_null' AS rule, 'sku_id' AS column_name, n AS element_co
       UNION ALL SELECT 'sku_name_not_null', 'sku_name', n, v_name FROM agg
       UNION ALL SELECT 'sku_id_unique', 'sku_id', nn, v_uniq FROM agg
       UNION ALL SELECT 'table_columns_match_set', CAST(NULL AS VARCHAR), CAST(23 AS BIGINT), CAST(0 AS BIGINT) FROM agg)
-SELECT rule, column_name, element_count, unexpected_count,
+SELECT rule, column_name, CAST(element_count AS BIGINT) AS element_count, CAST(unexpected_count AS BIGINT) AS unexpected_count,
   CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END AS unexpected_percent,
   (CASE WHEN element_count > 0 THEN CAST(unexpected_count AS DOUBLE) * 100.0 / element_count ELSE 0.0 END) <= 1e-12 AS success
 FROM r""")
@@ -164,7 +164,7 @@ def clean_skus(spark, sf_dir):
 
 @register("f5_null_counts", sql=f"""WITH {_LANDING_SQL}
 SELECT column_name, null_count FROM (
-  SELECT {', '.join(f"count_if({c} IS NULL) AS {c}" for c in rules.TRANSACTION_COLUMNS)} FROM landing
+  SELECT {', '.join(f"CAST(count_if({c} IS NULL) AS BIGINT) AS {c}" for c in rules.TRANSACTION_COLUMNS)} FROM landing
 ) UNPIVOT (null_count FOR column_name IN ({', '.join(rules.TRANSACTION_COLUMNS)}))""")
 def null_counts(spark, sf_dir):
     """null count per landing column."""
@@ -218,7 +218,7 @@ def _profile_sql():
     return f"""WITH {TX_SQL},
 v AS ({vc}),
 vc AS (SELECT column_name, value, count(*) AS cnt FROM v GROUP BY 1, 2),
-cat AS (SELECT column_name, sum(cnt) AS count, count(*) AS "unique",
+cat AS (SELECT column_name, CAST(sum(cnt) AS BIGINT) AS count, count(*) AS "unique",
                arg_min(value, (-cnt, value)) AS top, max(cnt) AS freq FROM vc GROUP BY 1),
 num AS (SELECT 'quantity_consumed' AS column_name, round(avg(quantity_consumed), 6) AS mean,
                round(stddev_samp(quantity_consumed), 6) AS std, min(quantity_consumed) AS min,
@@ -248,7 +248,7 @@ def describe_quartiles(spark, sf_dir):
 @register("f16_quality_summary", sql=f"""WITH {_LANDING_SQL},
 u AS (SELECT {', '.join(f'count(DISTINCT {c}) AS {c}' for c in rules.TRANSACTION_COLUMNS)} FROM landing)
 SELECT (SELECT count(*) FROM landing) AS rows, {len(rules.TRANSACTION_COLUMNS)} AS columns,
-  (SELECT {' + '.join(f'count_if({c} IS NULL)' for c in rules.TRANSACTION_COLUMNS)} FROM landing) AS missing_cells,
+  (SELECT CAST({' + '.join(f'count_if({c} IS NULL)' for c in rules.TRANSACTION_COLUMNS)} AS BIGINT) FROM landing) AS missing_cells,
   (SELECT {' + '.join(f'CAST({c} = 1 AS BIGINT)' for c in rules.TRANSACTION_COLUMNS)} FROM u) AS constant_columns,
   (SELECT count(*) FROM landing) - (SELECT count(*) FROM (SELECT DISTINCT * FROM landing)) AS duplicated_rows""")
 def quality_summary(spark, sf_dir):
@@ -292,7 +292,7 @@ per AS (SELECT cum.column_name, abs(cr / t_ref - cc / t_cur) AS d,
         FROM cum JOIN tot USING (column_name)),
 std AS ({std}),
 numr AS (SELECT column_name, 'numeric' AS kind, round(sum(area) / greatest(max(std_ref), 0.001), 9) AS drift_score,
-                round(max(d), 9) AS ks_statistic, 0.1 AS threshold
+                round(max(d), 9) AS ks_statistic, CAST(0.1 AS DOUBLE) AS threshold
          FROM per JOIN std USING (column_name) GROUP BY column_name),
 r AS (SELECT column_name, value, count(*) AS n_ref FROM ({cref}) GROUP BY 1, 2),
 c AS (SELECT column_name, value, count(*) AS n_cur FROM ({ccur}) GROUP BY 1, 2),
@@ -303,7 +303,7 @@ pq AS (SELECT column_name, CAST(n_ref AS DOUBLE) / t_ref AS p, CAST(n_cur AS DOU
 catr AS (SELECT column_name, 'categorical' AS kind,
            round(sqrt(greatest((sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END)
                       + sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)) / 2, 0)), 9) AS drift_score,
-           CAST(NULL AS DOUBLE) AS ks_statistic, 0.1 AS threshold FROM pq GROUP BY column_name),
+           CAST(NULL AS DOUBLE) AS ks_statistic, CAST(0.1 AS DOUBLE) AS threshold FROM pq GROUP BY column_name),
 rep AS (SELECT * FROM numr UNION ALL SELECT * FROM catr),
 rep2 AS (SELECT *, drift_score >= threshold AS drifted FROM rep)
 SELECT rep2.*, s.drift_share, s.drift_share >= 0.5 AS dataset_drift
