@@ -38,9 +38,9 @@ TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-M
 
 def to_number(c: Column) -> Column:
     """Text -> double, anything unparseable -> NULL; NaN -> NULL."""
-    s = c.cast("string")
-    v = F.when(s.rlike(NUMBER_PATTERN), F.trim(s).try_cast("double"))
-    return F.when(~F.isnan(v), v)
+    s = F.trim(c.cast("string"))
+    v = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+    return F.nanvl(v, F.lit(None).cast("double"))      # one reference: parsed once per value
 
 
 def to_timestamp_lenient(c: Column) -> Column:
