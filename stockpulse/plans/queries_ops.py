@@ -127,3 +127,30 @@ def run_stages(spark, sf_dir):
     log = run(spark, sf_dir, scratch_path(spark, f"stages/{uuid.uuid4().hex}"))
     rl = log.read()
     return mon.last_state(rl).join(mon.state_counters(rl), "job")
+
+
+@register("k3_stream_rate", sql=_SLIDE_SQL + """
+SELECT window_start, window_end, path, calls, failures, calls / 300.0 AS rate FROM agg
+WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_rate(spark, sf_dir):
+    """K3 (streaming form): the events replayed as a stream (availableNow)
+    through event-time sliding windows with a 10-minute watermark, append
+    mode into a Parquet sink; the result is every window the watermark has
+    closed, read back."""
+    import uuid
+
+    from stockpulse.session import scratch_path
+    from stockpulse.sources.tables import table_path
+    from stockpulse.streaming.rates import start_rates
+    ev = read_table(spark, sf_dir, "events")
+    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", table_path("", "events").lstrip("/")).parquet(sf_dir)
+              # watermarks need zone-aware event time; the session zone is UTC
+              .select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"),
+                      (F.col("event_type") != "error").alias("ok")))
+    run = scratch_path(spark, f"stream_rate/{uuid.uuid4().hex}")
+    q = start_rates(stream, "path", f"{run}/out", f"{run}/_checkpoint", watermark="10 minutes")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{run}/out")
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("window_start", "window_end") else c
+                        for c in out.columns])
