@@ -75,7 +75,7 @@ _SLIDE_SQL = f"""WITH {_CALLS_SQL},
 slid AS (SELECT date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS window_start, path, ok
          FROM calls, (SELECT unnest(range(0, 5)) AS k)),
 agg AS (SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, path,
-               count(*) AS calls, count_if(NOT ok) AS failures FROM slid GROUP BY 1, 2, 3)"""
+               count(*) AS calls, CAST(count_if(NOT ok) AS BIGINT) AS failures FROM slid GROUP BY 1, 2, 3)"""
 
 
 @register("k3_rate_5m", sql=_SLIDE_SQL + "\nSELECT window_start, window_end, path, calls / 300.0 AS rate FROM agg")
