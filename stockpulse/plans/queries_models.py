@@ -331,7 +331,9 @@ def forecast_append(spark, sf_dir):
                        F.col("created_at").isNotNull().alias("has_created_at"))
 
 
-@register("j28_forecast_records")
+@register("j28_forecast_records", sql=f"""WITH rf AS ({_rf_sql()})
+SELECT json_object('sku_id', sku_id, 'hospital_id', hospital_id, 'ds', CAST(ds AS VARCHAR),
+                   'step', step, 'avg_qty_7d', avg_qty_7d)::VARCHAR AS record FROM rf""")
 def forecast_records(spark, sf_dir):
     """Forecast rows as JSON records (one per series and day)."""
     rf = _roll(spark, sf_dir)
