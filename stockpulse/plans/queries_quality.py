@@ -377,7 +377,13 @@ def csv_ingest_roundtrip(spark, sf_dir):
                          for c in cols])
 
 
-@register("a6_describe_schema")
+@register("a6_describe_schema", sql="""
+SELECT column_name,
+       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+                        WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+                        ELSE lower(column_type) END AS data_type,
+       "null" = 'YES' AS nullable
+FROM (DESCRIBE lineitem)""")
 def describe_lineitem(spark, sf_dir):
     """Schema introspection (column, type, nullable) of a source table."""
     from stockpulse.sources import io
