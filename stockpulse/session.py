@@ -40,7 +40,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
                .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
                # single-host session: no reason to hold tasks back for locality
-               .config("spark.locality.wait", "0s"))
+               .config("spark.locality.wait", "0s")
+               # drop checkpoint files once nothing references them any more
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in CORE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
