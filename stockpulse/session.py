@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -68,16 +69,28 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's `spark.checkpoint.dir`; only when it is unset (tests,
-    local runs) create a private folder so `checkpoint()` works."""
+    """Use the cluster's `spark.checkpoint.dir`. Where it is unset, the home
+    folder of the default file system serves; a private folder of this machine
+    only for a local master, whose tasks all run here."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
-    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stockpulse-ckpt-")
+    d = sc.getConf().get("spark.checkpoint.dir", None)
+    if d is None and _one_machine(sc):
+        d = tempfile.mkdtemp(prefix="stockpulse-ckpt-")
+    elif d is None:
+        fs = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+        if fs.getUri().getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = f"{fs.getHomeDirectory().toString()}/stockpulse-checkpoints"
     sc.setCheckpointDir(d)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _one_machine(sc) -> bool:
+    return sc.master.split("[")[0] == "local"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate
     tables (lineage cuts, versioned 'latest' tables)."""
@@ -88,6 +101,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stockpulse/{name}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    functions of it run on executors where it is not installed."""
+    sc = spark.sparkContext
+    if _shipped.get("to") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="stockpulse-src-"), "stockpulse.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _shipped["to"] = sc.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def reliable_checkpoint(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
     The input is persisted first, so writing the checkpoint does not compute
