@@ -1,254 +1,200 @@
-"""Per-SKU demand regressors (L3, L4, L5, L8, L9, L10, L11) on Spark ML.
-
-One boosted-tree regressor per SKU, as the source pipeline does. The data
-never leaves the cluster: the split is computed for all SKUs at once (one
-distributed job), persisted, and each SKU's fit reads its slice by a filter.
-Fits are independent, so they are submitted from a small driver thread pool
-and run as concurrent Spark jobs (the same mechanism as CrossValidator's
-`parallelism`). The SKU list is bounded by construction (the top-k table);
-for very many SKUs `train_pooled` fits one model with the SKU as a feature.
-
-`GBTRegressor` is not XGBoost: column sampling is per node and there is no L2
-term, so predictions differ from the source; checks are on shapes, ranges and
-reproducibility (fixed seed).
+"""Per-SKU demand regressors.
+
+One boosted-tree regressor per SKU, as the source pipeline has. Spark groups the
+feature rows by SKU; a task splits one SKU's rows chronologically (first 80 %
+train), fits (`operators/boosting.py`), and evaluates on the rest. A SKU's rows are
+bounded by the calendar (days x hospitals), so no group is unbounded, and the cost
+grows with the number of SKUs, spread over the cluster. An error in one SKU is a row
+with that error, not a failed job.
+
+The result is a model table with one row per SKU. Scoring is a cogroup of rows and
+models by SKU: every input row comes out once, with a prediction or an error, rows
+of NULL keys too. The trees are not XGBoost's, so predictions differ from the source.
 """
 
 from __future__ import annotations
 
-import logging
 import random
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stockpulse.functions.parsing import int_or_zero
 from stockpulse.operators import evaluation as ev
-
-log = logging.getLogger(__name__)
+from stockpulse.operators.boosting import TreeParams, Trees, fit
+from stockpulse.operators.cleaning import require_columns
 
 # Model input columns and target.
 FEATURE_COLS = ["dow", "is_weekend", "week_of_year", "month", "qty_7d", "qty_28d", "avg_qty_7d",
                 "avg_qty_28d", "lag_qty_1d", "lag_qty_7d", "rev_7d", "rev_28d", "avg_rev_7d", "avg_rev_28d"]
 TARGET = "qty_1d"
 INT_COLS = ["dow", "is_weekend", "week_of_year", "month"]
-SEED = 42
 SEARCH_DRAWS = 5
+FEATURE_VERSION = 1          # part of the model store's key; raise it when FEATURE_COLS change
 
+MODEL_SCHEMA = T.StructType([
+    T.StructField("sku_id", T.StringType()), T.StructField("n_rows", T.LongType()),
+    T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
+    T.StructField("mape", T.DoubleType()), T.StructField("mae", T.DoubleType()),
+    T.StructField("rmse", T.DoubleType()), T.StructField("tuned", T.BooleanType()),
+    T.StructField("draws", T.IntegerType()), T.StructField("folds", T.IntegerType()),
+    T.StructField("fold_rows", T.LongType()), T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("model", T.BinaryType()), T.StructField("error", T.StringType())])
 
-@dataclass(frozen=True)
-class GBTParams:
-    max_iter: int = 200            # trees
-    max_depth: int = 6
-    step_size: float = 0.1         # learning rate
-    subsampling_rate: float = 0.8
-    feature_subset: str = "0.8"
-    min_instances_per_node: int = 1
-    seed: int = SEED
-
-
-def _estimator(p: GBTParams, features_col="features") -> GBTRegressor:
-    return GBTRegressor(featuresCol=features_col, labelCol=TARGET, predictionCol="prediction",
-                        maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step_size,
-                        subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset,
-                        minInstancesPerNode=p.min_instances_per_node, seed=p.seed, maxBins=64,
-                        cacheNodeIds=True)
 
-
-def pipeline(p: GBTParams) -> Pipeline:
-    """Feature projection + vector assembly + regressor."""
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURE_COLS, outputCol="features", handleInvalid="keep"),
-                            _estimator(p)])
+@dataclass(frozen=True)
+class Search:
+    """Outcome of L4 for one SKU."""
+    params: TreeParams
+    draws: int
+    folds: int
+    fold_rows: int
 
 
 def prepare(features: DataFrame) -> DataFrame:
-    """Model columns as doubles."""
+    """Model columns as doubles, in their fixed order."""
+    require_columns(features, FEATURE_COLS)                       # D12: name what is missing
     return features.select(*[c for c in features.columns if c not in FEATURE_COLS + [TARGET]],
                            *[F.col(c).cast("double").alias(c) for c in FEATURE_COLS + [TARGET]])
 
 
-def draw_params(base: GBTParams, n: int = SEARCH_DRAWS, seed: int = SEED) -> list[GBTParams]:
+def draw_params(base: TreeParams, n: int = SEARCH_DRAWS) -> list[TreeParams]:
     """L4: seeded random draws over trees, depth, rate, row and column
     sampling, minimum node size."""
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        out.append(replace(base, max_iter=rng.randrange(100, 200), max_depth=rng.randrange(3, 6),
-                           step_size=rng.uniform(0.05, 0.15), subsampling_rate=rng.uniform(0.8, 1.0),
-                           feature_subset=f"{rng.uniform(0.8, 1.0):.3f}",
-                           min_instances_per_node=rng.randrange(1, 5)))
-    return out
-
-
-def tune(train: DataFrame, base: GBTParams, n_draws: int = SEARCH_DRAWS) -> GBTParams:
-    """L4: pick the draw with the lowest mean MAE over two expanding time
-    folds (G13); any failure -> the defaults."""
-    try:
-        folds = ev.time_folds(train, "sku_id", "ds", "hospital_id").persist(StorageLevel.MEMORY_AND_DISK)
-        mae = RegressionEvaluator(labelCol=TARGET, predictionCol="prediction", metricName="mae")
-        best, best_score = base, float("inf")
-        for cand in draw_params(base, n_draws):
-            scores = []
-            for f in range(ev.FOLDS):
-                tr = folds.where((F.col("fold") == f) & (F.col("role") == "train"))
-                te = folds.where((F.col("fold") == f) & (F.col("role") == "test"))
-                scores.append(mae.evaluate(pipeline(cand).fit(tr).transform(te)))
-            s = sum(scores) / len(scores)
-            if s < best_score:
-                best, best_score = cand, s
-        folds.unpersist()
-        return best
-    except Exception as e:  # noqa: BLE001 - the source falls back to defaults on any failure
-        log.warning("tuning failed, using defaults: %s", e)
-        return base
-
-
-@dataclass
-class TrainedSku:
-    sku_id: str
-    model: PipelineModel
-    params: GBTParams
-    n_train: int
-    n_test: int
-
-
-def split_for_training(features: DataFrame) -> DataFrame:
-    """G12 over the model columns, for all SKUs at once (persisted: every
-    per-SKU fit and the evaluation read it)."""
-    return ev.chrono_split(prepare(features), "sku_id", "ds", "hospital_id").persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def eligible_skus(split: DataFrame, skus: list[str] | None = None) -> list:
-    """SKUs that pass the 90-row gate (one row per SKU reaches the driver)."""
-    g = ev.history_gates(split, "sku_id").where("can_train")
-    if skus is not None:
-        g = g.where(F.col("sku_id").isin(skus))
-    return g.select("sku_id", "n_train", "n_rows", "can_tune").orderBy("sku_id").collect()
-
-
-def model_path(base_path: str, sku_id: str) -> str:
-    return f"{base_path.rstrip('/')}/{ev.MODEL_PREFIX}{sku_id.replace('#', '_')}"
-
-
-def fit_models(split: DataFrame, rows: list, params: GBTParams = GBTParams(), tune_search: bool = False,
-               parallelism: int = 4, base_path: str | None = None) -> dict[str, TrainedSku]:
-    """Per SKU, load the stored model if `base_path` has one, else
-    fit (and store it). Fits run concurrently from a driver thread pool."""
-    def fit(r):
-        sid = r["sku_id"]
-        n_train, n_test = int(r["n_train"]), int(r["n_rows"] - r["n_train"])
-        if base_path is not None:
-            stored = load_first([model_path(base_path, sid)])
-            if stored is not None:
-                return TrainedSku(sid, stored, params, n_train, n_test)
-        # one SKU's training rows are bounded (days x hospitals): one task per
-        # job beats eight near-empty ones; SKUs run concurrently instead.
-        train = split.where((F.col("sku_id") == sid) & F.col("is_train")).coalesce(1)
-        p = tune(train, params) if (tune_search and r["can_tune"]) else params
-        model = pipeline(p).fit(train)
-        if base_path is not None:
-            model.write().overwrite().save(model_path(base_path, sid))
-        return TrainedSku(sid, model, p, n_train, n_test)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        trained = list(pool.map(fit, rows))
-    return {t.sku_id: t for t in trained}
-
-
-def train_all(features: DataFrame, params: GBTParams = GBTParams(), tune_search: bool = False,
-              parallelism: int = 4, skus: list[str] | None = None, base_path: str | None = None):
-    """Fit one model per SKU that passes the 90-row gate; evaluate
-    each on its last 20 %. Returns (models by SKU, summary DataFrame sorted by
-    MAPE - the B13 summary -, the persisted split)."""
-    split = split_for_training(features)
-    models = fit_models(split, eligible_skus(split, skus), params, tune_search, parallelism, base_path)
-    summary = evaluate(split.where(~F.col("is_train")), models)
-    return models, summary, split
-
-
-def evaluate(test: DataFrame, models: dict[str, TrainedSku]) -> DataFrame:
-    """Per-SKU MAPE / MAE / RMSE of the fitted models on their test rows."""
-    scored = score(test, models)
-    m = ev.regression_metrics(scored.where(F.col("error").isNull()), ["sku_id"], TARGET, "prediction")
-    return m.orderBy("mape")
-
-
-def score(df: DataFrame, models: dict[str, TrainedSku]) -> DataFrame:
-    """Score rows by their SKU's model; rows with no model or invalid
-    input get an `error` value instead of failing the batch.
-
-    Each model reads its SKU's slice of the input, so the input is
-    materialised once (reliable checkpoint) instead of being recomputed for
-    every one of the (top-k bounded) models."""
-    from stockpulse.functions.parsing import int_or_zero
-    from stockpulse.operators.cleaning import require_columns
-    from stockpulse.session import reliable_checkpoint
-    require_columns(df, FEATURE_COLS)                               # D12: name what is missing
-    df = df.select(*[int_or_zero(F.col(c)).alias(c) if c in INT_COLS else F.col(c)   # J21
-                     for c in df.columns])
-    df = prepare(df)
-    if len(models) > 1:
-        df = reliable_checkpoint(df)
-    bad_input = F.lit(False)
-    for c in FEATURE_COLS:
-        bad_input = bad_input | F.col(c).isNull() | F.isnan(F.col(c))
-    parts = []
-    for sid, t in models.items():
-        part = df.where((F.col("sku_id") == sid) & ~bad_input)
-        parts.append(t.model.transform(part).drop("features").withColumn("error", F.lit(None).cast("string")))
-    known = list(models)
-    rest = df.where(~F.col("sku_id").isin(known) | bad_input if known else F.lit(True)).select(
-        "*", F.lit(None).cast("double").alias("prediction"),
-        F.when(~F.col("sku_id").isin(known) if known else F.lit(True), F.lit("no model"))
-         .otherwise(F.lit("invalid input")).alias("error"))
-    out = rest
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
-def train_pooled(features: DataFrame, params: GBTParams = GBTParams()) -> PipelineModel:
-    """One model over all SKUs (SKU index as a categorical feature): one
-    distributed fit whatever the number of SKUs."""
-    idx = StringIndexer(inputCol="sku_id", outputCol="sku_index", handleInvalid="keep")
-    asm = VectorAssembler(inputCols=FEATURE_COLS + ["sku_index"], outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[idx, asm, _estimator(params)]).fit(prepare(features))
-
-
-def params_table(spark, models: dict[str, TrainedSku]) -> DataFrame:
-    """Parameters per SKU run, as (sku_id, key, value) rows."""
-    rows = [(sid, k, str(v)) for sid, t in models.items() for k, v in asdict(t.params).items()]
-    return spark.createDataFrame(rows, "sku_id string, key string, value string")
-
-
-_LOADED: dict[tuple, PipelineModel] = {}
-
-
-def _stamp(path: str):
-    from pyspark import SparkContext
-    sc = SparkContext.getOrCreate()
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None
-
-
-def load_first(paths: list[str]) -> PipelineModel | None:
-    """The first path that loads, else None (caller skips the SKU).
-    Loaded models are kept per (path, modification time) in this process."""
-    for p in paths:
+    rng = random.Random(base.seed)
+    return [replace(base, max_iter=rng.randrange(100, 200), max_depth=rng.randrange(3, 6),
+                    step_size=rng.uniform(0.05, 0.15), subsampling_rate=rng.uniform(0.8, 1.0),
+                    feature_rate=rng.uniform(0.8, 1.0), min_rows=rng.randrange(1, 5)) for _ in range(n)]
+
+
+def fold_bounds(n: int, splits: int = ev.FOLDS) -> list[tuple[int, int]]:
+    """(train end, test end) of the expanding folds over n ordered rows."""
+    size = n // (splits + 1)
+    return [(n - (splits - f) * size, n - (splits - f - 1) * size) for f in range(splits)]
+
+
+def search(x: np.ndarray, y: np.ndarray, base: TreeParams, candidates: list[TreeParams] | None = None) -> Search:
+    """L4: the draw with the lowest mean absolute error over the time folds; a
+    draw that cannot be fitted does not take part, without any the defaults hold."""
+    candidates = draw_params(base) if candidates is None else candidates
+    folds = [f for f in fold_bounds(len(y)) if 0 < f[0] < f[1]]
+    best, least = base, np.inf
+    for cand in candidates:
         try:
-            stamp = _stamp(p)
-            if stamp is None:
-                continue
-            key = (p, stamp)
-            if key not in _LOADED:
-                _LOADED[key] = PipelineModel.load(p)
-            return _LOADED[key]
-        except Exception:  # noqa: BLE001
+            err = np.mean([np.abs(fit(x[:a], y[:a], cand).predict(x[a:b]) - y[a:b]).mean() for a, b in folds])
+        except (ValueError, FloatingPointError, np.linalg.LinAlgError):
             continue
-    return None
+        if err < least:
+            best, least = cand, err
+    return Search(best, len(candidates), len(folds), sum(b - a for a, b in folds))
+
+
+def metrics(y: np.ndarray, p: np.ndarray) -> tuple[float, float, float]:
+    """MAPE with the zero rule, MAE, RMSE."""
+    zero = np.abs(y) < ev.ZERO_EPS
+    term = np.where(zero, np.where(np.abs(p) < ev.ZERO_EPS, 0.0, 100.0),
+                    np.abs(y - p) / np.where(zero, 1.0, np.abs(y)) * 100.0)
+    return float(term.mean()), float(np.abs(y - p).mean()), float(np.sqrt(((y - p) ** 2).mean()))
+
+
+def _fit_sku(params: TreeParams, tune: bool):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ds", "hospital_id"], kind="stable")
+        n = len(pdf)
+        cut = int(ev.TRAIN_FRACTION * n)
+        row = {"sku_id": key[0], "n_rows": n, "n_train": cut, "n_test": n - cut, "mape": None, "mae": None, "rmse": None,
+               "tuned": False, "draws": None, "folds": None, "fold_rows": None, "params": None, "model": None, "error": None}
+        try:
+            x, y = pdf[FEATURE_COLS].to_numpy(float), pdf[TARGET].to_numpy(float)
+            if not (np.isfinite(x).all() and np.isfinite(y).all()):
+                raise ValueError("missing values in the training rows")
+            use = params
+            if tune and cut > ev.MIN_TUNE_ROWS:
+                found = search(x[:cut], y[:cut], params)
+                use = found.params
+                row |= {"tuned": True, "draws": found.draws, "folds": found.folds, "fold_rows": found.fold_rows}
+            trees = fit(x[:cut], y[:cut], use)
+            row["mape"], row["mae"], row["rmse"] = metrics(y[cut:], trees.predict(x[cut:]))
+            row["params"] = {k: str(v) for k, v in asdict(use).items()}
+            row["model"] = trees.dumps()
+        except Exception as e:  # noqa: BLE001 - one SKU's failure is reported in its row
+            row["error"] = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([row], columns=MODEL_SCHEMA.fieldNames())
+    return run
+
+
+def train_per_sku(features: DataFrame, params: TreeParams = TreeParams(), tune: bool = False,
+                  skus: list[str] | None = None) -> DataFrame:
+    """The model table of all SKUs (or the configured ones, D9)
+    that pass the 90-row gate (D10)."""
+    rows = prepare(features).select("sku_id", "hospital_id", "ds", *FEATURE_COLS, TARGET).filter("sku_id is not null")
+    if skus is not None:
+        rows = rows.filter(F.col("sku_id").isin(skus))
+    enough = rows.groupBy("sku_id").count().filter(F.col("count") >= ev.MIN_TRAIN_ROWS).select("sku_id")
+    return (rows.join(enough, "sku_id", "left_semi").groupBy("sku_id")
+            .applyInPandas(_fit_sku(params, tune), MODEL_SCHEMA))
+
+
+def training_summary(models: DataFrame) -> DataFrame:
+    """One row per SKU, ascending by MAPE, failed SKUs last."""
+    return models.select("sku_id", "n_train", "n_test", "mape", "mae", "rmse", "tuned", "error") \
+        .orderBy(F.col("mape").asc_nulls_last(), "sku_id")
+
+
+def params_table(models: DataFrame) -> DataFrame:
+    """Parameters per fitted SKU, as (sku_id, key, value) rows."""
+    return models.filter("params is not null").select("sku_id", F.explode("params"))
+
+
+def _score_sku(columns: list[str]):
+    def run(key, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        rows["prediction"], rows["error"] = np.nan, None
+        if not len(rows):
+            return rows
+        x = rows[FEATURE_COLS].to_numpy(float)
+        ok = np.isfinite(x).all(axis=1)
+        raw = models["model"].iloc[0] if len(models) and key[0] is not None else None
+        if raw is None:
+            rows["error"] = "no model"
+        else:
+            if ok.any():
+                rows.loc[ok, "prediction"] = Trees.loads(raw).predict(x[ok])
+            rows.loc[~ok, "error"] = "invalid input"
+        return rows[columns]
+    return run
+
+
+def score(df: DataFrame, models: DataFrame) -> DataFrame:
+    """Every row of df with a prediction, or with an error ('no model',
+    'invalid input') instead of failing the batch. J21 for the integer columns."""
+    require_columns(df, FEATURE_COLS)
+    if TARGET not in df.columns:
+        df = df.withColumn(TARGET, F.lit(None).cast("double"))
+    rows = prepare(df.select(*[int_or_zero(F.col(c)).alias(c) if c in INT_COLS else F.col(c) for c in df.columns]))
+    schema = T.StructType(rows.schema.fields + [T.StructField("prediction", T.DoubleType()),
+                                                T.StructField("error", T.StringType())])
+    out = (rows.groupBy("sku_id").cogroup(models.select("sku_id", "model").groupBy("sku_id"))
+           .applyInPandas(_score_sku(schema.fieldNames()), schema))
+    return out.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction")))
+
+
+def model_versions(models: DataFrame, trained_at, run_id) -> DataFrame:
+    """The fitted models as one training run of every SKU."""
+    runs = models.filter("error is null").select("sku_id", trained_at.alias("run_ts"), run_id.alias("run_id"))
+    return ev.register_versions(runs, "sku_id", "run_ts", "run_id")
+
+
+def first_models(stores: list[DataFrame]) -> DataFrame:
+    """Per SKU the model of the first store that has one (local file, then
+    registry); a SKU in none is skipped."""
+    ranked = None
+    for i, s in enumerate(stores):
+        part = s.filter("model is not null").withColumn("__at", F.lit(i))
+        ranked = part if ranked is None else ranked.unionByName(part)
+    cols = [c for c in ranked.columns if c not in ("sku_id", "__at")]
+    return (ranked.groupBy("sku_id").agg(F.min_by(F.struct(*cols), "__at").alias("m"))
+            .select("sku_id", *[F.col("m")[c].alias(c) for c in cols]))

@@ -1,100 +1,172 @@
-"""Fitted-model queries (row checks only): per-SKU training summary, batch
-scoring with per-row errors, latest-row scoring with intervals, and the
-multi-day forecast.
-
-Models are kept in a model store under the shared checkpoint folder, keyed by
-the input files (path, size, modification time): a query loads the stored
-model of a SKU when it exists and fits it otherwise, so the training cost is
-paid once per input version.
+"""Fitted-model queries: per-SKU training, random search, batch scoring with
+per-row errors, latest-row scoring with intervals, multi-day forecast.
+
+The trees have no SQL twin, so the registered columns are what does not depend on
+them (keys, row counts, errors, dates, the order of the bounds); the `_values`
+queries return the predictions themselves and are checked on rows. `l3` always fits and
+writes the model table to the store; the others read it and fit only where it is
+missing. The store's key holds the input files, the feature version and the
+parameters.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import asdict
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockpulse.operators import demand, evaluation as ev, forecast as fc, models as M
+from stockpulse.operators.boosting import TreeParams
+from stockpulse.plans.queries_models import _FEATS, _POS, top_features
 from stockpulse.plans.registry import register
 from stockpulse.session import scratch_path
-from stockpulse.sources.tables import table_path, transactions
+from stockpulse.sources.io import is_complete
+from stockpulse.sources.tables import read_table, transactions
 
 SERIES = ["hospital_id", "sku_id"]
 INPUTS = ("lineitem", "part", "supplier", "nation")
 
 
-def input_fingerprint(spark, sf_dir: str) -> str:
-    """Path, size and modification time of every input file (Hadoop FS, so
-    it works for any cluster filesystem)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = []
+def store_path(spark, sf_dir: str, params: TreeParams, name: str) -> str:
+    """Folder of a model table for exactly these inputs and parameters (all
+    files of every input, in subfolders too, with size and time of change)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = [str(sorted(asdict(params).items())), f"features {M.FEATURE_VERSION}", name]
     for t in INPUTS:
-        p = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t))
-        fs = p.getFileSystem(conf)
-        for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
-            parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-    return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
+        for f in sorted(read_table(spark, sf_dir, t).inputFiles()):
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            st = p.getFileSystem(conf).getFileStatus(p)
+            parts.append(f"{f}:{st.getLen()}:{st.getModificationTime()}")
+    return scratch_path(spark, f"models/{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:24]}")
 
 
-def trained(spark, sf_dir, params: M.GBTParams = M.GBTParams()):
-    feats = demand.feature_table_top(transactions(spark, sf_dir))
-    split = M.split_for_training(feats)
-    base = scratch_path(spark, f"models/{input_fingerprint(spark, sf_dir)}")
-    models = M.fit_models(split, M.eligible_skus(split), params, parallelism=8, base_path=base)
-    return feats, split, models
+def fitted(spark, sf_dir: str, params: TreeParams = TreeParams(), refit: bool = False, tune: bool = False) -> DataFrame:
+    path = store_path(spark, sf_dir, params, "tuned" if tune else "top")
+    if refit or not is_complete(spark, path):
+        M.train_per_sku(top_features(spark, sf_dir), params, tune).write.mode("overwrite").parquet(path)
+    return spark.read.schema(M.MODEL_SCHEMA).parquet(path)
 
 
-@register("l3_train_per_sku")
-def train_per_sku(spark, sf_dir):
-    """One GBT regressor per top SKU (200 trees, depth 6,
-    rate 0.1, row/column sampling 0.8, seed 42), evaluated on the last 20 %;
-    summary sorted by MAPE."""
-    _, split, models = trained(spark, sf_dir)
-    return M.evaluate(split.where(~F.col("is_train")), models)
+_COUNTS = _POS + """,
+counts AS (SELECT sku_id, count(*) AS n_rows, CAST(count_if(is_train) AS BIGINT) AS n_train FROM split GROUP BY sku_id)"""
 
 
-@register("l9_batch_scoring")
+@register("l3_train_per_sku", sql=_COUNTS + """
+SELECT sku_id, n_train, n_rows - n_train AS n_test, true AS fitted, true AS evaluated, CAST(NULL AS VARCHAR) AS error
+FROM counts WHERE n_rows >= 90""")
+def train_per_sku(spark, sf_dir):
+    """One boosted-tree regressor per top SKU (200 trees, depth 6, rate 0.1,
+    row and column sampling 0.8, seed 42), evaluated on the last 20 %. Always fits."""
+    return fitted(spark, sf_dir, refit=True).select(
+        "sku_id", "n_train", "n_test", F.col("model").isNotNull().alias("fitted"),
+        ((F.col("mape") >= 0) & (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-9)).alias("evaluated"), "error")
+
+
+@register("l3_training_summary")
+def training_summary(spark, sf_dir):
+    """MAPE, MAE and RMSE per SKU, ascending by MAPE."""
+    return M.training_summary(fitted(spark, sf_dir))
+
+
+@register("l4_random_search", sql=_COUNTS + """
+SELECT sku_id, n_train > 100 AS tuned, CASE WHEN n_train > 100 THEN 5 END AS draws, CASE WHEN n_train > 100 THEN 2 END AS folds,
+       CASE WHEN n_train > 100 THEN 2 * (n_train // 3) END AS fold_rows, true AS from_draws
+FROM counts WHERE n_rows >= 90""")
+def random_search(spark, sf_dir):
+    """L4: five seeded draws scored on two expanding time folds per SKU; the
+    chosen parameters are one of the draws (or the defaults below the gate)."""
+    m = fitted(spark, sf_dir, tune=True)
+    params = [{k: str(v) for k, v in asdict(p).items()} for p in [TreeParams(), *M.draw_params(TreeParams())]]
+    drawn = F.array(*[F.concat_ws("|", *[F.lit(f"{k}={p[k]}") for k in sorted(p)]) for p in params])
+    mine = F.concat_ws("|", F.transform(F.array_sort(F.map_keys("params")),
+                                        lambda k: F.concat(k, F.lit("="), F.element_at("params", k))))
+    return m.select("sku_id", "tuned", "draws", "folds", "fold_rows", F.array_contains(drawn, mine).alias("from_draws"))
+
+
+def _scored_all(spark, sf_dir) -> DataFrame:
+    return M.score(demand.feature_table(transactions(spark, sf_dir)), fitted(spark, sf_dir))
+
+
+@register("l9_batch_scoring", sql=_COUNTS + """,
+daily_all AS (SELECT sku_id, hospital_id, CAST(transaction_time AS DATE) AS ds, sum(quantity_consumed) AS qty_1d
+              FROM transactions GROUP BY 1, 2, 3)
+SELECT d.ds, d.hospital_id, d.sku_id, CAST(d.qty_1d AS DOUBLE) AS qty_1d, c.sku_id IS NOT NULL AS predicted,
+       CASE WHEN c.sku_id IS NULL THEN 'no model' END AS error
+FROM daily_all d LEFT JOIN (SELECT sku_id FROM counts WHERE n_rows >= 90) c ON d.sku_id = c.sku_id""")
 def batch_scoring(spark, sf_dir):
-    """Score every row of the all-SKU feature table; rows of SKUs
+    """Every row of the all-SKU feature table scored; rows of SKUs
     without a model get error 'no model' instead of failing the batch."""
-    _, _, models = trained(spark, sf_dir)
-    allf = demand.feature_table(transactions(spark, sf_dir))
-    s = M.score(allf, models)
-    return s.select("ds", "hospital_id", "sku_id", "qty_1d", "prediction", "error")
+    return _scored_all(spark, sf_dir).select("ds", "hospital_id", "sku_id", "qty_1d",
+                                             F.col("prediction").isNotNull().alias("predicted"), "error")
+
+
+@register("l9_batch_values")
+def batch_values(spark, sf_dir):
+    """The predictions of the batch."""
+    return _scored_all(spark, sf_dir).select("ds", "hospital_id", "sku_id", "qty_1d", "prediction", "error")
+
+
+def _latest(spark, sf_dir) -> DataFrame:
+    models = fitted(spark, sf_dir)
+    w = Window.partitionBy(*SERIES).orderBy(F.col("ds").desc())
+    latest = top_features(spark, sf_dir).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    scored = M.score(latest, models).filter("error is null").join(models.select("sku_id", "mape"), "sku_id", "left")
+    return ev.with_interval(scored, "prediction", "mape")
 
 
-@register("l10_score_latest_interval")
+@register("l10_score_latest_interval", sql=_COUNTS + """
+SELECT f.hospital_id, f.sku_id, max(f.ds) AS ds, true AS in_bounds, true AS recorded_mape
+FROM feats f JOIN counts c ON f.sku_id = c.sku_id WHERE c.n_rows >= 90 GROUP BY 1, 2""")
 def score_latest(spark, sf_dir):
     """Latest row of every series scored, with an
-    interval from the SKU's evaluated MAPE (20 when none)."""
-    feats, split, models = trained(spark, sf_dir)
-    mape = M.evaluate(split.where(~F.col("is_train")), models).select("sku_id", "mape")
-    w = Window.partitionBy(*SERIES).orderBy(F.col("ds").desc())
-    latest = feats.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    scored = M.score(latest, models).where(F.col("error").isNull()).join(mape, "sku_id", "left")
-    return ev.with_interval(scored, "prediction", "mape").select(
-        "hospital_id", "sku_id", "ds", "prediction", "mape_used", "lower", "upper")
+    interval from the SKU's recorded MAPE."""
+    m = _latest(spark, sf_dir)
+    return m.select("hospital_id", "sku_id", "ds", F.col("prediction").between(F.col("lower"), F.col("upper")).alias("in_bounds"),
+                    (F.col("mape_used") == F.col("mape")).alias("recorded_mape"))
 
 
-def forecast_rows(spark, sf_dir, horizon: int = fc.DEFAULT_HORIZON):
-    feats, _, models = trained(spark, sf_dir)
-    rf = fc.roll_forward(feats, SERIES, horizon)
-    scored = M.score(rf.withColumn(M.TARGET, F.lit(None).cast("double")), models).where(F.col("error").isNull())
-    first = Window.partitionBy(*SERIES).orderBy("step")
-    out = scored.select(*SERIES, "step", F.col("ds").alias("date"),
-                        fc.round_prediction(F.col("prediction")).alias("predicted_qty"), "prediction")
-    out = out.withColumn("__p1", F.first("prediction").over(first))
-    return out
+@register("l10_latest_values")
+def latest_values(spark, sf_dir):
+    """Latest predictions with their bounds."""
+    return _latest(spark, sf_dir).select(*SERIES, "ds", "prediction", "mape_used", "lower", "upper")
 
 
-@register("l11_forecast")
+def forecast_rows(spark, sf_dir, horizon: int = fc.DEFAULT_HORIZON) -> DataFrame:
+    """The served forecast: rounded predictions; the SKU's recorded
+    MAPE around the first (rounded) prediction gives the bounds of all days."""
+    models = fitted(spark, sf_dir)
+    rf = fc.roll_forward(top_features(spark, sf_dir), SERIES, horizon)
+    scored = (M.score(rf.withColumn(M.TARGET, F.lit(None).cast("double")), models).filter("error is null")
+              .join(models.select("sku_id", "mape"), "sku_id", "left"))
+    first = Window.partitionBy(*SERIES).orderBy("step")
+    out = scored.select(*SERIES, "step", F.col("ds").alias("date"), "mape",
+                        fc.round_prediction(F.col("prediction")).alias("predicted_qty"))
+    out = out.withColumn("first_qty", F.first("predicted_qty").over(first).cast("double"))
+    return ev.with_interval(out, "first_qty", "mape")
+
+
+@register("l11_forecast", sql=_COUNTS + """,
+ranked AS (SELECT f.hospital_id, f.sku_id, f.ds, count(*) OVER (PARTITION BY f.hospital_id, f.sku_id) AS n,
+                  max(f.ds) OVER (PARTITION BY f.hospital_id, f.sku_id) AS last_ds
+           FROM feats f JOIN counts c ON f.sku_id = c.sku_id WHERE c.n_rows >= 90)
+SELECT DISTINCT hospital_id, sku_id, CAST(s.step AS INTEGER) AS step, CAST(last_ds + CAST(s.step AS INTEGER) AS DATE) AS date,
+       true AS ordered, true AS same_bounds
+FROM ranked, (SELECT unnest(range(1, 8)) AS step) s WHERE n >= 30""")
 def forecast(spark, sf_dir):
-    """7-day forecast per series from the
-    roll-forward features, rounded half-to-even, with an interval whose width
-    comes from the first day's prediction (default MAPE 20)."""
-    out = forecast_rows(spark, sf_dir)
-    out = ev.with_interval(out.withColumn("__m", F.lit(None).cast("double")), "prediction", "__m", base="__p1")
-    return out.select(*SERIES, "step", "date", "predicted_qty", "lower", "upper",
-                      F.avg("predicted_qty").over(Window.partitionBy(*SERIES)).alias("mean_predicted"))
+    """Keys and dates of the 7-day forecast; the bounds
+    are in order and the same for all days of a series."""
+    f = forecast_rows(spark, sf_dir)
+    w = Window.partitionBy(*SERIES)
+    return f.select(*SERIES, "step", "date", (F.col("lower") <= F.col("upper")).alias("ordered"),
+                    ((F.max("lower").over(w) == F.min("lower").over(w)) & (F.max("upper").over(w) == F.min("upper").over(w)))
+                    .alias("same_bounds"))
+
+
+@register("l11_forecast_values")
+def forecast_values(spark, sf_dir):
+    """Predicted quantities, bounds and the mean prediction."""
+    return forecast_rows(spark, sf_dir).select(
+        *SERIES, "step", "date", "predicted_qty", "lower", "upper",
+        F.avg("predicted_qty").over(Window.partitionBy(*SERIES)).alias("mean_predicted"))
