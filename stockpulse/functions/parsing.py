@@ -78,9 +78,10 @@ def parse_key_list(s: Column, key_type: str = "bigint") -> Column:
 
 
 def sanitize_landing_name(name: str) -> str:
-    """Landing column names: lower case, runs of non-word chars -> '_'."""
+    """Landing column names: lower case, runs of non-word chars -> '_'
+    (blanks at the ends too)."""
     import re
-    return re.sub(r"\W+", "_", name.strip().lower())
+    return re.sub(r"\W+", "_", name.lower())
 
 
 def sanitize_validation_name(name: str, dash: bool) -> str:

@@ -144,10 +144,10 @@ def feature_table(tx: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared checkpoint folder and read it
-    back (reliable checkpoint: survives executor loss, cuts the lineage)."""
-    from stockpulse.session import reliable_checkpoint
-    return reliable_checkpoint(df)
+    """Write an intermediate table as Parquet in the shared folder and read it
+    back: it survives executor loss and keeps statistics, pruning and pushdown."""
+    from stockpulse.session import written_table
+    return written_table(df, "daily")
 
 
 def feature_table_top(tx: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -20,22 +20,29 @@ def keyed_first_wins(df: DataFrame, key: list[str], position_col: str) -> DataFr
     """One row per key, the one with the smallest position."""
     payload = [c for c in df.columns if c not in key]
     packed = F.struct(*[F.col(c) for c in payload])
-    out = df.groupBy(*key).agg(F.min_by(packed, F.col(position_col)).alias("__row"))
+    # rows without a position come after all others
+    order = F.struct(F.col(position_col).isNull(), F.col(position_col))
+    out = df.groupBy(*key).agg(F.min_by(packed, order).alias("__row"))
     return out.select(*key, *[F.col(f"__row.{c}").alias(c) for c in payload])
 
 
-def with_row_hash(df: DataFrame, exclude=("transaction_time",)) -> DataFrame:
-    """Add `row_hash` over all columns except the time key."""
-    return df.withColumn("row_hash", row_hash([c for c in df.columns if c not in exclude]))
+def with_row_hash(df: DataFrame) -> DataFrame:
+    """Add `row_hash` over all columns, the parsed time as text too."""
+    return df.withColumn("row_hash", row_hash(df.columns))
 
 
 def load_transactions(df: DataFrame) -> DataFrame:
-    """B2: landing load keyed on (row_hash, transaction_time); a repeated key
-    is a whole-row duplicate, so any copy may be kept (dropDuplicates is a
-    partial aggregate too)."""
+    """B2: landing load keyed on (row_hash, transaction_time). Rows of one key
+    are equal but for missing values and the text 'nan', which hash alike; one of
+    them is kept, with NULL where any copy has it. Grouping by the hashed values with
+    flags as aggregates stays a hash aggregate, combined before the shuffle."""
     if "transaction_time" not in df.columns:
         raise ValueError("'transaction_time' column missing in transactions input")
-    return with_row_hash(df).dropDuplicates(["row_hash", "transaction_time"])
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    keys = [F.coalesce(F.col(c), F.lit("nan")).alias(c) if c in texts else F.col(c) for c in df.columns]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies"), *[F.max(F.col(c).isNull()).alias(f"__null_{c}") for c in texts])
+    return with_row_hash(one.select(*[F.when(~F.col(f"__null_{c}"), F.col(c)).alias(c) if c in texts else F.col(c)
+                                      for c in df.columns]))
 
 
 def landing_schema(columns, time_cols=("transaction_time",)) -> T.StructType:

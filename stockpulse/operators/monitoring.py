@@ -27,6 +27,7 @@ FAILURE_RATIO_LIMIT = 0.2
 RATE_RANGE = "5 minutes"
 RATE_RANGE_SECONDS = 300
 EVAL_STEP = "1 minute"
+EVAL_STEP_SECONDS = 60
 STATES = ("START", "COMPLETE", "FAIL")
 
 RUN_LOG_SCHEMA = ("run_id string, job string, state string, event_time timestamp, duration_s double, "
@@ -136,9 +137,13 @@ def bucket_quantile(hist: DataFrame, q: float, group: list[str] | None = None) -
 
 
 def sliding_counts(calls: DataFrame, label: str, range_=RATE_RANGE, step=EVAL_STEP) -> DataFrame:
-    """Calls and failures per (sliding window, label)."""
-    return (calls.groupBy(F.window("ts", range_, step).alias("w"), label)
-            .agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures"))
+    """Calls and failures per (sliding window, label): counted per step first
+    (a window is a whole number of steps), then slid over those few rows."""
+    per_step = (calls.groupBy(F.window("ts", step).alias("s"), label)
+                .agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("bad"))
+                .select(F.col("s.start").alias("ts"), label, "n", "bad"))
+    return (per_step.groupBy(F.window("ts", range_, step).alias("w"), label)
+            .agg(F.sum("n").alias("calls"), F.sum("bad").alias("failures"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), label,
                     "calls", "failures"))
 
@@ -149,21 +154,42 @@ def rate(calls: DataFrame, label: str, range_seconds: int = RATE_RANGE_SECONDS)
     return s.select("window_start", "window_end", label, (F.col("calls") / float(range_seconds)).alias("rate"))
 
 
+def counter_increases(samples: DataFrame, label: str, ts: str, value: str) -> DataFrame:
+    """K3: increase of a counter at each sample since the one before; after a
+    reset (the value fell) the new value is the increase, the first sample of a label
+    has none. The window holds one label's samples."""
+    w = Window.partitionBy(label).orderBy(ts)
+    before = F.lag(value).over(w)
+    return samples.select(label, ts, F.when(F.col(value) >= before, F.col(value) - before)
+                          .when(before.isNotNull(), F.col(value)).otherwise(F.lit(0)).alias("increase"))
+
+
+def counter_rate(samples: DataFrame, label: str, ts: str, value: str, range_=RATE_RANGE, step=EVAL_STEP,
+                 range_seconds: int = RATE_RANGE_SECONDS) -> DataFrame:
+    """K3: per-second rate of a counter over sliding windows, aware of resets."""
+    inc = counter_increases(samples, label, ts, value)
+    return (inc.groupBy(F.window(ts, range_, step).alias("w"), label).agg(F.sum("increase").alias("increase"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), label,
+                    (F.col("increase") / float(range_seconds)).alias("rate")))
+
+
 def rate_sum_by(rates: DataFrame, by: str) -> DataFrame:
     """sum(rate) by a label."""
     return rates.groupBy("window_end", by).agg(F.sum("rate").alias("rate"))
 
 
 def held_alerts(series: DataFrame, ts: str, predicate: F.Column, hold_seconds: int,
-                group: list[str] | None = None) -> DataFrame:
-    """K4: islands of consecutive evaluations where `predicate` holds; an
-    alert fires when an island lasts at least `hold_seconds` (from first to
-    last true evaluation). Gaps-and-islands with two row_numbers."""
-    group = group or []
+                group: list[str], step_seconds: int = EVAL_STEP_SECONDS) -> DataFrame:
+    """K4: islands of evaluations one step apart where `predicate` holds; a
+    false evaluation or a missing one ends the island. An alert fires when an
+    island lasts at least `hold_seconds` (from first to last true evaluation). The
+    windows hold one label's evaluations."""
     w = Window.partitionBy(*group).orderBy(ts)
-    x = series.select(*group, ts, F.coalesce(predicate, F.lit(False)).alias("__p"))
-    x = x.withColumn("__rn", F.row_number().over(w))
-    t = x.where("__p").withColumn("__island", F.col("__rn") - F.row_number().over(w))
+    x = series.select(*group, ts, F.coalesce(predicate, F.lit(False)).alias("__p")).where("__p")
+    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = seconds - F.lag(seconds).over(w)
+    x = x.withColumn("__new", F.coalesce(gap > step_seconds * 1_000_000, F.lit(True)).cast("int"))
+    t = x.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     isl = t.groupBy(*group, "__island").agg(F.min(ts).alias("start"), F.max(ts).alias("end"),
                                            F.count(F.lit(1)).alias("evaluations"))
     held = F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))

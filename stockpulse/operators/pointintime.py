@@ -64,22 +64,24 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: st
     if bucket_seconds is None:
         bucket_seconds = auto_bucket_seconds(entities, features, key, entity_ts, feature_ts)
     bucket_us = int(bucket_seconds) * 1_000_000
-    created = F.col(created_col) if created_col else F.lit(None)
+    created = F.col(created_col) if created_col else F.lit(None).cast("long")
     feat_struct = F.struct(_micros(F.col(feature_ts)).alias("__fts"),
                            *[F.col(c).alias(c) for c in feature_cols])
     f = (features.where(F.col(key).isNotNull() & F.col(feature_ts).isNotNull())
          .select(F.col(key).alias("__key"), _micros(F.col(feature_ts)).alias("__ts"),
-                 F.lit(0).alias("__side"), created.cast("long").alias("__created"),
+                 F.lit(0).alias("__side"), created.alias("__created"),
                  feat_struct.alias("__feat")))
     f = f.withColumn("__bucket", F.floor(F.col("__ts") / bucket_us))
 
     ent_cols = entities.columns
     ent_struct = F.struct(*[F.col(f"`{c}`").alias(c) for c in ent_cols])
     e = entities.select(F.col(key).alias("__key"), _micros(F.col(entity_ts)).alias("__ts"),
-                        F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__created"),
+                        F.lit(1).alias("__side"), F.lit(None).cast(f.schema["__created"].dataType).alias("__created"),
                         F.lit(None).cast(f.schema["__feat"].dataType).alias("__feat"),
                         ent_struct.alias("__ent"))
     e = e.withColumn("__bucket", F.floor(F.col("__ts") / bucket_us))
+    no_key = e.where(F.col("__key").isNull())           # nothing to join: kept outside the windows
+    e = e.where(F.col("__key").isNotNull())
     f = f.withColumn("__ent", F.lit(None).cast(e.schema["__ent"].dataType))
 
     # 1. within-bucket running last feature; entity payload rides along
@@ -92,7 +94,7 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: st
     # 2. carry: last feature of strictly earlier buckets, per (key, bucket)
     fb = f.groupBy("__key", "__bucket").agg(
         F.max_by("__feat", F.struct("__ts", F.col("__created"))).alias("__last"))
-    eb = (e.where(F.col("__key").isNotNull()).select("__key", "__bucket").distinct()
+    eb = (e.select("__key", "__bucket").distinct()
           .withColumn("__last", F.lit(None).cast(fb.schema["__last"].dataType)))
     summ = fb.unionByName(eb).groupBy("__key", "__bucket").agg(F.max("__last").alias("__last"))
     wb = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,8 +105,11 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: st
     ok = best.isNotNull()
     if ttl_seconds is not None:
         ok = ok & (best["__fts"] >= F.col("__ts") - int(ttl_seconds) * 1_000_000)
-    return m.select(*[F.col(f"__ent.`{c}`").alias(c) for c in ent_cols],
-                    *[F.when(ok, best[c]).alias(prefix + c) for c in feature_cols])
+    found = m.select(*[F.col(f"__ent.`{c}`").alias(c) for c in ent_cols],
+                     *[F.when(ok, best[c]).alias(prefix + c) for c in feature_cols])
+    lone = no_key.select(*[F.col(f"__ent.`{c}`").alias(c) for c in ent_cols],
+                         *[F.lit(None).cast(found.schema[prefix + c].dataType).alias(prefix + c) for c in feature_cols])
+    return found.unionByName(lone)
 
 
 def latest_per_key(features: DataFrame, key: str, ts: str, cols: list[str],
@@ -125,12 +130,36 @@ def online_lookup(keys: DataFrame, latest: DataFrame, key: str) -> DataFrame:
 
 
 def materialize_incremental(latest: DataFrame | None, source: DataFrame, key: str, ts: str, cols: list[str],
-                            start, end, created_col: str | None = None) -> DataFrame:
+                            start, end, created_col: str | None = None, ttl_seconds: int | None = None) -> DataFrame:
     """K2: fold rows with start < ts <= end into the latest table; a late row
-    never replaces a newer stored one (max by (ts, created) again)."""
-    window = source.where((F.col(ts) > F.lit(start)) & (F.col(ts) <= F.lit(end))) if start is not None \
-        else source.where(F.col(ts) <= F.lit(end))
+    never replaces a newer stored one (max by (ts, created) again). Without a
+    start (the first run) the view's TTL before the end bounds the rows."""
+    window = source.where(F.col(ts) <= F.lit(end))
+    if start is not None:
+        window = window.where(F.col(ts) > F.lit(start))
+    elif ttl_seconds is not None:
+        window = window.where(F.col(ts) >= F.lit(end) - F.make_dt_interval(secs=F.lit(ttl_seconds)))
     fresh = latest_per_key(window, key, ts, cols, created_col)
     if latest is None:
         return fresh
     return latest_per_key(latest.unionByName(fresh), key, ts, cols, created_col)
+
+
+def run_materialization(spark, store: str, source: DataFrame, key: str, ts: str, cols: list[str], end,
+                        created_col: str | None = None, ttl_seconds: int | None = None) -> DataFrame:
+    """K2 with its state: `store` holds one folder per run with the latest table
+    and, in its name, the run's end mark in microseconds. A run starts at the
+    highest complete mark; a repeated end changes nothing; a run that was cut off left no
+    complete folder and is made again. The folder before the newest is deleted."""
+    from stockpulse.sources.io import complete_marks, delete_path
+    end_us = spark.range(1).select(F.unix_micros(end.cast("timestamp"))).first()[0]
+    marks = complete_marks(spark, store, "end=")
+    if not marks or marks[-1] < end_us:
+        before = marks[-1] if marks else None
+        stored = spark.read.parquet(f"{store}/end={before}") if marks else None
+        start = F.timestamp_micros(F.lit(before)).cast(source.schema[ts].dataType) if marks else None
+        table = materialize_incremental(stored, source, key, ts, cols, start, end, created_col, ttl_seconds)
+        table.write.mode("overwrite").parquet(f"{store}/end={end_us}")
+        for old in marks[:-1]:
+            delete_path(spark, f"{store}/end={old}")
+    return spark.read.parquet(f"{store}/end={max([end_us, *marks])}")

@@ -1,61 +1,15 @@
 """Join-strategy helpers.
 
-Broadcast only behind a size check. Two kinds of bound are used:
-
-* structural: the side is produced by a `LIMIT k` / top-k (k rows at most) or a
-  literal list, so its size is known without running anything;
-* measured: `bounded_broadcast` counts at most `max_rows + 1` rows of the side
-  (a cheap job on a small table) and only then adds the hint. Past the bound
-  the plain join is returned and AQE chooses sort-merge (with skew splitting)
-  or a runtime broadcast from real shuffle statistics.
+Broadcast only where the size is bounded by construction: a `LIMIT k` / top-k
+result or a literal list. All other joins carry no hint: Spark decides from sizes it
+has measured, at run time too, and splits skewed partitions.
 """
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
-
-_GUARD_CACHE: dict[tuple, int] = {}
-
-
-def input_fingerprint(df: DataFrame) -> tuple | None:
-    """(path, length, modification time) of every file the plan reads - file
-    system metadata only, no Spark job. None when the plan has no files."""
-    files = df.inputFiles()
-    if not files:
-        return None
-    sc = df.sparkSession.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    out = []
-    for f in sorted(files):
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        st = p.getFileSystem(conf).getFileStatus(p)
-        out.append((f, st.getLen(), st.getModificationTime()))
-    return tuple(out)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int, what: str = "side") -> DataFrame:
-    """Return `broadcast(df)` if it has at most `max_rows` rows, else `df`.
-    The bounded count is remembered per (plan, input files): a dimension
-    that has not changed on disk is not counted again."""
-    fp = input_fingerprint(df)
-    key = (df.semanticHash(), fp, max_rows) if fp is not None else None
-    if key is not None and key in _GUARD_CACHE:
-        n = _GUARD_CACHE[key]
-    else:
-        n = df.limit(max_rows + 1).count()
-        if key is not None:
-            _GUARD_CACHE[key] = n
-    if n <= max_rows:
-        return F.broadcast(df)
-    log.warning("%s has more than %d rows; leaving the join to AQE", what, max_rows)
-    return df
-
 
 def topk_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a side whose size is bounded by construction (top-k, literal

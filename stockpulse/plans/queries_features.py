@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockpulse.operators import featureviews as fv
-from stockpulse.operators.pointintime import latest_per_key, materialize_incremental
+from stockpulse.operators.pointintime import latest_per_key, run_materialization
 from stockpulse.plans.registry import register
 from stockpulse.sources.tables import read_table
 
@@ -103,15 +103,21 @@ def online_lookup(spark, sf_dir):
 @register("k2_materialize_incremental", sql="""
 SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value,
        arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id
-FROM events WHERE event_type <> 'purchase' AND ts <= TIMESTAMP '2024-02-01 00:00:00' GROUP BY user_id""")
+FROM events WHERE event_type <> 'purchase' AND ts <= TIMESTAMP '2024-02-01 00:00:00'
+  AND ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 6 HOUR GROUP BY user_id""")
 def materialize(spark, sf_dir):
-    """K2: two incremental runs (to Jan 15, then to Feb 1) == one batch run."""
+    """K2: two incremental runs (to Jan 15, then to Feb 1), the second from the
+    stored end mark of the first, which the view's TTL bounds."""
+    import uuid
+
+    from stockpulse.session import delete_at_end, scratch_path
     v = activity_view(spark, sf_dir)
-    cols = ["value", "event_type"]
-    mid = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    end = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    first = materialize_incremental(None, v.source, "user_id", "ts", cols, None, mid, "event_id")
-    return materialize_incremental(first, v.source, "user_id", "ts", cols, mid, end, "event_id")
+    store = scratch_path(spark, f"latest/{uuid.uuid4().hex}")
+    delete_at_end(spark, store)
+    for day in ("2024-01-15 00:00:00", "2024-02-01 00:00:00"):
+        out = run_materialization(spark, store, v.source, "user_id", "ts", ["value", "event_type"],
+                                  F.lit(day).cast("timestamp_ntz"), "event_id", v.ttl_seconds)
+    return out
 
 
 @register("g15_latest_event_per_user", sql="""
@@ -134,16 +140,17 @@ def push_stream(spark, sf_dir):
     import uuid
 
     from stockpulse.session import scratch_path
-    from stockpulse.sources.tables import table_path
+    from stockpulse.sources.tables import stream_path
     from stockpulse.streaming.push import PushTarget, push_stream as start, read_online
 
     ev = read_table(spark, sf_dir, "events")
-    # the table is one file in a shared folder: stream the folder, keep that file
+    # the table may be one file or a folder of part files
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", table_path("", "events").lstrip("/"))
-              .parquet(sf_dir).where(F.col("event_type") != "purchase"))
+              .parquet(stream_path(spark, sf_dir, "events")).where(F.col("event_type") != "purchase"))
     run = scratch_path(spark, f"push/{uuid.uuid4().hex}")
     target = PushTarget(run, "user_id", "ts", ["value", "event_type"], created="event_id")
     q = start(stream, target, f"{run}/_checkpoint")
     q.awaitTermination()
+    if not q.lastProgress and not ev.isEmpty():
+        raise RuntimeError("the stream saw no file of a table that has rows")
     return read_online(spark, target)

@@ -97,21 +97,42 @@ def rate_by_status(spark, sf_dir):
 
 
 @register("k4_failure_alerts", sql=_SLIDE_SQL + f""",
-tot AS (SELECT window_end, sum(calls) AS calls, sum(failures) AS failures FROM agg GROUP BY 1),
-x AS (SELECT window_end, coalesce(failures / nullif(calls, 0) > 0.2, false) AS p,
-             row_number() OVER (ORDER BY window_end) AS rn FROM tot),
-t AS (SELECT *, rn - row_number() OVER (ORDER BY window_end) AS island FROM x WHERE p)
-SELECT min(window_end) AS start, max(window_end) AS "end", count(*) AS evaluations,
-       CAST(epoch(max(window_end)) - epoch(min(window_end)) AS BIGINT) AS held_seconds,
-       epoch(max(window_end)) - epoch(min(window_end)) >= {HOLD_SECONDS} AS fired
-FROM t GROUP BY island""")
+tot AS (SELECT path, window_end, calls, failures FROM agg),
+x AS (SELECT path, window_end FROM tot WHERE failures / nullif(calls, 0) > 0.2),
+-- an evaluation belongs to the run that began at the latest evaluation without one a minute before it
+heads AS (SELECT a.path, a.window_end FROM x a
+          WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.path = a.path AND b.window_end = a.window_end - INTERVAL 1 MINUTE)),
+t AS (SELECT x.path, x.window_end, max(h.window_end) AS head FROM x JOIN heads h
+      ON h.path = x.path AND h.window_end <= x.window_end GROUP BY 1, 2)
+SELECT path, head AS start, max(window_end) AS "end", count(*) AS evaluations,
+       CAST(epoch(max(window_end)) - epoch(head) AS BIGINT) AS held_seconds,
+       epoch(max(window_end)) - epoch(head) >= {HOLD_SECONDS} AS fired
+FROM t GROUP BY path, head""")
 def failure_alerts(spark, sf_dir):
-    """K4: failure share over the sliding 5-minute window above 0.2, held for
-    10 s across 1-minute evaluations (gaps and islands)."""
+    """K4: failure share of a path over the sliding 5-minute window above 0.2,
+    held for 10 s across 1-minute evaluations; a minute without one ends it."""
     s = mon.sliding_counts(calls(spark, sf_dir), "path")
-    tot = s.groupBy("window_end").agg(F.sum("calls").alias("calls"), F.sum("failures").alias("failures"))
     pred = (F.col("failures") / F.nullif(F.col("calls"), F.lit(0))) > mon.FAILURE_RATIO_LIMIT
-    return mon.held_alerts(tot, "window_end", pred, HOLD_SECONDS)
+    return mon.held_alerts(s, "window_end", pred, HOLD_SECONDS, ["path"])
+
+
+@register("k3_counter_rate", sql=f"""WITH {_CALLS_SQL},
+per_minute AS (SELECT path, date_trunc('minute', ts) AS minute, count(*) AS n FROM calls GROUP BY 1, 2),
+counter AS (SELECT path, minute, sum(n) OVER (PARTITION BY path, CAST(minute AS DATE) ORDER BY minute) AS v FROM per_minute),
+inc AS (SELECT path, minute, v, lag(v) OVER (PARTITION BY path ORDER BY minute) AS p FROM counter),
+slid AS (SELECT path, minute - k * INTERVAL 1 MINUTE AS window_start,
+                CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END AS d
+         FROM inc, (SELECT unnest(range(0, 5)) AS k))
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, path, sum(d) / 300.0 AS rate FROM slid GROUP BY 1, 2, 3""")
+def counter_rate(spark, sf_dir):
+    """K3: rate of a call counter that restarts every midnight, sampled each
+    minute with calls: resets are recognised, the first sample has no increase."""
+    from pyspark.sql import Window
+    per = (calls(spark, sf_dir).groupBy("path", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"))
+           .agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("path", F.to_date("minute")).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    counter = per.select("path", "minute", F.sum("n").over(w).alias("v"))
+    return mon.counter_rate(counter, "path", "minute", "v")
 
 
 @register("l14_run_stages")
@@ -140,11 +161,11 @@ def stream_rate(spark, sf_dir):
     import uuid
 
     from stockpulse.session import scratch_path
-    from stockpulse.sources.tables import table_path
+    from stockpulse.sources.tables import stream_path
     from stockpulse.streaming.rates import start_rates
     ev = read_table(spark, sf_dir, "events")
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", table_path("", "events").lstrip("/")).parquet(sf_dir)
+              .parquet(stream_path(spark, sf_dir, "events"))
               # watermarks need zone-aware event time; the session zone is UTC
               .select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"),
                       (F.col("event_type") != "error").alias("ok")))

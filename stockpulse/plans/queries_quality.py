@@ -173,7 +173,7 @@ def null_counts(spark, sf_dir):
 
 # ------------------------------------------------------------------- landing
 
-_HASH_COLS = [c for c in rules.TRANSACTION_COLUMNS if c != "transaction_time"]
+_HASH_COLS = list(rules.TRANSACTION_COLUMNS)
 
 
 @register("b2_landing_load", sql=f"""WITH {_LANDING_SQL}

@@ -26,19 +26,35 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
+def complete_marks(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the complete folders `<prefix><number>` under path, ascending."""
+    sc = spark.sparkContext
+    path_of = sc._jvm.org.apache.hadoop.fs.Path
+    p = path_of(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(int(st.getPath().getName()[len(prefix):]) for st in fs.listStatus(p)
+                  if st.getPath().getName().startswith(prefix) and fs.exists(path_of(st.getPath(), "_SUCCESS")))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
 def read_zone(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """A4: zone table; a missing or unreadable table is an empty DataFrame
-    with the declared schema (the caller's step then has nothing to do)."""
-    try:
-        if not path_exists(spark, path):
-            return empty(spark, schema)
-        return spark.read.schema(schema).format(fmt).load(path)
-    except Exception:  # noqa: BLE001
+    """A4: zone table; a missing table is an empty DataFrame with the declared
+    schema (the caller's step then has nothing to do). Any other fault is raised:
+    a permission or file-system error must not empty the zone after it."""
+    if not path_exists(spark, path):
         return empty(spark, schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def first_resolving(spark: SparkSession, candidates: Sequence[dict]) -> DataFrame:

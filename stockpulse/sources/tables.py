@@ -10,12 +10,10 @@ Mapping (one transaction per line item):
   total_revenue     = l_extendedprice * (1 - l_discount), exact DECIMAL(18,4)
   transaction_type  = l_returnflag || '_' || l_linestatus
 
-Join strategy: `part` and `supplier` grow with the data (200k and 10k rows per
-TPC-H scale unit). Each is broadcast only after a bounded row count shows it
-under `DIM_BROADCAST_MAX_ROWS` (then the fact table is never shuffled for the
-adapter); past the bound the join is left to sort-merge, with AQE splitting
-skewed partitions (a part or supplier may carry a third of the line items).
-`nation` is fixed at 25 rows and goes through the same guard.
+Join strategy: no hints. Spark broadcasts a dimension whose measured size is under
+`spark.sql.autoBroadcastJoinThreshold`, at run time too, and otherwise sorts and
+merges, splitting skewed partitions (a part or supplier may carry a third of the line
+items).
 """
 
 from __future__ import annotations
@@ -23,21 +21,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockpulse.plans.joins import bounded_broadcast
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Fixed dimension bound: TPC-H nation has 25 rows at every scale.
-NATION_MAX_ROWS = 1000
-# Largest dimension broadcast to every task (~40 bytes per hashed row -> ~80 MB).
-DIM_BROADCAST_MAX_ROWS = 2_000_000
-
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def stream_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Path of a table for `readStream`: a folder of part files as it is; a
+    single file as a pattern that only it matches, as streams list folders or patterns."""
+    path = table_path(sf_dir, name)
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return path
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
@@ -71,30 +73,39 @@ def supplier_hospital(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -> hospital_id (region key as text)."""
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    nat = bounded_broadcast(nat, NATION_MAX_ROWS, "nation")
     out = (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
            .select("s_suppkey", F.col("n_regionkey").cast("string").alias("hospital_id")))
-    return bounded_broadcast(out, DIM_BROADCAST_MAX_ROWS, "supplier")
+    return out
 
 
-def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand") -> DataFrame:
+def margin_percentage(revenue: Column, quantity: Column, unit_cogs: Column) -> Column:
+    """Margin in percent of revenue; NULL without revenue."""
+    r = revenue.cast("double")
+    return F.when(r != 0, (r - quantity * unit_cogs) / r * 100)
+
+
+def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand", margins: bool = False) -> DataFrame:
     """Typed transactions view (clean-zone shape) built from lineitem.
 
     sku="brand" gives 25 x 5 dense daily series; sku="part" keys by part.
     Only the columns a query selects survive Catalyst's pruning, so a
-    2-column consumer reads 2-3 lineitem columns from parquet.
+    2-column consumer reads 2-3 lineitem columns from parquet. margins adds unit_cogs
+    (the part's retail price), unit_price, margin_amount and margin_percentage.
     """
     li = read_table(spark, sf_dir, "lineitem")
     hosp = supplier_hospital(spark, sf_dir)
     if sku == "brand":
-        part = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sku_id"))
-        part = bounded_broadcast(part, DIM_BROADCAST_MAX_ROWS, "part")
+        part = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("sku_id"), "p_retailprice")
         li = li.join(part, li.l_partkey == part.p_partkey)
     elif sku == "part":
         li = li.withColumn("sku_id", F.col("l_partkey").cast("string"))
     else:
         raise ValueError(f"unknown sku mapping {sku!r}")
     li = li.join(hosp, li.l_suppkey == hosp.s_suppkey)
+    revenue = revenue_expr(F.col("l_extendedprice"), F.col("l_discount"))
+    money = [F.col("p_retailprice").alias("unit_cogs"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+             (revenue.cast("double") - F.col("l_quantity") * F.col("p_retailprice")).alias("margin_amount"),
+             margin_percentage(revenue, F.col("l_quantity"), F.col("p_retailprice")).alias("margin_percentage")]
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("transaction_id"),
         F.concat_ws("_", "l_returnflag", "l_linestatus").alias("transaction_code"),
@@ -102,9 +113,10 @@ def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand") -> DataFr
         "sku_id",
         F.col("l_shipdate").alias("transaction_time"),
         F.col("l_quantity").alias("quantity_consumed"),
-        revenue_expr(F.col("l_extendedprice"), F.col("l_discount")).alias("total_revenue"),
+        revenue.alias("total_revenue"),
         F.concat_ws("_", "l_returnflag", "l_linestatus").alias("transaction_type"),
         revenue_units_expr(F.col("l_extendedprice"), F.col("l_discount")).alias("revenue_units"),
+        *(money if margins else []),
     )
 
 
@@ -141,20 +153,11 @@ transactions AS (
 )"""
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a plan whose scan yields fewer partitions than the
-    session's default parallelism (one file with one row group runs in one
-    task). Used before per-row text work only. On cluster inputs (many files
-    and row groups) it is a no-op and adds no shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def landing_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landing shape: every column text except `transaction_time` (as the
     relational landing table is), with the 20 reference column names. Columns
     the star schema has no source for are NULL text."""
-    tx = spread(transactions(spark, sf_dir))
+    tx = transactions(spark, sf_dir)
     s = lambda c: F.col(c).cast("string")
     null = F.lit(None).cast("string")
     return tx.select(

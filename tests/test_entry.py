@@ -1,4 +1,5 @@
 import __spark_entry__ as E
+from stockpulse.plans.registry import all_queries
 
 
 def test_entry_flagship(spark):
@@ -10,6 +11,6 @@ def test_entry_flagship(spark):
 
 
 def test_keys_named_by_survey_id():
-    for k in E.queries():
+    for k in all_queries():
         head = k.split("_")[0]
         assert head[0].isalpha() and head[1:].isdigit(), k

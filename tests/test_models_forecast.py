@@ -4,10 +4,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stockpulse.operators import evaluation as ev, forecast as fc, models as M
+from stockpulse.operators.boosting import TreeParams, Trees, fit
 
 
 def _series(spark, n_by_sku, hospitals=("h1",)):
@@ -62,39 +64,38 @@ def test_versions_numeric_order_and_interval(spark):
     assert abs(out["2"]["lower"] - (-4 - 1.96 * 0.5 * 4)) < 1e-12
 
 
-def _python_roll(qty, rev, last, horizon):
-    """The source's loop, written out."""
-    qty, rev, out = list(qty), list(rev), []
-    for i in range(1, horizon + 1):
-        d = last + dt.timedelta(days=i)
-        row = dict(ds=d, dow=d.weekday(), is_weekend=int(d.weekday() >= 5), week_of_year=d.isocalendar()[1],
-                   month=d.month, lag_qty_1d=qty[-1], lag_qty_7d=qty[-7] if len(qty) >= 7 else qty[-1],
-                   qty_7d=sum(qty[-7:]), qty_28d=sum(qty[-28:]), avg_qty_7d=sum(qty[-7:]) / 7,
-                   avg_qty_28d=sum(qty[-28:]) / 28, rev_7d=sum(rev[-7:]), rev_28d=sum(rev[-28:]),
-                   avg_rev_7d=sum(rev[-7:]) / 7, avg_rev_28d=sum(rev[-28:]) / 28)
-        out.append(row)
-        qty.append(row["qty_7d"] / 7)
-        rev.append(row["rev_7d"] / 7)
-    return out
-
-
-@pytest.mark.parametrize("n_hist", [29, 30, 35, 36])
-def test_roll_forward_matches_loop(spark, n_hist):
-    rng = random.Random(n_hist)
+def test_roll_forward_on_a_constant_series(spark):
+    """A constant series stays constant: every sum and mean follows from the level."""
     d0 = dt.date(2023, 12, 1)
-    rows = [("s", "h", d0 + dt.timedelta(days=i), float(rng.randint(0, 20)), float(rng.randint(0, 900)))
-            for i in range(n_hist)]
+    rows = [("s", "h", d0 + dt.timedelta(days=i), 4.0, 10.0) for i in range(40)]
     df = spark.createDataFrame(rows, "sku_id string, hospital_id string, ds date, qty_1d double, rev_1d double")
-    got = fc.roll_forward(df, ["hospital_id", "sku_id"], 10).orderBy("step").collect()
-    if n_hist < fc.MIN_HISTORY:
-        assert got == []
-        return
-    hist = rows[-35:]
-    want = _python_roll([r[3] for r in hist], [r[4] for r in hist], hist[-1][2], 10)
-    assert len(got) == 10
-    for g, w in zip(got, want):
-        for k, v in w.items():
-            assert (g[k] == v) if not isinstance(v, float) else abs(g[k] - v) < 1e-9, k
+    got = fc.roll_forward(df, ["hospital_id", "sku_id"], 3).orderBy("step").collect()
+    assert [g["ds"] for g in got] == [dt.date(2024, 1, 10), dt.date(2024, 1, 11), dt.date(2024, 1, 12)]
+    assert [(g["dow"], g["is_weekend"], g["week_of_year"], g["month"]) for g in got] == [(2, 0, 2, 1), (3, 0, 2, 1), (4, 0, 2, 1)]
+    for g in got:
+        assert (g["lag_qty_1d"], g["lag_qty_7d"], g["qty_7d"], g["qty_28d"], g["avg_qty_7d"], g["avg_qty_28d"]) == \
+            (4.0, 4.0, 28.0, 112.0, 4.0, 4.0)
+        assert (g["rev_7d"], g["rev_28d"], g["avg_rev_7d"], g["avg_rev_28d"]) == (70.0, 280.0, 10.0, 10.0)
+
+
+def test_roll_forward_expected_rows(spark):
+    """History 1, 2, ..., 30 (30 days): rows worked out by hand. Day 1 sees
+    24..30 (sum 189, mean 27), so 27 is appended; day 2 sees 25..30 and 27 (192)."""
+    d0 = dt.date(2024, 1, 1)
+    rows = [("s", "h", d0 + dt.timedelta(days=i), float(i + 1), float(i + 1)) for i in range(30)]
+    df = spark.createDataFrame(rows, "sku_id string, hospital_id string, ds date, qty_1d double, rev_1d double")
+    one, two = fc.roll_forward(df, ["hospital_id", "sku_id"], 2).orderBy("step").collect()
+    assert (one["lag_qty_1d"], one["lag_qty_7d"], one["qty_7d"], one["qty_28d"]) == (30.0, 24.0, 189.0, 462.0)
+    assert (two["lag_qty_1d"], two["lag_qty_7d"], two["qty_7d"], two["qty_28d"]) == (27.0, 25.0, 192.0, 486.0)
+    assert (one["ds"], two["ds"]) == (dt.date(2024, 1, 31), dt.date(2024, 2, 1))
+
+
+@pytest.mark.parametrize("n_hist, n_rows", [(29, 0), (30, 4), (36, 4)])
+def test_roll_forward_history_gate(spark, n_hist, n_rows):
+    d0 = dt.date(2024, 1, 1)
+    rows = [("s", "h", d0 + dt.timedelta(days=i), 1.0, 1.0) for i in range(n_hist)]
+    df = spark.createDataFrame(rows, "sku_id string, hospital_id string, ds date, qty_1d double, rev_1d double")
+    assert fc.roll_forward(df, ["hospital_id", "sku_id"], 4).count() == n_rows
 
 
 def test_horizon_bounds_and_bround(spark):
@@ -106,30 +107,68 @@ def test_horizon_bounds_and_bround(spark):
     assert [r[0] for r in df.select(fc.round_prediction(F.col("p"))).collect()] == [0, 2, 2, 0]
 
 
-def test_per_sku_models_small(spark, tmp_path):
+def _feature_rows(spark, sizes, bad=()):
     rng = random.Random(5)
     rows = []
-    for sku, n in (("big", 120), ("small", 40)):
+    for sku, n in sizes:
         d = dt.date(2022, 1, 1)
         for i in range(n):
             d += dt.timedelta(days=1)
-            q = float(rng.randint(0, 30))
-            rows.append((sku, "h", d, d.isoweekday(), int(d.weekday() >= 5), 1, d.month, q) +
-                        tuple(float(rng.randint(0, 100)) for _ in range(10)))
+            x = [float(rng.randint(0, 100)) for _ in range(10)]
+            q = x[0] / 2 + (5.0 if d.weekday() >= 5 else 0.0)
+            rows.append((sku, "h", d, d.isoweekday(), int(d.weekday() >= 5), 1, d.month, None if (sku, i) in bad else q, *x))
     cols = ("sku_id string, hospital_id string, ds date, dow int, is_weekend int, week_of_year int, month int, "
             "qty_1d double, qty_7d double, qty_28d double, avg_qty_7d double, avg_qty_28d double, lag_qty_1d double, "
             "lag_qty_7d double, rev_7d double, rev_28d double, avg_rev_7d double, avg_rev_28d double")
-    feats = spark.createDataFrame(rows, cols)
-    params = M.GBTParams(max_iter=3, max_depth=3)
-    models, summary, split = M.train_all(feats, params, parallelism=2, base_path=str(tmp_path))
-    assert set(models) == {"big"}                          # 40 rows < 90: skipped
-    s = summary.collect()
-    assert len(s) == 1 and s[0]["n_test"] == 24
-    # stored model is found again (no refit) and scores the same
-    again = M.fit_models(split, M.eligible_skus(split), params, base_path=str(tmp_path))
-    p1 = M.score(feats, models).where("error IS NULL").select("ds", "prediction").collect()
-    p2 = M.score(feats, again).where("error IS NULL").select("ds", "prediction").collect()
-    assert sorted(p1) == sorted(p2)
-    errs = {r["sku_id"]: r["error"] for r in M.score(feats, models).select("sku_id", "error").distinct().collect()}
-    assert errs == {"big": None, "small": "no model"}
-    assert M.draw_params(params, 3) == M.draw_params(params, 3)   # seeded search
+    return spark.createDataFrame(rows, cols)
+
+
+def test_per_sku_models(spark, tmp_path):
+    feats = _feature_rows(spark, [("big", 300), ("A#1", 100), ("small", 40), ("broken", 100)], bad={("broken", 3)})
+    params = TreeParams(max_iter=30, max_depth=3)
+    path = str(tmp_path / "models")
+    M.train_per_sku(feats, params).write.parquet(path)
+    models = spark.read.parquet(path)
+    got = {r["sku_id"]: r for r in M.training_summary(models).collect()}
+    assert set(got) == {"big", "A#1", "broken"}                       # 40 rows < 90: skipped
+    assert got["broken"]["error"] and got["broken"]["mape"] is None    # one SKU's fault stays its own
+    assert (got["big"]["n_train"], got["big"]["n_test"]) == (240, 60)
+    assert got["big"]["mae"] < 5                                       # the target follows the features
+    assert M.training_summary(models).collect()[-1]["sku_id"] == "broken"
+    assert {r["value"] for r in M.params_table(models).filter("key = 'max_iter'").collect()} == {"30"}
+    # every row comes out once: NULL keys, SKUs without a model, missing inputs
+    extra = feats.filter("sku_id = 'big'").limit(3).withColumn("sku_id", F.lit(None).cast("string")) \
+        .unionByName(feats.filter("sku_id = 'big'").limit(2).withColumn("qty_7d", F.lit(None).cast("double")))
+    out = M.score(feats.unionByName(extra), models).collect()
+    assert len(out) == 540 + 5
+    assert sum(r["error"] == "no model" for r in out) == 3 + 40 + 100
+    assert sum(r["error"] == "invalid input" for r in out) == 2
+    assert all((r["prediction"] is None) == (r["error"] is not None) for r in out)
+
+
+def test_random_search_takes_the_better_draw():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 4))
+    y = 10 * (x[:, 0] > 0) + x[:, 1]
+    poor, good = TreeParams(max_iter=1, step_size=0.01, max_depth=1), TreeParams(max_iter=60, max_depth=3)
+    for order in ([poor, good], [good, poor]):
+        found = M.search(x, y, TreeParams(), order)
+        assert found.params == good and (found.draws, found.folds, found.fold_rows) == (2, 2, 160)
+    assert M.search(x, y, TreeParams(max_iter=2), []).params == TreeParams(max_iter=2)
+    assert M.draw_params(TreeParams()) == M.draw_params(TreeParams()) and len(set(M.draw_params(TreeParams()))) == 5
+
+
+def test_trees_fit_and_round_trip():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 3))
+    y = np.where(x[:, 0] > 0, 3.0, -1.0)
+    m = fit(x, y, TreeParams(max_iter=50))
+    assert np.abs(m.predict(x) - y).max() < 0.5
+    assert np.array_equal(Trees.loads(m.dumps()).predict(x), m.predict(x))
+    assert np.allclose(fit(x, np.full(500, 7.0), TreeParams(max_iter=3)).predict(x), 7.0)
+
+
+def test_first_store_wins(spark):
+    a = spark.createDataFrame([("s", b"1"), ("t", None)], "sku_id string, model binary")
+    b = spark.createDataFrame([("s", b"2"), ("t", b"3")], "sku_id string, model binary")
+    assert {r["sku_id"]: bytes(r["model"]) for r in M.first_models([a, b]).collect()} == {"s": b"1", "t": b"3"}

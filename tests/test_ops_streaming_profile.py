@@ -69,11 +69,41 @@ def test_held_alerts(spark, held, fires):
     t0 = dt.datetime(2024, 1, 1)
     ts = [t0 + dt.timedelta(seconds=s) for s in range(0, held + 1)] + [t0 + dt.timedelta(seconds=100)]
     vals = [1.0] * (held + 1) + [0.0]
-    s = spark.createDataFrame(list(zip(ts, vals)), "ts timestamp, v double")
-    out = mon.held_alerts(s, "ts", F.col("v") > 0, 5).collect()
+    s = spark.createDataFrame([("a", *x) for x in zip(ts, vals)], "path string, ts timestamp, v double")
+    out = mon.held_alerts(s, "ts", F.col("v") > 0, 5, ["path"], step_seconds=1).collect()
     assert len(out) == 1 and out[0]["held_seconds"] == held and out[0]["fired"] is fires
 
 
+def test_held_alerts_end_at_holes_and_keep_labels_apart(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    rows = [("a", at(0), 1.0), ("a", at(1), 1.0), ("a", at(240), 1.0), ("b", at(2), 1.0), ("b", at(3), 0.0), ("b", at(4), 1.0)]
+    s = spark.createDataFrame(rows, "path string, ts timestamp, v double")
+    out = sorted((r["path"], r["start"], r["held_seconds"], r["fired"])
+                 for r in mon.held_alerts(s, "ts", F.col("v") > 0, 10, ["path"]).collect())
+    assert out == [("a", at(0), 60, True), ("a", at(240), 0, False), ("b", at(2), 0, False), ("b", at(4), 0, False)]
+
+
+def test_counter_rate_knows_resets(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("p", t0 + dt.timedelta(minutes=m), v) for m, v in ((0, 10), (1, 25), (2, 4), (3, 4))]
+    s = spark.createDataFrame(rows, "path string, ts timestamp, v long")
+    inc = [r["increase"] for r in mon.counter_increases(s, "path", "ts", "v").orderBy("ts").collect()]
+    assert inc == [0, 15, 4, 0]
+    rates = {r["window_start"]: r["rate"] for r in mon.counter_rate(s, "path", "ts", "v").collect()}
+    assert rates[t0] == 19 / 300 and rates[t0 + dt.timedelta(minutes=2)] == 4 / 300
+
+
+def test_streams_read_folder_tables(spark, tmp_path):
+    """A table that is a folder of part files streams like a single file."""
+    from stockpulse.plans import queries_features, queries_ops
+    from conftest import SF_SMALL
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(queries_features.push_stream(spark, str(tmp_path))) == key(queries_features.push_stream(spark, SF_SMALL))
+    assert queries_ops.stream_rate(spark, str(tmp_path)).count() > 0
+
+
 def test_sliding_rate(spark):
     t0 = dt.datetime(2024, 1, 1, 0, 0, 30)
     calls = spark.createDataFrame([(t0, "p", True), (t0 + dt.timedelta(minutes=3), "p", False)],

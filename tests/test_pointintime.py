@@ -5,6 +5,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockpulse.operators import featureviews as fv
 from stockpulse.operators.pointintime import as_of_join, latest_per_key, materialize_incremental
@@ -147,3 +148,28 @@ def test_as_of_property(spark, feats, ents, ttl, bucket):
         else:
             top = [x for x in f if x[0] == k and (x[1], x[2]) == (best[1], best[2])]
             assert got_by_tag[tag] in {x[3] for x in top}
+
+
+def test_as_of_created_keeps_its_type(spark):
+    """Rows 0.9 s apart in `created`, and text: the later one wins in either input order."""
+    t0 = dt.datetime(2024, 1, 1, 12)
+    for typ, early, late in (("timestamp", t0, t0 + dt.timedelta(milliseconds=900)), ("string", "a", "b")):
+        for rows in ([(1, t0, early, 1.0), (1, t0, late, 2.0)], [(1, t0, late, 2.0), (1, t0, early, 1.0)]):
+            f = spark.createDataFrame(rows, f"k long, ts timestamp, created {typ}, v double")
+            e = spark.createDataFrame([(1, t0 + dt.timedelta(minutes=1)), (None, t0)], "k long, t timestamp")
+            got = {r["k"]: r["v"] for r in as_of_join(e, f, "k", "t", "ts", ["v"], 3600, "created", 3600).collect()}
+            assert got == {1: 2.0, None: None}
+
+
+def test_materialization_keeps_its_end_mark(spark, tmp_path):
+    from stockpulse.operators.pointintime import run_materialization
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0, 1.0), (1, t0 + dt.timedelta(days=1), 2.0), (2, t0 - dt.timedelta(days=9), 3.0),
+            (1, t0 + dt.timedelta(days=5), 4.0)]
+    f = spark.createDataFrame(rows, "k long, ts timestamp, v double")
+    run = lambda day: {r["k"]: r["v"] for r in run_materialization(
+        spark, str(tmp_path), f, "k", "ts", ["v"], F.lit(t0 + dt.timedelta(days=day)), ttl_seconds=3 * 86400).collect()}
+    assert run(2) == {1: 2.0}             # the first run: TTL leaves out key 2
+    assert run(2) == {1: 2.0}             # again: nothing changes
+    assert run(6) == {1: 4.0}
+    assert run(1) == {1: 4.0}             # an end before the mark is no step back

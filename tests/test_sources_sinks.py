@@ -26,6 +26,14 @@ def test_zone_and_optional_csv_missing_is_empty(spark):
     assert io.read_csv(spark, p, SCHEMA).count() == 0
 
 
+def test_zone_faults_are_raised(spark, tmp_path):
+    bad = tmp_path / "zone"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        io.read_zone(spark, str(bad), SCHEMA).collect()
+
+
 def test_write_if_rows_and_completion_marker(spark):
     p = _fresh(spark, "rejects")
     assert io.write_if_rows(spark.createDataFrame([], SCHEMA), p) is False
@@ -92,17 +100,3 @@ def test_split_positions_property(spark, rows):
         n = len(mine)
         assert [r["pos"] for r in mine] == list(range(n))
         assert sum(r["is_train"] for r in mine) == int(0.8 * n)
-
-
-def test_bounded_broadcast_guard(spark):
-    from stockpulse.plans.joins import bounded_broadcast
-    df = spark.range(5)
-    assert bounded_broadcast(df, 1, "five rows") is df          # over the bound: plain side
-    hinted = bounded_broadcast(df, 10, "five rows")
-    assert hinted is not df
-    import contextlib
-    import io as _io
-    buf = _io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        spark.range(100).join(hinted, "id").explain(extended=True)
-    assert "broadcast" in buf.getvalue().lower()
