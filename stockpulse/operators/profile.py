@@ -2,10 +2,8 @@
 
 All statistics are distributed aggregates. Per-value counts for every column
 come from one unpivot + `groupBy(column, value)` (partial aggregation absorbs a
-hot value). Quartiles use `percentile_approx` (bounded sketch); an exact
-percentile would hold a whole column in one aggregation buffer.
-Drift needs cumulative distributions; they come from `running_sums`, which
-never puts a whole column in one task.
+hot value). Exact quartiles and drift need cumulative distributions; they come
+from `running_sums`, which never puts a whole column in one task.
 """
 
 from __future__ import annotations
@@ -29,106 +27,117 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
 
-def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Unpivot to (column_name, value as text), non-null values only."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-                      for c in cols])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-
-
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column_name, value, cnt) for every column."""
     cols = cols or df.columns
-    return _long_values(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
+                      for c in cols])
+    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def describe(df: DataFrame, quartiles: bool = False, accuracy: int = 10000) -> DataFrame:
+def describe(df: DataFrame, quartiles: bool = False) -> DataFrame:
     """one row per column: count for all; unique, top, freq for
     non-numeric columns (NULL for numeric ones, as a mixed-type describe
-    reports them); mean, std (sample), min, max and optionally approximate
+    reports them); mean, std (sample), min, max and optionally the exact
     quartiles for numeric columns. `top` is the most frequent value; ties go
-    to the smallest value."""
-    cols = df.columns
-    vc = value_counts(df, cols)
-    cat = vc.groupBy("column_name").agg(
-        F.sum("cnt").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct((-F.col("cnt")).alias("n"), F.col("value").alias("v"))).alias("top"),
-        F.max("cnt").alias("freq"))
+    to the smallest value. Values are counted for non-numeric columns only."""
     nums = numeric_columns(df)
-    if not nums:
-        return cat
-    is_num = F.col("column_name").isin(*nums)
-    cat = cat.select("column_name", "count",
-                     *[F.when(~is_num, F.col(c)).alias(c) for c in ("unique", "top", "freq")])
-    aggs = []
-    for i, c in enumerate(nums):
-        x = F.col(f"`{c}`").cast("double")
-        aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+    cats = [c for c in df.columns if c not in nums]
+    numeric = ["mean", "std", "min", *(["q25", "q50", "q75"] if quartiles else []), "max"]
+    parts = []
+    if cats:
+        parts.append(value_counts(df, cats).groupBy("column_name").agg(
+            F.sum("cnt").alias("count"), F.count(F.lit(1)).alias("unique"),
+            F.min_by("value", F.struct((-F.col("cnt")).alias("n"), F.col("value").alias("v"))).alias("top"),
+            F.max("cnt").alias("freq")).select("*", *[F.lit(None).cast("double").alias(c) for c in numeric]))
+    if nums:
+        aggs = []
+        for i, c in enumerate(nums):
+            x = F.col(f"`{c}`").cast("double")
+            aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
+                     F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        stack = ", ".join(f"'{c}', n{i}, mean{i}, std{i}, min{i}, max{i}" for i, c in enumerate(nums))
+        num = df.agg(*aggs).selectExpr(f"stack({len(nums)}, {stack}) AS (column_name, count, mean, std, min, max)")
         if quartiles:
-            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"q{i}"))
-    wide = df.agg(*aggs)
-    fields = "mean, std, min, max" + (", q" if quartiles else "")
-    stack = ", ".join(f"'{c}', mean{i}, std{i}, min{i}, max{i}" + (f", q{i}" if quartiles else "")
-                      for i, c in enumerate(nums))
-    num = wide.selectExpr(f"stack({len(nums)}, {stack}) AS (column_name, {fields})")
-    if quartiles:
-        num = num.select("column_name", "mean", "std", "min", F.col("q")[0].alias("q25"),
-                         F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
-    return cat.join(num, "column_name", "left")
+            num = num.join(exact_quantiles(df, nums), "column_name", "left")
+        parts.append(num.select("column_name", "count", F.lit(None).cast("long").alias("unique"),
+                                F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"), *numeric))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def exact_quantiles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, q25, q50, q75), exact, interpolated between neighbours:
+    from the running counts of distinct values, so no column is in one task."""
+    counts = _doubles(df, cols).groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("cnt"))
+    cum = running_sums(counts, "column_name", "x", ["cnt"])
+    aggs = []
+    for name, q in QUARTILES.items():
+        at = F.lit(q) * (F.col("total_cnt") - 1)
+        holds = lambda i: (F.col("cum_cnt") > i) & (F.col("cum_cnt") - F.col("cnt") <= i)
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("x"))), F.max(F.when(holds(F.ceil(at)), F.col("x")))
+        aggs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return cum.groupBy("column_name").agg(*aggs)
+
+
+def _doubles(df: DataFrame, cols: list[str], *more) -> DataFrame:
+    """Unpivot numeric columns to (column_name, x), non-null values only."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])
+    return df.select(F.inline(pairs), *more).where(F.col("x").isNotNull())
 
 
 def quality_summary(df: DataFrame) -> DataFrame:
     """F16: rows, columns, missing cells, constant columns, duplicated rows.
 
-    One scan: rows are grouped by all columns (a partial aggregate, so
-    repeated rows collapse before the shuffle); rows, duplicated rows and
-    missing cells come from the group counts, and per-column distinct
-    counts (for constant columns) from the distinct rows."""
+    Constant columns (one value, missing ones aside) have equal minimum and
+    maximum; duplicated rows are counted over a 128-bit hash of the row."""
     cols = df.columns
-    g = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
-    nulls_in_row = sum((F.col(f"`{c}`").isNull().cast("long") for c in cols), F.lit(0).cast("long"))
-    agg = g.agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
-                F.sum(F.col("__n") * nulls_in_row).alias("missing_cells"),
-                *[F.count_distinct(F.col(f"`{c}`")).alias(f"__u{i}") for i, c in enumerate(cols)])
-    constant = sum(((F.col(f"__u{i}") == 1).cast("long") for i in range(len(cols))), F.lit(0).cast("long"))
-    return agg.select(F.coalesce("rows", F.lit(0)).alias("rows"), F.lit(len(cols)).alias("columns"),
-                      F.coalesce("missing_cells", F.lit(0)).alias("missing_cells"),
-                      constant.alias("constant_columns"),
-                      (F.coalesce("rows", F.lit(0)) - F.col("distinct_rows")).alias("duplicated_rows"))
-
-
-def numeric_drift(reference: DataFrame, current: DataFrame, cols: list[str]) -> DataFrame:
+    of = lambda c: F.col(f"`{c}`")
+    missing = sum((of(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    constant = sum((F.coalesce((F.min(of(c)) == F.max(of(c))).cast("long"), F.lit(0)) for c in cols), F.lit(0).cast("long"))
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"),
+                   constant.alias("constant_columns"))
+    row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), of(c).cast("string")), F.lit("n")) for c in cols]))
+    distinct = df.select(F.unhex(row).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("distinct_rows"))
+    one = F.lit(1).alias("one")                                   # both sides are one row
+    return (whole.select("*", one).join(distinct.select("*", one), "one")
+            .select("rows", F.lit(len(cols)).alias("columns"), "missing_cells", "constant_columns",
+                    (F.col("rows") - F.col("distinct_rows")).alias("duplicated_rows")))
+
+
+def numeric_drift(both: DataFrame, cols: list[str]) -> DataFrame:
     """Per numeric column: Wasserstein-1 distance between the two empirical
     distributions, normalised by the reference population std (floored),
-    and the Kolmogorov-Smirnov statistic max |F_ref - F_cur|."""
-    def side(df, flag):
-        return _long_values(df, cols).select("column_name", F.col("value").cast("double").alias("x"),
-                                             F.lit(flag).alias("is_ref"))
-    both = side(reference, 1).unionByName(side(current, 0))
-    counts = both.groupBy("column_name", "x").agg(
-        F.count_if(F.col("is_ref") == 1).alias("n_ref"), F.count_if(F.col("is_ref") == 0).alias("n_cur"))
+    and the Kolmogorov-Smirnov statistic max |F_ref - F_cur|. `both` has the rows of
+    both inputs with a boolean `is_ref`."""
+    counts = _doubles(both, cols, "is_ref").groupBy("column_name", "x").agg(
+        F.count_if(F.col("is_ref")).alias("n_ref"), F.count_if(~F.col("is_ref")).alias("n_cur"))
     cum = (running_sums(counts, "column_name", "x", ["n_ref", "n_cur"])
            .withColumnRenamed("total_n_ref", "t_ref").withColumnRenamed("total_n_cur", "t_cur"))
     diff = F.abs(F.col("cum_n_ref") / F.col("t_ref") - F.col("cum_n_cur") / F.col("t_cur"))
-    per = cum.select("column_name", diff.alias("d"),
-                     (diff * F.coalesce(F.col("next_x") - F.col("x"), F.lit(0.0))).alias("area"))
-    dist = per.groupBy("column_name").agg(F.sum("area").alias("wasserstein"), F.max("d").alias("ks_statistic"))
-    std = (reference.select(*[F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
-           .selectExpr(f"stack({len(cols)}, " + ", ".join(f"'{c}', `{c}`" for c in cols) + ") AS (column_name, std_ref)"))
-    return (dist.join(std, "column_name")
+    x, n, t = F.col("x"), F.col("n_ref"), F.col("t_ref")
+    per = cum.select("column_name", "x", "n_ref", "t_ref", diff.alias("d"),
+                     (diff * F.coalesce(F.col("next_x") - x, F.lit(0.0))).alias("area"))
+    # the reference's deviation, from its counts, about the mean of the same counts
+    mean = per.groupBy("column_name").agg((F.sum(x * n) / F.max(t)).alias("mean"))
+    dist = (per.join(mean, "column_name").groupBy("column_name")
+            .agg(F.sum("area").alias("wasserstein"), F.max("d").alias("ks_statistic"),
+                 F.sqrt(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))) / F.max(t)).alias("std_ref")))
+    return (dist
             .select("column_name", F.lit("numeric").alias("kind"),
                     (F.col("wasserstein") / F.greatest(F.col("std_ref"), F.lit(STD_FLOOR))).alias("drift_score"),
                     "ks_statistic", F.lit(NUM_DRIFT_THRESHOLD).alias("threshold")))
 
 
-def categorical_drift(reference: DataFrame, current: DataFrame, cols: list[str]) -> DataFrame:
+def categorical_drift(both: DataFrame, cols: list[str]) -> DataFrame:
     """Per categorical column: Jensen-Shannon distance (natural log) between
-    the category shares of the two inputs."""
-    r = value_counts(reference, cols).withColumnRenamed("cnt", "n_ref")
-    c = value_counts(current, cols).withColumnRenamed("cnt", "n_cur")
-    j = r.join(c, ["column_name", "value"], "full").fillna(0, ["n_ref", "n_cur"])
+    the category shares of the two inputs (`is_ref` tells them apart)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
+    j = (both.select(F.inline(pairs), "is_ref").where(F.col("value").isNotNull()).groupBy("column_name", "value")
+         .agg(F.count_if(F.col("is_ref")).alias("n_ref"), F.count_if(~F.col("is_ref")).alias("n_cur")))
     tot = j.groupBy("column_name").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
     p = F.col("n_ref") / F.col("t_ref")
     q = F.col("n_cur") / F.col("t_cur")
@@ -145,16 +154,22 @@ def categorical_drift(reference: DataFrame, current: DataFrame, cols: list[str])
 
 
 def drift_report(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """per shared column drift score + flag, plus the dataset flag
-    (share of drifted columns >= 0.5) on every row."""
+    """F15 for two inputs: their shared columns."""
     shared = [c for c in reference.columns if c in current.columns]
+    both = reference.select(*shared, F.lit(True).alias("is_ref")).unionByName(
+        current.select(*shared, F.lit(False).alias("is_ref")), allowMissingColumns=False)
     nums = [c for c in numeric_columns(reference) if c in shared and c in numeric_columns(current)]
-    cats = [c for c in shared if c not in nums]
+    return drift_of(both, nums, [c for c in shared if c not in nums])
+
+
+def drift_of(both: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
+    """per column drift score + flag, plus the dataset flag (share of
+    drifted columns >= 0.5) on every row. Rows of both inputs, told apart by `is_ref`."""
     parts = []
     if nums:
-        parts.append(numeric_drift(reference.select(*nums), current.select(*nums), nums))
+        parts.append(numeric_drift(both.select(*nums, "is_ref"), nums))
     if cats:
-        parts.append(categorical_drift(reference.select(*cats), current.select(*cats), cats))
+        parts.append(categorical_drift(both.select(*cats, "is_ref"), cats))
     rep = parts[0]
     for p in parts[1:]:
         rep = rep.unionByName(p)

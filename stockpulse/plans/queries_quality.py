@@ -208,41 +208,48 @@ def first_part_per_brand(spark, sf_dir):
 
 # ----------------------------------------------------------------- profiling
 
-_PROFILE_COLS = ["sku_id", "hospital_id", "transaction_type", "quantity_consumed"]
-
-
-def _profile_sql():
-    vc = " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM transactions WHERE {c} IS NOT NULL"
-        for c in _PROFILE_COLS)
-    return f"""WITH {TX_SQL},
-v AS ({vc}),
-vc AS (SELECT column_name, value, count(*) AS cnt FROM v GROUP BY 1, 2),
-cat AS (SELECT column_name, CAST(sum(cnt) AS BIGINT) AS count, count(*) AS "unique",
-               arg_min(value, (-cnt, value)) AS top, max(cnt) AS freq FROM vc GROUP BY 1),
-num AS (SELECT 'quantity_consumed' AS column_name, round(avg(quantity_consumed), 6) AS mean,
-               round(stddev_samp(quantity_consumed), 6) AS std, min(quantity_consumed) AS min,
-               max(quantity_consumed) AS max FROM transactions)
-SELECT cat.column_name, cat.count,
-       CASE WHEN cat.column_name = 'quantity_consumed' THEN NULL ELSE cat."unique" END AS "unique",
-       CASE WHEN cat.column_name = 'quantity_consumed' THEN NULL ELSE cat.top END AS top,
-       CASE WHEN cat.column_name = 'quantity_consumed' THEN NULL ELSE cat.freq END AS freq,
-       num.mean, num.std, num.min, num.max FROM cat LEFT JOIN num USING (column_name)"""
-
-
-@register("f6_describe", sql=_profile_sql())
+_PROFILE_TEXT = ["transaction_id", "transaction_code", "hospital_id", "sku_id", "transaction_type"]
+_PROFILE_NUM = ["quantity_consumed", "total_revenue"]
+
+
+def _profile_sql(table, texts, nums, quartiles, times=()):
+    """Twin of `describe`: times are shown as text in Spark's form."""
+    text = [(c, f"CAST({c} AS VARCHAR)") for c in [*texts, *times]]
+    vc = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {e} AS value FROM {table} WHERE {c} IS NOT NULL" for c, e in text)
+    q = ", ".join(f"round(quantile_cont(CAST({{c}} AS DOUBLE), {x}), 6) AS q{int(100 * x)}" for x in (0.25, 0.5, 0.75))
+    num = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS count, CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "
+        f"CAST(NULL AS BIGINT) AS freq, round(avg(CAST({c} AS DOUBLE)), 6) AS mean, round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS std, "
+        f"CAST(min({c}) AS DOUBLE) AS min, {q.format(c=c) + ',' if quartiles else ''} CAST(max({c}) AS DOUBLE) AS max FROM {table}"
+        for c in nums)
+    nulls = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in
+                      ["mean", "std", "min", *(["q25", "q50", "q75"] if quartiles else []), "max"])
+    return f"""
+vc AS (SELECT column_name, value, count(*) AS cnt FROM ({vc}) GROUP BY 1, 2)
+SELECT column_name, CAST(sum(cnt) AS BIGINT) AS count, count(*) AS "unique", arg_min(value, (-cnt, value)) AS top,
+       max(cnt) AS freq, {nulls} FROM vc GROUP BY 1
+UNION ALL {num}"""
+
+
+def _rounded(d):
+    return d.select(*[F.round(c, 6).alias(c) if c in ("mean", "std", "q25", "q50", "q75") else F.col(c) for c in d.columns])
+
+
+@register("f6_describe", sql=f"WITH {TX_SQL}," + _profile_sql("transactions", _PROFILE_TEXT, _PROFILE_NUM, False, ["transaction_time"]))
 def describe(spark, sf_dir):
-    """column profile (count, unique, top, freq, mean, std, min, max)."""
+    """profile of every transaction column (count, unique, top, freq, mean, std, min, max)."""
     from stockpulse.sources.tables import transactions
-    tx = transactions(spark, sf_dir).select(*_PROFILE_COLS)
-    d = profile.describe(tx)
-    return d.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return _rounded(profile.describe(transactions(spark, sf_dir).drop("revenue_units")))
 
 
-@register("f6_describe_quartiles")
+_LINE_TEXT = ["l_returnflag", "l_linestatus"]
+_LINE_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("f6_describe_quartiles", sql="WITH " + _profile_sql("lineitem", _LINE_TEXT, _LINE_NUM, True, ["l_shipdate"]))
 def describe_quartiles(spark, sf_dir):
-    """F6 with approximate quartiles over every lineitem column."""
-    return profile.describe(read_table(spark, sf_dir, "lineitem"), quartiles=True)
+    """F6 with exact quartiles over every lineitem column."""
+    return _rounded(profile.describe(read_table(spark, sf_dir, "lineitem"), quartiles=True))
 
 
 @register("f16_quality_summary", sql=f"""WITH {_LANDING_SQL},
@@ -257,16 +264,8 @@ def quality_summary(spark, sf_dir):
 
 
 _DRIFT_SPLIT = "TIMESTAMP '1998-06-01 00:00:00'"
-_DRIFT_NUM = ["l_quantity", "l_discount", "l_tax"]
-_DRIFT_CAT = ["l_returnflag", "l_linestatus"]
-
-
-def _drift_sides(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").select(*_DRIFT_NUM, *_DRIFT_CAT, "l_shipdate")
-    split_ts = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
-    ref = li.where(F.col("l_shipdate") < split_ts).drop("l_shipdate")
-    cur = li.where(F.col("l_shipdate") >= split_ts).drop("l_shipdate")
-    return ref, cur
+_DRIFT_NUM = _LINE_NUM
+_DRIFT_CAT = _LINE_TEXT
 
 
 def _drift_sql():
@@ -312,9 +311,11 @@ FROM rep2, (SELECT CAST(count_if(drifted) AS DOUBLE) / count(*) AS drift_share F
 
 @register("f15_drift", sql=_drift_sql())
 def drift(spark, sf_dir):
-    """Drift of lineitem columns, shipments before vs after 1998-06-01."""
-    ref, cur = _drift_sides(spark, sf_dir)
-    rep = profile.drift_report(ref, cur)
+    """Drift of the lineitem columns, shipments before vs after
+    1998-06-01 (the split column itself left out); both sides from one scan."""
+    li = read_table(spark, sf_dir, "lineitem").where("l_shipdate is not null")
+    both = li.withColumn("is_ref", F.col("l_shipdate") < F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"))
+    rep = profile.drift_of(both, _DRIFT_NUM, _DRIFT_CAT)
     return (rep.withColumn("drift_score", F.round("drift_score", 9))
             .withColumn("ks_statistic", F.round("ks_statistic", 9)))
 
