@@ -1,7 +1,7 @@
 """Run log and metric queries (L13, L14 support, F17-F21, K3-K5).
 
 Metrics are tables, not an in-process registry:
-* `run_log`  (run_id, job, state, event_time, duration_s, inputs, outputs)
+* `run_log`  (run_id, job, state, event_time, duration_s, inputs, outputs, schemas)
 * call logs  (ts, path, ok, latency_s) - one row per request
 
 Rates use sliding event-time windows (`window(ts, 5 min, 1 min)`), i.e. a
@@ -31,7 +31,7 @@ EVAL_STEP_SECONDS = 60
 STATES = ("START", "COMPLETE", "FAIL")
 
 RUN_LOG_SCHEMA = ("run_id string, job string, state string, event_time timestamp, duration_s double, "
-                  "inputs array<string>, outputs array<string>")
+                  "inputs array<string>, outputs array<string>, schemas map<string,string>")
 
 
 # ------------------------------------------------------------------ run log
@@ -47,11 +47,17 @@ class RunLog:
              inputs=(), outputs=()) -> None:
         if state not in STATES:
             raise ValueError(state)
-        row = [(run_id, job, state, None, duration_s, list(inputs), list(outputs))]
+        row = [(run_id, job, state, None, duration_s, list(inputs), list(outputs), self._schemas([*inputs, *outputs]))]
         df = (self.spark.createDataFrame(row, RUN_LOG_SCHEMA)
               .withColumn("event_time", F.current_timestamp()))
         df.write.mode("append").parquet(self.path)
 
+    def _schemas(self, paths) -> dict[str, str]:
+        """The schema of every input and output that is a complete Parquet table by now."""
+        from stockpulse.sources.io import is_complete
+        return {p: self.spark.read.parquet(p).schema.simpleString() for p in paths
+                if is_complete(self.spark, p) and not p.endswith("_csv")}
+
     def read(self) -> DataFrame:
         return self.spark.read.schema(RUN_LOG_SCHEMA).parquet(self.path)
 

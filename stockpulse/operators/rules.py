@@ -128,6 +128,22 @@ def split(df: DataFrame, suite) -> tuple[DataFrame, DataFrame]:
     return passed, rejected
 
 
+def write_split(df: DataFrame, suite, path: str) -> None:
+    """D6 / B3 / B5 written once: the annotated rows go to `path`, a folder for
+    each outcome, from one evaluation of the rules. `read_split` reads them."""
+    (annotate(df, suite).withColumn("passed", F.size("failed_rules") == 0)
+     .write.mode("overwrite").partitionBy("passed").parquet(path))
+
+
+def read_split(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(passed rows, rejected rows with `failed_rules`) of `write_split`."""
+    both = spark.read.parquet(path)
+    if "passed" not in both.columns:               # an empty input wrote no folder
+        both = both.withColumn("passed", F.lit(True))
+    ok = F.col("passed").cast("boolean")
+    return both.where(ok).drop("failed_rules", "passed"), both.where(~ok).drop("passed")
+
+
 def column_set_result(df: DataFrame, rule: Rule) -> dict:
     """Dataset-level column-set check; lists no rows."""
     have, want = set(df.columns), set(rule.columns)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockpulse.operators import monitoring as mon
+from stockpulse.plans.queries_quality import _LANDING_SQL
 from stockpulse.plans.registry import register
 from stockpulse.sources.tables import read_table
 
@@ -135,19 +136,46 @@ def counter_rate(spark, sf_dir):
     return mon.counter_rate(counter, "path", "minute", "v")
 
 
-@register("l14_run_stages")
+_STAGES_SQL = f"""WITH {_LANDING_SQL},
+typed AS (SELECT * REPLACE (TRY_CAST(quantity_consumed AS DOUBLE) AS quantity_consumed) FROM landing),
+flagged AS (SELECT *, count(*) OVER (PARTITION BY transaction_id) > 1 AS again FROM typed),
+ok AS (SELECT * FROM flagged WHERE NOT (transaction_id IS NULL OR sku_id IS NULL OR transaction_time IS NULL
+       OR (transaction_id IS NOT NULL AND again) OR coalesce(quantity_consumed < 0, false))),
+days AS (SELECT sku_id, hospital_id, CAST(transaction_time AS DATE) AS d, sum(quantity_consumed) AS q FROM ok
+         WHERE quantity_consumed >= 0 GROUP BY ALL),
+best AS (SELECT sku_id FROM days GROUP BY sku_id ORDER BY sum(q) DESC, sku_id LIMIT 10),
+best_tx AS (SELECT sku_id FROM ok WHERE quantity_consumed >= 0 GROUP BY sku_id ORDER BY sum(quantity_consumed) DESC, sku_id LIMIT 10),
+n AS (SELECT (SELECT count(*) FROM ok) AS valid, (SELECT count(*) FROM flagged) - (SELECT count(*) FROM ok) AS bad,
+             (SELECT count(*) FROM ok WHERE quantity_consumed >= 0) AS clean, (SELECT count(*) FROM part) AS skus,
+             (SELECT count(*) FROM days) AS days, (SELECT count(*) FROM days SEMI JOIN best USING (sku_id)) AS top_days,
+             (SELECT count(*) FROM ok SEMI JOIN best_tx USING (sku_id) WHERE quantity_consumed >= 0) AS events)
+SELECT job, table_name, rows, 'COMPLETE' AS state, 1::BIGINT AS runs, 0::BIGINT AS failures FROM n, LATERAL (VALUES
+  ('data_validation', 'raw_zone/inventory_transactions', valid), ('data_validation', 'raw_zone/inventory_transactions_rejected', bad),
+  ('data_validation', 'raw_zone/sku_master', skus), ('data_validation', 'raw_zone/inventory_transactions_valid_csv', valid),
+  ('data_validation', 'raw_zone/sku_master_valid_csv', skus),
+  ('data_validation', 'profiles/inventory_transactions_describe_csv', 8), ('data_validation', 'profiles/inventory_transactions_nulls_csv', 20),
+  ('data_validation', 'profiles/sku_master_describe_csv', 7), ('data_validation', 'profiles/sku_master_nulls_csv', 23),
+  ('clean_zone', 'clean_zone/inventory_transactions', clean), ('clean_zone', 'clean_zone/sku_master', skus),
+  ('clean_zone', 'clean_zone/inventory_transactions_csv', clean), ('clean_zone', 'clean_zone/sku_master_csv', skus),
+  ('daily_table', 'clean_zone/daily_sku_demand', days), ('feature_store_full', 'feature_store/sku_demand_daily_features', days),
+  ('feature_store_top10', 'feature_store/sku_demand_daily_features_top_10', top_days),
+  ('event_features', 'feature_store/sku_event_features', events)) t(job, table_name, rows) WHERE rows > 0"""
+
+
+@register("l14_run_stages", sql=_STAGES_SQL)
 def run_stages(spark, sf_dir):
-    """Run the five stages (validation, clean
-    zone, daily table, both feature tables) through the run-log wrapper into
-    a fresh shared folder; the result is the run log with each job's last
-    state and its START/COMPLETE/FAIL counts."""
+    """Run all stages for both inputs
+    through the run-log wrapper into a fresh shared folder; the result is the
+    row count of every table and CSV written, with its job's last state and counters."""
     import uuid
 
-    from stockpulse.plans.stages import run_stages as run
-    from stockpulse.session import scratch_path
-    log = run(spark, sf_dir, scratch_path(spark, f"stages/{uuid.uuid4().hex}"))
-    rl = log.read()
-    return mon.last_state(rl).join(mon.state_counters(rl), "job")
+    from stockpulse.plans.stages import run_stages as run, table_counts
+    from stockpulse.session import delete_at_end, scratch_path
+    out = scratch_path(spark, f"stages/{uuid.uuid4().hex}")
+    delete_at_end(spark, out)
+    rl = run(spark, sf_dir, out).read()
+    state = mon.last_state(rl).join(mon.state_counters(rl), "job").select("job", "state", "runs", "failures")
+    return table_counts(spark, out).join(state, "job")
 
 
 @register("k3_stream_rate", sql=_SLIDE_SQL + """

@@ -33,5 +33,5 @@ def register(name: str, sql: str | None = None):
 def all_queries() -> dict[str, Query]:
     # Import for side effect: each module registers its queries.
     from stockpulse.plans import (queries_demand, queries_quality, queries_features,  # noqa: F401
-                                  queries_models, queries_ml, queries_ops)
+                                  queries_models, queries_ml, queries_ops, queries_inputs)
     return dict(_REGISTRY)

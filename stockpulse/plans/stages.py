@@ -1,71 +1,128 @@
-"""Staged batch run (L13, L14): validation -> clean zone -> daily table ->
-feature tables, each stage wrapped in the run log (START / COMPLETE / FAIL
-with duration). Stages communicate through written tables under `out_base`
-(a shared folder), so a lost executor costs at most the current stage, and
-any stage can be run alone (`only=`).
+"""Staged batch run (L13, L14): validation -> clean zone -> daily table -> feature
+tables -> event table and exports, for the transactions and the SKU master, each
+stage wrapped in the run log (START / COMPLETE / FAIL with duration and schemas).
+Stages communicate through written tables under `out_base` (a shared folder), so a
+lost executor costs at most the current stage, and any stage can be run alone (`only=`).
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockpulse.functions.parsing import to_number
-from stockpulse.operators import cleaning, demand, rules
+from stockpulse.operators import cleaning, demand, profile, rules
 from stockpulse.operators.monitoring import RunLog
 from stockpulse.sources import io
-from stockpulse.sources.tables import landing_transactions
+from stockpulse.sources.tables import landing_transactions, sku_master
 
-STAGES = ("data_validation", "clean_zone", "daily_table", "feature_store_full", "feature_store_top10")
+STAGES = ("zones", "data_validation", "clean_zone", "daily_table", "feature_store_full", "feature_store_top10",
+          "event_features")
+DATABASE = "stockpulse_zones"
+
+# Output tables by stage; names ending in _csv are CSV folders.
+TABLES = {
+    "data_validation": ["raw_zone/inventory_transactions", "raw_zone/inventory_transactions_rejected",
+                        "raw_zone/sku_master", "raw_zone/sku_master_rejected",
+                        "raw_zone/inventory_transactions_valid_csv", "raw_zone/sku_master_valid_csv",
+                        "profiles/inventory_transactions_describe_csv", "profiles/inventory_transactions_nulls_csv",
+                        "profiles/sku_master_describe_csv", "profiles/sku_master_nulls_csv"],
+    "clean_zone": ["clean_zone/inventory_transactions", "clean_zone/sku_master",
+                   "clean_zone/inventory_transactions_csv", "clean_zone/sku_master_csv"],
+    "daily_table": ["clean_zone/daily_sku_demand"],
+    "feature_store_full": ["feature_store/sku_demand_daily_features"],
+    "feature_store_top10": ["feature_store/sku_demand_daily_features_top_10"],
+    "event_features": ["feature_store/sku_event_features"],
+}
+
+
+def _landing(spark, sf_dir) -> dict[str, tuple[DataFrame, list]]:
+    tx = landing_transactions(spark, sf_dir).withColumn("quantity_consumed", to_number(F.col("quantity_consumed")))
+    return {"inventory_transactions": (tx, rules.TRANSACTIONS_SUITE), "sku_master": (sku_master(spark, sf_dir), rules.SKU_SUITE)}
 
 
 def run_stages(spark: SparkSession, sf_dir: str, out_base: str, only: str | None = None,
-               run_id: str | None = None) -> RunLog:
+               run_id: str | None = None, export_date: str | None = None) -> RunLog:
     out = out_base.rstrip("/")
     log = RunLog(spark, f"{out}/run_log")
     run_id = run_id or str(uuid.uuid4())
-    raw, rejected = f"{out}/raw_zone/inventory_transactions", f"{out}/raw_zone/inventory_transactions_rejected"
-    clean, daily = f"{out}/clean_zone/inventory_transactions", f"{out}/clean_zone/daily_sku_demand"
-    full, top = f"{out}/feature_store/sku_demand_daily_features", f"{out}/feature_store/sku_demand_daily_features_top_10"
+    at = lambda name: f"{out}/{name}"
+
+    def zones():
+        io.ensure_database(spark, DATABASE)
 
     def validation():
-        landing = landing_transactions(spark, sf_dir).withColumn(
-            "quantity_consumed", to_number(F.col("quantity_consumed")))
-        passed, rej = rules.split(landing, rules.TRANSACTIONS_SUITE)
-        io.write_table(passed, raw)
-        io.write_if_rows(rej.withColumn("failed_rules", F.array_join("failed_rules", ",")), rejected)
+        for name, (landing, suite) in _landing(spark, sf_dir).items():
+            split = at(f"raw_zone/{name}_checked")
+            rules.write_split(landing, suite, split)              # the rules run once
+            passed, rejected = rules.read_split(spark, split)
+            io.write_table(passed, at(f"raw_zone/{name}"))
+            io.write_if_rows(rejected.withColumn("failed_rules", F.array_join("failed_rules", ",")),
+                             at(f"raw_zone/{name}_rejected"))
+            valid = spark.read.parquet(at(f"raw_zone/{name}"))
+            io.write_csv(valid, at(f"raw_zone/{name}_valid_csv"))
+            io.write_csv(profile.describe(valid), at(f"profiles/{name}_describe_csv"))
+            io.write_csv(cleaning.null_counts(valid), at(f"profiles/{name}_nulls_csv"))
 
     def clean_zone():
-        src = io.read_zone(spark, raw, spark.read.parquet(raw).schema) if io.path_exists(spark, raw) else None
-        if src is None or src.isEmpty():
-            return
-        io.write_table(cleaning.clean_transactions(src), clean)
+        for name, clean in (("inventory_transactions", cleaning.clean_transactions), ("sku_master", cleaning.clean_sku_master)):
+            if not io.is_complete(spark, at(f"raw_zone/{name}")):      # A4: no table, nothing to do
+                continue
+            raw = spark.read.parquet(at(f"raw_zone/{name}"))
+            if raw.isEmpty():
+                continue
+            io.write_table(clean(raw), at(f"clean_zone/{name}"))
+            io.write_csv(spark.read.parquet(at(f"clean_zone/{name}")), at(f"clean_zone/{name}_csv"))
 
     def daily_table():
-        tx = spark.read.parquet(clean)
-        io.write_table(demand.daily_demand(tx, keep_decimal=False), daily,
+        tx = spark.read.parquet(at("clean_zone/inventory_transactions"))
+        io.write_table(demand.daily_demand(tx, keep_decimal=False), at("clean_zone/daily_sku_demand"),
                        cluster_by=["hospital_id", "sku_id"], sort_within=["sku_id", "hospital_id", "tx_date"])
 
     def features_full():
-        io.write_table(demand.demand_features(spark.read.parquet(daily)), full,
-                       sort_within=["hospital_id", "sku_id", "ds"])
+        io.write_table(demand.demand_features(spark.read.parquet(at("clean_zone/daily_sku_demand"))),
+                       at("feature_store/sku_demand_daily_features"), sort_within=["hospital_id", "sku_id", "ds"])
 
     def features_top():
-        d = spark.read.parquet(daily)
+        d = spark.read.parquet(at("clean_zone/daily_sku_demand"))
         t = demand.top_skus(d, demand.TOP_K, qty_col="total_quantity")
-        io.write_table(demand.demand_features(demand.restrict_to(d, t)), top,
-                       sort_within=["hospital_id", "sku_id", "ds"])
-
-    steps = {"data_validation": (validation, [sf_dir], [raw, rejected]),
-             "clean_zone": (clean_zone, [raw], [clean]),
-             "daily_table": (daily_table, [clean], [daily]),
-             "feature_store_full": (features_full, [daily], [full]),
-             "feature_store_top10": (features_top, [daily], [top])}
+        io.write_table(demand.demand_features(demand.restrict_to(d, t)),
+                       at("feature_store/sku_demand_daily_features_top_10"), sort_within=["hospital_id", "sku_id", "ds"])
+
+    def event_features():
+        tx = spark.read.parquet(at("clean_zone/inventory_transactions"))
+        path = at("feature_store/sku_event_features")
+        io.write_table(demand.event_features(tx), path, sort_within=["sku_id", "feature_timestamp"])
+        day = export_date or spark.range(1).select(F.date_format(F.current_date(), "yyyyMMdd")).first()[0]
+        io.write_csv(spark.read.parquet(path), at(f"exports/sku_event_features_{day}_csv"))
+
+    steps = {"zones": zones, "data_validation": validation, "clean_zone": clean_zone, "daily_table": daily_table,
+             "feature_store_full": features_full, "feature_store_top10": features_top, "event_features": event_features}
+    before = {"zones": [], "data_validation": [sf_dir], "clean_zone": TABLES["data_validation"][:3:2],
+              "daily_table": TABLES["clean_zone"][:1], "feature_store_full": TABLES["daily_table"],
+              "feature_store_top10": TABLES["daily_table"], "event_features": TABLES["clean_zone"][:1]}
     for name in STAGES:
         if only is not None and name != only:
             continue
-        fn, ins, outs = steps[name]
-        log.run_step(name, fn, run_id=run_id, inputs=ins, outputs=outs)
+        log.run_step(name, steps[name], run_id=run_id, inputs=[p if p == sf_dir else at(p) for p in before[name]],
+                     outputs=[at(p) for p in TABLES.get(name, [])])
     return log
+
+
+def table_counts(spark: SparkSession, out_base: str) -> DataFrame:
+    """(job, table_name, rows) of every table a run wrote; an unwritten
+    table (no rejects) has no row. A CSV is counted as its rows, without headers."""
+    out = out_base.rstrip("/")
+    counts = None
+    for job, names in TABLES.items():
+        for name in names:
+            path = f"{out}/{name}"
+            if not io.is_complete(spark, path):
+                continue
+            df = spark.read.option("header", True).option("multiLine", True).csv(path) if name.endswith("_csv") \
+                else spark.read.parquet(path)
+            part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(job).alias("job"), F.lit(name).alias("table_name"), "rows")
+            counts = part if counts is None else counts.unionByName(part)
+    return counts

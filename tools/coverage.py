@@ -26,14 +26,14 @@ LIBRARY = {
     "B6": "plans/stages.py:clean_zone", "B7": "sources/io.py:write_table (empty frame keeps its schema)",
     "B8": "plans/stages.py:daily_table", "B9": "operators/demand.py:feature_table_top",
     "B10": "operators/demand.py:event_features", "B11": "sources/io.py:write_csv",
-    "B12": "sources/io.py:append_with_created_at", "B13": "operators/models.py:evaluate + io.write_csv",
+    "B12": "sources/io.py:append_with_created_at", "B13": "operators/models.py:training_summary",
     "B14": "sources/io.py:write_csv", "B15": "operators/profile.py:describe + io.write_csv",
     "B16": "sources/io.py:jdbc_options", "B17": "operators/monitoring.py:RunLog",
     "B18": "sources/io.py:is_complete", "B19": "sources/io.py:ensure_database",
     "B20": "operators/models.py:params_table", "C1": "functions/parsing.py:sanitize_landing_name",
     "C2": "functions/parsing.py:sanitize_validation_name", "C3": "functions/parsing.py:sanitize_clean_name",
     "C4": "operators/cleaning.py:all_null_columns", "C5": "operators/cleaning.py:drop_present",
-    "C6": "operators/models.py:pipeline", "C7": "operators/demand.py:demand_features",
+    "C6": "operators/models.py:prepare", "C7": "operators/demand.py:demand_features",
     "C8": "operators/cleaning.py:clean_transactions", "C9": "functions/parsing.py:parse_key_list",
     "C10": "operators/featureviews.py:FeatureRegistry.resolve", "C11": "operators/featureviews.py:FeatureService",
     "C12": "operators/cleaning.py:strip_zone", "C13": "operators/models.py:prepare",
