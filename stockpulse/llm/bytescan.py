@@ -53,9 +53,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for every pair; equal ranges hash alike."""
+    return hash_between(prefix_hash(values), start, end)
+
+
+def prefix_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `hash_between` needs of `values`, to hash many kinds of ranges."""
     p, inv = powers(len(values) + 1)
     acc = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * p[:len(values)], out=acc[1:])
+    return acc, inv
+
+
+def hash_between(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    acc, inv = prefix
     return mix((acc[end] - acc[start]) * inv[start])
 
 

@@ -7,8 +7,10 @@ Equal windows have equal minimisers, so
 1. each document is cut into runs of windows that share a minimiser, and the
    minimisers are counted over the corpus (combined before the shuffle);
 2. a minimiser that occurs once cannot belong to a repeated window, so only runs
-   of the others go on. Each travels as one packed string (its units) to the
-   bucket of its minimiser; equal strings are merged with a weight first;
+   of the others go on. Equal runs (128 bits of hash: minimiser and whole run) are
+   merged with a weight. Where all runs of a minimiser are equal, all their windows
+   repeat. Otherwise each distinct run travels once, as one packed string (its
+   units), to the bucket of its minimiser;
 3. a bucket with more than `bucket_windows` windows is dealt out again by whole
    windows, which Spark counts by their content; the other buckets are counted
    exactly inside tasks by the operator's own method;
@@ -16,8 +18,7 @@ Equal windows have equal minimisers, so
 
 No step gathers a group in one task: counts are pre-aggregated, joins on a
 minimiser or string can be split, and per-document lists are bounded by the
-document. The documents are dealt out by key once and read from that exchange
-by steps 2 and 4. A document is identified by a 64-bit hash of its id and text:
+document. Texts are dealt out by key once; steps 2 and 4 read that exchange. A document is identified by a 64-bit hash of its id and text:
 rows equal in both share their windows' fate, which is the same for both.
 """
 
@@ -51,17 +52,18 @@ class Units:
 
 def minimiser_runs(hashes: np.ndarray, first: np.ndarray, k: int, m: int):
     """Runs of windows with one minimiser: (document, first window within the
-    document, windows, minimiser, occurrences of the minimiser in the run)."""
+    document, windows, minimiser, hash of the run, occurrences of the minimiser in it)."""
     n = len(hashes)
     none = np.zeros(0, np.int64)
     if n < k:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     at = np.arange(n - m + 1)
-    grams = bs.range_hash(hashes, at, at + m)
+    prefix = bs.prefix_hash(hashes)
+    grams = bs.hash_between(prefix, at, at + m)
     ends = np.repeat(first[1:], np.diff(first))[:n - k + 1]
     win = np.flatnonzero(np.arange(n - k + 1) + k <= ends)
     if len(win) == 0:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     low = bs.sliding_min((grams & ~POS_MASK) | (at.astype(np.uint64) & POS_MASK), k - m + 1)[win] & POS_MASK
     pos = win + ((low.astype(np.int64) - win) & int(POS_MASK))
     mini = grams[pos].view(np.int64)
@@ -72,104 +74,105 @@ def minimiser_runs(hashes: np.ndarray, first: np.ndarray, k: int, m: int):
     head = np.flatnonzero(fresh)
     occ = np.add.reduceat(np.maximum(moved, fresh), head)
     size = np.diff(np.append(head, len(win)))
-    doc = np.searchsorted(first, win[head], "right") - 1
-    return doc, win[head] - first[doc], size, mini[head], occ
+    start = win[head]
+    doc = np.searchsorted(first, start, "right") - 1
+    whole = bs.hash_between(prefix, start, start + size + k - 1).view(np.int64)
+    return doc, start - first[doc], size, mini[head], whole, occ
 
 
 def _scan_runs(units: Units, key: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bs.slices(batch, text):
-                data, offs = bs.text_column(part.column(part.schema.get_field_index(text)))
-                doc, _, _, mini, occ = minimiser_runs(*units.scan(data, offs), units.k, units.m)
+                doc, start, size, mini, whole, occ = minimiser_runs(
+                    *units.scan(*bs.text_column(part.column(text))), units.k, units.m)
                 if len(doc):
-                    keys = np.asarray(part.column(part.schema.get_field_index(key)))
-                    yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(keys[doc]), pa.array(occ)],
-                                                     ["mini", "k", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mini), pa.array(whole), pa.array(np.asarray(part.column(key))[doc]),
+                         pa.array(start << 32 | size), pa.array(occ)], ["mini", "run", "k", "span", "n"])
     return run
 
 
-def _pack_runs(units: Units, key: str, text: str, minis: str):
-    """Packed strings of the runs whose minimiser is among the document's `minis`."""
+def _fetch(units: Units, text: str, wanted: str):
+    """The packed strings a document is to send: (mini, run, w, size) each, once."""
     def run(batches):
         for batch in batches:
             for part in bs.slices(batch, text):
-                col = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                data, offs = bs.text_column(col[text])
-                doc, start, size, mini, _ = minimiser_runs(*units.scan(data, offs), units.k, units.m)
-                lists = col[minis]
-                wanted = np.asarray(lists.flatten()).view(np.uint64)
-                owner = np.repeat(np.arange(part.num_rows, dtype=np.uint64),
-                                  np.diff(np.asarray(lists.offsets)))
-                tag = np.uint64(bs.BASE)
-                have = bs.lookup(np.sort(bs.mix(wanted ^ (owner * tag))),
-                                 bs.mix(mini.view(np.uint64) ^ (doc.astype(np.uint64) * tag))) >= 0
-                doc, start, size, mini = doc[have], start[have], size[have], mini[have]
-                keys, raw = np.asarray(col[key]), data.tobytes()
-                strings, now = [], -1
-                for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist()):
+                data, offs = bs.text_column(part.column(text))
+                doc, start, size, mini, whole, _ = minimiser_runs(*units.scan(data, offs), units.k, units.m)
+                lists = part.column(wanted)
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(np.asarray(lists.offsets)))
+                want = _tags(owner, np.asarray(flat.field("mini")), np.asarray(flat.field("run")))
+                order = np.argsort(want)
+                have = _tags(doc, mini, whole)
+                found = bs.lookup(want[order], have)
+                pick = np.flatnonzero(found >= 0)
+                pick = np.sort(pick[np.unique(have[pick], return_index=True)[1]])
+                if not len(pick):
+                    continue
+                strings, now, raw = [], -1, data.tobytes()
+                for d, s, n in zip(doc[pick].tolist(), start[pick].tolist(), size[pick].tolist()):
                     if d != now:
                         packed, begin, end = units.pack(raw[offs[d]:offs[d + 1]])
                         now = d
                     strings.append(packed[begin[s]:end[s + n + units.k - 2]])
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mini), pa.array(keys[doc]), pa.array(start.astype(np.int32)),
-                         pa.array(size.astype(np.int32)), pa.array(strings, pa.binary())],
-                        ["mini", "k", "start", "n", "packed"])
+                src = pa.array(order[found[pick]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mini[pick]), pa.array(whole[pick]), pa.array(size[pick]), pa.array(strings, pa.binary()),
+                     flat.field("w").take(src), flat.field("size").take(src)], ["mini", "run", "n", "packed", "w", "size"])
     return run
 
 
+def _tags(doc: np.ndarray, mini: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    tag = np.uint64(bs.BASE)
+    return bs.mix(bs.mix(mini.view(np.uint64) ^ (doc.astype(np.uint64) * tag)) + whole.view(np.uint64))
+
+
 def _windows(units: Units):
     """Whole windows of the strings of hot buckets, equal ones of a string once."""
     def run(batches):
         for batch in batches:
-            skey, off, text, weight = [], [], [], []
-            for p, w in zip(batch.column("packed").to_pylist(), batch.column("w").to_pylist()):
+            rows = []
+            for mini, whole, p, w in zip(*(batch.column(c).to_pylist() for c in ("mini", "run", "packed", "w"))):
                 packed, begin, end = units.pack(p)
-                h, seen = hashlib.md5(p).digest(), {}
+                seen: dict[bytes, list[int]] = {}
                 for j in range(len(begin) - units.k + 1):
                     seen.setdefault(packed[begin[j]:end[j + units.k - 1]], []).append(j)
-                for s, js in seen.items():
-                    skey.append(h)
-                    off.append(js)
-                    text.append(hashlib.md5(s).digest())
-                    weight.append(w * len(js))
-                if len(skey) > 20_000:
-                    yield _win_batch(skey, off, text, weight)
-                    skey, off, text, weight = [], [], [], []
-            if skey:
-                yield _win_batch(skey, off, text, weight)
+                rows += [(mini, whole, js, hashlib.md5(s).digest(), w * len(js)) for s, js in seen.items()]
+                if len(rows) > 20_000:
+                    yield _win_batch(rows)
+                    rows = []
+            if rows:
+                yield _win_batch(rows)
     return run
 
 
-def _win_batch(skey, off, text, weight):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(skey, pa.binary()), pa.array(off, pa.list_(pa.int32())), pa.array(text, pa.binary()),
-         pa.array(weight, pa.int64())], ["skey", "at", "win", "w"])
+def _win_batch(rows):
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["mini", "run", "at", "win", "w"])
 
 
 def _count_buckets(units: Units, chunk_windows: int):
     """Rows arrive sorted by minimiser; whole minimisers are gathered to chunks
     of bounded size (a bucket over the bound does not come here)."""
     def solve(rows):
-        hit = units.count(rows, units.k)
         by_row: dict[int, list[int]] = {}
-        for r, j in hit:
+        for r, j in units.count([(p, w) for _, _, p, w in rows], units.k):
             by_row.setdefault(r, []).append(j)
         if by_row:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.md5(rows[r][0]).digest() for r in by_row], pa.binary()),
-                 pa.array(list(by_row.values()), pa.list_(pa.int32()))], ["skey", "at"])
+                [pa.array([rows[r][0] for r in by_row], pa.int64()), pa.array([rows[r][1] for r in by_row], pa.int64()),
+                 pa.array(list(by_row.values()), pa.list_(pa.int32()))], ["mini", "run", "at"])
 
     def run(batches):
         rows, total, last = [], 0, None
         for batch in batches:
-            for mini, n, packed, w in zip(*(batch.column(c).to_pylist() for c in ("mini", "n", "packed", "w"))):
+            for mini, whole, n, packed, w in zip(*(batch.column(c).to_pylist() for c in ("mini", "run", "n", "packed", "w"))):
                 if total >= chunk_windows and mini != last:
                     yield from solve(rows)
                     rows, total = [], 0
-                rows.append((packed, w))
+                rows.append((mini, whole, packed, w))
                 total += n
                 last = mini
         if rows:
@@ -182,30 +185,35 @@ def repeated_starts(docs: DataFrame, key: str, text: str, units: Units,
     """docs + `key` (a 64-bit id of the row) -> (k, spans): for every document
     with repeated windows, a list of (start, at) where start + at[i] are the
     first units of its repeated windows."""
-    runs = written(docs.select(key, text).mapInArrow(_scan_runs(units, key, text), "mini long, k long, n long"),
-                   f"{units.name}-runs")
+    runs = written(docs.select(key, text).mapInArrow(
+        _scan_runs(units, key, text), "mini long, run long, k long, span long, n long"), f"{units.name}-runs")
     often = runs.groupBy("mini").agg(F.sum("n").alias("c")).filter("c > 1").select("mini")
-    minis = unused("minis", docs.columns)
-    cand = (runs.select("mini", "k").join(often, "mini").groupBy("k")
-            .agg(F.collect_set("mini").alias(minis)).withColumnRenamed("k", key))
-    packed = docs.join(cand, key).mapInArrow(_pack_runs(units, key, text, minis),
-                                             "mini long, k long, start int, n int, packed binary")
-    distinct = packed.groupBy("mini", "n", "packed").agg(F.count("*").alias("w"))
-    size = distinct.groupBy("mini").agg(F.sum("n").alias("size"), F.sum("w").alias("strings"),
-                                        F.max("n").alias("longest"))
-    # one string of one window is no repeat; longer strings may repeat inside themselves
-    dealt = distinct.join(size.filter("strings > 1 or longest > 1"), "mini")
-    light = (dealt.filter(F.col("size") <= bucket_windows).select("mini", "n", "packed", "w")
+    found = written(runs.select("mini", "run", "k", "span").join(often, "mini"), f"{units.name}-often")
+    # distinct strings, with one document that holds each
+    n = F.col("span").bitwiseAND(0xFFFFFFFF)
+    distinct = found.groupBy("mini", "run").agg(F.count("*").alias("w"), F.min("k").alias("k"), F.min(n).alias("n"))
+    size = distinct.groupBy("mini").agg(F.count("*").alias("strings"), F.sum("w").alias("places"), F.sum("n").alias("size"))
+    known = distinct.join(size, "mini")
+    # a minimiser whose runs are all the same string: every window of it repeats
+    alike = known.filter("strings = 1 and places > 1") \
+        .select("mini", "run", F.sequence(F.lit(0), F.col("n").cast("int") - 1).alias("at"))
+    # otherwise the strings differ (or a lone one may repeat inside itself): each is sent once
+    wanted = unused("wanted", docs.columns)
+    lists = (known.filter("strings > 1 or places = 1").groupBy("k")
+             .agg(F.collect_list(F.struct("mini", "run", "w", "size")).alias(wanted)).withColumnRenamed("k", key))
+    dealt = docs.join(lists, key).mapInArrow(
+        _fetch(units, text, wanted), "mini long, run long, n long, packed binary, w long, size long")
+    light = (dealt.filter(F.col("size") <= bucket_windows).select("mini", "run", "n", "packed", "w")
              .repartition("mini").sortWithinPartitions("mini")
-             .mapInArrow(_count_buckets(units, bucket_windows), "skey binary, at array<int>"))
-    wins = (dealt.filter(F.col("size") > bucket_windows).select("packed", "w")
-            .mapInArrow(_windows(units), "skey binary, at array<int>, win binary, w long"))
+             .mapInArrow(_count_buckets(units, bucket_windows), "mini long, run long, at array<int>"))
+    wins = (dealt.filter(F.col("size") > bucket_windows).select("mini", "run", "packed", "w")
+            .mapInArrow(_windows(units), "mini long, run long, at array<int>, win binary, w long"))
     twice = wins.groupBy("win").agg(F.sum("w").alias("c")).filter("c > 1").select("win")
-    heavy = wins.join(twice, "win").select("skey", "at")
-    hits = light.unionByName(heavy)
-    where = packed.select(F.unhex(F.md5("packed")).alias("skey"), "k", "start")
-    return (where.join(hits, "skey").groupBy("k")
-            .agg(F.collect_list(F.struct("start", "at")).alias("spans")))
+    heavy = wins.join(twice, "win").select("mini", "run", "at")
+    hits = alike.unionByName(light).unionByName(heavy)
+    return (found.join(hits, ["mini", "run"])
+            .select("k", F.struct(F.shiftright("span", 32).alias("start"), "at").alias("s"))
+            .groupBy("k").agg(F.collect_list("s").alias("spans")))
 
 
 def covered(spans, n: int, k: int) -> np.ndarray:
