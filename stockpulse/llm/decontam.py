@@ -168,7 +168,7 @@ def _shard_hits(seq: list[np.ndarray], p: Phrases) -> tuple[np.ndarray, np.ndarr
 def _scan(phrases, id_cols: list[str], text: str, names: list[str], shard_words: int):
     def run(batches):
         p = phrases.value
-        least = int(p.length.min(initial=0)) if len(p.length) else None
+        least = int(p.length.min()) if len(p.length) else None
         parts, docs, size = [], [], 0          # shard under construction
 
         def flush():

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stockpulse.operators import demand, evaluation as ev, forecast as fc, models as M
 from stockpulse.operators.boosting import TreeParams
-from stockpulse.plans.queries_models import _FEATS, _POS, top_features
+from stockpulse.plans.queries_models import _POS, top_features
 from stockpulse.plans.registry import register
 from stockpulse.session import scratch_path
 from stockpulse.sources.io import is_complete
