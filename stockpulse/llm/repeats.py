@@ -47,7 +47,7 @@ class Units:
     m: int                                  # units in a minimiser
     scan: Callable                          # (data, offsets) -> (unit hashes, first unit of each document)
     pack: Callable                          # (text bytes) -> (packed bytes, unit starts, unit ends in it)
-    count: Callable                         # ([(packed, weight)], k) -> [(row, window)] repeated window starts
+    count: Callable                         # ([(packed, weight)], k) -> (rows, windows) of repeated windows
 
 
 def minimiser_runs(hashes: np.ndarray, first: np.ndarray, k: int, m: int):
@@ -94,7 +94,7 @@ def _scan_runs(units: Units, key: str, text: str):
 
 
 def _fetch(units: Units, text: str, wanted: str):
-    """The packed strings a document is to send: (mini, run, w, size) each, once."""
+    """The packed strings a document is to send: (mini, run, w) each, once."""
     def run(batches):
         for batch in batches:
             for part in bs.slices(batch, text):
@@ -120,7 +120,7 @@ def _fetch(units: Units, text: str, wanted: str):
                 src = pa.array(order[found[pick]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mini[pick]), pa.array(whole[pick]), pa.array(size[pick]), pa.array(strings, pa.binary()),
-                     flat.field("w").take(src), flat.field("size").take(src)], ["mini", "run", "n", "packed", "w", "size"])
+                     flat.field("w").take(src)], ["mini", "run", "n", "packed", "w"])
     return run
 
 
@@ -139,7 +139,7 @@ def _windows(units: Units):
                 seen: dict[bytes, list[int]] = {}
                 for j in range(len(begin) - units.k + 1):
                     seen.setdefault(packed[begin[j]:end[j + units.k - 1]], []).append(j)
-                rows += [(mini, whole, js, hashlib.md5(s).digest(), w * len(js)) for s, js in seen.items()]
+                rows += [(mini, whole, js, [j + 1 for j in js], hashlib.md5(s).digest(), w * len(js)) for s, js in seen.items()]
                 if len(rows) > 20_000:
                     yield _win_batch(rows)
                     rows = []
@@ -149,21 +149,28 @@ def _windows(units: Units):
 
 
 def _win_batch(rows):
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["mini", "run", "at", "win", "w"])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                      ["mini", "run", "lo", "hi", "win", "w"])
 
 
 def _count_buckets(units: Units, chunk_windows: int):
     """Rows arrive sorted by minimiser; whole minimisers are gathered to chunks
     of bounded size (a bucket over the bound does not come here)."""
     def solve(rows):
-        by_row: dict[int, list[int]] = {}
-        for r, j in units.count([(p, w) for _, _, p, w in rows], units.k):
-            by_row.setdefault(r, []).append(j)
-        if by_row:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[r][0] for r in by_row], pa.int64()), pa.array([rows[r][1] for r in by_row], pa.int64()),
-                 pa.array(list(by_row.values()), pa.list_(pa.int32()))], ["mini", "run", "at"])
+        r, j = units.count([(p, w) for _, _, p, w in rows], units.k)
+        if not len(r):
+            return
+        order = np.lexsort((j, r))
+        r, j = r[order], j[order]
+        head = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (j[1:] != j[:-1] + 1)))     # of a range of windows
+        lo, hi, of = j[head], j[np.append(head[1:], len(j)) - 1] + 1, r[head]
+        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))                              # of a row's ranges
+        offs = pa.array(np.append(cut, len(of)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows[i][0] for i in of[cut]], pa.int64()), pa.array([rows[i][1] for i in of[cut]], pa.int64()),
+             pa.ListArray.from_arrays(offs, pa.array(lo, pa.int32())), pa.ListArray.from_arrays(offs, pa.array(hi, pa.int32()))],
+            ["mini", "run", "lo", "hi"])
 
     def run(batches):
         rows, total, last = [], 0, None
@@ -183,8 +190,8 @@ def _count_buckets(units: Units, chunk_windows: int):
 def repeated_starts(docs: DataFrame, key: str, text: str, units: Units,
                     bucket_windows: int = 50_000) -> DataFrame:
     """docs + `key` (a 64-bit id of the row) -> (k, spans): for every document
-    with repeated windows, a list of (start, at) where start + at[i] are the
-    first units of its repeated windows."""
+    with repeated windows, a list of (start, lo, hi): the windows that begin at
+    start + lo[i] up to start + hi[i] - 1 repeat."""
     runs = written(docs.select(key, text).mapInArrow(
         _scan_runs(units, key, text), "mini long, run long, k long, span long, n long"), f"{units.name}-runs")
     often = runs.groupBy("mini").agg(F.sum("n").alias("c")).filter("c > 1").select("mini")
@@ -196,31 +203,41 @@ def repeated_starts(docs: DataFrame, key: str, text: str, units: Units,
     known = distinct.join(size, "mini")
     # a minimiser whose runs are all the same string: every window of it repeats
     alike = known.filter("strings = 1 and places > 1") \
-        .select("mini", "run", F.sequence(F.lit(0), F.col("n").cast("int") - 1).alias("at"))
+        .select("mini", "run", F.array(F.lit(0)).alias("lo"), F.array(F.col("n").cast("int")).alias("hi"))
     # otherwise the strings differ (or a lone one may repeat inside itself): each is sent once
     wanted = unused("wanted", docs.columns)
-    lists = (known.filter("strings > 1 or places = 1").groupBy("k")
-             .agg(F.collect_list(F.struct("mini", "run", "w", "size")).alias(wanted)).withColumnRenamed("k", key))
-    dealt = docs.join(lists, key).mapInArrow(
-        _fetch(units, text, wanted), "mini long, run long, n long, packed binary, w long, size long")
-    light = (dealt.filter(F.col("size") <= bucket_windows).select("mini", "run", "n", "packed", "w")
-             .repartition("mini").sortWithinPartitions("mini")
-             .mapInArrow(_count_buckets(units, bucket_windows), "mini long, run long, at array<int>"))
-    wins = (dealt.filter(F.col("size") > bucket_windows).select("mini", "run", "packed", "w")
-            .mapInArrow(_windows(units), "mini long, run long, at array<int>, win binary, w long"))
+    differ = known.filter("strings > 1 or places = 1")
+
+    def sent(rows):
+        lists = (rows.groupBy("k").agg(F.collect_list(F.struct("mini", "run", "w")).alias(wanted))
+                 .withColumnRenamed("k", key))
+        return docs.join(lists, key).mapInArrow(_fetch(units, text, wanted),
+                                                "mini long, run long, n long, packed binary, w long")
+
+    light = (sent(differ.filter(F.col("size") <= bucket_windows)).repartition("mini").sortWithinPartitions("mini")
+             .mapInArrow(_count_buckets(units, bucket_windows), "mini long, run long, lo array<int>, hi array<int>"))
+    wins = sent(differ.filter(F.col("size") > bucket_windows)).mapInArrow(
+        _windows(units), "mini long, run long, lo array<int>, hi array<int>, win binary, w long")
     twice = wins.groupBy("win").agg(F.sum("w").alias("c")).filter("c > 1").select("win")
-    heavy = wins.join(twice, "win").select("mini", "run", "at")
+    heavy = wins.join(twice, "win").select("mini", "run", "lo", "hi")
     hits = alike.unionByName(light).unionByName(heavy)
     return (found.join(hits, ["mini", "run"])
-            .select("k", F.struct(F.shiftright("span", 32).alias("start"), "at").alias("s"))
+            .select("k", F.struct(F.shiftright("span", 32).alias("start"), "lo", "hi").alias("s"))
             .groupBy("k").agg(F.collect_list("s").alias("spans")))
 
 
-def covered(spans, n: int, k: int) -> np.ndarray:
-    """Mask of the n units that lie in a repeated window."""
-    step = np.zeros(n + 1, dtype=np.int64)
-    for s in spans or ():
-        at = np.asarray(s["at"], dtype=np.int64) + s["start"]
-        np.add.at(step, at, 1)
-        np.add.at(step, at + k, -1)
+def covered(spans: pa.Array, rows: np.ndarray, units: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the units of several documents (units[d] each, one after the
+    other) that lie in a repeated window. spans: one list per document; rows: the
+    documents that have one."""
+    begin = np.append(0, np.cumsum(units))
+    step = np.zeros(int(begin[-1]) + 1, dtype=np.int32)
+    if len(rows):
+        lists = spans.take(pa.array(rows))
+        flat = lists.flatten()
+        owner = np.repeat(rows, np.diff(np.asarray(lists.offsets)))
+        lo, hi = flat.field("lo"), flat.field("hi")
+        at = np.repeat(begin[owner] + np.asarray(flat.field("start")), np.diff(np.asarray(lo.offsets)))
+        np.add.at(step, at + np.asarray(lo.flatten()), 1)
+        np.add.at(step, at + np.asarray(hi.flatten()) - 1 + k, -1)
     return np.cumsum(step[:-1]) > 0

@@ -54,7 +54,8 @@ def _count(rows, k):
         same = list(same)
         if len(same) > 1 or same[0][3] > 1:
             out += [(r, j) for _, r, j, _ in same]
-    return out
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def word_units(k: int = WINDOW_WORDS, m: int = MINIMISER_WORDS) -> Units:
@@ -63,20 +64,17 @@ def word_units(k: int = WINDOW_WORDS, m: int = MINIMISER_WORDS) -> Units:
 
 def _finish(key: str, text: str, spans: str, k: int, names: list[str]):
     def run(batches):
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            marks = batch.column(spans).to_pylist()
-            n_words, n_removed, kept = [], [], []
-            for t, sp in zip(texts, marks):
-                ws = t.encode().split() if t else []
-                n_words.append(len(ws))
-                if sp:
-                    gone = covered(sp, len(ws), k)
-                    n_removed.append(int(gone.sum()))
-                    ws = [w for w, g in zip(ws, gone.tolist()) if not g]
-                else:
-                    n_removed.append(0)
-                kept.append(b" ".join(ws))
+        for batch in (part for whole in batches for part in bs.slices(whole, text)):
+            docs = [t.encode().split() if t else [] for t in batch.column(text).to_pylist()]
+            n_words = np.array([len(ws) for ws in docs])
+            marks = batch.column(spans)
+            rows = np.flatnonzero(np.asarray(marks.is_valid()))
+            gone = covered(marks, rows, n_words, k)
+            begin = np.append(0, np.cumsum(n_words))
+            n_removed = np.diff(np.append(0, np.cumsum(gone))[begin])
+            for d in np.flatnonzero(n_removed):
+                docs[d] = [w for w, g in zip(docs[d], gone[begin[d]:begin[d + 1]].tolist()) if not g]
+            kept = [b" ".join(ws) for ws in docs]
             keep = [c for c in batch.schema.names if c not in (key, spans)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]

@@ -120,7 +120,7 @@ def _count(rows, k):
     row = np.repeat(np.arange(len(rows)), np.diff(begin))
     order = order[order + k <= begin[row[order] + 1]]          # positions where a window starts
     if len(order) == 0:
-        return []
+        return order, order
     view = np.lib.stride_tricks.sliding_window_view(data, k)
     same = np.zeros(len(order) + 1, dtype=bool)
     for a in range(1, len(order), 8192):
@@ -128,7 +128,7 @@ def _count(rows, k):
         same[a:b] = (view[order[a:b]] == view[order[a - 1:b - 1]]).all(axis=1)
     hit = same[:-1] | same[1:] | (weight[row[order]] > 1)
     at = order[hit]
-    return zip(row[at].tolist(), (at - begin[row[at]]).tolist())
+    return row[at], at - begin[row[at]]
 
 
 def byte_units(k: int = WINDOW_BYTES, m: int = MINIMISER_BYTES) -> Units:
@@ -137,20 +137,19 @@ def byte_units(k: int = WINDOW_BYTES, m: int = MINIMISER_BYTES) -> Units:
 
 def _finish(key, text, spans, k, names):
     def run(batches):
-        for batch in batches:
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for t, sp in zip(batch.column(text).to_pylist(), batch.column(spans).to_pylist()):
-                raw = (t or "").encode()
-                n_bytes.append(len(raw))
-                if sp:
-                    gone = covered(sp, len(raw), k)
-                    n_removed.append(int(gone.sum()))
-                    n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                else:
-                    n_removed.append(0)
-                    n_spans.append(0)
-                kept.append(raw)
+        for batch in (part for whole in batches for part in bs.slices(whole, text)):
+            data, offs = bs.text_column(batch.column(text))
+            marks = batch.column(spans)
+            gone = covered(marks, np.flatnonzero(np.asarray(marks.is_valid())), np.diff(offs), k)
+            first = gone.copy()                       # first byte of a removed run; runs end with their document
+            first[1:] &= ~gone[:-1]
+            first[offs[:-1][offs[:-1] < len(gone)]] = gone[offs[:-1][offs[:-1] < len(gone)]]
+            n_bytes = np.diff(offs)
+            n_removed = np.diff(np.append(0, np.cumsum(gone))[offs])
+            n_spans = np.diff(np.append(0, np.cumsum(first))[offs])
+            left = data[~gone].tobytes()
+            ends = np.append(0, np.cumsum(n_bytes - n_removed)).tolist()
+            kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:])]
             keep = [c for c in batch.schema.names if c not in (key, spans)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]
