@@ -120,8 +120,11 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, so that
-    functions of it run on executors where it is not installed."""
+    functions of it run on executors where it is not installed (Spark's own file
+    server distributes the archive), and bound the batches they get."""
     sc = spark.sparkContext
+    # rows of a document table are large: smaller batches bound a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if _shipped.get("to") == sc.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
