@@ -16,7 +16,7 @@ import pyarrow as pa
 # Odd multiplier and its inverse mod 2**64 for the prefix-sum hash.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10      # text scanned at once; a scan holds some 100 bytes for each
 
 # [^\x20\x09-\x0D]+ : any byte but ASCII white space (bytes >= 0x80 belong to words)
 NOT_SPACE = np.ones(256, dtype=bool)

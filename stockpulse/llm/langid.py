@@ -9,8 +9,8 @@ batch of documents is scored by matrix products: presence times landmarks times
 weights, where the last two are multiplied once.
 
 Bounds, all parameters: `landmarks` documents per language, `train_docs` per
-language, `gram_limit` n-grams (those in most landmarks). They bound the model, not
-the scoring: every whole text is scored.
+language, `gram_limit` n-grams (those in most landmarks), `max_langs` languages (the
+most frequent). They bound the model, not the scoring: every whole text is scored.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if
 nothing could be learned; ties go to the smaller language value; null languages
@@ -34,8 +34,8 @@ TRAIN_DOCS = 1024
 GRAM_LIMIT = 20_000
 RIDGE = 1e-3
 SEED = 10
+BATCH_DOCS = 128         # documents in a matrix product
 UND = "und"
-MIN_SCORE = 0.0
 
 # Alphabet of the n-grams: blank 0, a-z 1..26, bytes >= 0x80 27..154.
 SYMBOL = np.zeros(256, dtype=np.int64)
@@ -153,7 +153,7 @@ def _predict(model, text: str, names: list[str]):
     def run(batches):
         m = model.value
         for batch in batches:
-            for part in bs.slices(batch, text, 1 << 20):
+            for part in bs.slices(batch, text, 256 << 10):
                 data, offs = bs.text_column(part.column(text))
                 n = part.num_rows
                 pred, score = np.full(n, UND, dtype=object), np.zeros(n)
@@ -163,8 +163,8 @@ def _predict(model, text: str, names: list[str]):
                     if offs[i + 1] > offs[i]:
                         letters[i] = has_letter(data[offs[i]:offs[i + 1]].tobytes().decode())
                 if m is not None and letters.any():
-                    for a in range(0, n, 256):
-                        b = min(a + 256, n)
+                    for a in range(0, n, BATCH_DOCS):
+                        b = min(a + BATCH_DOCS, n)
                         raw = m.scores(data[offs[a]:offs[b]], offs[a:b + 1] - offs[a])
                         best = raw.argmax(axis=1)
                         top = raw[np.arange(b - a), best]
