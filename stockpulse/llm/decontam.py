@@ -36,7 +36,7 @@ from stockpulse.llm.scratch import unused
 
 PHRASE_WORDS = 13
 SHARD_WORDS = 1 << 18
-SHARD_SLICES = 32           # slices of text (2 MB each) in a shard at most
+SHARD_SLICES = 64           # slices of text (0.5 MB each) in a shard at most
 SAMPLE = 16
 BLOCK_BYTES = 8 << 20
 CONTAMINATED_SHARE = 20      # n_hit * 20 >= n_words
