@@ -217,13 +217,18 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One document of each class, with its columns as they are: the one with the
     smallest id (a null id last), of several rows with that id the one whose text
     hash is least; of identical rows one stays."""
-    fp, h = unused("fp", docs.columns), unused("h", docs.columns)
     rows = written(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
                                                 F.col(text_col).alias("text")), "text", "fp", shingle), "fingerprints")
     copies = rows.groupBy("fp", "id", "h").agg(F.count("*").alias("c"))
     nodes = written(copies.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h", "c"))
                                              .alias("least")), "fingerprint-nodes")
-    comp = connected_components(links(nodes.select("fp"), radius))
+    return keep_least(docs, nodes, connected_components(links(nodes.select("fp"), radius)), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, nodes: DataFrame, comp: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """nodes (fp, least: struct of n, id, h, c), comp (node, root): the documents
+    that `keep_one_per_class` keeps."""
+    fp, h = unused("fp", docs.columns), unused("h", docs.columns)
     c = unused("c", docs.columns)
     best = (nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
