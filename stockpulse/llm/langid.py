@@ -179,15 +179,18 @@ def _predict(model, text: str, names: list[str]):
 
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang",
           landmarks: int = LANDMARKS, train_docs: int = TRAIN_DOCS, max_langs: int = 256) -> Model | None:
-    """Fit on a sample of the `usable` rows: at most train_docs texts per
-    language, those whose seeded text hash is least. The hashes are cut off per
-    language from counts first, so a language of any size sends few rows."""
+    """Fit on a sample of the `usable` rows: at most train_docs distinct texts per
+    language, those whose seeded hash is least. The hashes are cut off per language
+    from the number of distinct texts first, so a language of any size sends few rows
+    and copies of one text thin out no others."""
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(max_langs).collect()
-    samples: dict[str, list[bytes]] = {}
     u = F.xxhash64(F.lit(SEED), text_col)
+    counts = (rows.groupBy(lang_col, u.alias("u")).agg(F.count("*").alias("n"))
+              .groupBy(lang_col).agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+              .orderBy(F.desc("n"), lang_col).limit(max_langs).collect())
+    samples: dict[str, list[bytes]] = {}
     for r in counts:
-        rate = min(1.0, 1.5 * train_docs / r["n"])
+        rate = min(1.0, 1.5 * train_docs / r["texts"])
         cut = int(-(1 << 63) + rate * ((1 << 64) - 1))
         cut = min(cut, (1 << 63) - 1)
         # copies of one text have one hash: distinct texts only, so a group of copies is one sample

@@ -268,6 +268,23 @@ def test_language_id(spark):
     assert langid.predict(d.limit(0), model).count() == 0
 
 
+def test_language_of_copies_is_learned(spark):
+    """Copies of few texts: the sample is cut by distinct texts, not by rows."""
+    texts = {"aa": ["abc bca cab acb"], "bb": [f"def fed {x} edf" for x in ("dd", "ee", "ff")],
+             "cc": [f"ghi hig igh{i}" for i in range(20)]}
+    rows = [(t, x) for x, some in texts.items() for t in some * (10_000 // len(some))]
+    d = spark.createDataFrame(rows, "text string, lang string")
+    seen = {}
+    fit, langid.fit = langid.fit, lambda samples, landmarks: seen.update(samples) or fit(samples, landmarks)
+    try:
+        model = langid.train(d, F.lit(True))
+    finally:
+        langid.fit = fit
+    assert {x: sorted(t.decode() for t in some) for x, some in seen.items()} == {x: sorted(t) for x, t in texts.items()}
+    got = langid.predict(d.distinct(), model)
+    assert got.filter("lang = lang_pred").count() == 24
+
+
 def test_nystroem_weights_equal_the_kernel_form():
     """Presence times collapsed weights is K(x, L) K(L,L)^(-1/2) beta + b."""
     rng = random.Random(8)
