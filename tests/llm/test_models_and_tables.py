@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import brute
 from conftest import SF_SMALL
 from stockpulse.llm import embed_dedup, langid, mixing, quality, queries, toxicity, url_filter
-from stockpulse.llm.sampling import fold
+from stockpulse.llm.sampling import bounded_ids, fold
 from stockpulse.session import ship_package
 
 
@@ -207,6 +207,24 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_toxicity_counts_all_labelled_documents(spark):
+    """A word of toxic documents that a sample of 4,096 per class would leave out."""
+    rows = [(i, i % 2) for i in range(12_500)]
+    lab = spark.createDataFrame(rows, "doc_id long, toxic int")
+    lm = lab.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).withColumn("f", fold("id", 5)).filter("f in (1, 2, 3)")
+    lm = lm.unionByName(spark.range(20_001, 34_001, 2).select("id", F.lit(1).alias("y"), fold("id", 5).alias("f")).filter("f in (1, 2, 3)"))
+    lab = lab.unionByName(spark.range(20_001, 34_001, 2).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")))
+    all_ids = {r["id"] for r in lm.filter("y = 1").collect()}
+    left_out = all_ids - {r["id"] for r in bounded_ids(lm, 1, 4096, toxicity.SEED).collect()}
+    assert len(left_out) > 200
+    docs = [(r["doc_id"], f"plain text {r['doc_id']}" + (" grobl" if r["toxic"] else " fine")
+             + (" vexx" if r["doc_id"] in left_out else "")) for r in lab.collect()]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), lab)
+    word, _ = toxicity.tokens(np.frombuffer(b"vexx", np.uint8), np.array([0, 4]))
+    at = np.flatnonzero(model.words == word[0])
+    assert len(at) == 1 and model.ratio[at[0]] > 0
+
+
 def test_quality(spark):
     rng = random.Random(6)
     words = word_list(rng, "abcdefghijklmno", 500)
