@@ -1,4 +1,4 @@
-"""The ten operators as registered queries: thin wrappers that apply an operator
+"""The operators as registered queries: thin wrappers that apply an operator
 with production parameters to its whole table and derive the contract's columns."""
 
 from __future__ import annotations
@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockpulse.llm import (decontam, embed_dedup, langid, mixing, quality, simhash, substr_dedup, suffix_dedup,
-                            toxicity, url_filter)
+from stockpulse.llm import (collocations, decontam, embed_dedup, langid, mixing, mtree, quality, reversed_search,
+                            simhash, substr_dedup, suffix_dedup, toxicity, url_filter)
 from stockpulse.llm.sampling import fold
 from stockpulse.session import ship_package
 
@@ -130,7 +130,86 @@ FROM p LEFT JOIN (SELECT DISTINCT * FROM b WHERE k = 1) b
   ON p.page_id IS NOT DISTINCT FROM b.page_id AND p.host = b.host AND p.path = b.path
 """
 
+
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    out = mtree.search(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP11_SQL = r"""
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS q, row_number() OVER () AS line
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.line, a.vec_id AS query_id, b.vec_id,
+             list_sum([p[1] * p[2] for p in list_zip(a.q, b.q)])::BIGINT AS score
+      FROM v a JOIN v b ON a.line <> b.line AND len(a.q) = len(b.q) AND a.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+WHERE rank <= 20
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score."""
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w), (VALUES (1), (2), (3)) AS t(m)
+      WHERE i + m - 1 <= len(words) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS words, f AS a FROM g WHERE m > 1 AND f >= 10),
+k AS (SELECT c.*, unnest(range(1, m)) AS cut FROM c),
+x AS (SELECT k.lang, k.m, k.phrase, k.words, k.a, cut, l.f AS l, r.f AS r,
+             ((1000000::HUGEINT * k.a * k.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(k.words[1:cut], ' ')
+             JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(k.words[cut + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, phrase, max(a) AS longer
+      FROM (SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, a
+            FROM c WHERE m = 3) GROUP BY 1, 2),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+      FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score."""
+    out = reversed_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS line,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+f AS (SELECT line, doc_id, len(terms) AS n, term, count(*) AS tf
+      FROM (SELECT line, doc_id, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+i AS (SELECT DISTINCT item_id, text, unnest(list_distinct(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term, docs),
+x AS (SELECT item_id, text, line, doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+      FROM i JOIN f USING (term) JOIN w USING (term), s GROUP BY 1, 2, 3, 4)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM x WHERE score > 0) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_substring_dedup, op3_url_filters, op4_toxicity, op5_simhash_near_dedup,
-    op6_quality, op7_suffix_array_dedup, op8_mix_sources, op9_benchmark_decontamination, op10_language_id)}
-SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op8_mix_sources": OP8_SQL}
+    op6_quality, op7_suffix_array_dedup, op8_mix_sources, op9_benchmark_decontamination, op10_language_id,
+    op11_exact_top_k, op12_collocations, op13_ranked_search)}
+SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op8_mix_sources": OP8_SQL, "op11_exact_top_k": OP11_SQL,
+                       "op12_collocations": OP12_SQL, "op13_ranked_search": OP13_SQL}
