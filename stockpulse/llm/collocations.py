@@ -9,10 +9,12 @@ further pass counts what the larger proposal and border add, until no border fai
 Every frequent phrase has frequent parts, so nothing is missed; a phrase is
 counted in exactly one pass, over all documents, so all counts are exact.
 
-The proposals are sent to the tasks as Bloom filters of a bounded size. A false positive
-counts a phrase that need not have been counted; a proposal is never missed. Inside a
-task phrases are numbers of word numbers (no hashing of phrases); counts are combined
-there before the shuffle, which carries only words and phrases with proposed parts.
+The proposals are sent to the tasks as Bloom filters of a bounded size, one set per pass. A
+false positive counts a phrase that need not have been counted; a proposal is never missed.
+In the full pass phrases are numbers of word numbers inside a task (no hashing of phrases), and
+counts are combined there, once per `FLUSH_WORDS` words, before the shuffle, which carries
+only words and phrases with proposed parts. The expansion passes look for words and phrases that
+the last filter added, by hash, and read the words themselves only around those.
 
 Texts: A-Z lower-cased, split at `.,;:!?` and line breaks (0x0A-0x0D) into pieces, those at space
 and tab into words. Score of a phrase of count a cut into parts of counts l and r:
@@ -26,13 +28,14 @@ below 10**15. Only the named columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +50,33 @@ SLACK = 0.8                # lowered threshold: this share of the count expected
 SHARE = 50                 # percent of a phrase's count that a longer one needs to replace it
 TOP = 2000
 SEED = 12
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 FILTER_BITS = (1 << 20, 1 << 28)    # least and largest Bloom filter
 FILTER_PROBES = 4
 OUT_ROWS = 200_000
+HELD_PHRASES = 200_000       # distinct phrases an expansion pass holds before it sends them
 
 BREAK = b"."
 PIECE_TABLE = tokens.table(b".,;:!?\x0a\x0b\x0c\x0d", BREAK, (b"\t", b" "))
 
 
-def word_hash(word: bytes, lang: str) -> int:
-    return xxhash.xxh64_intdigest(word, zlib.crc32(lang.encode()))
+INSIDE = np.ones(256, dtype=bool)      # bytes of words
+INSIDE[list(b" \t" + b".,;:!?\x0a\x0b\x0c\x0d")] = False
+ENDS_PIECE = ~INSIDE
+ENDS_PIECE[list(b" \t")] = False
+
+
+SKIPPED, WORD = rb"[ \t.,;:!?\x0a-\x0d]*", rb"[^ \t.,;:!?\x0a-\x0d]+"
+
+
+def seeds(langs: list[str]) -> np.ndarray:
+    return bs.mix(np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) + 1 for x in langs], dtype=np.uint64))
+
+
+def word_hashes(words: list[bytes], seed: np.ndarray) -> np.ndarray:
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    end = np.cumsum(size)
+    return bs.mix(bs.word_hashes(np.frombuffer(b"".join(words), np.uint8), end - size, end) ^ seed)
 
 
 def extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -67,30 +86,30 @@ def extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 class Bloom:
     def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits          # 64-bit words
+        self.bits = bits          # 64-bit words, a power of two of them
 
     @staticmethod
-    def places(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word index and mask of every probe of every hash."""
-        step = bs.mix(h) | np.uint64(1)
-        at = (h[:, None] + step[:, None] * np.arange(FILTER_PROBES, dtype=np.uint64)) % np.uint64(64 * words)
-        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+    def place(h: np.ndarray, probe: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word index and mask of one probe of every hash."""
+        at = h if probe == 0 else h + (bs.mix(h) | np.uint64(1)) * np.uint64(probe)
+        return ((at >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        i, mask = self.places(h, len(self.bits))
-        return ((self.bits[i] & mask) == mask).all(axis=1)
-
-
-class Proposal:
-    """Filters of the proposed phrases by length. `old` filters were counted before."""
-
-    def __init__(self, new: list[Bloom], old: list[Bloom] | None) -> None:
-        self.new, self.old = new, old
-
-    def accepts(self, length: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(proposed now, proposed in an earlier pass) of phrases of that length."""
-        new = self.new[length - 1].has(h)
-        return new, self.old[length - 1].has(h) if self.old else np.zeros(len(h), dtype=bool)
+        out = np.zeros(len(h), dtype=bool)
+        left = np.arange(len(h))
+        for probe in range(FILTER_PROBES):
+            i, mask = self.place(h[left], probe, len(self.bits))
+            left = left[(self.bits[i] & mask) != 0]
+        out[left] = True
+        return out
+
+
+def any_has(filters: list[Bloom], h: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h), dtype=bool)
+    for f in filters:
+        rest = np.flatnonzero(~out)
+        out[rest] = f.has(h[rest])
+    return out
 
 
 class _Buffer:
@@ -106,51 +125,45 @@ class _Buffer:
             self.words.extend([number.setdefault(w, len(number)) for w in part.replace(BREAK, b" . ").split()])
         self.words.append(0)
 
-    def counts(self, lang: str, longest: int, proposal: Proposal | None, with_words: bool):
-        """(length, phrases, counts) of everything this pass has to count; length 0 is
-        the number of words."""
+    def counts(self, lang: str, longest: int, proposed: list[Bloom] | None):
+        """(keys, counts) of the words, of the phrases with proposed parts, and under the empty
+        phrase of the number of words. A key is the language, a tab and the phrase."""
         a = np.frombuffer(self.words, dtype=np.int64)
-        texts = pa.array(list(self.number), pa.binary())
-        c = np.bincount(a, minlength=len(self.number))
-        if with_words:
-            yield 0, pa.array([b""], pa.binary()), np.array([c[1:].sum()])
-            yield 1, texts[1:], c[1:]
-        wh = np.array([word_hash(w, lang) for w in self.number], dtype=np.uint64) if proposal else None
-        # per position: the phrase of the length before that starts here (-1: none), per phrase: text, hash
-        at, phrase, h = np.where(a > 0, a, -1), texts, wh
+        prefix = lang.encode("utf-8", "surrogatepass") + b"\t"
+        words = list(self.number)
+        texts = pa.array(words, pa.binary())
+        c = np.bincount(a, minlength=len(words))
+        yield pa.array([prefix], pa.binary()), np.array([c[1:].sum()])
+        phrase = pa.array([prefix + w for w in words], pa.binary())
+        yield phrase[1:], c[1:]
+        wh = h = word_hashes(words, seeds([lang])) if proposed else None
+        at = np.where(a > 0, a, -1)        # the phrase of the length before that starts here
         for length in range(2, longest + 1):
-            now = before = None
-            if proposal:
-                now, before = proposal.accepts(length - 1, h)
-                now[0] &= length > 2          # number 0 is the break between pieces
-                at = np.where((at >= 0) & now[at], at, -1)
-            tail = a[length - 1:]
-            both = np.flatnonzero((at[:len(tail)] >= 0) & (at[1:len(tail) + 1] >= 0 if length > 2 else tail > 0)) \
-                if len(tail) else np.zeros(0, np.int64)
-            if length == 2 and len(both):
-                both = both[at[both + 1] >= 0]
+            if proposed:
+                ok = np.append(proposed[length - 2].has(h), False)    # the last place: none
+                at = np.where(ok[at], at, -1)
+            both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
             if not len(both):
                 return
-            key, first, inv, count = np.unique(at[both] * len(self.number) + tail[both], return_index=True,
-                                               return_inverse=True, return_counts=True)
-            head, last = key // len(self.number), key % len(self.number)
-            longer = pc.binary_join_element_wise(phrase.take(pa.array(head)), texts.take(pa.array(last)), b" ")
-            if proposal:
-                # the phrase's own second part starts one place on
-                rest = at[both[first] + 1]
-                fresh = ~(before[head] & before[rest])
-                h = extended(h[head], wh[last])
-                yield length, longer.filter(pa.array(fresh)), count[fresh]
+            key, last = at[both] * len(words) + a[both + length - 1], length == longest
+            if last:
+                key, count = np.unique(key, return_counts=True)
             else:
-                yield length, longer, count
-            nxt = np.full(len(a), -1, dtype=np.int64)
-            nxt[both] = inv
-            at, phrase = nxt, longer
-
-
-def _count(longest: int, shared, with_words: bool):
+                key, inv, count = np.unique(key, return_inverse=True, return_counts=True)
+            head, tail = key // len(words), key % len(words)
+            phrase = pc.binary_join_element_wise(phrase.take(pa.array(head)), texts.take(pa.array(tail)), b" ")
+            yield phrase, count
+            if not last:
+                h = extended(h[head], wh[tail]) if proposed else None
+                at = np.full(len(a), -1, dtype=np.int64)
+                at[both] = inv
+
+
+def _count(longest: int, shared):
+    """Partial counts (key, f) of all words and of the phrases whose parts are proposed (all
+    phrases without a proposal)."""
     def run(batches):
-        proposal = shared.value if shared is not None else None
+        proposed = shared.value if shared is not None else None
         held: dict[str, _Buffer] = {}
         size = 0
         for batch in batches:
@@ -161,63 +174,147 @@ def _count(longest: int, shared, with_words: bool):
                     buf.add(text)
                     size += len(buf.words) - was
                 if size >= FLUSH_WORDS:
-                    yield from _emit(held, longest, proposal, with_words)
+                    yield from _emit(held, longest, proposed)
                     held, size = {}, 0
-        yield from _emit(held, longest, proposal, with_words)
+        yield from _emit(held, longest, proposed)
     return run
 
 
-def _emit(held, longest, proposal, with_words):
+def _emit(held, longest, proposed):
     for lang, buf in held.items():
-        for length, phrases, count in buf.counts(lang, longest, proposal, with_words):
-            for i in range(0, len(phrases), OUT_ROWS):
-                p = phrases.slice(i, OUT_ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(p), pa.string()), pa.array(np.full(len(p), length, np.int32)),
-                     p.cast(pa.string()), pa.array(count[i:i + OUT_ROWS].astype(np.int64))], ["lang", "m", "phrase", "f"])
+        for keys, count in buf.counts(lang, longest, proposed):
+            for i in range(0, len(keys), OUT_ROWS):
+                yield _rows(keys.slice(i, OUT_ROWS), count[i:i + OUT_ROWS])
+
+
+def _rows(keys, count) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(np.asarray(count, dtype=np.int64))], ["key", "f"])
+
+
+def _expand(longest: int, shared):
+    """Partial counts of the phrases that the last proposal adds: both longest parts proposed,
+    not both before."""
+    def run(batches):
+        before, added = shared.value         # per length: earlier filters, the last one
+        held: Counter = Counter()
+        for batch in batches:
+            for here, texts, own in _sliced(batch, longest):
+                data, offsets = bs.text_column(texts)
+                start, end, of = bs.words(data, offsets, INSIDE)
+                if not len(start):
+                    continue
+                lower = bs.LOWER[data]
+                doc = np.repeat(np.arange(len(here)), np.diff(of))
+                mine = start - offsets[doc] < own[doc]
+                piece = np.cumsum(ENDS_PIECE[data])[start] + doc        # grows at each end of a piece
+                h = wh = bs.mix(bs.word_hashes(lower, start, end) ^ seeds(here)[doc])
+                raw = None
+                for length in range(2, longest + 1):
+                    n = len(start) - length + 1
+                    if n <= 0:
+                        break
+                    # positions of parts (one word shorter) that are new, and the phrases around them
+                    new = np.flatnonzero(added[length - 2].has(h))
+                    at = np.unique(np.concatenate([new, new - 1]))
+                    at = at[(at >= 0) & (at < n)]
+                    at = at[(piece[at] == piece[at + length - 1]) & (doc[at] == doc[at + length - 1])]
+                    old = [any_has(before[length - 2], h[at + j]) for j in (0, 1)]
+                    now = [old[j] | added[length - 2].has(h[at + j]) for j in (0, 1)]
+                    at = at[now[0] & now[1] & ~(old[0] & old[1]) & mine[at]]
+                    if len(at) and raw is None:
+                        raw = lower.tobytes()
+                    for i in at.tolist():
+                        words = [raw[x:y] for x, y in zip(start[i:i + length].tolist(), end[i:i + length].tolist())]
+                        held[here[doc[i]], b" ".join(words)] += 1
+                    h = extended(h[:n], wh[length - 1:])
+            if len(held) > HELD_PHRASES:
+                yield _held(held)
+                held.clear()
+        yield _held(held)
+    return run
+
+
+def _sliced(batch, longest: int):
+    """(languages, texts, bytes of each text in which its phrases start): the rows in slices. A text
+    longer than a slice comes as parts with the words behind them that their last phrases need."""
+    langs, col = batch.column(0).to_pylist(), batch.column(1)
+    if max((len(t) for t in col.to_pylist() if t), default=0) <= bs.SLICE_BYTES // 4:
+        first = 0
+        for part in bs.slices(batch, "text"):
+            texts = part.column("text")
+            yield langs[first:first + part.num_rows], texts, np.diff(bs.text_column(texts)[1])
+            first += part.num_rows
+        return
+    behind = re.compile(b"(?:" + SKIPPED + WORD + b"){0,%d}" % (longest - 1))
+    for lang, text in zip(langs, col.to_pylist()):
+        data, at = (text or "").encode("utf-8", "surrogatepass"), 0
+        for part in tokens.parts(data, b" \t\n.,", bs.SLICE_BYTES):
+            to = behind.match(data, at + len(part)).end()
+            yield [lang], pa.array([data[at:to]], pa.binary()).view(pa.string()), np.array([len(part)])
+            at += len(part)
+
+
+def _held(held) -> pa.RecordBatch:
+    return _rows(pa.array([lang.encode("utf-8", "surrogatepass") + b"\t" + p for lang, p in held], pa.binary()),
+                 np.fromiter(held.values(), dtype=np.int64, count=len(held)))
+
+
+def phrase_hashes(batch: pa.RecordBatch, length: int) -> np.ndarray:
+    """Hashes of the phrases (lang, phrase) of one length."""
+    words = [w for p in batch.column("phrase").to_pylist() for w in p.encode("utf-8", "surrogatepass").split(b" ")]
+    h = word_hashes(words, np.repeat(seeds(batch.column("lang").to_pylist()), length)).reshape(-1, length)
+    out = h[:, 0]
+    for j in range(1, length):
+        out = extended(out, h[:, j])
+    return out
+
+
+def _unproposed(length: int, shared):
+    """The phrases of that length that no filter has."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(~any_has(shared.value[length - 1], phrase_hashes(batch, length))))
+    return run
 
 
 def _places(length: int, words: int):
     """Filter words (index, bits) of phrases, combined per batch."""
     def run(batches):
         for batch in batches:
-            known: dict[tuple[str, bytes], int] = {}
-            hs = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row = []
-                for w in phrase.encode().split(b" "):
-                    if (lang, w) not in known:
-                        known[lang, w] = word_hash(w, lang)
-                    row.append(known[lang, w])
-                hs.append(row)
-            h = np.array(hs, dtype=np.uint64).reshape(-1, length)
-            acc = h[:, 0]
-            for j in range(1, length):
-                acc = extended(acc, h[:, j])
-            i, mask = (x.ravel() for x in Bloom.places(acc, words))
-            order = np.argsort(i, kind="stable")
+            if not batch.num_rows:
+                continue
+            h = phrase_hashes(batch, length)
+            i, mask = (np.concatenate(x) for x in zip(*(Bloom.place(h, p, words) for p in range(FILTER_PROBES))))
+            order = np.argsort(i)
             u, first = np.unique(i[order], return_index=True)
-            bits = np.bitwise_or.reduceat(mask[order], first) if len(u) else np.zeros(0, np.uint64)
+            bits = np.bitwise_or.reduceat(mask[order], first)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(bits.view(np.int64))], ["i", "bits"])
     return run
 
 
-def bloom(frequent: DataFrame, length: int, words: int) -> Bloom:
-    """Filter over the phrases (lang, m, phrase) of one length; at most `words` rows reach the driver."""
-    got = (frequent.filter(F.col("m") == length).select("lang", "phrase")
-           .mapInArrow(_places(length, words), "i long, bits long")
-           .groupBy("i").agg(F.bit_or("bits").alias("bits")).toArrow())
+def bloom(phrases: DataFrame, length: int, filter_bits: tuple[int, int]) -> tuple[Bloom, int]:
+    """(filter over the phrases (lang, phrase) of one length, how many they are). The filter has
+    16 to 32 bits a phrase within the limits; its words are all that reaches the driver."""
+    count = phrases.count()
+    words = min(max(1 << (16 * count).bit_length(), filter_bits[0]), filter_bits[1]) >> 6
     bits = np.zeros(words, dtype=np.uint64)
-    bits[np.asarray(got.column("i").combine_chunks())] = np.asarray(got.column("bits").combine_chunks()).view(np.uint64)
-    return Bloom(bits)
+    if count:
+        got = (phrases.select("lang", "phrase").mapInArrow(_places(length, words), "i long, bits long")
+               .groupBy("i").agg(F.bit_or("bits").alias("bits")).toArrow())
+        bits[np.asarray(got.column("i").combine_chunks())] = np.asarray(got.column("bits").combine_chunks()).view(np.uint64)
+    return Bloom(bits), count
 
 
-def _summed(rows: DataFrame, longest: int, least: int, proposal, with_words: bool, name: str) -> DataFrame:
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(proposal) if proposal is not None else None
-    return written(rows.mapInArrow(_count(longest, shared, with_words), "lang string, m int, phrase string, f long")
-                   .groupBy("lang", "m", "phrase").agg(F.sum("f").alias("f"))
-                   .filter((F.col("f") >= least) | (F.col("m") == 0)), name)
+def _summed(partial: DataFrame, least: int, name: str) -> DataFrame:
+    """(lang, m, phrase, f) with f >= least, and the rows m = 0. The tasks have combined their
+    counts; another combination in front of the shuffle would find few equal phrases."""
+    phrase = F.substring_index("key", "\t", -1)
+    return written(
+        partial.repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
+        .filter((F.col("f") >= least) | F.endswith("key", F.lit("\t")))
+        .select(F.expr("left(key, char_length(key) - char_length(substring_index(key, '\t', -1)) - 1)").alias("lang"),
+                F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("m"), phrase.alias("phrase"), "f"), name)
 
 
 def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -230,22 +327,25 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cut = round(sample_rate * (1 << 31))
     sample = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 31)) < cut).select("lang", "text")
     rows = rows.select("lang", "text")
+    sc, lengths = docs.sparkSession.sparkContext, range(1, max_words)
     least = max(1, int(sample_rate * min_count * slack))
-    proposed = _summed(sample, max_words - 1, least, None, True, "phrases-sample")
-    sizes = dict(proposed.groupBy("m").count().toPandas().itertuples(index=False))
-    words = [min(max(1 << (16 * int(sizes.get(m, 0))).bit_length(), filter_bits[0]), filter_bits[1]) >> 6
-             for m in range(1, max_words)]
-    new, old = [bloom(proposed, m, w) for m, w in enumerate(words, 1)], None
-    known, passes = None, 0
+    proposed = _summed(sample.mapInArrow(_count(max_words - 1, None), "key string, f long"), least, "phrases-sample")
+    filters = [[bloom(proposed.filter(F.col("m") == m), m, filter_bits)[0]] for m in lengths]
+    shared = sc.broadcast([f[0] for f in filters])
+    known = found = _summed(rows.mapInArrow(_count(max_words, shared), "key string, f long"), min_count, "phrases-pass1")
+    passes = 1
     while True:
-        found = _summed(rows, max_words, min_count, Proposal(new, old), old is None, f"phrases-pass{passes + 1}")
-        known = found if known is None else known.unionByName(found)
-        passes += 1
         # the border holds if all that was found frequent had been proposed
-        grown = [Bloom(n.bits | bloom(found, m, w).bits) for m, (n, w) in enumerate(zip(new, words), 1)]
-        if all((g.bits == n.bits).all() for g, n in zip(grown, new)):
+        so_far = sc.broadcast(filters)
+        failed = [bloom(found.filter(F.col("m") == m).select("lang", "phrase")
+                        .mapInArrow(_unproposed(m, so_far), "lang string, phrase string"), m, filter_bits) for m in lengths]
+        if not any(count for _, count in failed):
             return known, passes
-        new, old = grown, new
+        passes += 1
+        added = sc.broadcast((filters, [f for f, _ in failed]))
+        found = _summed(rows.mapInArrow(_expand(max_words, added), "key string, f long"), min_count, f"phrases-pass{passes}")
+        known = known.unionByName(found)
+        filters = [f + [new] for f, (new, _) in zip(filters, failed)]
 
 
 def scored(known: DataFrame) -> DataFrame:
