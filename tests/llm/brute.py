@@ -1,4 +1,4 @@
-"""Plain versions of the ten contracts, for small tables. Each takes lists of
+"""Plain versions of the contracts, for small tables. Each takes lists of
 rows and follows the contract's words; nothing here is shared with the library."""
 
 import hashlib
@@ -142,3 +142,66 @@ def auc(scores, y):
         i = j
     neg = len(y) - pos
     return (total - pos * (pos + 1) / 2) / (pos * neg) if pos and neg else 0.5
+
+
+def op11(rows, k=20, every=20):
+    """rows: (vec_id, vector) -> (query_id, rank, vec_id, score)"""
+    def usable(v):
+        return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v)
+
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if usable(v)]
+    out = []
+    for a, (i, v) in enumerate(whole):
+        if i is None or i % every:
+            continue
+        scores = [(-sum(x * y for x, y in zip(v, w)), j is None, j) for b, (j, w) in enumerate(whole)
+                  if a != b and len(v) == len(w)]
+        out += [(i, r, j, -s) for r, (s, _, j) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+def op12(rows, least=10, longest=3, top=2000, share=50):
+    """rows: (lang, text) -> (lang, rank, phrase, a, l, r, n, score)"""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", (text or "").encode().translate(LOWER)):
+            words = re.findall(rb"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for m in range(1, longest + 1):
+                f.update((lang, tuple(words[i:i + m])) for i in range(len(words) - m + 1))
+    cands = {c: a for c, a in f.items() if len(c[1]) > 1 and a >= least}
+    covered = Counter()
+    for (lang, p), a in cands.items():
+        for m in range(2, len(p)):
+            for i in range(len(p) - m + 1):
+                covered[lang, p[i:i + m]] = max(covered[lang, p[i:i + m]], a)
+    per = defaultdict(list)
+    for (lang, p), a in cands.items():
+        if 100 * covered[lang, p] >= share * a and covered[lang, p]:
+            continue
+        cuts = [(1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        per[lang].append((-score, -a, b" ".join(p), f[lang, p[:k]], f[lang, p[k:]]))
+    return [(lang, r, p.decode(), -a, x, y, n[lang], -s) for lang, v in per.items()
+            for r, (s, a, p, x, y) in enumerate(sorted(v)[:top], 1)]
+
+
+def op13(docs, items, k=10):
+    """docs: (doc_id, text), items: (item_id, text) -> (item_id, rank, doc_id, score)"""
+    term = rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    counts = [(i, Counter(re.findall(term, (t or "").encode().translate(LOWER)))) for i, t in docs]
+    counts = [(i, c) for i, c in counts if c]
+    n_docs, total = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in dict.fromkeys(items):
+        scores = []
+        for i, c in counts:
+            m = 100 - 90 + (90 * sum(c.values()) * n_docs) // total
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m))
+                    for t in set(re.findall(term, (text or "").encode().translate(LOWER))) if c[t])
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(item, r, i, -s) for r, (s, _, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
