@@ -5,8 +5,8 @@ result as Parquet in the shared folder and reads it back as the next stage's inp
 
 1. language_id: learns on the incoming rows that have a language (the folds of
    the language query) and drops rows whose text is null or has no letter.
-2. near_dedup: keeps one document of each class of near copies (5-word shingles,
-   Jaccard similarity 0.8 or more): the smallest id.
+2. near_dedup: keeps one document of each class of SimHash near copies (the shingle
+   length and bit distance of the SimHash query): the smallest id.
 3. substring_dedup: removes words in repeated windows; text and n_chars change,
    no row goes.
 4. decontamination: drops documents that the benchmark contaminates.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockpulse.llm import decontam, jaccard, langid, mixing, substr_dedup
+from stockpulse.llm import decontam, langid, mixing, simhash, substr_dedup
 from stockpulse.llm.sampling import fold
 from stockpulse.llm.scratch import unused, written
 from stockpulse.session import ship_package
@@ -37,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return jaccard.keep_one_per_class(docs)
+    return simhash.keep_one_per_class(docs, shingle=simhash.SHINGLE_WORDS, radius=simhash.RADIUS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
