@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stockpulse.operators import alerts, histograms
 from stockpulse.operators import monitoring as mon
 from stockpulse.plans.queries_quality import _LANDING_SQL
 from stockpulse.plans.registry import register
@@ -203,3 +204,121 @@ def stream_rate(spark, sf_dir):
     out = spark.read.parquet(f"{run}/out")
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("window_start", "window_end") else c
                         for c in out.columns])
+
+
+# Every event is a pipeline run of one of four jobs, an error one that failed; a signup is a training run that
+# fails above a value of 40, a click above 40 a drift finding.
+COUNTERS = ["pipeline_runs_total", "pipeline_failures_total", "training_success_total", "training_failure_total",
+            "drift_detected_total"]
+
+
+def counted(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    kind, high = F.col("event_type"), F.col("value") > 40
+    return ev.select(F.concat(F.lit("job_"), F.col("user_id") % 4).alias("job"), "ts", *[
+        F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in zip(COUNTERS, (
+            F.lit(True), kind == "error", (kind == "signup") & ~high, (kind == "signup") & high, (kind == "click") & high))])
+
+
+_COUNTED_SQL = """counted AS (SELECT 'job_' || (user_id % 4) AS job, ts, 1 AS pipeline_runs_total,
+  CAST(event_type = 'error' AS INT) AS pipeline_failures_total,
+  CAST(event_type = 'signup' AND value <= 40 AS INT) AS training_success_total,
+  CAST(event_type = 'signup' AND value > 40 AS INT) AS training_failure_total,
+  CAST(event_type = 'click' AND value > 40 AS INT) AS drift_detected_total FROM events)"""
+_ALERT_SQL = f"""WITH {_COUNTED_SQL},
+per AS (SELECT job, date_trunc('minute', ts) AS ts, {', '.join(f'sum({c}) AS {c}' for c in COUNTERS)} FROM counted GROUP BY 1, 2),
+grid AS (SELECT job, unnest(generate_series(min(ts), max(ts), INTERVAL 1 MINUTE)) AS ts FROM per GROUP BY job),
+scrapes AS (SELECT job, ts, {', '.join(f'coalesce(sum({c}) OVER d, 0) AS {c}' for c in COUNTERS)}
+            FROM grid LEFT JOIN per USING (job, ts)
+            WINDOW d AS (PARTITION BY job, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+rules(alert, severity, hold) AS (VALUES {', '.join(f"('{r.alert}', '{r.severity}', {r.hold_seconds})" for r in alerts.RULES)}),
+active AS (SELECT alert, severity, hold, job, ts FROM scrapes, rules WHERE CASE alert
+             WHEN 'PipelineFailed' THEN pipeline_failures_total > 0 WHEN 'TrainingFailed' THEN training_failure_total > 0
+             WHEN 'DataDriftDetected' THEN drift_detected_total > 0
+             ELSE pipeline_failures_total / nullif(pipeline_runs_total, 0) > 0.2 END),
+-- evaluations a minute apart differ from their number in order by the same time
+numbered AS (SELECT *, ts - INTERVAL 1 MINUTE * row_number() OVER (PARTITION BY alert, job ORDER BY ts) AS island FROM active),
+islands AS (SELECT alert, severity, hold, job, min(ts) AS s, max(ts) AS e, count(*) AS evaluations
+            FROM numbered GROUP BY alert, severity, hold, job, island),
+judged AS (SELECT *, epoch(e) - epoch(s) >= hold AS fired, e < (SELECT max(ts) FROM scrapes) AS closed FROM islands)"""
+_ALERT_OUT = """
+SELECT alert, severity, job, s AS pending_at, CASE WHEN fired THEN s + INTERVAL 1 MINUTE END AS firing_at,
+       CASE WHEN closed THEN e + INTERVAL 1 MINUTE END AS resolved_at, evaluations,
+       CASE WHEN closed AND fired THEN 'resolved' WHEN closed THEN 'inactive' WHEN fired THEN 'firing' ELSE 'pending' END AS state
+FROM judged"""
+
+
+def _zone_free(df):
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else f.name
+                       for f in df.schema.fields])
+
+
+@register("k4_alert_rules", sql=_ALERT_SQL + _ALERT_OUT)
+def alert_rules(spark, sf_dir):
+    """K4: all four alert rules (pipeline failed, training failed, drift, failure share) over counters that
+    restart at midnight, scraped every minute: pending, firing and resolved times."""
+    return _zone_free(alerts.alert_history(alerts.scrapes(counted(spark, sf_dir), "job", "ts", COUNTERS)))
+
+
+@register("k4_alert_rules_stream", sql=_ALERT_SQL + """,
+seen AS (SELECT max(ts) AS top FROM scrapes)""" + _ALERT_OUT + ", seen WHERE e + INTERVAL 90 SECOND <= top - INTERVAL 10 MINUTE")
+def alert_rules_stream(spark, sf_dir):
+    """K4 (streaming form): the scrape log, one file per quarter of its time, replayed as a stream through
+    session windows with a 10-minute watermark; the result is every alert the watermark has closed."""
+    import uuid
+
+    from stockpulse.session import delete_at_end, scratch_path
+    from stockpulse.streaming.alerts import start_alerts
+    run = scratch_path(spark, f"alerts/{uuid.uuid4().hex}")
+    delete_at_end(spark, run)
+    alerts.scrapes(counted(spark, sf_dir), "job", "ts", COUNTERS).write.parquet(f"{run}/scrapes")
+    log = spark.read.parquet(f"{run}/scrapes")
+    lo, hi = log.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    # files arrive in the order of time, as scrapes do
+    for i in range(4 if lo is not None else 0):
+        quarter = F.floor((F.unix_seconds("ts") - lo) * 4 / (hi - lo + 1))
+        log.where(quarter == i).coalesce(1).write.mode("append").parquet(f"{run}/log")
+    if lo is None:
+        log.write.parquet(f"{run}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/log")
+    start_alerts(stream, f"{run}/out", f"{run}/_checkpoint", watermark="10 minutes").awaitTermination()
+    return _zone_free(spark.read.parquet(f"{run}/out"))
+
+
+@register("f17_training_drift_counters", sql=f"""WITH {_COUNTED_SQL}
+SELECT job, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTERS)} FROM counted GROUP BY job""")
+def training_drift_counters(spark, sf_dir):
+    """runs, failures, training successes and failures and drift findings per job."""
+    return alerts.totals(counted(spark, sf_dir), "job", COUNTERS)
+
+
+def _window_quantile_sql(qs=(0.9, 0.95)):
+    b = mon.LATENCY_BUCKETS
+    n = len(b)
+    cols = [f"b{i}" for i in range(n + 1)]
+    inc = ", ".join(f"CASE WHEN lag({c}) OVER p IS NULL THEN 0 WHEN {c} >= lag({c}) OVER p THEN {c} - lag({c}) OVER p ELSE {c} END AS {c}" for c in cols)
+
+    def interp(q):
+        rank = f"({q} * CAST(b{n} AS DOUBLE))"
+        cases = " ".join(
+            f"WHEN b{i} >= {rank} THEN coalesce({b[i - 1] if i else 0.0}::DOUBLE + ({b[i]}::DOUBLE - {b[i - 1] if i else 0.0}::DOUBLE)"
+            f" * ({rank} - {f'b{i - 1}' if i else '0'}) / nullif(b{i} - {f'b{i - 1}' if i else '0'}, 0)::DOUBLE, {b[i]}::DOUBLE)" for i in range(n))
+        return (f"SELECT window_end, path, CAST({q} AS DOUBLE) AS quantile, CASE WHEN b{n} <= 0 THEN NULL {cases} ELSE {b[-1]}::DOUBLE END AS value FROM fixed")
+    return f"""WITH {_CALLS_SQL},
+per AS (SELECT path, date_trunc('minute', ts) AS minute,
+        {', '.join(f'count_if(latency_s <= {x}) AS b{i}' for i, x in enumerate(b))}, count(*) AS b{n} FROM calls GROUP BY 1, 2),
+counters AS (SELECT path, minute, {', '.join(f'sum({c}) OVER d AS {c}' for c in cols)} FROM per
+             WINDOW d AS (PARTITION BY path, CAST(minute AS DATE) ORDER BY minute ROWS UNBOUNDED PRECEDING)),
+inc AS (SELECT path, minute, {inc} FROM counters WINDOW p AS (PARTITION BY path ORDER BY minute)),
+slid AS (SELECT minute + (5 - k) * INTERVAL 1 MINUTE AS window_end, path, {', '.join(cols)} FROM inc, (SELECT unnest(range(0, 5)) AS k)),
+sums AS (SELECT window_end, coalesce(path, '*') AS path, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in cols)}
+         FROM slid GROUP BY GROUPING SETS ((window_end, path), (window_end))),
+fixed AS (SELECT window_end, path, b0, {', '.join(f'greatest({", ".join(cols[:i + 1])}) AS b{i}' for i in range(1, n + 1))} FROM sums)
+{' UNION ALL '.join(interp(q) for q in qs)}"""
+
+
+@register("f19_window_quantiles", sql=_window_quantile_sql())
+def window_quantiles(spark, sf_dir):
+    """p90 / p95 latency per path and over all paths in sliding 5-minute windows, from bucket counters
+    that restart at midnight."""
+    return histograms.window_quantiles(calls(spark, sf_dir), "path", "latency_s")
