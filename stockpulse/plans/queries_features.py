@@ -130,27 +130,84 @@ def latest_event(spark, sf_dir):
     return latest_per_key(ev, "user_id", "ts", ["value", "event_type"], "event_id")
 
 
-@register("k1_push_stream", sql="""
+_LATEST_SQL = """
 SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value,
        arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id
-FROM events WHERE event_type <> 'purchase' GROUP BY user_id""")
+FROM events WHERE event_type <> 'purchase' GROUP BY user_id"""
+
+
+def _push(spark, source: str, schema, run: str, **options):
+    """Replay a folder of event files into the stores of a new target."""
+    from stockpulse.streaming.push import PushTarget, push_stream as start
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+              .where(F.col("event_type") != "purchase"))
+    target = PushTarget(run, "user_id", "ts", ["value", "event_type"], created="event_id")
+    q = start(stream, target, f"{run}/_checkpoint", **options)
+    q.awaitTermination()
+    return target, q.lastProgress
+
+
+def _run_folder(spark, name: str) -> str:
+    import uuid
+
+    from stockpulse.session import delete_at_end, scratch_path
+    run = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    delete_at_end(spark, run)
+    return run
+
+
+@register("k1_push_stream", sql=_LATEST_SQL)
 def push_stream(spark, sf_dir):
     """Replay the events as a stream (availableNow) into the offline
     and online stores; the result is the final online (latest) table."""
-    import uuid
-
-    from stockpulse.session import scratch_path
     from stockpulse.sources.tables import stream_path
-    from stockpulse.streaming.push import PushTarget, push_stream as start, read_online
-
+    from stockpulse.streaming.push import read_online
     ev = read_table(spark, sf_dir, "events")
     # the table may be one file or a folder of part files
-    stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
-              .parquet(stream_path(spark, sf_dir, "events")).where(F.col("event_type") != "purchase"))
-    run = scratch_path(spark, f"push/{uuid.uuid4().hex}")
-    target = PushTarget(run, "user_id", "ts", ["value", "event_type"], created="event_id")
-    q = start(stream, target, f"{run}/_checkpoint")
-    q.awaitTermination()
-    if not q.lastProgress and not ev.isEmpty():
+    target, progress = _push(spark, stream_path(spark, sf_dir, "events"), ev.schema, _run_folder(spark, "push"))
+    if not progress and not ev.isEmpty():
         raise RuntimeError("the stream saw no file of a table that has rows")
     return read_online(spark, target)
+
+
+@register("k1_push_late_batches", sql=_LATEST_SQL)
+def push_late_batches(spark, sf_dir):
+    """K1: the events in four micro-batches, dealt by hash, so that most rows of a batch are late; each
+    batch merges into the buckets of its keys only."""
+    from stockpulse.streaming.push import read_online
+    run = _run_folder(spark, "push_late")
+    ev = read_table(spark, sf_dir, "events")
+    ev.repartition(4, "event_id").write.parquet(f"{run}/source")
+    target, _ = _push(spark, f"{run}/source", ev.schema, run)
+    return read_online(spark, target)
+
+
+@register("k1_push_repeated_events", sql="""
+SELECT user_id, ts, value, event_type, event_id FROM events WHERE event_type <> 'purchase'""")
+def push_repeated_events(spark, sf_dir):
+    """K1: a source that sends every file twice; duplicates are dropped by (key, event id) within a day of
+    event time, so the offline table holds every event once."""
+    run = _run_folder(spark, "push_twice")
+    ev = read_table(spark, sf_dir, "events")
+    lo, hi = ev.agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))), F.unix_seconds(F.max(F.col("ts").cast("timestamp")))).first()
+    if lo is None:
+        return ev.select("user_id", "ts", "value", "event_type", "event_id")
+    third = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - lo) * 3 / (hi - lo + 1))
+    for i in (0, 0, 1, 1, 2, 2):           # files in the order of time, each sent again
+        ev.where(third == i).coalesce(1).write.mode("append").parquet(f"{run}/source")
+    target, _ = _push(spark, f"{run}/source", ev.schema, run, identity=["user_id", "event_id"], delay="1 day")
+    return spark.read.parquet(target.offline).select("user_id", "ts", "value", "event_type", "event_id")
+
+
+@register("k1_store_lookup", sql="""
+WITH latest AS (SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value,
+                       arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id
+                FROM events WHERE event_type <> 'purchase' GROUP BY user_id)
+SELECT c.c_custkey AS user_id, ts, value, event_type, event_id FROM customer c LEFT JOIN latest l ON c.c_custkey = l.user_id""")
+def store_lookup(spark, sf_dir):
+    """Every customer key looked up in the bucketed online store."""
+    from stockpulse.sources.tables import stream_path
+    ev = read_table(spark, sf_dir, "events")
+    target, _ = _push(spark, stream_path(spark, sf_dir, "events"), ev.schema, _run_folder(spark, "push_lookup"))
+    keys = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return target.store.lookup(keys, ev.schema)

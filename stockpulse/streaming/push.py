@@ -1,28 +1,27 @@
 """Push source: stream feature rows into the offline and the online store (K1).
 
-`readStream` -> `foreachBatch(push_batch)`:
+`readStream` -> (duplicates dropped) -> `foreachBatch(push_batch)`:
 
 * offline: the micro-batch is written to `offline/batch_id=<id>` with
   overwrite, so a replayed batch (foreachBatch is at-least-once) replaces
   its own earlier attempt instead of appending twice;
-* online: the new version `online/v=<id>` = latest row per key over
-  (previous version UNION batch), by max (event_ts, created): a late or
-  repeated row never replaces a newer stored one. The previous version is
-  the highest `v` below the batch id, so a replay rebuilds the same version.
-  Plain Parquet has no MERGE; versions are immutable directories, readers
-  take the highest complete one (`_SUCCESS` present).
-
-The merge is a `max_by` aggregate (partial on the map side), so it scales with
-the number of keys, not with the history length.
+* online: the rows are merged into the bucketed store (`online.py`) as version
+  <id>: the latest row per key by max (event_ts, created), so that a late or repeated row
+  never replaces a newer one. Only the buckets of the batch's keys are read and written.
+
+A source that delivers an event twice (a file sent again, a producer's retry) is made
+exactly-once by `dropDuplicatesWithinWatermark` on the event's identity: the state holds the
+identities of the last `delay` of event time, whatever the length of the stream.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stockpulse.operators.pointintime import latest_per_key
+from stockpulse.streaming.online import OnlineStore
 
 
 @dataclass
@@ -32,53 +31,52 @@ class PushTarget:
     ts: str
     cols: list[str]
     created: str | None = None
+    buckets: int = 64
+    store: OnlineStore = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.store = OnlineStore(f"{self.base}/online", self.key, self.ts, self.cols, self.created, self.buckets)
 
     @property
     def offline(self) -> str:
         return f"{self.base}/offline"
 
-    @property
-    def online(self) -> str:
-        return f"{self.base}/online"
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_online(spark: SparkSession, target: PushTarget, below: int | None = None) -> DataFrame | None:
-    vs = [v for v in _versions(spark, target.online) if below is None or v < below]
-    if not vs:
+
+def read_online(spark: SparkSession, target: PushTarget) -> DataFrame | None:
+    """The latest row per key; None before the first batch."""
+    manifest = target.store.manifest(spark)
+    if not manifest:
         return None
-    return spark.read.parquet(f"{target.online}/v={vs[-1]}")
+    schema = spark.read.parquet(f"{target.offline}").schema
+    return target.store.read(spark, schema)
 
 
 def push_batch(target: PushTarget):
     def fn(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = [target.key, target.ts, *target.cols] + ([target.created] if target.created else [])
-        rows = batch.select(*cols)
-        rows.write.mode("overwrite").parquet(f"{target.offline}/batch_id={batch_id}")
-        prev = read_online(spark, target, below=batch_id)
-        merged = rows if prev is None else prev.select(*cols).unionByName(rows)
-        latest = latest_per_key(merged, target.key, target.ts, target.cols, target.created)
-        latest.write.mode("overwrite").parquet(f"{target.online}/v={batch_id}")
+        rows = batch.select(*target.store.columns)
+        path = f"{target.offline}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        # the offline copy feeds the merge, so the source is read once
+        target.store.merge(batch.sparkSession.read.schema(rows.schema).parquet(path), batch_id)
     return fn
 
 
-def push_stream(stream: DataFrame, target: PushTarget, checkpoint: str, available_now: bool = True):
-    """Start the push query (availableNow for replays/backfills)."""
+def without_repeats(stream: DataFrame, identity: list[str], ts: str, delay: str) -> DataFrame:
+    """The first arrival of every event; rows later than `delay` behind the newest are dropped."""
+    zoned = dict(stream.dtypes)[ts] == "timestamp"
+    if zoned:
+        return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(identity)
+    # watermarks need zone-aware event time
+    return (stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
+            .dropDuplicatesWithinWatermark(identity).drop("__ts"))
+
+
+def push_stream(stream: DataFrame, target: PushTarget, checkpoint: str, available_now: bool = True,
+                identity: list[str] | None = None, delay: str = "1 day"):
+    """Start the push query (availableNow for replays/backfills). With `identity` (the columns that
+    name an event) repeated deliveries within `delay` of event time are dropped."""
+    if identity:
+        stream = without_repeats(stream, identity, target.ts, delay)
     w = stream.writeStream.foreachBatch(push_batch(target)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
