@@ -2,9 +2,9 @@
 
 A window `PARTITION BY g ORDER BY x` puts every row of group `g` in one task;
 for a drift test over a continuous column that is the whole column. Here the
-rows are range-partitioned on (g, x) instead, the partitioned table is cut
-from its lineage with a reliable checkpoint (so partition contents are fixed),
-and the running sum is
+rows are range-partitioned on (g, x) instead, the partitioned table is written
+once with its partition numbers (so partition contents are fixed), and the
+running sum is
 
     offset(partition, g) + running sum within (partition, g)
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockpulse.session import reliable_checkpoint
+from stockpulse.session import written_table
 
 
 def running_sums(df: DataFrame, group_col: str, order_col: str, value_cols: list[str],
@@ -28,9 +28,8 @@ def running_sums(df: DataFrame, group_col: str, order_col: str, value_cols: list
     value in the group, NULL at the end)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = reliable_checkpoint(df.repartitionByRange(n, group_col, order_col)
-                                 .sortWithinPartitions(group_col, order_col)
-                                 .withColumn("__pid", F.spark_partition_id()))
+    ranged = written_table(df.repartitionByRange(n, group_col, order_col)
+                           .withColumn("__pid", F.spark_partition_id()), "running-sums")
     tot = ranged.groupBy("__pid", group_col).agg(
         *[F.sum(v).alias(f"__tot_{v}") for v in value_cols],
         F.min(order_col).alias("__first"))

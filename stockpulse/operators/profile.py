@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockpulse.functions.distributions import chi_square_p, kolmogorov_p
 from stockpulse.operators.cumulative import running_sums
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -21,6 +22,9 @@ NUM_DRIFT_THRESHOLD = 0.1       # normalised Wasserstein distance
 CAT_DRIFT_THRESHOLD = 0.1       # Jensen-Shannon distance
 DATASET_DRIFT_SHARE = 0.5       # share of drifted columns
 STD_FLOOR = 0.001
+SMALL_REFERENCE = 1000          # rows; up to here the preset tests with p-values
+P_VALUE_THRESHOLD = 0.05
+FEW_VALUES = 5                  # numeric columns with no more distinct reference values count as categories
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -153,13 +157,80 @@ def categorical_drift(both: DataFrame, cols: list[str]) -> DataFrame:
                      F.lit(CAT_DRIFT_THRESHOLD).alias("threshold"))
 
 
+def _chi_square(by: str, counts: DataFrame) -> DataFrame:
+    """(by, chi_square, df) from (by, value, n_ref, n_cur, t_ref, t_cur): the current counts against the
+    reference's shares. A value the reference lacks makes the statistic infinite."""
+    expected = F.col("n_ref").cast("double") * F.col("t_cur") / F.col("t_ref")
+    part = F.when(F.col("n_ref") > 0, (F.col("n_cur") - expected) * (F.col("n_cur") - expected) / expected) \
+        .otherwise(F.lit(float("inf")))
+    return counts.groupBy(by).agg(F.sum(part).alias("chi_square"), (F.count(F.lit(1)) - 1).alias("df"))
+
+
+def p_value_drift(both: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
+    """F15, the preset's branch for small references: per column the p-value of a two-sample
+    Kolmogorov-Smirnov test (numeric columns) or a chi-square test (categories, and numeric columns with at
+    most FEW_VALUES distinct reference values); drifted below 0.05. Rows of both inputs, told apart by
+    `is_ref`. A column without values on one side has no test (NULL, not drifted)."""
+    parts = []
+    if nums:
+        counts = _doubles(both.select(*nums, "is_ref"), nums, "is_ref").groupBy("column_name", "x").agg(
+            F.count_if(F.col("is_ref")).alias("n_ref"), F.count_if(~F.col("is_ref")).alias("n_cur"))
+        cum = (running_sums(counts, "column_name", "x", ["n_ref", "n_cur"])
+               .withColumnRenamed("total_n_ref", "t_ref").withColumnRenamed("total_n_cur", "t_cur"))
+        apart = F.abs(F.col("cum_n_ref") / F.nullif("t_ref", F.lit(0)) - F.col("cum_n_cur") / F.nullif("t_cur", F.lit(0)))
+        ks = cum.groupBy("column_name").agg(F.max(apart).alias("ks"), F.first("t_ref").alias("t_ref"), F.first("t_cur").alias("t_cur"),
+                                            F.count_if(F.col("n_ref") > 0).alias("values"))
+        both_tests = ks.join(_chi_square("column_name", cum), "column_name")
+        few = F.col("values") <= FEW_VALUES
+        some = (F.col("t_ref") > 0) & (F.col("t_cur") > 0)
+        parts.append(both_tests.select(
+            "column_name", F.lit("numeric").alias("kind"), F.when(few, "chi_square").otherwise("ks").alias("test"),
+            F.when(some, F.when(few, F.col("chi_square")).otherwise(F.col("ks"))).alias("statistic"),
+            F.when(some, F.when(few, chi_square_p(F.col("chi_square"), F.col("df")))
+                   .otherwise(kolmogorov_p(F.col("ks"), F.col("t_ref"), F.col("t_cur")))).alias("drift_score")))
+    if cats:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cats])
+        j = (both.select(F.inline(pairs), "is_ref").where(F.col("value").isNotNull()).groupBy("column_name", "value")
+             .agg(F.count_if(F.col("is_ref")).alias("n_ref"), F.count_if(~F.col("is_ref")).alias("n_cur")))
+        tot = j.groupBy("column_name").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
+        some = (F.col("t_ref") > 0) & (F.col("t_cur") > 0)
+        tested = _chi_square("column_name", j.join(tot.where(some), "column_name"))
+        parts.append(tot.join(tested, "column_name", "left").select(
+            "column_name", F.lit("categorical").alias("kind"), F.lit("chi_square").alias("test"),
+            F.col("chi_square").alias("statistic"), chi_square_p(F.col("chi_square"), F.col("df")).alias("drift_score")))
+    rep = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    drifted = F.coalesce(F.col("drift_score") < P_VALUE_THRESHOLD, F.lit(False))
+    rep = rep.withColumn("threshold", F.lit(P_VALUE_THRESHOLD)).withColumn("drifted", drifted)
+    return _with_share(rep)
+
+
+def _with_share(rep: DataFrame) -> DataFrame:
+    # one row per compared column: a window over the whole (tiny) report
+    # avoids evaluating both drift pipelines a second time for the share
+    everything = Window.partitionBy()
+    share = F.count_if("drifted").over(everything) / F.count(F.lit(1)).over(everything)
+    return (rep.withColumn("drift_share", share)
+            .withColumn("dataset_drift", F.col("drift_share") >= DATASET_DRIFT_SHARE))
+
+
+def drift_preset(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """the default preset for two inputs. At most SMALL_REFERENCE reference rows are tested by
+    p-values (`p_value_drift`), larger references by distances (`drift_report`)."""
+    small = reference.limit(SMALL_REFERENCE + 1).count() <= SMALL_REFERENCE
+    return _compare(reference, current, p_value_drift if small else drift_of)
+
+
 def drift_report(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """F15 for two inputs: their shared columns."""
+    """F15 for two inputs by distances: their shared columns."""
+    return _compare(reference, current, drift_of)
+
+
+def _compare(reference: DataFrame, current: DataFrame, test) -> DataFrame:
     shared = [c for c in reference.columns if c in current.columns]
     both = reference.select(*shared, F.lit(True).alias("is_ref")).unionByName(
         current.select(*shared, F.lit(False).alias("is_ref")), allowMissingColumns=False)
     nums = [c for c in numeric_columns(reference) if c in shared and c in numeric_columns(current)]
-    return drift_of(both, nums, [c for c in shared if c not in nums])
+    return test(both, nums, [c for c in shared if c not in nums])
 
 
 def drift_of(both: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
@@ -173,10 +244,4 @@ def drift_of(both: DataFrame, nums: list[str], cats: list[str]) -> DataFrame:
     rep = parts[0]
     for p in parts[1:]:
         rep = rep.unionByName(p)
-    rep = rep.withColumn("drifted", F.col("drift_score") >= F.col("threshold"))
-    # one row per compared column: a window over the whole (tiny) report
-    # avoids evaluating both drift pipelines a second time for the share
-    everything = Window.partitionBy()
-    share = F.count_if("drifted").over(everything) / F.count(F.lit(1)).over(everything)
-    return (rep.withColumn("drift_share", share)
-            .withColumn("dataset_drift", F.col("drift_share") >= DATASET_DRIFT_SHARE))
+    return _with_share(rep.withColumn("drifted", F.col("drift_score") >= F.col("threshold")))

@@ -320,6 +320,51 @@ def drift(spark, sf_dir):
             .withColumn("ks_statistic", F.round("ks_statistic", 9)))
 
 
+_SMALL_DRIFT_SQL = """WITH b AS (
+  SELECT s_acctbal AS acctbal, n_regionkey AS regionkey, n_name AS nation, true AS is_ref FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL
+  SELECT c_acctbal, n_regionkey, n_name, false FROM customer JOIN nation ON c_nationkey = n_nationkey),
+v AS (SELECT 'acctbal' AS column_name, CAST(acctbal AS DOUBLE) AS x, NULL AS value, is_ref FROM b
+      UNION ALL SELECT 'regionkey', CAST(regionkey AS DOUBLE), NULL, is_ref FROM b
+      UNION ALL SELECT 'nation', NULL, nation, is_ref FROM b),
+c AS (SELECT column_name, x, value, count_if(is_ref) AS n_ref, count_if(NOT is_ref) AS n_cur FROM v
+      WHERE x IS NOT NULL OR value IS NOT NULL GROUP BY 1, 2, 3),
+t AS (SELECT *, sum(n_ref) OVER w AS t_ref, sum(n_cur) OVER w AS t_cur,
+             sum(n_ref) OVER o AS c_ref, sum(n_cur) OVER o AS c_cur FROM c
+      WINDOW w AS (PARTITION BY column_name), o AS (PARTITION BY column_name ORDER BY x, value ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT column_name, CASE WHEN column_name = 'nation' THEN 'categorical' ELSE 'numeric' END AS kind,
+             CASE WHEN column_name = 'nation' OR count_if(n_ref > 0) <= 5 THEN 'chi_square' ELSE 'ks' END AS test,
+             max(abs(c_ref / t_ref - c_cur / t_cur)) AS ks, max(t_ref) AS n, max(t_cur) AS m, count(*) - 1 AS df,
+             sum(CASE WHEN n_ref > 0 THEN (n_cur - n_ref * t_cur / t_ref) ** 2 / (n_ref * t_cur / t_ref) ELSE 'inf'::DOUBLE END) AS chi
+      FROM t GROUP BY column_name),
+p AS (SELECT column_name, kind, test, CASE WHEN test = 'ks' THEN ks ELSE chi END AS statistic,
+             CASE WHEN test = 'ks' THEN (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * n * m / (n + m) * ks * ks))
+                                         FROM range(1, 200) r(k))
+                  WHEN chi = 'inf'::DOUBLE THEN 0
+                  -- the lower function as a sum over Gamma
+                  ELSE 1 - (SELECT sum(exp(-chi / 2 + (df / 2 + k) * ln(chi / 2) - lgamma(df / 2 + k + 1))) FROM range(0, 2000) r(k)) END AS p
+      FROM s),
+r AS (SELECT column_name, kind, test, round(statistic, 6) AS statistic, round(greatest(least(p, 1), 0), 6) AS drift_score,
+             CAST(0.05 AS DOUBLE) AS threshold, p < 0.05 AS drifted FROM p)
+SELECT r.*, d.share AS drift_share, d.share >= 0.5 AS dataset_drift
+FROM r, (SELECT CAST(count_if(drifted) AS DOUBLE) / count(*) AS share FROM r) d"""
+
+
+@register("f15_drift_small_reference", sql=_SMALL_DRIFT_SQL)
+def drift_small_reference(spark, sf_dir):
+    """F15, small references: p-values of the suppliers' balance, nation and region against the customers'
+    (KS; chi-square; chi-square of a numeric column with few values)."""
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("regionkey"), F.col("n_name").alias("nation"))
+
+    def side(table, prefix):
+        t = read_table(spark, sf_dir, table).select(F.col(f"{prefix}_acctbal").alias("acctbal"), F.col(f"{prefix}_nationkey").alias("n_nationkey"))
+        return t.join(nation, "n_nationkey").select("acctbal", "regionkey", "nation")
+    both = side("supplier", "s").withColumn("is_ref", F.lit(True)).unionByName(
+        side("customer", "c").withColumn("is_ref", F.lit(False)))
+    rep = profile.p_value_drift(both, ["acctbal", "regionkey"], ["nation"])
+    return rep.withColumn("statistic", F.round("statistic", 6)).withColumn("drift_score", F.round("drift_score", 6))
+
+
 @register("b2_partitioned_landing_roundtrip", sql=f"""WITH {_LANDING_SQL}
 SELECT DISTINCT *, md5(concat_ws('||', {', '.join(f"coalesce(CAST({c} AS VARCHAR), 'nan')" for c in _HASH_COLS)})) AS row_hash,
        strftime(transaction_time, '%Y-%m') AS tx_month
