@@ -3,10 +3,13 @@
 A `FeatureView` is metadata around a source DataFrame: join key, event
 timestamp, optional created timestamp, TTL and the declared feature fields.
 Retrieval is plain DataFrame work: `historical` is the bucketed as-of join,
-`online` a left join to the latest-row table. On-demand views are functions
-DataFrame -> DataFrame applied after retrieval (built-in column expressions,
-or a pandas_udf inside them if needed), fed by request-time columns that the
-entity DataFrame carries.
+`online` a left join to the latest-row table. On-demand views are applied
+after retrieval and fed by request-time columns that the entity DataFrame carries: functions
+DataFrame -> DataFrame of built-in expressions (`OnDemandView`), or functions of
+Arrow batches with a declared output schema (`BatchOnDemandView`).
+
+A feature keeps its name; where two retrieved views have a feature of one name, or an entity
+column has it, it is called `<view>__<feature>`.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from stockpulse.operators.pointintime import DAY, as_of_join, latest_per_key, online_lookup
 
@@ -75,6 +81,44 @@ class OnDemandView:
     outputs: list[str]
 
 
+@dataclass
+class BatchOnDemandView:
+    """L1, vectorised: `batch_fn` takes an Arrow batch of the source features and request columns and
+    returns the output columns, by name, in the declared types."""
+    name: str
+    sources: list[str]
+    request_columns: list[str]
+    batch_fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]
+    output_types: dict[str, str]           # output name -> declared type name
+    inputs: list[str] = field(default_factory=list)     # columns the function reads; all if empty
+
+    @property
+    def outputs(self) -> list[str]:
+        return list(self.output_types)
+
+    def fn(self, df: DataFrame) -> DataFrame:
+        added = T.StructType([T.StructField(n, _TYPES[t]()) for n, t in self.output_types.items()])
+        wanted = self.inputs or df.columns
+        declared = to_arrow_schema(added)
+        return df.mapInArrow(_batch_runner(self.name, self.batch_fn, wanted, declared),
+                             T.StructType([*df.schema.fields, *added.fields]))
+
+
+def _batch_runner(name: str, fn, inputs: list[str], declared: pa.Schema):
+    def run(batches):
+        for batch in batches:
+            got = fn(batch.select(inputs))
+            if set(got) != set(declared.names):
+                raise ValueError(f"{name}: returned columns {sorted(got)}, declared {sorted(declared.names)}")
+            for f in declared:
+                col = got[f.name]
+                if col.type != f.type or len(col) != batch.num_rows:
+                    raise ValueError(f"{name}: {f.name} is {len(col)} x {col.type}, declared {batch.num_rows} x {f.type}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[got[n] for n in declared.names]],
+                                             [*batch.schema.names, *declared.names])
+    return run
+
+
 @dataclass
 class FeatureService:
     """C11: a named list of feature references across views."""
@@ -85,7 +129,7 @@ class FeatureService:
 class FeatureRegistry:
     def __init__(self):
         self.views: dict[str, FeatureView] = {}
-        self.on_demand: dict[str, OnDemandView] = {}
+        self.on_demand: dict[str, OnDemandView | BatchOnDemandView] = {}
         self.services: dict[str, FeatureService] = {}
 
     def apply(self, *objs) -> FeatureRegistry:
@@ -95,7 +139,7 @@ class FeatureRegistry:
                 if probs:
                     raise ValueError("; ".join(probs))
                 self.views[o.name] = o
-            elif isinstance(o, OnDemandView):
+            elif isinstance(o, (OnDemandView, BatchOnDemandView)):
                 self.on_demand[o.name] = o
             elif isinstance(o, FeatureService):
                 self.services[o.name] = o
@@ -134,34 +178,49 @@ class FeatureRegistry:
                 need[src] = list(dict.fromkeys(need.get(src, []) + list(self.views[src].fields)))
         return need
 
+    def _names(self, need, base_cols) -> dict[tuple[str, str], str]:
+        """(view, feature) -> output name."""
+        base = {c.lower() for c in base_cols}
+        times: dict[str, int] = {}
+        for feats in need.values():
+            for f in feats:
+                times[f.lower()] = times.get(f.lower(), 0) + 1
+        return {(v, f): f if times[f.lower()] == 1 and f.lower() not in base else f"{v}__{f}"
+                for v, feats in need.items() for f in feats}
+
     def historical(self, entity_df: DataFrame, refs, entity_ts: str = "event_timestamp",
-                   bucket_seconds: int = DAY) -> DataFrame:
-        """E5: point-in-time correct training frame for `entity_df`."""
+                   bucket_seconds: int | None = None) -> DataFrame:
+        """E5: point-in-time correct training frame for `entity_df`. Buckets adapt to hot keys
+        unless a width is given."""
         per_view, odv = self.resolve(refs)
         need = self._odv_inputs(per_view, odv)
         out = entity_df
-        for vname, feats in need.items():
+        for i, (vname, feats) in enumerate(need.items()):
             v = self.views[vname]
             out = as_of_join(out, v.source, v.entity.join_key, entity_ts, v.timestamp_field, feats,
-                             v.ttl_seconds, v.created_field, bucket_seconds)
-        return self._finish(out, entity_df.columns, per_view, odv)
+                             v.ttl_seconds, v.created_field, bucket_seconds, prefix=f"__{i}_")
+        return self._finish(out, entity_df.columns, per_view, odv, need)
 
     def online(self, entity_df: DataFrame, refs, latest: dict[str, DataFrame] | None = None) -> DataFrame:
         """Latest value per key; unknown keys get NULL features."""
         per_view, odv = self.resolve(refs)
         need = self._odv_inputs(per_view, odv)
         out = entity_df
-        for vname, feats in need.items():
+        for i, (vname, feats) in enumerate(need.items()):
             v = self.views[vname]
             tbl = (latest or {}).get(vname)
             if tbl is None:
                 tbl = latest_per_key(v.source, v.entity.join_key, v.timestamp_field, feats, v.created_field)
-            out = online_lookup(out, tbl.select(v.entity.join_key, *feats), v.entity.join_key)
-        return self._finish(out, entity_df.columns, per_view, odv)
-
-    def _finish(self, out, base_cols, per_view, odv):
+            out = online_lookup(out, tbl.select(v.entity.join_key, *[F.col(f).alias(f"__{i}_{f}") for f in feats]),
+                                v.entity.join_key)
+        return self._finish(out, entity_df.columns, per_view, odv, need)
+
+    def _finish(self, out, base_cols, per_view, odv, need):
+        names = self._names(need, base_cols)
+        out = out.select(*[F.col(f"`{c}`") for c in base_cols],
+                         *[F.col(f"`__{i}_{f}`").alias(names[v, f]) for i, (v, feats) in enumerate(need.items()) for f in feats])
         for name in odv:
             out = self.on_demand[name].fn(out)
-        keep = list(base_cols) + [f for fs in per_view.values() for f in fs if f not in base_cols]
+        keep = list(base_cols) + [names[v, f] for v, fs in per_view.items() for f in fs]
         keep += [o for name in odv for o in self.on_demand[name].outputs]
-        return out.select(*list(dict.fromkeys(keep)))
+        return out.select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)])

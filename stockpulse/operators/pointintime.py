@@ -21,6 +21,11 @@ rows. Here time is cut into buckets of `bucket_seconds`:
 
 Both windows are running frames (constant memory beyond the sort, which
 spills). The only joins are on (key, bucket) with one summary row per pair.
+
+The bucket width is one number per key. With `bucket_seconds=None` hot keys get
+narrower buckets than the others (`hot_key_widths`), so that a hot key's busiest minutes are
+many tasks while a quiet key's day stays one. Rows without a key match
+nothing; they take part under spread-out buckets of their own.
 """
 
 from __future__ import annotations
@@ -56,14 +61,51 @@ def auto_bucket_seconds(entities: DataFrame, features: DataFrame, key: str, enti
     return max(fitting) if fitting else BUCKET_WIDTHS[0]
 
 
+MAX_HOT_KEYS = 65_536          # keys with a width of their own; bounds what is broadcast
+NULL_KEY_BUCKETS = 1024
+
+
+def hot_key_widths(entities: DataFrame, features: DataFrame, key: str, entity_ts: str, feature_ts: str,
+                   target_rows: int = TARGET_BUCKET_ROWS, default_seconds: int = DAY) -> DataFrame | None:
+    """(key, width_us) of the keys whose busiest hour would put more than about `target_rows` in a
+    default bucket: the widest bucket that keeps the key's busiest minute within it, one second at
+    least. None if no key can be hot. The hours are counted for all keys (partial aggregation), the
+    minutes for the hot keys only. At most MAX_HOT_KEYS keys: for larger inputs the target grows, as
+    so many rows are too many buckets for any cluster otherwise."""
+    rows = entities.select(F.col(key).alias("k"), _micros(F.col(entity_ts)).alias("t")).unionByName(
+        features.select(F.col(key).alias("k"), _micros(F.col(feature_ts)).alias("t"))).where("k is not null and t is not null")
+    total = rows.count()
+    per_day = max(default_seconds // 3600, 1)
+    target = max(target_rows, per_day * total // MAX_HOT_KEYS)
+    if total <= target_rows:
+        return None
+    hour = F.floor(F.col("t") / 3_600_000_000)
+    busy = (rows.groupBy("k", hour.alias("h")).agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+            .where(F.col("n") * per_day > target).select("k"))
+    minute = F.floor(F.col("t") / 60_000_000)
+    most = (rows.join(F.broadcast(busy), "k").groupBy("k", minute.alias("m")).agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("k").agg(F.max("n").alias("n")))
+    fits = F.array(*[F.when(F.col("n") * w <= target * 60, F.lit(w * 1_000_000).cast("long")) for w in BUCKET_WIDTHS
+                     if w <= default_seconds])
+    return most.select("k", F.coalesce(F.array_max(fits), F.lit(BUCKET_WIDTHS[0] * 1_000_000).cast("long")).alias("width_us"))
+
+
 def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: str, feature_ts: str,
                feature_cols: list[str], ttl_seconds: int | None, created_col: str | None = None,
                bucket_seconds: int | None = DAY, prefix: str = "") -> DataFrame:
-    """`bucket_seconds=None` sizes the buckets from the data
-    (`auto_bucket_seconds`)."""
-    if bucket_seconds is None:
-        bucket_seconds = auto_bucket_seconds(entities, features, key, entity_ts, feature_ts)
-    bucket_us = int(bucket_seconds) * 1_000_000
+    """`bucket_seconds=None`: days, and narrower buckets for hot keys (`hot_key_widths`)."""
+    widths = hot_key_widths(entities, features, key, entity_ts, feature_ts) if bucket_seconds is None else None
+    bucket_us = int(bucket_seconds or DAY) * 1_000_000
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        """Adds the bucket; NULL keys, which meet no feature, are spread over buckets of their own."""
+        width = F.lit(bucket_us).cast("long")
+        if widths is not None:
+            rows = rows.join(F.broadcast(widths.withColumnRenamed("k", "__key")), "__key", "left")
+            width = F.coalesce(F.col("width_us"), width)
+        at = F.when(F.col("__key").isNull(), F.pmod(F.xxhash64("__ts"), F.lit(NULL_KEY_BUCKETS))).otherwise(
+            F.floor(F.col("__ts") / width))
+        return rows.withColumn("__bucket", at).drop("width_us")
     created = F.col(created_col) if created_col else F.lit(None).cast("long")
     feat_struct = F.struct(_micros(F.col(feature_ts)).alias("__fts"),
                            *[F.col(c).alias(c) for c in feature_cols])
@@ -71,7 +113,7 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: st
          .select(F.col(key).alias("__key"), _micros(F.col(feature_ts)).alias("__ts"),
                  F.lit(0).alias("__side"), created.alias("__created"),
                  feat_struct.alias("__feat")))
-    f = f.withColumn("__bucket", F.floor(F.col("__ts") / bucket_us))
+    f = bucketed(f)
 
     ent_cols = entities.columns
     ent_struct = F.struct(*[F.col(f"`{c}`").alias(c) for c in ent_cols])
@@ -79,9 +121,7 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: st
                         F.lit(1).alias("__side"), F.lit(None).cast(f.schema["__created"].dataType).alias("__created"),
                         F.lit(None).cast(f.schema["__feat"].dataType).alias("__feat"),
                         ent_struct.alias("__ent"))
-    e = e.withColumn("__bucket", F.floor(F.col("__ts") / bucket_us))
-    no_key = e.where(F.col("__key").isNull())           # nothing to join: kept outside the windows
-    e = e.where(F.col("__key").isNotNull())
+    e = bucketed(e)
     f = f.withColumn("__ent", F.lit(None).cast(e.schema["__ent"].dataType))
 
     # 1. within-bucket running last feature; entity payload rides along
@@ -94,7 +134,7 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: st
     # 2. carry: last feature of strictly earlier buckets, per (key, bucket)
     fb = f.groupBy("__key", "__bucket").agg(
         F.max_by("__feat", F.struct("__ts", F.col("__created"))).alias("__last"))
-    eb = (e.select("__key", "__bucket").distinct()
+    eb = (e.where(F.col("__key").isNotNull()).select("__key", "__bucket").distinct()
           .withColumn("__last", F.lit(None).cast(fb.schema["__last"].dataType)))
     summ = fb.unionByName(eb).groupBy("__key", "__bucket").agg(F.max("__last").alias("__last"))
     wb = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,11 +145,8 @@ def as_of_join(entities: DataFrame, features: DataFrame, key: str, entity_ts: st
     ok = best.isNotNull()
     if ttl_seconds is not None:
         ok = ok & (best["__fts"] >= F.col("__ts") - int(ttl_seconds) * 1_000_000)
-    found = m.select(*[F.col(f"__ent.`{c}`").alias(c) for c in ent_cols],
-                     *[F.when(ok, best[c]).alias(prefix + c) for c in feature_cols])
-    lone = no_key.select(*[F.col(f"__ent.`{c}`").alias(c) for c in ent_cols],
-                         *[F.lit(None).cast(found.schema[prefix + c].dataType).alias(prefix + c) for c in feature_cols])
-    return found.unionByName(lone)
+    return m.select(*[F.col(f"__ent.`{c}`").alias(c) for c in ent_cols],
+                    *[F.when(ok, best[c]).alias(prefix + c) for c in feature_cols])
 
 
 def latest_per_key(features: DataFrame, key: str, ts: str, cols: list[str],

@@ -88,6 +88,39 @@ def on_demand_service(spark, sf_dir):
     return reg.historical(purchase_entities(spark, sf_dir), "activity_v1")
 
 
+def _plus_request(batch):
+    import pyarrow.compute as pc
+    return {"value_plus_val": pc.add(batch.column("value"), batch.column("val_to_add").cast("double"))}
+
+
+@register("l1_on_demand_vectorised", sql=_ASOF_SQL + f"""
+SELECT user_id, event_timestamp, event_id, val_to_add,
+       CASE WHEN {_OK} THEN fvalue END AS value,
+       CASE WHEN {_OK} THEN fvalue END + val_to_add AS value_plus_val FROM j""")
+def on_demand_vectorised(spark, sf_dir):
+    """L1: the on-demand view as a function of Arrow batches with a declared output schema."""
+    view = fv.BatchOnDemandView("value_plus_batch", ["user_activity"], ["val_to_add"], _plus_request,
+                                {"value_plus_val": "double"}, inputs=["value", "val_to_add"])
+    reg = registry(spark, sf_dir).apply(view, fv.FeatureService("activity_v2", ["user_activity:value", "value_plus_batch"]))
+    return reg.historical(purchase_entities(spark, sf_dir), "activity_v2")
+
+
+@register("c11_views_of_one_feature_name", sql=_ASOF_SQL + f""",
+b AS (SELECT j.*, p.ts AS pts, p.value AS pvalue FROM j ASOF LEFT JOIN
+      (SELECT user_id, ts, value FROM events WHERE event_type = 'view') p
+      ON j.user_id = p.user_id AND j.event_timestamp >= p.ts)
+SELECT user_id, event_timestamp, event_id, val_to_add, CASE WHEN {_OK} THEN fvalue END AS user_activity__value,
+       CASE WHEN {_OK} THEN ftype END AS event_type, pvalue AS page_views__value FROM b""")
+def views_of_one_feature_name(spark, sf_dir):
+    """C11 / L2: a service over two views that both have a feature `value`."""
+    ev = read_table(spark, sf_dir, "events")
+    views = ev.where(F.col("event_type") == "view").select("user_id", "ts", "event_id", "value")
+    reg = registry(spark, sf_dir).apply(
+        fv.FeatureView("page_views", USER, views, "ts", {"value": "double"}, ttl_seconds=None, created_field="event_id"),
+        fv.FeatureService("both", ["user_activity", "page_views"]))
+    return reg.historical(purchase_entities(spark, sf_dir), "both")
+
+
 @register("e6_online_lookup", sql="""
 WITH latest AS (SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_type, (ts, event_id)) AS event_type
                 FROM events WHERE event_type <> 'purchase' GROUP BY user_id)

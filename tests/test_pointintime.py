@@ -173,3 +173,91 @@ def test_materialization_keeps_its_end_mark(spark, tmp_path):
     assert run(2) == {1: 2.0}             # again: nothing changes
     assert run(6) == {1: 4.0}
     assert run(1) == {1: 4.0}             # an end before the mark is no step back
+
+
+def hot_hour(seed=7, n=3000):
+    """One key holds a third of all rows, all of them within two minutes of one hour."""
+    rng, base = random.Random(seed), dt.datetime(2024, 1, 1)
+    feats, ents = [], []
+    for i in range(n):
+        hot = i % 3 == 0
+        at = base + dt.timedelta(hours=30, milliseconds=rng.randint(0, 120_000)) if hot else \
+            base + dt.timedelta(seconds=rng.randint(0, 3 * 86400))
+        feats.append((0 if hot else rng.randint(1, 30), at, i, float(i)))
+        if i % 4 == 0:
+            ents.append((0 if hot else rng.randint(1, 35), at + dt.timedelta(seconds=rng.randint(-5, 3600 if i % 5 else 90_000)), f"e{i}"))
+    return feats, [*ents, (None, base, "n1"), (None, base, "n2"), (0, base, "before")]
+
+
+def test_hot_keys_get_narrow_buckets_and_the_same_rows(spark, monkeypatch):
+    from stockpulse.operators import pointintime as pit
+    feats, ents = hot_hour()
+    f = spark.createDataFrame(feats, "k long, ts timestamp, created long, v double")
+    e = spark.createDataFrame(ents, "k long, t timestamp, tag string")
+    assert pit.hot_key_widths(e, f, "k", "t", "ts") is None               # far below the target
+    widths = {r["k"]: r["width_us"] for r in pit.hot_key_widths(e, f, "k", "t", "ts", target_rows=200).collect()}
+    assert widths[0] in (10_000_000, 15_000_000, 30_000_000)              # some 500 rows in the busiest minute
+    assert all(w > 60_000_000 for k, w in widths.items() if k)
+    monkeypatch.setattr(pit, "hot_key_widths", lambda *a, **kw: spark.createDataFrame(
+        [(0, 10_000_000), (3, 3_600_000_000)], "k long, width_us long"))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for ttl in (3600, None):
+        got = sorted((tuple(r) for r in as_of_join(e, f, "k", "t", "ts", ["v"], ttl, "created", None).collect()), key=order)
+        assert got == sorted(brute(ents, feats, ttl), key=order)
+
+
+@settings(max_examples=8, deadline=None)
+@given(seed=st.integers(0, 10**6), target=st.sampled_from([1, 20, 300]))
+def test_adaptive_buckets_property(spark, seed, target):
+    """Any widths: the widths that a small target gives lead to the brute-force rows."""
+    from stockpulse.operators import pointintime as pit
+    feats, ents = hot_hour(seed, 400)
+    f = spark.createDataFrame(feats, "k long, ts timestamp, created long, v double")
+    e = spark.createDataFrame(ents, "k long, t timestamp, tag string")
+    real = pit.hot_key_widths
+    pit.hot_key_widths = lambda *a, **kw: real(*a, target_rows=target)
+    try:
+        got = [tuple(r) for r in as_of_join(e, f, "k", "t", "ts", ["v"], 7200, "created", None).collect()]
+    finally:
+        pit.hot_key_widths = real
+    assert sorted(got, key=str) == sorted((tuple(r) for r in brute(ents, feats, 7200)), key=str)
+
+
+def two_views(spark):
+    rows = [(1, T, 1, 0.5)]
+    a = spark.createDataFrame(rows, "k long, ts timestamp, created long, value double")
+    b = spark.createDataFrame([(1, T, 1, 7.5)], a.schema)
+    ent = fv.Entity("e", "k")
+    return fv.FeatureRegistry().apply(
+        fv.FeatureView("a", ent, a, "ts", {"value": "double"}, 86400, "created"),
+        fv.FeatureView("b", ent, b, "ts", {"value": "double"}, 86400, "created"),
+        fv.FeatureService("s", ["a", "b"]))
+
+
+def test_two_views_with_one_feature_name(spark):
+    reg = two_views(spark)
+    e = spark.createDataFrame([(1, T, "x"), (2, T, "y")], "k long, event_timestamp timestamp, tag string")
+    for got in (reg.historical(e, "s"), reg.online(e, "s")):
+        assert got.columns == ["k", "event_timestamp", "tag", "a__value", "b__value"]
+        assert {r["k"]: (r["a__value"], r["b__value"]) for r in got.collect()} == {1: (0.5, 7.5), 2: (None, None)}
+    # one view alone keeps the plain name; an entity column of that name makes it a long one
+    assert reg.online(e, ["a:value"]).columns == ["k", "event_timestamp", "tag", "value"]
+    assert reg.online(e.withColumnRenamed("tag", "VALUE"), ["a:value"]).columns == ["k", "event_timestamp", "VALUE", "a__value"]
+
+
+def test_batch_on_demand_checks_its_schema(spark):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    reg = two_views(spark)
+    e = spark.createDataFrame([(1, T, 2.0)], "k long, event_timestamp timestamp, add double")
+    good = fv.BatchOnDemandView("good", ["a"], ["add"], lambda b: {"plus": pc.add(b.column("value"), b.column("add"))}, {"plus": "double"})
+    bad_type = fv.BatchOnDemandView("bad_type", ["a"], ["add"], lambda b: {"plus": pa.array(["x"] * b.num_rows)}, {"plus": "double"})
+    bad_name = fv.BatchOnDemandView("bad_name", ["a"], ["add"], lambda b: {"minus": b.column("add")}, {"plus": "double"})
+    reg.apply(good, bad_type, bad_name)
+    plain = fv.OnDemandView("plain", ["a"], ["add"], lambda d: d.withColumn("plus", F.col("value") + F.col("add")), ["plus"])
+    reg.apply(plain)
+    assert reg.historical(e, ["good"]).collect() == reg.historical(e, ["plain"]).collect()
+    for name in ("bad_type", "bad_name"):
+        with pytest.raises(Exception, match="declared"):
+            reg.historical(e, [name]).collect()
