@@ -31,7 +31,8 @@ EVAL_STEP_SECONDS = 60
 STATES = ("START", "COMPLETE", "FAIL")
 
 RUN_LOG_SCHEMA = ("run_id string, job string, state string, event_time timestamp, duration_s double, "
-                  "inputs array<string>, outputs array<string>, schemas map<string,string>")
+                  "inputs array<string>, outputs array<string>, schemas map<string,string>, "
+                  "metrics map<string,bigint>")
 
 
 # ------------------------------------------------------------------ run log
@@ -44,10 +45,11 @@ class RunLog:
         self.spark, self.path = spark, path
 
     def emit(self, run_id: str, job: str, state: str, duration_s: float | None = None,
-             inputs=(), outputs=()) -> None:
+             inputs=(), outputs=(), metrics: dict[str, int] | None = None) -> None:
         if state not in STATES:
             raise ValueError(state)
-        row = [(run_id, job, state, None, duration_s, list(inputs), list(outputs), self._schemas([*inputs, *outputs]))]
+        row = [(run_id, job, state, None, duration_s, list(inputs), list(outputs), self._schemas([*inputs, *outputs]),
+                dict(metrics or {}))]
         df = (self.spark.createDataFrame(row, RUN_LOG_SCHEMA)
               .withColumn("event_time", F.current_timestamp()))
         df.write.mode("append").parquet(self.path)
@@ -63,7 +65,8 @@ class RunLog:
 
     def run_step(self, job: str, fn: Callable[[], object], run_id: str | None = None,
                  inputs=(), outputs=()):
-        """START, run, then COMPLETE (or FAIL and re-raise), with duration."""
+        """START, run, then COMPLETE (or FAIL and re-raise), with duration. Counts that the
+        step returns (name -> number) are logged with COMPLETE."""
         run_id = run_id or str(uuid.uuid4())
         self.emit(run_id, job, "START", None, inputs, outputs)
         t0 = time.time()
@@ -73,10 +76,16 @@ class RunLog:
             self.emit(run_id, job, "FAIL", time.time() - t0, inputs, outputs)
             traceback.print_exc()
             raise
-        self.emit(run_id, job, "COMPLETE", time.time() - t0, inputs, outputs)
+        self.emit(run_id, job, "COMPLETE", time.time() - t0, inputs, outputs, out if isinstance(out, dict) else None)
         return out
 
 
+def logged_counts(run_log: DataFrame) -> DataFrame:
+    """(run_id, job, metric, value) of every count that a step logged."""
+    return (run_log.where(F.col("state") == "COMPLETE")
+            .select("run_id", "job", F.explode("metrics").alias("metric", "value")))
+
+
 def state_counters(run_log: DataFrame) -> DataFrame:
     """runs, completions, failures per job."""
     return run_log.groupBy("job").agg(

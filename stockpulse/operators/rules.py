@@ -3,7 +3,9 @@
 A suite is a list of `Rule`s. `annotate` adds `failed_rules: array<string>`
 (names of the row-level rules a row violates); `split` turns that into the
 passed / rejected pair; `results` gives one row per rule (success, unexpected
-count, element count) from a single aggregate.
+count, element count) from one scan: the rows are first combined per value of the
+unique column, so copies are counted without a join back. `write_split` takes the counts
+per rule and per outcome from the write itself.
 
 Uniqueness is computed as aggregate-then-join, not as a window: the key counts
 are a partial/final aggregate (map-side combine), and only keys with more than
@@ -128,11 +130,17 @@ def split(df: DataFrame, suite) -> tuple[DataFrame, DataFrame]:
     return passed, rejected
 
 
-def write_split(df: DataFrame, suite, path: str) -> None:
+def write_split(df: DataFrame, suite, path: str) -> dict[str, int]:
     """D6 / B3 / B5 written once: the annotated rows go to `path`, a folder for
-    each outcome, from one evaluation of the rules. `read_split` reads them."""
-    (annotate(df, suite).withColumn("passed", F.size("failed_rules") == 0)
-     .write.mode("overwrite").partitionBy("passed").parquet(path))
+    each outcome, from one evaluation of the rules. `read_split` reads them. Returns the counts
+    that the write saw: rows, passed, rejected and one per rule."""
+    from stockpulse.sources.zones import counted
+    names = [r.name for r in _row_rules(suite)]
+    marked = annotate(df, suite).withColumn("passed", F.size("failed_rules") == 0)
+    got = counted(marked, lambda x: x.write.mode("overwrite").partitionBy("passed").parquet(path),
+                  passed=F.count_if("passed"), rejected=F.count_if(~F.col("passed")),
+                  **{f"__r{i}": F.count_if(F.array_contains("failed_rules", n)) for i, n in enumerate(names)})
+    return {k: got[k] for k in ("rows", "passed", "rejected")} | {f"rule:{n}": got[f"__r{i}"] for i, n in enumerate(names)}
 
 
 def read_split(spark, path: str) -> tuple[DataFrame, DataFrame]:
@@ -158,12 +166,25 @@ def results(df: DataFrame, suite) -> DataFrame:
     column count and its unexpected count the missing + extra columns."""
     cols = list(df.columns)
     rows = _row_rules(suite)
-    flagged = _with_dup_flags(df, [r for r in suite if r.kind == UNIQUE and r.column in cols])
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    unique = [r for r in rows if r.kind == UNIQUE and r.column in cols]
+    lead = unique[0].column if unique else None
+    aggs = [F.count(F.lit(1)).alias("__n")]
     for i, r in enumerate(rows):
-        aggs.append(F.count_if(_violation(r, cols)).alias(f"__v{i}"))
+        if r not in unique:
+            aggs.append(F.count_if(_violation(r, cols)).alias(f"__v{i}"))
         aggs.append((F.count(r.column) if r.column in cols else F.lit(0)).alias(f"__nn{i}"))
-    agg = flagged.agg(*aggs)
+    # one row per value of the unique column, then one row
+    per = df.groupBy(F.col(lead).alias("__key")).agg(*aggs) if lead else df.agg(*aggs).withColumn("__key", F.lit(None))
+    copies = F.coalesce(F.sum(F.when(F.col("__key").isNotNull() & (F.col("__n") > 1), F.col("__n"))), F.lit(0))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    agg = per.agg(zero("__n").alias("__rows"), *[zero(f"__nn{i}").alias(f"__nn{i}") for i in range(len(rows))],
+                  *[(copies if r in unique else zero(f"__v{i}")).alias(f"__v{i}") for i, r in enumerate(rows)
+                    if r not in unique[1:]])
+    for r in unique[1:]:                 # further unique columns: a count over their own values each
+        i = rows.index(r)
+        mine = (df.where(F.col(r.column).isNotNull()).groupBy(r.column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                .agg(zero("n").alias(f"__v{i}"), F.lit(1).alias("__one")))
+        agg = agg.withColumn("__one", F.lit(1)).join(mine, "__one").drop("__one")      # one row each
     stack = ", ".join(f"'{r.name}', '{r.column}', {r.mostly}D, "
                       f"{'__rows' if r.kind in (NOT_NULL,) else f'__nn{i}'}, __v{i}"
                       for i, r in enumerate(rows))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stockpulse.operators import featureviews as fv
 from stockpulse.operators.pointintime import latest_per_key, run_materialization
 from stockpulse.plans.registry import register
+from stockpulse.session import run_folder
 from stockpulse.sources.tables import read_table
 
 TTL_SECONDS = 6 * 3600
@@ -141,12 +142,8 @@ FROM events WHERE event_type <> 'purchase' AND ts <= TIMESTAMP '2024-02-01 00:00
 def materialize(spark, sf_dir):
     """K2: two incremental runs (to Jan 15, then to Feb 1), the second from the
     stored end mark of the first, which the view's TTL bounds."""
-    import uuid
-
-    from stockpulse.session import delete_at_end, scratch_path
     v = activity_view(spark, sf_dir)
-    store = scratch_path(spark, f"latest/{uuid.uuid4().hex}")
-    delete_at_end(spark, store)
+    store = run_folder(spark, "latest")
     for day in ("2024-01-15 00:00:00", "2024-02-01 00:00:00"):
         out = run_materialization(spark, store, v.source, "user_id", "ts", ["value", "event_type"],
                                   F.lit(day).cast("timestamp_ntz"), "event_id", v.ttl_seconds)
@@ -180,15 +177,6 @@ def _push(spark, source: str, schema, run: str, **options):
     return target, q.lastProgress
 
 
-def _run_folder(spark, name: str) -> str:
-    import uuid
-
-    from stockpulse.session import delete_at_end, scratch_path
-    run = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
-    delete_at_end(spark, run)
-    return run
-
-
 @register("k1_push_stream", sql=_LATEST_SQL)
 def push_stream(spark, sf_dir):
     """Replay the events as a stream (availableNow) into the offline
@@ -197,7 +185,7 @@ def push_stream(spark, sf_dir):
     from stockpulse.streaming.push import read_online
     ev = read_table(spark, sf_dir, "events")
     # the table may be one file or a folder of part files
-    target, progress = _push(spark, stream_path(spark, sf_dir, "events"), ev.schema, _run_folder(spark, "push"))
+    target, progress = _push(spark, stream_path(spark, sf_dir, "events"), ev.schema, run_folder(spark, "push"))
     if not progress and not ev.isEmpty():
         raise RuntimeError("the stream saw no file of a table that has rows")
     return read_online(spark, target)
@@ -208,7 +196,7 @@ def push_late_batches(spark, sf_dir):
     """K1: the events in four micro-batches, dealt by hash, so that most rows of a batch are late; each
     batch merges into the buckets of its keys only."""
     from stockpulse.streaming.push import read_online
-    run = _run_folder(spark, "push_late")
+    run = run_folder(spark, "push_late")
     ev = read_table(spark, sf_dir, "events")
     ev.repartition(4, "event_id").write.parquet(f"{run}/source")
     target, _ = _push(spark, f"{run}/source", ev.schema, run)
@@ -220,7 +208,7 @@ SELECT user_id, ts, value, event_type, event_id FROM events WHERE event_type <>
 def push_repeated_events(spark, sf_dir):
     """K1: a source that sends every file twice; duplicates are dropped by (key, event id) within a day of
     event time, so the offline table holds every event once."""
-    run = _run_folder(spark, "push_twice")
+    run = run_folder(spark, "push_twice")
     ev = read_table(spark, sf_dir, "events")
     lo, hi = ev.agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))), F.unix_seconds(F.max(F.col("ts").cast("timestamp")))).first()
     if lo is None:
@@ -241,6 +229,6 @@ def store_lookup(spark, sf_dir):
     """Every customer key looked up in the bucketed online store."""
     from stockpulse.sources.tables import stream_path
     ev = read_table(spark, sf_dir, "events")
-    target, _ = _push(spark, stream_path(spark, sf_dir, "events"), ev.schema, _run_folder(spark, "push_lookup"))
+    target, _ = _push(spark, stream_path(spark, sf_dir, "events"), ev.schema, run_folder(spark, "push_lookup"))
     keys = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     return target.store.lookup(keys, ev.schema)

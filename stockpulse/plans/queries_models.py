@@ -316,15 +316,13 @@ def forecast_append(spark, sf_dir):
     """Forecast rows (roll-forward, rounded) appended to a
     forecast_results table with a default created_at, read back; each row
     also carries its horizon label and a JSON record."""
-    import uuid
-
-    from stockpulse.session import scratch_path
+    from stockpulse.session import run_folder
     from stockpulse.sources import io
     rf = _roll(spark, sf_dir)
     rows = rf.select("sku_id", F.col("ds").alias("date"),
                      fc.round_prediction(F.col("avg_qty_7d")).alias("predicted_qty"),
                      F.concat(F.lit("Day "), F.col("step").cast("string")).alias("day_label"))
-    path = scratch_path(spark, f"roundtrip/forecast_results/{uuid.uuid4().hex}")
+    path = run_folder(spark, "roundtrip/forecast_results")
     io.append_with_created_at(rows, path)
     back = spark.read.parquet(path)
     return back.select("sku_id", "date", "predicted_qty", "day_label",

@@ -168,15 +168,33 @@ def run_stages(spark, sf_dir):
     """Run all stages for both inputs
     through the run-log wrapper into a fresh shared folder; the result is the
     row count of every table and CSV written, with its job's last state and counters."""
-    import uuid
-
     from stockpulse.plans.stages import run_stages as run, table_counts
-    from stockpulse.session import delete_at_end, scratch_path
-    out = scratch_path(spark, f"stages/{uuid.uuid4().hex}")
-    delete_at_end(spark, out)
-    rl = run(spark, sf_dir, out).read()
+    from stockpulse.session import run_folder
+    log = run(spark, sf_dir, run_folder(spark, "stages"))
+    rl = log.read()
     state = mon.last_state(rl).join(mon.state_counters(rl), "job").select("job", "state", "runs", "failures")
-    return table_counts(spark, out).join(state, "job")
+    return table_counts(log).join(state, "job")
+
+
+@register("f12_logged_rule_counts", sql=f"""WITH {_LANDING_SQL},
+typed AS (SELECT * REPLACE (TRY_CAST(quantity_consumed AS DOUBLE) AS quantity_consumed) FROM landing),
+flagged AS (SELECT *, count(*) OVER (PARTITION BY transaction_id) > 1 AND transaction_id IS NOT NULL AS again,
+                   coalesce(quantity_consumed < 0 OR isnan(quantity_consumed), false) AS low FROM typed),
+n AS (SELECT count(*) AS rows, count_if(transaction_id IS NULL) AS a, count_if(transaction_time IS NULL) AS b,
+             count_if(sku_id IS NULL) AS c, count_if(again) AS d, count_if(low) AS e,
+             count_if(transaction_id IS NULL OR transaction_time IS NULL OR sku_id IS NULL OR again OR low) AS bad FROM flagged)
+SELECT metric, CAST(value AS BIGINT) AS value FROM n, LATERAL (VALUES ('rows', rows), ('passed', rows - bad), ('rejected', bad),
+  ('rule:transaction_id_not_null', a), ('rule:transaction_time_not_null', b), ('rule:sku_id_not_null', c),
+  ('rule:transaction_id_unique', d), ('rule:quantity_consumed_between', e)) t(metric, value)""")
+def logged_rule_counts(spark, sf_dir):
+    """The validation stage run alone; its counts per outcome and per rule, observed
+    while the split was written and read from the run log."""
+    from stockpulse.plans.stages import run_stages as run
+    from stockpulse.session import run_folder
+    log = run(spark, sf_dir, run_folder(spark, "stages"), only="data_validation")
+    mine = "inventory_transactions/"
+    return mon.logged_counts(log.read()).where(F.col("metric").startswith(mine)).select(
+        F.expr(f"substr(metric, {len(mine) + 1})").alias("metric"), "value")
 
 
 @register("k3_stream_rate", sql=_SLIDE_SQL + """
@@ -187,9 +205,7 @@ def stream_rate(spark, sf_dir):
     through event-time sliding windows with a 10-minute watermark, append
     mode into a Parquet sink; the result is every window the watermark has
     closed, read back."""
-    import uuid
-
-    from stockpulse.session import scratch_path
+    from stockpulse.session import run_folder
     from stockpulse.sources.tables import stream_path
     from stockpulse.streaming.rates import start_rates
     ev = read_table(spark, sf_dir, "events")
@@ -198,7 +214,7 @@ def stream_rate(spark, sf_dir):
               # watermarks need zone-aware event time; the session zone is UTC
               .select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"),
                       (F.col("event_type") != "error").alias("ok")))
-    run = scratch_path(spark, f"stream_rate/{uuid.uuid4().hex}")
+    run = run_folder(spark, "stream_rate")
     q = start_rates(stream, "path", f"{run}/out", f"{run}/_checkpoint", watermark="10 minutes")
     q.awaitTermination()
     out = spark.read.parquet(f"{run}/out")
@@ -265,12 +281,9 @@ seen AS (SELECT max(ts) AS top FROM scrapes)""" + _ALERT_OUT + ", seen WHERE e +
 def alert_rules_stream(spark, sf_dir):
     """K4 (streaming form): the scrape log, one file per quarter of its time, replayed as a stream through
     session windows with a 10-minute watermark; the result is every alert the watermark has closed."""
-    import uuid
-
-    from stockpulse.session import delete_at_end, scratch_path
+    from stockpulse.session import run_folder
     from stockpulse.streaming.alerts import start_alerts
-    run = scratch_path(spark, f"alerts/{uuid.uuid4().hex}")
-    delete_at_end(spark, run)
+    run = run_folder(spark, "alerts")
     alerts.scrapes(counted(spark, sf_dir), "job", "ts", COUNTERS).write.parquet(f"{run}/scrapes")
     log = spark.read.parquet(f"{run}/scrapes")
     lo, hi = log.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()

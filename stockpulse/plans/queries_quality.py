@@ -372,29 +372,44 @@ FROM landing""")
 def partitioned_landing_roundtrip(spark, sf_dir):
     """Landing load written time-partitioned by month (the
     hypertable analogue), read back (partition column restored as text)."""
-    import uuid
-
-    from stockpulse.session import scratch_path
+    from stockpulse.session import run_folder
     from stockpulse.sources import io
     df = landing.load_transactions(landing_transactions(spark, sf_dir)).withColumn(
         "tx_month", F.date_format("transaction_time", "yyyy-MM"))
-    path = scratch_path(spark, f"roundtrip/landing/{uuid.uuid4().hex}")
+    path = run_folder(spark, "roundtrip/landing")
     io.write_table(df, path, partition_by=["tx_month"])
     back = spark.read.option("basePath", path).schema(df.schema).parquet(path)
     return back.select(*df.columns)
 
 
+@register("b2_month_reload", sql=f"""WITH {_LANDING_SQL},
+once AS (SELECT DISTINCT *, strftime(transaction_time, '%Y-%m') AS tx_month FROM landing),
+now AS (SELECT * REPLACE (CASE WHEN tx_month LIKE '1995-%' THEN 'corrected' ELSE transaction_type END AS transaction_type) FROM once)
+SELECT tx_month, transaction_type, count(*) AS rows, count(DISTINCT sku_id) AS skus FROM now GROUP BY 1, 2""")
+def month_reload(spark, sf_dir):
+    """The landing load by month, then the months of 1995 loaded again with corrected rows: only
+    their folders are replaced. Counted per month and type from the reread table."""
+    from stockpulse.session import run_folder
+    from stockpulse.sources import zones
+    df = landing.load_transactions(landing_transactions(spark, sf_dir)).withColumn(
+        "tx_month", F.date_format("transaction_time", "yyyy-MM"))
+    path = run_folder(spark, "roundtrip/months")
+    zones.reload_partitions(df, path, "tx_month")
+    corrected = zones.read_partitions(spark, path, df.schema).where(F.col("tx_month").between("1995-01", "1995-12"))
+    zones.reload_partitions(corrected.withColumn("transaction_type", F.lit("corrected")), path, "tx_month")
+    return zones.read_partitions(spark, path, df.schema).groupBy("tx_month", "transaction_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("sku_id").alias("skus"))
+
+
 @register("b5_rejects_roundtrip", sql=f"""WITH {_TYPED_SQL}
 SELECT transaction_id, sku_id, transaction_time, quantity_consumed, failed_rules
 FROM flagged WHERE failed_rules <> ''""")
 def rejects_roundtrip(spark, sf_dir):
     """Reject table written only when non-empty, read back."""
-    import uuid
-
-    from stockpulse.session import scratch_path
+    from stockpulse.session import run_folder
     from stockpulse.sources import io
     rej = rule_rejects(spark, sf_dir)
-    path = scratch_path(spark, f"roundtrip/rejects/{uuid.uuid4().hex}")
+    path = run_folder(spark, "roundtrip/rejects")
     if not io.write_if_rows(rej, path):
         return rej
     return spark.read.parquet(path)
@@ -407,15 +422,13 @@ def csv_ingest_roundtrip(spark, sf_dir):
     """Landing rows exported as a CSV with display-style
     headers, then ingested as text with a required-column check, names
     normalised and the time column parsed."""
-    import uuid
-
-    from stockpulse.session import scratch_path
+    from stockpulse.session import run_folder
     from stockpulse.sources import io
     cols = ["transaction_id", "transaction_code", "hospital_id", "sku_id", "transaction_time",
             "quantity_consumed", "total_revenue", "transaction_type"]
     src = landing_transactions(spark, sf_dir).select(*cols)
     shown = src.select(*[F.col(c).alias(c.replace("_", " ").title()) for c in cols])
-    path = scratch_path(spark, f"roundtrip/csv_ingest/{uuid.uuid4().hex}")
+    path = run_folder(spark, "roundtrip/csv_ingest")
     io.write_csv(shown.withColumn("Transaction Time",
                                   F.date_format("Transaction Time", "yyyy-MM-dd HH:mm:ss")), path)
     back = landing.read_csv_landing(spark, path, required=["transaction_time"])

@@ -3,6 +3,9 @@ tables -> event table and exports, for the transactions and the SKU master, each
 stage wrapped in the run log (START / COMPLETE / FAIL with duration and schemas).
 Stages communicate through written tables under `out_base` (a shared folder), so a
 lost executor costs at most the current stage, and any stage can be run alone (`only=`).
+
+Row counts (per table, per outcome and per rule) are observed while the tables are written and
+go into the run log; nothing is read again to be counted.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 
 from stockpulse.functions.parsing import to_number
 from stockpulse.operators import cleaning, demand, profile, rules
-from stockpulse.operators.monitoring import RunLog
+from stockpulse.operators.monitoring import RunLog, logged_counts
 from stockpulse.sources import io
+from stockpulse.sources.zones import counted
 from stockpulse.sources.tables import landing_transactions, sku_master
 
 STAGES = ("zones", "data_validation", "clean_zone", "daily_table", "feature_store_full", "feature_store_top10",
@@ -50,53 +54,72 @@ def run_stages(spark: SparkSession, sf_dir: str, out_base: str, only: str | None
     run_id = run_id or str(uuid.uuid4())
     at = lambda name: f"{out}/{name}"
 
+    def table(counts: dict[str, int], df: DataFrame, name: str, **kw) -> None:
+        counts[name] = counted(df, lambda x: io.write_table(x, at(name), **kw))["rows"]
+
+    def csv(counts: dict[str, int], df: DataFrame, name: str) -> None:
+        counts[name] = counted(df, lambda x: io.write_csv(x, at(name)))["rows"]
+
     def zones():
         io.ensure_database(spark, DATABASE)
 
     def validation():
+        counts: dict[str, int] = {}
         for name, (landing, suite) in _landing(spark, sf_dir).items():
             split = at(f"raw_zone/{name}_checked")
-            rules.write_split(landing, suite, split)              # the rules run once
+            seen = rules.write_split(landing, suite, split)       # the rules run once
+            counts |= {f"{name}/{k}": n for k, n in seen.items()}
             passed, rejected = rules.read_split(spark, split)
-            io.write_table(passed, at(f"raw_zone/{name}"))
-            io.write_if_rows(rejected.withColumn("failed_rules", F.array_join("failed_rules", ",")),
-                             at(f"raw_zone/{name}_rejected"))
+            table(counts, passed, f"raw_zone/{name}")
+            if seen["rejected"]:
+                table(counts, rejected.withColumn("failed_rules", F.array_join("failed_rules", ",")), f"raw_zone/{name}_rejected")
             valid = spark.read.parquet(at(f"raw_zone/{name}"))
-            io.write_csv(valid, at(f"raw_zone/{name}_valid_csv"))
-            io.write_csv(profile.describe(valid), at(f"profiles/{name}_describe_csv"))
-            io.write_csv(cleaning.null_counts(valid), at(f"profiles/{name}_nulls_csv"))
+            csv(counts, valid, f"raw_zone/{name}_valid_csv")
+            csv(counts, profile.describe(valid), f"profiles/{name}_describe_csv")
+            csv(counts, cleaning.null_counts(valid), f"profiles/{name}_nulls_csv")
+        return counts
 
     def clean_zone():
+        counts: dict[str, int] = {}
         for name, clean in (("inventory_transactions", cleaning.clean_transactions), ("sku_master", cleaning.clean_sku_master)):
             if not io.is_complete(spark, at(f"raw_zone/{name}")):      # A4: no table, nothing to do
                 continue
             raw = spark.read.parquet(at(f"raw_zone/{name}"))
             if raw.isEmpty():
                 continue
-            io.write_table(clean(raw), at(f"clean_zone/{name}"))
-            io.write_csv(spark.read.parquet(at(f"clean_zone/{name}")), at(f"clean_zone/{name}_csv"))
+            table(counts, clean(raw), f"clean_zone/{name}")
+            csv(counts, spark.read.parquet(at(f"clean_zone/{name}")), f"clean_zone/{name}_csv")
+        return counts
 
     def daily_table():
+        counts: dict[str, int] = {}
         tx = spark.read.parquet(at("clean_zone/inventory_transactions"))
-        io.write_table(demand.daily_demand(tx, keep_decimal=False), at("clean_zone/daily_sku_demand"),
-                       cluster_by=["hospital_id", "sku_id"], sort_within=["sku_id", "hospital_id", "tx_date"])
+        table(counts, demand.daily_demand(tx, keep_decimal=False), "clean_zone/daily_sku_demand",
+              cluster_by=["hospital_id", "sku_id"], sort_within=["sku_id", "hospital_id", "tx_date"])
+        return counts
 
     def features_full():
-        io.write_table(demand.demand_features(spark.read.parquet(at("clean_zone/daily_sku_demand"))),
-                       at("feature_store/sku_demand_daily_features"), sort_within=["hospital_id", "sku_id", "ds"])
+        counts: dict[str, int] = {}
+        table(counts, demand.demand_features(spark.read.parquet(at("clean_zone/daily_sku_demand"))),
+              "feature_store/sku_demand_daily_features", sort_within=["hospital_id", "sku_id", "ds"])
+        return counts
 
     def features_top():
+        counts: dict[str, int] = {}
         d = spark.read.parquet(at("clean_zone/daily_sku_demand"))
         t = demand.top_skus(d, demand.TOP_K, qty_col="total_quantity")
-        io.write_table(demand.demand_features(demand.restrict_to(d, t)),
-                       at("feature_store/sku_demand_daily_features_top_10"), sort_within=["hospital_id", "sku_id", "ds"])
+        table(counts, demand.demand_features(demand.restrict_to(d, t)),
+              "feature_store/sku_demand_daily_features_top_10", sort_within=["hospital_id", "sku_id", "ds"])
+        return counts
 
     def event_features():
+        counts: dict[str, int] = {}
         tx = spark.read.parquet(at("clean_zone/inventory_transactions"))
-        path = at("feature_store/sku_event_features")
-        io.write_table(demand.event_features(tx), path, sort_within=["sku_id", "feature_timestamp"])
+        name = "feature_store/sku_event_features"
+        table(counts, demand.event_features(tx), name, sort_within=["sku_id", "feature_timestamp"])
         day = export_date or spark.range(1).select(F.date_format(F.current_date(), "yyyyMMdd")).first()[0]
-        io.write_csv(spark.read.parquet(path), at(f"exports/sku_event_features_{day}_csv"))
+        io.write_csv(spark.read.parquet(at(name)), at(f"exports/sku_event_features_{day}_csv"))
+        return counts
 
     steps = {"zones": zones, "data_validation": validation, "clean_zone": clean_zone, "daily_table": daily_table,
              "feature_store_full": features_full, "feature_store_top10": features_top, "event_features": event_features}
@@ -111,18 +134,9 @@ def run_stages(spark: SparkSession, sf_dir: str, out_base: str, only: str | None
     return log
 
 
-def table_counts(spark: SparkSession, out_base: str) -> DataFrame:
-    """(job, table_name, rows) of every table a run wrote; an unwritten
+def table_counts(log: RunLog) -> DataFrame:
+    """(job, table_name, rows) of every table a run wrote, as the run log holds them; an unwritten
     table (no rejects) has no row. A CSV is counted as its rows, without headers."""
-    out = out_base.rstrip("/")
-    counts = None
-    for job, names in TABLES.items():
-        for name in names:
-            path = f"{out}/{name}"
-            if not io.is_complete(spark, path):
-                continue
-            df = spark.read.option("header", True).option("multiLine", True).csv(path) if name.endswith("_csv") \
-                else spark.read.parquet(path)
-            part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(job).alias("job"), F.lit(name).alias("table_name"), "rows")
-            counts = part if counts is None else counts.unionByName(part)
-    return counts
+    names = [n for tables in TABLES.values() for n in tables]
+    return logged_counts(log.read()).where(F.col("metric").isin(names)).select(
+        "job", F.col("metric").alias("table_name"), F.col("value").alias("rows"))

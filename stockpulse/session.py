@@ -102,13 +102,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stockpulse/{name}"
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared folder, deleted when the session's file system closes."""
+    path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+    delete_at_end(spark, path)
+    return path
+
+
 def written_table(df, name: str):
     """Write `df` once in the shared folder and read it back. The folder is new
     for each call and is deleted when the session's file system closes."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    path = run_folder(spark, f"tables/{name}")
     df.write.parquet(path)
-    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
