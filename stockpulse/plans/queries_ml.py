@@ -1,10 +1,12 @@
-"""Fitted-model queries: per-SKU training, random search, batch scoring with
-per-row errors, latest-row scoring with intervals, multi-day forecast.
+"""Fitted-model queries: training, random search, batch scoring with
+per-row errors, latest-row scoring with intervals, multi-day forecast, and the files and
+registry entries of a training run.
 
 The trees have no SQL twin, so the registered columns are what does not depend on
-them (keys, row counts, errors, dates, the order of the bounds); the `_values`
+them (keys, row counts, errors, dates, the order of the bounds) and a bound on the error: a
+model has to beat the forecast "as yesterday" (`beats_naive`). The `_values`
 queries return the predictions themselves and are checked on rows. `l3` always fits and
-writes the model table to the store; the others read it and fit only where it is
+writes the model to the store; the others read it and fit only where it is
 missing. The store's key holds the input files, the feature version and the
 parameters.
 """
@@ -18,11 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockpulse.operators import demand, evaluation as ev, forecast as fc, models as M
-from stockpulse.operators.boosting import TreeParams
+from stockpulse.operators.models import Fitted, TreeParams
 from stockpulse.plans.queries_models import _POS, top_features
 from stockpulse.plans.registry import register
-from stockpulse.session import scratch_path
-from stockpulse.sources.io import is_complete
+from stockpulse.session import run_folder, scratch_path
+from stockpulse.sources import io
 from stockpulse.sources.tables import read_table, transactions
 
 SERIES = ["hospital_id", "sku_id"]
@@ -42,11 +44,11 @@ def store_path(spark, sf_dir: str, params: TreeParams, name: str) -> str:
     return scratch_path(spark, f"models/{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:24]}")
 
 
-def fitted(spark, sf_dir: str, params: TreeParams = TreeParams(), refit: bool = False, tune: bool = False) -> DataFrame:
+def fitted(spark, sf_dir: str, params: TreeParams = TreeParams(), refit: bool = False, tune: bool = False) -> Fitted:
     path = store_path(spark, sf_dir, params, "tuned" if tune else "top")
-    if refit or not is_complete(spark, path):
-        M.train_per_sku(top_features(spark, sf_dir), params, tune).write.mode("overwrite").parquet(path)
-    return spark.read.schema(M.MODEL_SCHEMA).parquet(path)
+    if refit or not M.is_saved(spark, path):
+        M.train(top_features(spark, sf_dir), params, tune).save(path)
+    return M.load(spark, path)
 
 
 _COUNTS = _POS + """,
@@ -54,20 +56,21 @@ counts AS (SELECT sku_id, count(*) AS n_rows, CAST(count_if(is_train) AS BIGINT)
 
 
 @register("l3_train_per_sku", sql=_COUNTS + """
-SELECT sku_id, n_train, n_rows - n_train AS n_test, true AS fitted, true AS evaluated, CAST(NULL AS VARCHAR) AS error
+SELECT sku_id, n_train, n_rows - n_train AS n_test, true AS fitted, true AS evaluated, true AS beats_naive, CAST(NULL AS VARCHAR) AS error
 FROM counts WHERE n_rows >= 90""")
 def train_per_sku(spark, sf_dir):
-    """One boosted-tree regressor per top SKU (200 trees, depth 6, rate 0.1,
-    row and column sampling 0.8, seed 42), evaluated on the last 20 %. Always fits."""
-    return fitted(spark, sf_dir, refit=True).select(
-        "sku_id", "n_train", "n_test", F.col("model").isNotNull().alias("fitted"),
-        ((F.col("mape") >= 0) & (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-9)).alias("evaluated"), "error")
+    """Boosted trees over the rows of all top SKUs, evaluated per SKU on its last
+    20 %, where they have to beat the value of the day before. Always fits."""
+    return fitted(spark, sf_dir, refit=True).skus.select(
+        "sku_id", "n_train", "n_test", F.col("params").isNotNull().alias("fitted"),
+        ((F.col("mape") >= 0) & (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-9)).alias("evaluated"),
+        (F.col("mae") < F.col("naive_mae")).alias("beats_naive"), "error")
 
 
 @register("l3_training_summary")
 def training_summary(spark, sf_dir):
     """MAPE, MAE and RMSE per SKU, ascending by MAPE."""
-    return M.training_summary(fitted(spark, sf_dir))
+    return M.training_summary(fitted(spark, sf_dir).skus)
 
 
 @register("l4_random_search", sql=_COUNTS + """
@@ -75,9 +78,9 @@ SELECT sku_id, n_train > 100 AS tuned, CASE WHEN n_train > 100 THEN 5 END AS dra
        CASE WHEN n_train > 100 THEN 2 * (n_train // 3) END AS fold_rows, true AS from_draws
 FROM counts WHERE n_rows >= 90""")
 def random_search(spark, sf_dir):
-    """L4: five seeded draws scored on two expanding time folds per SKU; the
+    """L4: five seeded draws scored on two expanding time folds of every SKU's training rows; the
     chosen parameters are one of the draws (or the defaults below the gate)."""
-    m = fitted(spark, sf_dir, tune=True)
+    m = fitted(spark, sf_dir, tune=True).skus
     params = [{k: str(v) for k, v in asdict(p).items()} for p in [TreeParams(), *M.draw_params(TreeParams())]]
     drawn = F.array(*[F.concat_ws("|", *[F.lit(f"{k}={p[k]}") for k in sorted(p)]) for p in params])
     mine = F.concat_ws("|", F.transform(F.array_sort(F.map_keys("params")),
@@ -112,7 +115,7 @@ def _latest(spark, sf_dir) -> DataFrame:
     models = fitted(spark, sf_dir)
     w = Window.partitionBy(*SERIES).orderBy(F.col("ds").desc())
     latest = top_features(spark, sf_dir).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    scored = M.score(latest, models).filter("error is null").join(models.select("sku_id", "mape"), "sku_id", "left")
+    scored = M.score(latest, models).filter("error is null").join(models.skus.select("sku_id", "mape"), "sku_id", "left")
     return ev.with_interval(scored, "prediction", "mape")
 
 
@@ -139,7 +142,7 @@ def forecast_rows(spark, sf_dir, horizon: int = fc.DEFAULT_HORIZON) -> DataFrame
     models = fitted(spark, sf_dir)
     rf = fc.roll_forward(top_features(spark, sf_dir), SERIES, horizon)
     scored = (M.score(rf.withColumn(M.TARGET, F.lit(None).cast("double")), models).filter("error is null")
-              .join(models.select("sku_id", "mape"), "sku_id", "left"))
+              .join(models.skus.select("sku_id", "mape"), "sku_id", "left"))
     first = Window.partitionBy(*SERIES).orderBy("step")
     out = scored.select(*SERIES, "step", F.col("ds").alias("date"), "mape",
                         fc.round_prediction(F.col("prediction")).alias("predicted_qty"))
@@ -170,3 +173,67 @@ def forecast_values(spark, sf_dir):
     return forecast_rows(spark, sf_dir).select(
         *SERIES, "step", "date", "predicted_qty", "lower", "upper",
         F.avg("predicted_qty").over(Window.partitionBy(*SERIES)).alias("mean_predicted"))
+
+
+@register("b13_summary_csv", sql=_COUNTS + """
+SELECT sku_id, n_train, n_rows - n_train AS n_test, true AS ascending FROM counts WHERE n_rows >= 90""")
+def summary_csv(spark, sf_dir):
+    """The training summary as a CSV ordered by MAPE, read back strictly; `ascending` compares
+    each row with the one before it in the file."""
+    summary = M.training_summary(fitted(spark, sf_dir).skus)
+    path = run_folder(spark, "summary_csv")
+    io.write_csv(summary.coalesce(1), path)          # a row per SKU
+    back = io.read_csv(spark, path, summary.schema, strict=True).withColumn("line", F.monotonically_increasing_id())
+    before = F.lag("mape").over(Window.orderBy("line"))
+    return back.withColumn("before", before).select(
+        "sku_id", "n_train", "n_test", F.coalesce(F.col("mape") >= F.col("before"), F.lit(True)).alias("ascending"))
+
+
+@register("b14_scored_batch_csv", sql=_COUNTS + """
+SELECT f.hospital_id, f.sku_id, f.ds, CAST(f.qty_1d AS DOUBLE) AS qty_1d, true AS predicted
+FROM feats f JOIN counts c ON f.sku_id = c.sku_id WHERE c.n_rows >= 90""")
+def scored_batch_csv(spark, sf_dir):
+    """The top SKUs' rows from an uploaded CSV, scored, written as a CSV and read back strictly."""
+    rows = top_features(spark, sf_dir)
+    up = io.write_csv(rows, run_folder(spark, "upload_csv"))
+    scored = M.score(io.read_csv(spark, up, rows.schema, strict=True), fitted(spark, sf_dir)).filter("error is null")
+    path = io.write_csv(scored, run_folder(spark, "scored_csv"))
+    back = io.read_csv(spark, path, scored.schema, strict=True)
+    return back.select("hospital_id", "sku_id", "ds", "qty_1d", F.col("prediction").isNotNull().alias("predicted"))
+
+
+@register("b14_forecast_csv", sql=_COUNTS + """,
+ranked AS (SELECT f.hospital_id, f.sku_id, count(*) OVER (PARTITION BY f.hospital_id, f.sku_id) AS n,
+                  max(f.ds) OVER (PARTITION BY f.hospital_id, f.sku_id) AS last_ds
+           FROM feats f JOIN counts c ON f.sku_id = c.sku_id WHERE c.n_rows >= 90)
+SELECT DISTINCT hospital_id, sku_id, CAST(last_ds + CAST(s.step AS INTEGER) AS DATE) AS date, 'Day ' || s.step AS day_label
+FROM ranked, (SELECT unnest(range(1, 8)) AS step) s WHERE n >= 30""")
+def forecast_csv(spark, sf_dir):
+    """The served forecast as a CSV in the order of series and day, read back strictly."""
+    f = forecast_rows(spark, sf_dir).select(*SERIES, "date", F.concat(F.lit("Day "), F.col("step").cast("string")).alias("day_label"),
+                                            "predicted_qty", "lower", "upper")
+    path = io.write_csv(f, run_folder(spark, "forecast_csv"), order_by=[*SERIES, "date"])
+    return io.read_csv(spark, path, f.schema, strict=True).select(*SERIES, "date", "day_label")
+
+
+@register("b20_fitted_runs", sql=_COUNTS + """
+SELECT sku_id, kind, key FROM counts, (VALUES ('metric', 'mape'), ('metric', 'mae'), ('metric', 'rmse'), ('metric', 'naive_mae'),
+  ('param', 'max_iter'), ('param', 'max_depth'), ('param', 'step_size'), ('param', 'subsampling_rate'), ('param', 'feature_rate'),
+  ('param', 'min_rows'), ('param', 'seed')) t(kind, key) WHERE n_rows >= 90""")
+def run_metrics(spark, sf_dir):
+    """Parameters and metrics of the fitted models, one row each (values without a twin are left out)."""
+    skus = fitted(spark, sf_dir).skus
+    metrics = M.metrics_table(skus).where("value is not null").select("sku_id", F.lit("metric").alias("kind"), "key")
+    return metrics.unionByName(M.params_table(skus).select("sku_id", F.lit("param").alias("kind"), "key"))
+
+
+@register("l8_model_fallback", sql=_COUNTS + """,
+k AS (SELECT sku_id, row_number() OVER (ORDER BY sku_id) AS pos FROM counts WHERE n_rows >= 90)
+SELECT sku_id, CASE WHEN pos % 3 = 1 THEN 0 ELSE 1 END AS store FROM k WHERE pos % 3 <> 0""")
+def model_fallback(spark, sf_dir):
+    """Per SKU the local entry, else the registry's, else none: every third SKU is in the local store, the
+    next one only in the registry, the third in neither."""
+    skus = fitted(spark, sf_dir).skus
+    # one row per SKU of the top list
+    pos = skus.where("error is null").withColumn("pos", F.row_number().over(Window.orderBy("sku_id")))
+    return M.first_models([pos.where("pos % 3 = 1"), pos.where("pos % 3 <> 0 and pos % 3 <= 2")]).select("sku_id", "store")

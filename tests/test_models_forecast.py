@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockpulse.operators import evaluation as ev, forecast as fc, models as M
-from stockpulse.operators.boosting import TreeParams, Trees, fit
+from stockpulse.operators.models import TreeParams
 
 
 def _series(spark, n_by_sku, hospitals=("h1",)):
@@ -123,52 +123,65 @@ def _feature_rows(spark, sizes, bad=()):
     return spark.createDataFrame(rows, cols)
 
 
-def test_per_sku_models(spark, tmp_path):
+def test_pooled_model_of_all_skus(spark, tmp_path):
     feats = _feature_rows(spark, [("big", 300), ("A#1", 100), ("small", 40), ("broken", 100)], bad={("broken", 3)})
-    params = TreeParams(max_iter=30, max_depth=3)
+    params = TreeParams(max_iter=10, max_depth=4)
     path = str(tmp_path / "models")
-    M.train_per_sku(feats, params).write.parquet(path)
-    models = spark.read.parquet(path)
-    got = {r["sku_id"]: r for r in M.training_summary(models).collect()}
+    assert not M.is_saved(spark, path)
+    M.train(feats, params).save(path)
+    assert M.is_saved(spark, path)
+    fitted = M.load(spark, path)
+    got = {r["sku_id"]: r for r in fitted.skus.collect()}
     assert set(got) == {"big", "A#1", "broken"}                       # 40 rows < 90: skipped
     assert got["broken"]["error"] and got["broken"]["mape"] is None    # one SKU's fault stays its own
     assert (got["big"]["n_train"], got["big"]["n_test"]) == (240, 60)
-    assert got["big"]["mae"] < 5                                       # the target follows the features
-    assert M.training_summary(models).collect()[-1]["sku_id"] == "broken"
-    assert {r["value"] for r in M.params_table(models).filter("key = 'max_iter'").collect()} == {"30"}
+    assert got["big"]["mae"] < 5 and got["big"]["mae"] < got["big"]["naive_mae"]      # the target follows the features
+    summary = M.training_summary(fitted.skus).collect()
+    assert summary[-1]["sku_id"] == "broken" and summary[0]["mape"] <= summary[1]["mape"]
+    assert {r["value"] for r in M.params_table(fitted.skus).filter("key = 'max_iter'").collect()} == {"10"}
+    assert M.metrics_table(fitted.skus).count() == 8
+    # encodings come from the training rows only
+    train = [r["qty_1d"] for r in feats.filter("sku_id = 'big'").orderBy("ds").collect()][:240]
+    assert abs(got["big"]["sku_mean"] - sum(train) / 240) < 1e-9
     # every row comes out once: NULL keys, SKUs without a model, missing inputs
     extra = feats.filter("sku_id = 'big'").limit(3).withColumn("sku_id", F.lit(None).cast("string")) \
         .unionByName(feats.filter("sku_id = 'big'").limit(2).withColumn("qty_7d", F.lit(None).cast("double")))
-    out = M.score(feats.unionByName(extra), models).collect()
+    out = M.score(feats.unionByName(extra), fitted).collect()
     assert len(out) == 540 + 5
     assert sum(r["error"] == "no model" for r in out) == 3 + 40 + 100
     assert sum(r["error"] == "invalid input" for r in out) == 2
     assert all((r["prediction"] is None) == (r["error"] is not None) for r in out)
 
 
-def test_random_search_takes_the_better_draw():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(240, 4))
-    y = 10 * (x[:, 0] > 0) + x[:, 1]
-    poor, good = TreeParams(max_iter=1, step_size=0.01, max_depth=1), TreeParams(max_iter=60, max_depth=3)
-    for order in ([poor, good], [good, poor]):
-        found = M.search(x, y, TreeParams(), order)
-        assert found.params == good and (found.draws, found.folds, found.fold_rows) == (2, 2, 160)
-    assert M.search(x, y, TreeParams(max_iter=2), []).params == TreeParams(max_iter=2)
+def test_no_sku_can_be_trained(spark, tmp_path):
+    feats = _feature_rows(spark, [("small", 40), ("broken", 100)], bad={("broken", 3)})
+    M.train(feats, TreeParams(max_iter=2)).save(str(tmp_path / "none"))
+    fitted = M.load(spark, str(tmp_path / "none"))
+    assert fitted.model is None and [r["sku_id"] for r in fitted.skus.collect()] == ["broken"]
+    assert {r["error"] for r in M.score(feats, fitted).collect()} == {"no model"}
+
+
+def test_random_search_takes_the_better_draw(spark):
+    feats = _feature_rows(spark, [("a", 200), ("b", 150)])
+    rows = M.prepare(feats).withColumn("sku_mean", F.lit(0.0)).withColumn("sku_std", F.lit(0.0))
+    train = M.vectors(ev.positions(rows, "sku_id", "ds", "hospital_id")).cache()
+    poor, good = TreeParams(max_iter=1, step_size=0.01, max_depth=1), TreeParams(max_iter=6, max_depth=4)
+    broken = TreeParams(max_depth=99)                                  # cannot be fitted: does not take part
+    assert M.search(train, TreeParams(), [poor, broken, good]) == good
+    assert M.search(train, TreeParams(max_iter=2), [broken]) == TreeParams(max_iter=2)
     assert M.draw_params(TreeParams()) == M.draw_params(TreeParams()) and len(set(M.draw_params(TreeParams()))) == 5
+    train.unpersist()
 
 
-def test_trees_fit_and_round_trip():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(500, 3))
-    y = np.where(x[:, 0] > 0, 3.0, -1.0)
-    m = fit(x, y, TreeParams(max_iter=50))
-    assert np.abs(m.predict(x) - y).max() < 0.5
-    assert np.array_equal(Trees.loads(m.dumps()).predict(x), m.predict(x))
-    assert np.allclose(fit(x, np.full(500, 7.0), TreeParams(max_iter=3)).predict(x), 7.0)
+def test_tuning_is_per_gate(spark):
+    feats = _feature_rows(spark, [("a", 160), ("b", 100)])             # 128 and 80 training rows; the gate is 100
+    skus = {r["sku_id"]: r for r in M.train(feats, TreeParams(max_iter=2, max_depth=2), tune=True).skus.collect()}
+    assert (skus["a"]["tuned"], skus["a"]["draws"], skus["a"]["folds"], skus["a"]["fold_rows"]) == (True, 5, 2, 2 * (128 // 3))
+    assert skus["b"]["tuned"] is False and skus["b"]["draws"] is None and skus["b"]["mape"] is not None
 
 
 def test_first_store_wins(spark):
-    a = spark.createDataFrame([("s", b"1"), ("t", None)], "sku_id string, model binary")
-    b = spark.createDataFrame([("s", b"2"), ("t", b"3")], "sku_id string, model binary")
-    assert {r["sku_id"]: bytes(r["model"]) for r in M.first_models([a, b]).collect()} == {"s": b"1", "t": b"3"}
+    schema = "sku_id string, mape double, error string"
+    a = spark.createDataFrame([("s", 1.0, None), ("t", None, "failed")], schema)
+    b = spark.createDataFrame([("s", 2.0, None), ("t", 3.0, None), ("u", None, "failed")], schema)
+    assert {r["sku_id"]: (r["store"], r["mape"]) for r in M.first_models([a, b]).collect()} == {"s": (0, 1.0), "t": (1, 3.0)}
