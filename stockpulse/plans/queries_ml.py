@@ -237,3 +237,46 @@ def model_fallback(spark, sf_dir):
     # one row per SKU of the top list
     pos = skus.where("error is null").withColumn("pos", F.row_number().over(Window.orderBy("sku_id")))
     return M.first_models([pos.where("pos % 3 = 1"), pos.where("pos % 3 <> 0 and pos % 3 <= 2")]).select("sku_id", "store")
+
+
+RUN_TIMES = (("run-1", 1_700_000_000_000), ("run-2", 1_700_086_400_000))
+
+
+def _registry(spark, sf_dir):
+    """The fitted models registered by two training runs, the second with a tag."""
+    from stockpulse.operators.registry_log import RegistryLog
+    log = RegistryLog(spark, run_folder(spark, "registry"))
+    models = fitted(spark, sf_dir).skus.where("error is null").select(ev.model_name(F.col("sku_id")).alias("model_name"))
+    for run, at in RUN_TIMES:
+        log.register(models, run, at, tags={"team": "demand", "run": run})
+    return log
+
+
+_REGISTRY_SQL = _COUNTS + """,
+m AS (SELECT 'sku_forecast_model_' || sku_id AS model_name FROM counts WHERE n_rows >= 90),
+v AS (SELECT model_name, '1' AS version, 'Archived' AS stage, 'run-1' AS run_id, 1700086400000 AS last_updated_ms FROM m
+      UNION ALL SELECT model_name, '2', 'Production', 'run-2', 1700086400000 FROM m)"""
+
+
+@register("l6_registry_log", sql=_REGISTRY_SQL + "\nSELECT * FROM v")
+def registry_log(spark, sf_dir):
+    """The fitted models registered twice through the transition log: the second version is
+    Production, the first archived by the same commit."""
+    return _registry(spark, sf_dir).versions()
+
+
+@register("l7_registry_resolve", sql=_REGISTRY_SQL + """
+SELECT v.*, key, CASE key WHEN 'team' THEN 'demand' ELSE run_id END AS value
+FROM v, (VALUES ('team'), ('run')) t(key) WHERE stage = 'Production'""")
+def registry_resolve(spark, sf_dir):
+    """The Production version of every model in the log, with its tags."""
+    log = _registry(spark, sf_dir)
+    return ev.resolve_model(log.versions(), "Production").join(log.tags(), ["model_name", "version"])
+
+
+@register("f14_registry_exporter", sql=_REGISTRY_SQL + """
+SELECT model_name, max(CAST(version AS INTEGER)) AS latest_version, max(last_updated_ms) / 1000.0 AS last_updated_s,
+       1700090000.0 - max(last_updated_ms) / 1000.0 AS age_seconds FROM v GROUP BY model_name""")
+def registry_exporter(spark, sf_dir):
+    """Latest version and age of every model in the log, an hour after the second run."""
+    return ev.exporter_view(_registry(spark, sf_dir).versions(), F.timestamp_seconds(F.lit(1_700_090_000)))
