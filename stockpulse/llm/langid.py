@@ -8,9 +8,10 @@ rest is fitted on a bounded sample. The n-grams are those of the landmarks. A
 batch of documents is scored by matrix products: presence times landmarks times
 weights, where the last two are multiplied once.
 
-Bounds, all parameters: `landmarks` documents per language, `train_docs` per
-language, `gram_limit` n-grams (those in most landmarks), `max_langs` languages (the
-most frequent). They bound the model, not the scoring: every whole text is scored.
+Bounds, all parameters: `landmarks` and `train_docs` documents per language, or an equal share of
+`all_landmarks` and `all_train_docs` where there are many languages; `gram_limit` n-grams, those in
+most landmarks of each language in turn. They bound the model, not the scoring: every
+language is learned and every whole text is scored.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if
 nothing could be learned; ties go to the smaller language value; null languages
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,8 @@ from stockpulse.llm.scratch import unused
 
 LANDMARKS = 64
 TRAIN_DOCS = 1024
+ALL_LANDMARKS = 1024     # of all languages together, one each at least
+ALL_TRAIN_DOCS = 32_768
 GRAM_LIMIT = 20_000
 RIDGE = 1e-3
 SEED = 10
@@ -101,18 +104,17 @@ def _concat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(samples: dict[str, list[bytes]], landmarks: int = LANDMARKS, gram_limit: int = GRAM_LIMIT,
-        ridge: float = RIDGE) -> Model | None:
+        ridge: float = RIDGE, all_landmarks: int = ALL_LANDMARKS) -> Model | None:
     """samples: texts per language, the first `landmarks` of each are landmarks."""
     langs = sorted(x for x in samples if samples[x])
     if not langs:
         return None
-    marks = [t for x in langs for t in samples[x][:landmarks]]
-    doc, code = grams(*_concat(marks))
-    pairs = np.unique(code * len(marks) + doc) // len(marks)
-    vocab, df = np.unique(pairs, return_counts=True)
+    each = max(1, min(landmarks, all_landmarks // len(langs)))
+    marks = [t for x in langs for t in samples[x][:each]]
+    of = np.repeat(np.arange(len(langs)), [len(samples[x][:each]) for x in langs])
+    vocab = _vocabulary(marks, of, gram_limit)
     if len(vocab) == 0:
         return None
-    vocab = np.sort(vocab[np.lexsort((vocab, -df))[:gram_limit]])
     model = Model(langs, vocab, np.zeros((len(vocab), len(langs))), np.zeros(len(langs)))
 
     def unit(texts):
@@ -145,6 +147,25 @@ def fit(samples: dict[str, list[bytes]], landmarks: int = LANDMARKS, gram_limit:
     return model
 
 
+def _vocabulary(marks: list[bytes], of: np.ndarray, limit: int) -> np.ndarray:
+    """The n-grams of the landmarks (of: their languages); over the limit the first of every
+    language in turn, so that no language is thinned out by others."""
+    doc, code = grams(*_concat(marks))
+    held = np.unique(code * len(marks) + doc)
+    vocab, at, df = np.unique(held // len(marks), return_inverse=True, return_counts=True)
+    if len(vocab) <= limit:
+        return vocab
+    langs = int(of.max()) + 1
+    pair, n = np.unique(at * langs + of[held % len(marks)], return_counts=True)
+    gram, lang = pair // langs, pair % langs
+    # every language ranks its n-grams by how many of its landmarks hold them; the best rank counts
+    order = np.lexsort((gram, -n, lang))
+    place = np.arange(len(order)) - np.searchsorted(lang[order], lang[order])
+    rank = np.full(len(vocab), len(pair))
+    np.minimum.at(rank, gram[order], place)
+    return np.sort(vocab[np.lexsort((vocab, -df, rank))[:limit]])
+
+
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
@@ -178,25 +199,30 @@ def _predict(model, text: str, names: list[str]):
 
 
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang",
-          landmarks: int = LANDMARKS, train_docs: int = TRAIN_DOCS, max_langs: int = 256) -> Model | None:
+          landmarks: int = LANDMARKS, train_docs: int = TRAIN_DOCS, all_train_docs: int = ALL_TRAIN_DOCS) -> Model | None:
     """Fit on a sample of the `usable` rows: at most train_docs distinct texts per
     language, those whose seeded hash is least. The hashes are cut off per language
     from the number of distinct texts first, so a language of any size sends few rows
-    and copies of one text thin out no others."""
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    u = F.xxhash64(F.lit(SEED), text_col)
-    counts = (rows.groupBy(lang_col, u.alias("u")).agg(F.count("*").alias("n"))
-              .groupBy(lang_col).agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-              .orderBy(F.desc("n"), lang_col).limit(max_langs).collect())
-    samples: dict[str, list[bytes]] = {}
+    and copies of one text thin out no others. All languages are sampled by one job; the table of
+    cuts has a row per language, as the model has."""
+    rows = (docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+            .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), F.xxhash64(F.lit(SEED), text_col).alias("u")))
+    counts = rows.groupBy("lang", "u").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("texts")).collect()
+    if not counts:
+        return None
+    each = max(1, min(train_docs, all_train_docs // len(counts)))
+    cuts = []
     for r in counts:
-        rate = min(1.0, 1.5 * train_docs / r["texts"])
-        cut = int(-(1 << 63) + rate * ((1 << 64) - 1))
-        cut = min(cut, (1 << 63) - 1)
-        # copies of one text have one hash: distinct texts only, so a group of copies is one sample
-        near = (rows.filter(F.col(lang_col) == r[lang_col]).select(F.col(text_col).alias("t"), u.alias("u"))
-                .filter(F.col("u") <= cut).dropDuplicates(["u"]).orderBy("u").limit(train_docs))
-        samples[r[lang_col]] = [x["t"].encode() for x in near.toLocalIterator()]
+        cut = int(-(1 << 63) + min(1.0, (1.5 * each + 16) / r["texts"]) * ((1 << 64) - 1))
+        cuts.append((r["lang"], min(cut, (1 << 63) - 1)))
+    least = Window.partitionBy("lang").orderBy("u")
+    # copies of one text have one hash: distinct texts only, so a group of copies is one sample
+    drawn = (rows.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long")), "lang")
+             .filter(F.col("u") <= F.col("cut")).groupBy("lang", "u").agg(F.min("t").alias("t"))
+             .withColumn("r", F.row_number().over(least)).filter(F.col("r") <= each).select("lang", "u", "t"))
+    samples: dict[str, list[bytes]] = {}
+    for lang, _, t in sorted((r["lang"], r["u"], r["t"]) for r in drawn.toLocalIterator()):
+        samples.setdefault(lang, []).append(t.encode())
     return fit(samples, landmarks)
 
 
