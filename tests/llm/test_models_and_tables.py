@@ -313,3 +313,30 @@ def test_nystroem_weights_equal_the_kernel_form():
     direct = np.array([[sum(row[i] * m.weights[i, j] for i in np.flatnonzero(row)) / math.sqrt(row.sum()) + m.bias[j]
                         for j in range(2)] for row in p])
     assert np.allclose(m.scores(*langid._concat(probe)), direct, atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """300 languages of invented words, rare and frequent ones."""
+    import random
+
+    from stockpulse.llm import langid
+    rnd, rows = random.Random(8), []
+    for i in range(300):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 7))) for _ in range(12)]
+        for j in range(3 if i % 2 else 12):
+            rows.append((len(rows), " ".join(rnd.choices(words, k=40)), f"l{i:03d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True))
+    assert len(model.langs) == 300
+    got = langid.predict(df, model).select("lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.99 * len(rows)
+
+
+def test_vocabulary_keeps_a_rare_languages_grams():
+    import numpy as np
+
+    from stockpulse.llm import langid
+    marks = [b"aaaa bbbb cccc dddd"] * 50 + [b"zzzz yyyy"]
+    vocab = langid._vocabulary(marks, np.array([0] * 50 + [1]), 30)
+    doc, code = langid.grams(*langid._concat([b"zzzz yyyy"]))
+    assert len(vocab) == 30 and set(code.tolist()) <= set(vocab.tolist())
