@@ -94,3 +94,8 @@ def sanitize_clean_name(name: str, dash: bool) -> str:
     """Cleaning names: strip, lower, ' ' -> '_', and '-' -> '_' for transactions."""
     n = name.strip().lower().replace(" ", "_")
     return n.replace("-", "_") if dash else n
+
+
+def to_key(c: Column) -> Column:
+    """A text key as an integer, NULL where it is none."""
+    return c.try_cast("bigint")

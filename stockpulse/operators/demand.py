@@ -133,6 +133,7 @@ def demand_features(daily: DataFrame) -> DataFrame:
     )
 
 
+# The columns of the feature table.
 FEATURE_COLUMNS = ["ds", "hospital_id", "sku_id", "dow", "is_weekend", "week_of_year", "month",
                    "qty_1d", "qty_7d", "qty_28d", "avg_qty_7d", "avg_qty_28d", "lag_qty_1d",
                    "lag_qty_7d", "rev_1d", "rev_7d", "rev_28d", "avg_rev_7d", "avg_rev_28d"]

@@ -158,3 +158,14 @@ def key_equality(spark, sf_dir):
     li = cleaning.rename(cleaning.strip_zone(li), lambda c: P.sanitize_validation_name(c, dash=True))
     day = cleaning.pick_date_column(li)
     return li.select(F.col("order_key").alias("order key"), "l_partkey", F.col(day).alias("day"))
+
+
+@register("c9_integer_keys", sql="""
+SELECT TRY_CAST(CASE WHEN l_partkey % 7 = 0 THEN 'P' || l_partkey ELSE CAST(l_partkey AS VARCHAR) END AS BIGINT) AS sku_id, count(*) AS rows
+FROM lineitem GROUP BY 1""")
+def integer_keys(spark, sf_dir):
+    """Text keys as integers; a key that is none (every seventh part's, made so here) is missing."""
+    part = F.col("l_partkey")
+    text = F.when(part % 7 == 0, F.concat(F.lit("P"), part.cast("string"))).otherwise(part.cast("string"))
+    return (read_table(spark, sf_dir, "lineitem").select(P.to_key(text).alias("sku_id"))
+            .groupBy("sku_id").agg(F.count(F.lit(1)).alias("rows")))

@@ -81,11 +81,10 @@ def run_stages(spark: SparkSession, sf_dir: str, out_base: str, only: str | None
 
     def clean_zone():
         counts: dict[str, int] = {}
+        landed = _landing(spark, sf_dir)                               # for their schemas only
         for name, clean in (("inventory_transactions", cleaning.clean_transactions), ("sku_master", cleaning.clean_sku_master)):
-            if not io.is_complete(spark, at(f"raw_zone/{name}")):      # A4: no table, nothing to do
-                continue
-            raw = spark.read.parquet(at(f"raw_zone/{name}"))
-            if raw.isEmpty():
+            raw = io.read_zone(spark, at(f"raw_zone/{name}"), landed[name][0].schema)
+            if raw.isEmpty():                                          # A4: no table or no rows, nothing to do
                 continue
             table(counts, clean(raw), f"clean_zone/{name}")
             csv(counts, spark.read.parquet(at(f"clean_zone/{name}")), f"clean_zone/{name}_csv")

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Conditions that say a source is not there.
+ABSENT = {"PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND"}
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
@@ -61,7 +65,8 @@ def first_resolving(spark: SparkSession, candidates: Sequence[dict]) -> DataFram
     """A3: ordered sources ({format, path | table, options}); the first that
     resolves (schema known, path present) is read. JDBC candidates take
     `url`/`dbtable` options plus `partitionColumn`/`lowerBound`/`upperBound`/
-    `numPartitions` so the read is split across tasks."""
+    `numPartitions` so the read is split across tasks. Only a source that does not exist gives way to
+    the next one; any other fault (permissions, a broken file, a refused login) is raised."""
     errors = []
     for c in candidates:
         try:
@@ -73,8 +78,10 @@ def first_resolving(spark: SparkSession, candidates: Sequence[dict]) -> DataFram
             df = reader.load(c["path"]) if "path" in c else reader.load()
             df.schema  # noqa: B018 - forces resolution
             return df
-        except Exception as e:  # noqa: BLE001
-            errors.append(f"{c}: {type(e).__name__}")
+        except AnalysisException as e:
+            if e.getCondition() not in ABSENT:
+                raise
+            errors.append(f"{c}: {e.getCondition()}")
     raise ValueError("no source resolved: " + "; ".join(errors))
 
 
