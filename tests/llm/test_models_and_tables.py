@@ -114,7 +114,7 @@ def test_many_rules_run_only_behind_their_rarest_token(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     want = con.execute(queries.SQL[name]).df()
     got = queries.QUERIES[name](spark, SF_SMALL).toPandas()[want.columns]
