@@ -1,8 +1,11 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Equal vectors are merged first (a group of copies is one node with a weight). A
-bounded sample fits cluster centres; every node belongs to the shards of its
-`overlap` nearest centres. In each shard a task builds a robust-pruned proximity
+bounded sample fits cluster centres; centres within the threshold of each other form
+one shard, so that no dense group is cut apart, and every node belongs to its
+`overlap` nearest shards. A shard over SPLIT_PARTS times `shard_size` fits centres of its own from a
+bounded sample and hands its nodes on to its `SUB_OVERLAP` nearest sub-shards, level
+by level, so that shards do not grow with the table. In each shard a task builds a robust-pruned proximity
 graph; the adjacency lists of a node from its shards are united. Every node then
 searches its shards over the united graph: a greedy beam search from the shard's
 medoid, followed by range expansion: from the node itself and from all nodes found
@@ -11,10 +14,16 @@ precision from the vectors, so no pair below the threshold is ever linked.
 
 A pair that shares several shards is counted in the smallest of them only, so link
 counts need no pair table; for the components a task returns a spanning forest of
-its links. A shard over `shard_size` is split by hash, and all its nodes search
-every part. Recall is audited each time: a bounded set of nodes is compared with all
-others in blocks, and while the audit is under `min_recall` the graph is built anew
-with twice the overlap and beam.
+its links. A shard over `shard_size` that stays whole (a dense group, whose links are
+as many) is split by hash, and all its nodes search every part.
+
+Recall is audited each time: nodes drawn at random, and nodes drawn from those with
+links, are compared with all others in blocks. A draw's recall is the mean over its
+nodes that have links of the share found, counted in different vectors, so neither
+nodes without links nor large groups of copies hide a loss; the lower of the two
+draws counts. While it is under `min_recall` the graph is built anew with twice the
+overlap and beam; after `ATTEMPTS` builds RecallError is raised, so no result under
+`min_recall` is ever returned. Without any link in the draws recall is null.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths do not link; repeated rows
@@ -47,12 +56,23 @@ ALPHA = 1.2
 BEAM = 16
 SLACK = 0.05             # nodes this far below the threshold are still expanded
 CENTRE_SAMPLE = 16_384   # vectors the centres are fitted on
-MAX_CENTRES = 1024
-AUDIT_QUERIES = 256
+SAMPLE_BYTES = 1 << 27   # and at most this many bytes of them
+MAX_CENTRES = 1024       # of one level
+SUB_OVERLAP = 2          # sub-shards of a node of a shard that is split
+SPLIT_PARTS = 4          # shards of more parts are split by centres of their own
+SUB_SAMPLE = 8           # sampled vectors per centre of a split shard
+CHUNK = 65_536           # nodes of a split shard that one task assigns
+LEVELS = 3               # of splitting
+AUDIT_QUERIES = 512      # nodes of each of the audit's two draws
+ATTEMPTS = 4
 MIN_RECALL = 0.9
 SEED = 1
 
 
+class RecallError(RuntimeError):
+    """The audited recall stayed under the demanded one."""
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one in double precision (scaled first, so no overflow)."""
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
@@ -186,21 +206,81 @@ def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def shards_of(centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres within the threshold of each other, directly or by others, are one
+    shard -> (centres in shard order, first centre of each shard)."""
+    near = centres @ centres.T >= threshold
+    label = np.arange(len(centres))
+    while True:
+        least = np.where(near, label[None, :], len(centres)).min(axis=1)
+        if (least >= label).all():
+            break
+        label = np.minimum(label, least)
+    order = np.argsort(label, kind="stable")
+    label = label[order]
+    return centres[order], np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+
+
+def nearest_shards(v: np.ndarray, centres: np.ndarray, starts: np.ndarray, overlap: int) -> np.ndarray:
+    """The `overlap` nearest shards of each vector (all, if fewer), ascending."""
+    k = min(overlap, len(starts))
+    out = []
+    for a in range(0, len(v), 4096):
+        sim = np.maximum.reduceat(v[a:a + 4096] @ centres.T, starts, axis=1)
+        out.append(np.sort(np.argpartition(-sim, k - 1, axis=1)[:, :k], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, k), dtype=np.int64)
+
+
 def _assign(shared, overlap):
     def run(batches):
-        c = shared.value
-        k = min(overlap, len(c))
+        centres, starts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = unit(vectors(batch.column("vec")))
-            near = np.sort(np.argpartition(-(v @ c.T), k - 1, axis=1)[:, :k], axis=1).astype(np.int32)
+            near = nearest_shards(v, centres, starts, overlap).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("weight"), _lists(near), _lists(v)],
                 ["node", "weight", "shards", "vec"])
     return run
 
 
+def _fit_split(batches):
+    """Sampled rows (s, t, k, vec) of the shards to split, sorted by s -> their centres."""
+    def solve(s, parts):
+        k = int(parts[0][0][0].as_py())
+        c = centres_of(np.concatenate([vectors(p[1]) for p in parts]), k)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), s)), _lists(c)], ["s", "vec"])
+
+    now, parts = None, []
+    for key, cols in _groups(batches, ["k", "vec"]):
+        if key != now and parts:
+            yield solve(now[0], parts)
+            parts = []
+        now = key
+        parts.append(cols)
+    if parts:
+        yield solve(now[0], parts)
+
+
+def _hand_on(threshold, overlap, max_centres):
+    """Rows (s, t, node, vec) of a chunk, the shard's centres (node null) first ->
+    (node, shards) of the next level."""
+    def run(batches):
+        now, found, ready = None, [], None
+        for key, (node, vec) in _groups(batches, ["node", "vec"]):
+            if key != now:
+                now, found, ready = key, [], None
+            cut = node.null_count
+            if cut:
+                found.append(vectors(vec.slice(0, cut)))
+            if cut < len(node):
+                ready = ready or shards_of(np.concatenate(found), threshold)
+                near = nearest_shards(vectors(vec.slice(cut)), *ready, overlap) + key[0] * max_centres
+                yield pa.RecordBatch.from_arrays([node.slice(cut), _lists(near.astype(np.int64))], ["node", "shards"])
+    return run
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
 
@@ -285,7 +365,8 @@ class _Part:
         yield self._edges(self.node[moved], self.node[self.root[moved]])
 
     def _edges(self, u, v):
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()),
+                                          pa.nulls(len(u), pa.int64())], ["u", "v", "n", "m"])
 
     def query(self, node, shards, vec, own):
         for a in range(0, len(node), 256):
@@ -301,9 +382,11 @@ class _Part:
                 least = np.where(hit, np.minimum(least, sq[:, i]), least)
             here = least == self.shard
             count = np.bincount(qi[here], weights=self.weight[xi[here]], minlength=b - a).astype(np.int64)
+            distinct = np.bincount(qi[here], minlength=b - a)
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[a:b][some]), pa.nulls(len(some), pa.int64()), pa.array(count[some])], ["u", "v", "n"])
+                [pa.array(node[a:b][some]), pa.nulls(len(some), pa.int64()), pa.array(count[some]),
+                 pa.array(distinct[some])], ["u", "v", "n", "m"])
             if own is None:
                 key = np.unique(qi * len(self.node) + self.root[xi])
                 yield self._edges(node[a:b][key // len(self.node)], self.node[key % len(self.node)])
@@ -340,34 +423,74 @@ def _search(threshold, beam):
 
 
 def _brute(shared, threshold):
-    """Weights within the range of each audit query, over one task's nodes."""
+    """Nodes within the range of each audit query, over one task's nodes."""
     def run(batches):
         ids, q = shared.value
-        total = np.zeros(len(ids))
+        total = np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v, node, w = vectors(batch.column("vec")), np.asarray(batch.column("node")), np.asarray(batch.column("weight"))
+            v, node = vectors(batch.column("vec")), np.asarray(batch.column("node"))
             for a in range(0, len(node), 4096):
-                near = (q @ v[a:a + 4096].T >= threshold) & (ids[:, None] != node[None, a:a + 4096])
-                total += near @ w[a:a + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total.astype(np.int64))], ["u", "n"])
+                total += ((q @ v[a:a + 4096].T >= threshold) & (ids[:, None] != node[None, a:a + 4096])).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["u", "n"])
     return run
 
 
-def _search_once(nodes: DataFrame, n: int, threshold: float, overlap: int, beam: int, shard_size: int):
-    """(members, found): found has (u, null, n) counts and (u, v, null) edges."""
+def _counted(members: DataFrame) -> DataFrame:
+    """(s, n): nodes of each shard."""
+    return members.select(F.explode(F.array_distinct("shards")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+
+
+def _split(members: DataFrame, threshold: float, shard_size: int, width: int, max_centres: int) -> DataFrame:
+    """Shards over SPLIT_PARTS parts handed on to sub-shards. Ids of the next level
+    are s * max_centres + sub-shard, those of shards that stay s * max_centres."""
+    big = written(_counted(members).filter(F.col("n") > SPLIT_PARTS * shard_size)
+                  .withColumn("k", F.least(F.lit(max_centres), F.ceil(F.col("n") * SUB_OVERLAP / shard_size)).cast("int"))
+                  .withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "vector-split")
+    rows = members.select("node", "vec", F.explode(F.array_distinct("shards")).alias("s"))
+    inside = rows.join(big, "s")
+    share = F.least(F.lit(1.0), SUB_SAMPLE * F.col("k") / F.col("n"))
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "node", "s"), F.lit(1 << 20)) < share * (1 << 20)
+    # a shard's sample holds about SUB_SAMPLE * k vectors, at whatever size
+    centres = written(inside.filter(drawn).select("s", F.lit(0).alias("t"), "k", "vec").repartition("s")
+                      .sortWithinPartitions("s").mapInArrow(_fit_split, "s long, vec array<double>"), "vector-centres")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    each = (centres.join(big, "s").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select("s", "t", F.lit(None).cast("long").alias("node"), "vec"))
+    handed = (each.unionByName(inside.select("s", chunk.alias("t"), "node", "vec"))
+              .repartition("s", "t").sortWithinPartitions("s", "t", F.asc_nulls_first("node"))
+              .mapInArrow(_hand_on(threshold, SUB_OVERLAP, max_centres), "node long, shards array<long>"))
+    stay = rows.join(big, "s", "left_anti").select("node", F.array(F.col("s") * max_centres).alias("shards"))
+    deeper = (handed.unionByName(stay).groupBy("node")
+              .agg(F.array_sort(F.flatten(F.collect_list("shards"))).alias("shards")))   # at most `width` of them
+    padded = F.concat("shards", F.array_repeat(F.col("shards")[0], width - F.size("shards")))
+    return written(members.drop("shards").join(deeper, "node")
+                   .select("node", "weight", padded.alias("shards"), "vec"), "vector-members")
+
+
+def _search_once(nodes: DataFrame, n: int, threshold: float, overlap: int, beam: int, shard_size: int,
+                 max_centres: int):
+    """(members, found): found has (u, null, n, m) counts, weighted and of
+    different nodes, and (u, v, null, null) edges."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64(F.lit(SEED), "node")).limit(CENTRE_SAMPLE).select("vec").toArrow()
-    k = min(MAX_CENTRES, max(1, math.ceil(n * overlap / shard_size)))
-    centres = centres_of(unit(vectors(sample.column("vec").combine_chunks())), k)
+    length = nodes.select(F.size("vec")).first()[0]
+    sample = (nodes.orderBy(F.xxhash64(F.lit(SEED), "node")).limit(min(CENTRE_SAMPLE, max(1, SAMPLE_BYTES // (8 * length))))
+              .select("vec").toArrow())
+    k = min(max_centres, max(1, math.ceil(n * overlap / shard_size)))
+    centres = shards_of(centres_of(unit(vectors(sample.column("vec").combine_chunks())), k), threshold)
     shared = spark.sparkContext.broadcast(centres)
     members = written(nodes.select("node", "weight", "vec").mapInArrow(
-        _assign(shared, overlap), "node long, weight long, shards array<int>, vec array<double>"), "vector-members")
-    parts = (members.select(F.explode("shards").alias("s")).groupBy("s")
-             .agg(F.ceil(F.count("*") / F.lit(shard_size)).cast("int").alias("parts")))
-    # parts has at most MAX_CENTRES rows
-    placed = (members.withColumn("s", F.explode("shards")).join(F.broadcast(parts), "s")
+        _assign(shared, overlap), "node long, weight long, shards array<long>, vec array<double>"), "vector-members")
+    width, over = min(overlap, len(centres[1])), None
+    for _ in range(LEVELS):
+        before, over = over, _counted(members).filter(F.col("n") > SPLIT_PARTS * shard_size).agg(F.sum("n")).first()[0]
+        if over is None or over == before:          # what does not shrink are dense groups, which stay whole
+            break
+        width *= SUB_OVERLAP
+        members = _split(members, threshold, shard_size, width, max_centres)
+    parts = _counted(members).select("s", F.ceil(F.col("n") / F.lit(shard_size)).cast("int").alias("parts"))
+    placed = (members.withColumn("s", F.explode(F.array_distinct("shards"))).join(parts, "s")
               .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     graph = (placed.select("s", F.col("mine").alias("t"), "node", "vec")
              .repartition("s", "t").sortWithinPartitions("s", "t")
@@ -379,33 +502,38 @@ def _search_once(nodes: DataFrame, n: int, threshold: float, overlap: int, beam:
             .select("s", "t", "own", "node", "weight", "shards", "vec",
                     F.when(F.col("own"), F.col("adj")).otherwise(F.array().cast("array<long>")).alias("adj")))
     found = written(sent.repartition("s", "t").sortWithinPartitions("s", "t", F.desc("own"))
-                    .mapInArrow(_search(threshold, beam), "u long, v long, n long"), "vector-links")
+                    .mapInArrow(_search(threshold, beam), "u long, v long, n long, m long"), "vector-links")
     return members, found
 
 
-def _audit(members: DataFrame, found: DataFrame, threshold: float) -> float:
+def _audit(members: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float | None:
+    """The lower recall of two draws of nodes: of all, and of those with links."""
     spark = members.sparkSession
-    pick = members.orderBy(F.xxhash64(F.lit(SEED + 1), "node")).limit(AUDIT_QUERIES).select("node", "vec").toArrow()
-    ids = np.asarray(pick.column("node").combine_chunks())
+    linked = found.filter("m is not null").groupBy(F.col("u").alias("node")).agg(F.sum("m").alias("m"))
+    order = F.xxhash64(F.lit(SEED + 1), "node")
+    draws = [set(r["node"] for r in d.select("node").orderBy(order).limit(queries).collect()) for d in (members, linked)]
+    picked = members.filter(F.col("node").isin(list(draws[0] | draws[1]))).select("node", "vec").toArrow()
+    ids = np.asarray(picked.column("node").combine_chunks())
     if not len(ids):
-        return 1.0
-    shared = spark.sparkContext.broadcast((ids, vectors(pick.column("vec").combine_chunks())))
-    truth = members.select("node", "weight", "vec").mapInArrow(_brute(shared, threshold), "u long, n long") \
-        .groupBy("u").agg(F.sum("n").alias("n"))
-    # at most AUDIT_QUERIES rows each
-    want = {r["u"]: r["n"] for r in truth.collect()}
-    got = {r["u"]: r["n"] for r in found.filter(F.col("n").isNotNull() & F.col("u").isin(ids.tolist()))
-           .groupBy("u").agg(F.sum("n").alias("n")).collect()}
-    total = sum(want.values())
-    return sum(min(got.get(u, 0), w) for u, w in want.items()) / total if total else 1.0
+        return None
+    shared = spark.sparkContext.broadcast((ids, vectors(picked.column("vec").combine_chunks())))
+    truth = (members.select("node", "vec").mapInArrow(_brute(shared, threshold), "u long, n long")
+             .groupBy("u").agg(F.sum("n").alias("n")))
+    # at most 2 * queries rows each
+    want = {r["u"]: r["n"] for r in truth.filter("n > 0").collect()}
+    got = {r["node"]: r["m"] for r in linked.filter(F.col("node").isin(ids.tolist())).collect()}
+    shares = [[min(got.get(u, 0), want[u]) / want[u] for u in d if u in want] for d in draws]
+    return min((sum(x) / len(x) for x in shares if x), default=None)
 
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                            threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM,
-                           shard_size: int = SHARD_SIZE, min_recall: float = MIN_RECALL) -> DataFrame:
+                           shard_size: int = SHARD_SIZE, min_recall: float = MIN_RECALL,
+                           max_centres: int = MAX_CENTRES) -> DataFrame:
     """(id, n_links, component, recall): one row per vector; component is the
     smallest id reachable by links (its own without any); recall is that of the
-    audit of the vectors of that length (null for vectors that cannot link)."""
+    audit of the vectors of that length (null for vectors that cannot link, and where
+    no audited node has a link)."""
     v = F.col("vec")
     inf = float("inf")
     good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (x < inf) & (x > -inf)) \
@@ -419,13 +547,15 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
     for r in lengths:
         of_length = nodes.filter(F.size("vec") == r["d"])
         wide, broad = overlap, beam
-        for attempt in range(3):
-            members, found = _search_once(of_length, r["n"], threshold, wide, broad, shard_size)
+        for attempt in range(ATTEMPTS):
+            members, found = _search_once(of_length, r["n"], threshold, wide, broad, shard_size, max_centres)
             recall = _audit(members, found, threshold)
-            if recall >= min_recall:
+            if recall is None or recall >= min_recall:
                 break
             log.warning("audited recall %.3f is under %.3f; building the graph with more overlap", recall, min_recall)
             wide, broad = 2 * wide, 2 * broad
+        else:
+            raise RecallError(f"audited recall {recall:.3f} of the vectors of length {r['d']} is under {min_recall}")
         counts = found.filter("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
         comp = connected_components(found.filter("v is not null").select("u", "v"))
         rooted = (of_length.select("node", "rep", "weight", "vec").join(counts, "node", "left")
@@ -433,7 +563,7 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
                   .select("vec", "rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
                           F.coalesce("root", "node").alias("root")))
         least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-        part = (rooted.join(least, "root").select("vec", "n_links", "component", F.lit(recall).alias("recall")))
+        part = (rooted.join(least, "root").select("vec", "n_links", "component", F.lit(recall).cast("double").alias("recall")))
         result = part if result is None else result.unionByName(part)
     lone = base.filter(~F.coalesce(good, F.lit(False))).select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"),

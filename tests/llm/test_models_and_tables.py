@@ -51,6 +51,41 @@ def test_embedding_links(spark, shard):
     assert all(r["recall"] is None or r["recall"] >= 0.9 for r in out)
 
 
+def test_large_shards_are_split_and_dense_groups_stay_whole(spark):
+    """Four centres for 900 vectors, shards of 32: two further levels of centres."""
+    rows = [(i, v) for i, (_, v) in enumerate(vectors(5, [220, 30, 9] + [3] * 40, 500)) if v and len(v) == 16 and i < 880]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = embed_dedup.near_duplicate_vectors(df, shard_size=32, max_centres=4).collect()
+    want = {i: n for i, n, *_ in brute.op1(rows)}
+    assert sum(want.values()) > 40_000
+    got = {r["id"]: r["n_links"] for r in out}
+    assert all(got[i] <= n for i, n in want.items())
+    shares = [got[i] / n for i, n in want.items() if n]
+    assert sum(shares) / len(shares) >= 0.9
+    assert {r["recall"] for r in out} != {None}
+
+
+def test_centres_of_one_dense_group_are_one_shard():
+    rng = np.random.default_rng(3)
+    c = embed_dedup.unit(np.vstack([np.ones(8) + 0.05 * rng.normal(size=(5, 8)), np.eye(8)[:3]]))
+    centres, starts = embed_dedup.shards_of(c, 0.9)
+    assert starts.tolist() == [0, 5, 6, 7] and len(centres) == 8
+    near = embed_dedup.nearest_shards(embed_dedup.unit(np.vstack([np.ones((1, 8)), np.eye(8)[1:2]])), centres, starts, 1)
+    assert near.tolist() == [[0], [2]]
+
+
+def test_recall_under_the_demanded_one_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(20)], "vec_id long, embedding array<double>")
+    lost = embed_dedup._search_once
+
+    def half(*args):
+        members, found = lost(*args)
+        return members, found.filter("u % 2 = 0")
+    monkeypatch.setattr(embed_dedup, "_search_once", half)
+    with pytest.raises(embed_dedup.RecallError):
+        embed_dedup.near_duplicate_vectors(df)
+
+
 def test_embedding_tables_without_links(spark):
     schema = "vec_id long, embedding array<float>"
     assert embed_dedup.near_duplicate_vectors(spark.createDataFrame([], schema)).count() == 0
