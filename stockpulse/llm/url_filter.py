@@ -1,8 +1,9 @@
 """URL filters: rules indexed by their rarest literal token.
 
 A rule names a host (it and its subdomains), a path prefix, and a regular
-expression that decides; its literal tokens are the labels of the host and the
-whole segments of the path prefix. Token frequencies are counted over all URLs;
+expression that decides; its literal tokens are the words of the host (cut at dots
+and hyphens) and the whole segments of the path prefix, or the tokens that its
+pattern names. Token frequencies are counted over all URLs;
 each rule is filed under its rarest token. A URL fetches the rules filed under its
 own tokens, and only those run their regular expression. The longest fitting rule
 decides; where none fits, the patterns of the default list decide (block if one
@@ -35,6 +36,7 @@ class Rule:
     path: str           # fits paths that start with it
     pattern: str = ""   # further regular expression over host + path; empty: none
     default: bool = False   # only asked where no other rule fits
+    literals: tuple = ()    # tokens that every url has that the pattern fits
 
     @property
     def name(self) -> str:
@@ -43,10 +45,12 @@ class Rule:
     def regex(self) -> str:
         if self.pattern:
             return self.pattern
-        return rf"^(?:[^/]*\.)?{_quoted(self.host)}{_quoted(self.path)}"
+        return rf"^(?:[^/]*\.)?{_quoted(self.host)}{_quoted(self.path) if self.path else '(?:/|$)'}"
 
     def tokens(self) -> list[str]:
-        labels = self.host.split(".") if self.host else []
+        if self.literals:
+            return list(self.literals)
+        labels = re.split(r"[.-]", self.host)
         segments = self.path.split("/")[1:-1]     # only segments that end inside the prefix are whole
         return [t for t in labels + ["/" + s for s in segments if s] if t] or [ANY]
 
@@ -64,8 +68,8 @@ RULES = [
     Rule("block", "net", "/fr/"),
 ]
 DEFAULT_PATTERNS = [
-    Rule("block", "", "", r"^(?:[^/]*[.-])?spam-farm\.", True),
-    Rule("block", "", "", r"^(?:[^/]*[.-])?cheap-pills\.", True),
+    Rule("block", "", "", r"^(?:[^/]*[.-])?spam-farm\.", True, ("spam", "farm")),
+    Rule("block", "", "", r"^(?:[^/]*[.-])?cheap-pills\.", True, ("cheap", "pills")),
 ]
 
 
@@ -78,8 +82,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct host labels and `/segment`s, and the token every URL has."""
-    labels = F.split(host, r"\.")
+    """Distinct words of the host and `/segment`s, and the token every URL has."""
+    labels = F.split(host, r"[.\-]")
     segments = F.transform(F.split(path, "/"), lambda s: F.concat(F.lit("/"), s))
     return F.array_distinct(F.concat(F.filter(F.concat(labels, segments), lambda t: ~t.isin("", "/")),
                                      F.array(F.lit(ANY))))
