@@ -9,12 +9,14 @@ weight and L follows from running sums, without rounds.
 Every document is taken floor(target / size of its source) times; the fractional
 repetition goes to documents in the order of a seeded hash of their id until the
 source's target is reached as nearly as a whole document allows. That order's running
-sum is found through two levels of hash buckets, so no task holds a source.
+sum is found through two levels of hash buckets and, in the last bucket, over range
+partitions, so no task holds a source, nor the documents of one repeated or null id.
 DataFrame functions only.
 
 Defined results: a null text has size 0; a null source is a source of its own, last
 in order; a null id hashes like the text `null`; of documents with equal ids the
-smaller is asked first, equal rows are interchangeable; sources of size 0 and
+smaller is asked first, then the one whose text has the smaller hash, and rows equal
+in id and text are asked in the order of the table; sources of size 0 and
 documents of size 0 take nothing; an empty table stays empty.
 """
 
@@ -88,7 +90,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     copies (whole and fractional repetitions taken) and taken (words)."""
     keep = docs.columns if keep is None else keep
     rows = written(docs.select(F.struct(*keep).alias("row"), F.col(source_col).alias("source"),
-                               word_count(F.col(text_col)).alias("size"), order_hash(F.col(id_col), seed).alias("h")),
+                               word_count(F.col(text_col)).alias("size"), order_hash(F.col(id_col), seed).alias("h"),
+                               F.xxhash64(text_col).alias("x"), F.monotonically_increasing_id().alias("line")),
                    "mix-rows")
     rows = (rows.withColumn("b1", F.shiftright("h", 48)).withColumn("b2", F.shiftright("h", 36).bitwiseAND(BUCKETS - 1)))
     sums = written(rows.groupBy("source", "b1").agg(F.sum("size").alias("size")), "mix-buckets")
@@ -116,12 +119,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     at_cut = (F.col("b1") == F.col("cut1")) & (F.col("b2") == F.col("cut2"))
     before = (F.col("b1") < F.col("cut1")) | ((F.col("b1") == F.col("cut1")) & (F.col("b2") < F.col("cut2")))
     cols = ["row", "size", "source_size", "target", "whole"]
+    # equal sources are one group, null included; `line` sets equal rows apart
+    group = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("g")
+    order = F.struct("h", "size", "x", "line").alias("o")
     clear = (named.filter(~F.coalesce(at_cut, F.lit(False)))
              .select(*cols, F.coalesce(before, F.lit(False)).cast("long").alias("extra")))
     # the few documents of the last bucket, in order; nearest to the target wins
-    w = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (named.filter(at_cut).withColumn("cum", F.sum("size").over(w))
-            .select(*cols, (2 * F.col("cum") - F.col("size") < 2 * F.col("rem2")).cast("long").alias("extra")))
+    edge = (running_sums(named.filter(at_cut).select(*cols, "rem2", group, order), "g", "o", ["size"])
+            .select(*cols, (2 * F.col("cum_size") - F.col("size") < 2 * F.col("rem2")).cast("long").alias("extra")))
     out = clear.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
     names = []
     for c in ("size", "source_size", "target", "copies", "taken"):

@@ -109,7 +109,8 @@ def test_url_rules(spark):
     urls = ["http://a.com/x", "https://EXAMPLE.com/en/1", "http://www.example.com/en/2?q#f", "http://wwwexample.com/en/",
             "http://m.example.com/en", "http://x.net/es/", "http://net/fr/a", "http://y.net/fr", "ftp://user@com/",
             "no-scheme.com/", "://com/", "http://", None, "", "http://Ünet/es/?x", "http://cheap-pills.example.org/en/",
-            "http://x.com?y=/en/", "http://x.com#://net/es/", "http://a.example.com/en/\n/x"]
+            "http://a.b-cheap-pills.org/x", "http://spam-farm.net/es", "http://spam.farm.net/x", "http://farm-spam.net/x",
+            "http://not-spam-farms.net/", "http://x.com?y=/en/", "http://x.com#://net/es/", "http://a.example.com/en/\n/x"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(0, urls[0]), (None, urls[5])]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("mine"))
     got = Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"])
@@ -124,13 +125,26 @@ def test_url_rules(spark):
         fit = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0]))
                and path.startswith(r[r.index("/"):])]
         best = max(fit, key=len) if fit else None
-        bad = host.split(".")[0] in ("cheap-pills", "spam-farm")
+        bad = any(("." + host).replace("-", ".-").find(f"{cut}{name}.") >= 0 for cut in (".", ".-")
+                  for name in ("cheap.-pills", "spam.-farm"))
         want[(p, host, path, best, rules[best] if best else "block" if bad else "allow")] += 1
     assert got == want
     assert url_filter.filter_urls(df).columns == ["page_id", "url", "rule", "host", "path", "rule_", "verdict"]
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_no_given_rule_is_fetched_by_every_url():
+    assert all(url_filter.ANY not in r.tokens() for r in url_filter.RULES + url_filter.DEFAULT_PATTERNS)
+    assert url_filter.Rule("block", "my-shop.example.com", "/a/b").tokens() == ["my", "shop", "example", "com", "/a"]
+
+
+def test_a_rule_without_a_path_fits_whole_hosts(spark):
+    urls = ["http://example.com", "http://a.example.com/x", "http://example.community/", "http://myexample.com/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["url"]: r["verdict"] for r in url_filter.filter_urls(df, rules=[url_filter.Rule("block", "example.com", "")]).collect()}
+    assert [got[u] for u in urls] == ["block", "block", "allow", "allow"]
+
+
 def test_many_rules_run_only_behind_their_rarest_token(spark):
     rng = random.Random(1)
     names = [f"n{i}" for i in range(40)]
@@ -201,6 +215,26 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_a_source_of_null_ids(spark):
+    """All rows share one order hash: the cut falls inside one bucket."""
+    rng = random.Random(4)
+    rows = [(None, None, rng.randrange(1, 40)) for _ in range(1200)] + [(7, "b", rng.randrange(1, 40)) for _ in range(900)]
+    df = spark.createDataFrame([(i, s, " ".join(f"w{k}" for _ in range(n)), {"k": k}) for k, (i, s, n) in enumerate(rows)],
+                               "doc_id long, source string, text string, extra map<string,int>").repartition(5)
+    sizes, target = plain_mix(rows)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    again = mixing.mix(df.repartition(2)).collect()
+    assert sorted((r["text"], r["copies"]) for r in got) == sorted((r["text"], r["copies"]) for r in again)
+    for s in sizes:
+        mine = [(r["size"], r["copies"]) for r in got if r["source"] == s]
+        assert abs(sum(n * c for n, c in mine) - target[s]) <= 20
+        # of one hash the smaller documents are asked first
+        more = [n for n, c in mine if c == max(c for _, c in mine)]
+        rest = [n for n, c in mine if c < max(c for _, c in mine)]
+        assert not rest or max(more) <= min(rest)
+
+
 # ------------------------------------------------------------------ classifiers
 
 def test_folds(spark):
