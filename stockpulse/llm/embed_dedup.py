@@ -489,7 +489,9 @@ def _search_once(nodes: DataFrame, n: int, threshold: float, overlap: int, beam:
             break
         width *= SUB_OVERLAP
         members = _split(members, threshold, shard_size, width, max_centres)
-    parts = _counted(members).select("s", F.ceil(F.col("n") / F.lit(shard_size)).cast("int").alias("parts"))
+    # written, so that Spark knows its size and decides by it how the vectors meet it
+    parts = written(_counted(members).select("s", F.ceil(F.col("n") / F.lit(shard_size)).cast("int").alias("parts")),
+                    "vector-parts")
     placed = (members.withColumn("s", F.explode(F.array_distinct("shards"))).join(parts, "s")
               .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     graph = (placed.select("s", F.col("mine").alias("t"), "node", "vec")
