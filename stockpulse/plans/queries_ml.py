@@ -21,26 +21,19 @@ from pyspark.sql import functions as F
 
 from stockpulse.operators import demand, evaluation as ev, forecast as fc, models as M
 from stockpulse.operators.models import Fitted, TreeParams
-from stockpulse.plans.queries_models import _POS, top_features
+from stockpulse.plans.queries_models import _POS, FACT_TABLES, top_features
 from stockpulse.plans.registry import register
 from stockpulse.session import run_folder, scratch_path
 from stockpulse.sources import io
-from stockpulse.sources.tables import read_table, transactions
+from stockpulse.sources.tables import input_state, transactions
 
 SERIES = ["hospital_id", "sku_id"]
-INPUTS = ("lineitem", "part", "supplier", "nation")
 
 
 def store_path(spark, sf_dir: str, params: TreeParams, name: str) -> str:
-    """Folder of a model table for exactly these inputs and parameters (all
-    files of every input, in subfolders too, with size and time of change)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [str(sorted(asdict(params).items())), f"features {M.FEATURE_VERSION}", name]
-    for t in INPUTS:
-        for f in sorted(read_table(spark, sf_dir, t).inputFiles()):
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            st = p.getFileSystem(conf).getFileStatus(p)
-            parts.append(f"{f}:{st.getLen()}:{st.getModificationTime()}")
+    """Folder of a model table for exactly these inputs and parameters."""
+    parts = [str(sorted(asdict(params).items())), f"features {M.FEATURE_VERSION}", name,
+             input_state(spark, sf_dir, FACT_TABLES)]
     return scratch_path(spark, f"models/{hashlib.sha256('|'.join(parts).encode()).hexdigest()[:24]}")
 
 

@@ -9,6 +9,8 @@ SQL twin can check the arithmetic; fitted-model queries are in
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from stockpulse.functions.calendar import sql_calendar
@@ -16,15 +18,26 @@ from stockpulse.functions.parsing import parse_key_list
 from stockpulse.operators import demand, evaluation as ev, forecast as fc
 from stockpulse.plans.queries_demand import _DAILY_SQL, _TOP_SQL, FEATURE_SELECT_SQL
 from stockpulse.plans.registry import register
-from stockpulse.sources.tables import TX_SQL, transactions
+from stockpulse.session import delete_at_end, scratch_path
+from stockpulse.sources import io
+from stockpulse.sources.tables import TX_SQL, input_state, transactions
 
 SERIES = ["hospital_id", "sku_id"]
 AS_OF = "2002-01-01 00:00:00"
 SKU_LIST = "Brand#13, Brand#21,,Brand#99"
 
 
+FACT_TABLES = ("lineitem", "part", "supplier", "nation")
+
+
 def top_features(spark, sf_dir):
-    return demand.feature_table_top(transactions(spark, sf_dir))
+    """The feature table (top 10), built by the first query of an application that
+    needs it and read by the others, as training and forecasts read the stored
+    table; other or changed inputs have a table of their own."""
+    key = hashlib.sha256(f"{sf_dir}|{input_state(spark, sf_dir, FACT_TABLES)}".encode()).hexdigest()[:24]
+    path = scratch_path(spark, f"features/{spark.sparkContext.applicationId}/{key}")
+    delete_at_end(spark, path)
+    return io.kept_table(spark, path, lambda: demand.feature_table_top(transactions(spark, sf_dir)))
 
 
 _FEATS = f"WITH {TX_SQL}, {_DAILY_SQL}, {_TOP_SQL},\nfeats AS ({FEATURE_SELECT_SQL} FROM daily WHERE sku_id IN (SELECT sku_id FROM top))"

@@ -8,7 +8,7 @@ marker (B18).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +42,14 @@ def complete_marks(spark: SparkSession, path: str, prefix: str) -> list[int]:
                   if st.getPath().getName().startswith(prefix) and fs.exists(path_of(st.getPath(), "_SUCCESS")))
 
 
+def kept_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The finished table at `path`, built and written only where it is missing or
+    unfinished (no completion marker, so a lost writer is written over)."""
+    if not is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -44,6 +44,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def input_state(spark: SparkSession, sf_dir: str, names) -> str:
+    """Text that changes when a file of these tables comes, goes, grows or is written
+    anew. Spark lists the files, in subfolders too, and reads none of them."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load([table_path(sf_dir, n) for n in names]))
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    seen = files.agg(F.count(F.lit(1)).alias("files"), F.sum(one).alias("hash")).first()
+    return f"{seen['files']}:{seen['hash']}"
+
+
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temp views for `spark.sql` access (A5: query text -> DataFrame)."""
     for n in names:

@@ -100,3 +100,27 @@ def test_split_positions_property(spark, rows):
         n = len(mine)
         assert [r["pos"] for r in mine] == list(range(n))
         assert sum(r["is_train"] for r in mine) == int(0.8 * n)
+
+
+def test_kept_table_is_built_once_and_again_when_unfinished(spark, tmp_path):
+    from stockpulse.sources import io
+    path, built = f"{tmp_path}/kept", []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built), 10).toDF("x")
+    assert io.kept_table(spark, path, build).count() == 9
+    assert io.kept_table(spark, path, build).count() == 9 and len(built) == 1
+    (tmp_path / "kept" / "_SUCCESS").unlink()
+    assert io.kept_table(spark, path, build).count() == 8 and len(built) == 2
+
+
+def test_input_state_follows_the_files(spark, tmp_path):
+    from stockpulse.sources.tables import input_state
+    for name in ("nation", "part"):
+        spark.range(5).write.parquet(f"{tmp_path}/{name}.parquet/k=1")
+    first = input_state(spark, str(tmp_path), ["nation", "part"])
+    assert input_state(spark, str(tmp_path), ["nation", "part"]) == first
+    assert input_state(spark, str(tmp_path), ["nation"]) != first
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/part.parquet/k=2")
+    assert input_state(spark, str(tmp_path), ["nation", "part"]) != first
