@@ -112,6 +112,19 @@ def any_has(filters: list[Bloom], h: np.ndarray) -> np.ndarray:
     return out
 
 
+def proposed_at(filters: list[list[Bloom]], hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Whether the phrases at these places are proposed: they and all their parts are in the filters
+    of their lengths. `hashes` holds those of the phrases of 1 word, 2 words and so on up to
+    their length. (The parts are asked too, as a filter may have a phrase that no one put in:
+    with a part unproposed, the passes so far have not counted around it.)"""
+    out = any_has(filters[len(hashes) - 1], hashes[-1][at])
+    if len(hashes) > 1:
+        for j in (0, 1):
+            rest = np.flatnonzero(out)
+            out[rest] = proposed_at(filters, hashes[:-1], at[rest] + j)
+    return out
+
+
 class _Buffer:
     """Word numbers of the documents of one language, 0 between pieces."""
 
@@ -196,6 +209,7 @@ def _expand(longest: int, shared):
     not both before."""
     def run(batches):
         before, added = shared.value         # per length: earlier filters, the last one
+        now = [[*f, new] for f, new in zip(before, added)]
         held: Counter = Counter()
         for batch in batches:
             for here, texts, own in _sliced(batch, longest):
@@ -208,19 +222,24 @@ def _expand(longest: int, shared):
                 mine = start - offsets[doc] < own[doc]
                 piece = np.cumsum(ENDS_PIECE[data])[start] + doc        # grows at each end of a piece
                 h = wh = bs.mix(bs.word_hashes(lower, start, end) ^ seeds(here)[doc])
+                hashes, around = [], np.zeros(0, dtype=np.int64)
                 raw = None
                 for length in range(2, longest + 1):
                     n = len(start) - length + 1
                     if n <= 0:
                         break
-                    # positions of parts (one word shorter) that are new, and the phrases around them
-                    new = np.flatnonzero(added[length - 2].has(h))
+                    hashes.append(h)
+                    # positions of parts (one word shorter) that are new, in the last filter or, if in an
+                    # earlier one, with a new part of their own, and the phrases around them
+                    new = np.concatenate([np.flatnonzero(added[length - 2].has(h)),
+                                          around[any_has(before[length - 2], h[around])]])
                     at = np.unique(np.concatenate([new, new - 1]))
                     at = at[(at >= 0) & (at < n)]
                     at = at[(piece[at] == piece[at + length - 1]) & (doc[at] == doc[at + length - 1])]
-                    old = [any_has(before[length - 2], h[at + j]) for j in (0, 1)]
-                    now = [old[j] | added[length - 2].has(h[at + j]) for j in (0, 1)]
-                    at = at[now[0] & now[1] & ~(old[0] & old[1]) & mine[at]]
+                    for j in (0, 1):
+                        at = at[proposed_at(now, hashes, at + j)]
+                    around = at = at[~(proposed_at(before, hashes, at) & proposed_at(before, hashes, at + 1))]
+                    at = at[mine[at]]
                     if len(at) and raw is None:
                         raw = lower.tobytes()
                     for i in at.tolist():

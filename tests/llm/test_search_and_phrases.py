@@ -98,6 +98,23 @@ def test_border_failures_are_expanded(spark):
     assert one == 1 and rows_of(everything) == rows_of(known)
 
 
+def test_filters_full_of_strangers_lose_no_phrase(spark):
+    """Pairs whose first word is not in the sample are taken for proposed ones by a small filter; the
+    phrases around them must be counted all the same when that word is added."""
+    rnd = random.Random(0)
+    texts = [f"u{g} c{g % 20} d{g % 25}. " * 12 for g in range(800)]
+    texts += [" ".join(f"c{rnd.randrange(20)} d{rnd.randrange(25)}" for _ in range(40)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "en", "", "") for i, t in enumerate(texts)], DOC)
+    want = {}
+    for words in (piece.split() for t in texts for piece in t.split(".")):
+        for m in (1, 2, 3):
+            for i in range(len(words) - m + 1):
+                p = " ".join(words[i:i + m])
+                want[p] = want.get(p, 0) + 1
+    known, _ = collocations.frequent_phrases(df, filter_bits=(1 << 12, 1 << 12))
+    assert rows_of(known.filter("m > 0").select("phrase", "f")) == sorted(((p, f) for p, f in want.items() if f >= 10), key=repr)
+
+
 def test_long_texts_are_cut_without_losing_phrases(spark, monkeypatch):
     text = " ".join(f"a{i % 7}" for i in range(3000)) + "." + "z" * 5000 + " a1 a2"
     monkeypatch.setattr(collocations.bs, "SLICE_BYTES", 256)
