@@ -43,11 +43,20 @@ def to_number(c: Column) -> Column:
     return F.nanvl(v, F.lit(None).cast("double"))      # one reference: parsed once per value
 
 
+def _separators(time_format: str) -> str:
+    """What a text in this format holds besides digits and signs."""
+    return "".join(x for x in time_format if x in " T:./")
+
+
 def to_timestamp_lenient(c: Column) -> Column:
     """Text -> zone-free timestamp (the wall clock written in the text),
-    unparseable -> NULL (never raises under ANSI)."""
+    unparseable -> NULL (never raises under ANSI). A format is tried only on texts with its
+    separators, as every other text fails it and a failure costs an exception per row."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TIME_FORMATS]).cast("timestamp_ntz")
+    has = F.translate(s, "t0123456789+-", "T")         # the formats' T may be lower case
+    tried = [F.when((has == _separators(f)) & (F.contains(s, F.lit("-")) if "-" in f else F.lit(True)),
+                    F.try_to_timestamp(s, F.lit(f))) for f in TIME_FORMATS]
+    return F.coalesce(*tried).cast("timestamp_ntz")
 
 
 def null_sentinels(c: Column) -> Column:

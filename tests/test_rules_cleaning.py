@@ -122,3 +122,18 @@ def test_keyed_first_wins_and_row_hash(spark):
 def test_key_list_parsing(spark):
     r = spark.range(1).select(P.parse_key_list(F.lit("12, 7,,3 ,")).alias("k")).first()["k"]
     assert r == [12, 7, 3]
+
+
+def test_times_are_tried_in_the_formats_of_their_separators(spark):
+    """Each format is still found as by trying all of them; a text meets only the formats it may have."""
+    d, m = ["2024-02-29", "2023-02-29", "+12024-01-02", "-2024-01-02", "0000-01-01", "2024-1-2", "24-01-02", "20240102"], ["02/29/2024", "2024/02/29", "2/9/2024", "29/02/2024"]
+    t = ["", " 10:11:12", "T10:11:12", "t10:11:12", " 10:11", "T10:11", " 24:00:00", "  10:11:12", " 10:11:12.", " 10:11:12.1", " 10:11:12.123",
+         " 10:11:12.1234567", "T10:11:12.123456", "t10:11:12.1", " 10:11:12 ", "Z", "x", "\t"]
+    texts = [a + b for a in d + m for b in t] + ["yesterday", "", " ", None, "-", "T", "::", "//", " 2024-01-02 ", "\u0662\u0660\u0662\u0664-01-02"]
+    df = spark.createDataFrame([(x,) for x in texts], "v string")
+    every = F.coalesce(*[F.try_to_timestamp(F.trim("v"), F.lit(f)) for f in P.TIME_FORMATS]).cast("timestamp_ntz")
+    rows = df.select("v", P.to_timestamp_lenient(F.col("v")).cast("string"), every.cast("string")).collect()
+    assert [r for r in rows if r[1] != r[2]] == [] and sum(r[1] is not None for r in rows) > 20
+    # no text is tried in more formats than share its separators
+    seps = [P._separators(f) for f in P.TIME_FORMATS]
+    assert max(seps.count(x) for x in seps) == 2
