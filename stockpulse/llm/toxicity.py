@@ -11,11 +11,12 @@ lowered the held-out accuracy; the README has the figures.) A text's score compa
 the two log-likelihoods, normalised by the number of words and by its root; a
 logistic curve fitted on rows the models have not seen turns that into 0 to 1.
 
-At most `model_docs` labelled documents of each class of the learning folds fit the
-models and at most `calibrate_docs` of each class the curve (those with the least seeded id
-hash): the ids of the sample are broadcast, so only its texts leave the scan. Ratios
-are computed in the tasks, and only the words that keep a weight are collected and
-sent to the scoring tasks. Every whole text is scored.
+All labelled documents of the learning folds count: the last fold fits the curve, the others
+the models (a caller may bound both, to those with the least seeded id hash). A bit per
+hash of a labelled id is broadcast, in a table of a bounded size, so that few texts but the
+labelled ones leave the scan; the join behind it is exact. The curve's sums over its rows
+are one aggregation a step. Ratios are computed in the tasks, and only the words that keep
+a weight are collected and sent to the scoring tasks. Every whole text is scored.
 
 Defined results: null, empty and wordless texts get the curve's value at zero
 evidence; without toxic or without ordinary labelled documents every score is the
@@ -35,8 +36,6 @@ from stockpulse.llm import bytescan as bs
 from stockpulse.llm.sampling import bounded_ids, fold, label_of
 from stockpulse.llm.scratch import unused, written
 
-CALIBRATE_DOCS = 1024
-MODEL_DOCS = 65_536       # labelled documents of a class that fit the models
 FOLDS = 5
 SEED = 4
 MIN_COUNT = 2
@@ -112,15 +111,28 @@ def beyond_error(ratio: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarra
     return np.where(np.abs(ratio) >= LEAST_RATIO, np.sign(ratio) * np.maximum(np.abs(ratio) - ERRORS * se, 0), 0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Newton's method on scaled columns (the last is the constant)."""
-    scale = np.append(np.maximum(np.abs(x[:, :-1]).mean(axis=0), 1e-9), 1)
-    x, beta = x / scale, np.zeros(x.shape[1])
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+def logistic(rows: DataFrame, ridge: float = 1e-3) -> np.ndarray:
+    """The curve's coefficients of a, b and 1 from rows (y, a, b), classes weighing alike: Newton's
+    method on scaled columns; the sums of a step are one aggregation over all rows."""
+    of = rows.agg(F.count(F.lit(1)), F.avg("y"), F.avg(F.abs("a")), F.avg(F.abs("b"))).first()
+    n, mean = of[0], of[1]
+    scale = np.append(np.maximum(of[2:], 1e-9), 1)
+    x = [F.col("a") / float(scale[0]), F.col("b") / float(scale[1]), F.lit(1.0)]
+    weight = F.when(F.col("y") == 1, 0.5 / max(mean, 1e-9)).otherwise(0.5 / max(1 - mean, 1e-9))
+    beta = np.zeros(3)
+    upper = [(i, j) for i in range(3) for j in range(i, 3)]
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (weight * (y - p)) / len(y) - ridge * np.append(beta[:-1], 0)
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x / len(y) + ridge * np.eye(len(beta))
+        z = sum(x[i] * F.lit(float(beta[i])) for i in range(3))
+        at = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], weight.alias("w"), "y",
+                         (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).alias("p"))
+        curved = F.col("w") * F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-6))
+        sums = np.array(at.agg(*[F.sum(F.col("w") * (F.col("y") - F.col("p")) * F.col(f"x{i}")) for i in range(3)],
+                               *[F.sum(curved * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in upper]).first()) / n
+        g = sums[:3] - ridge * np.append(beta[:-1], 0)
+        h = ridge * np.eye(3)
+        for (i, j), v in zip(upper, sums[3:]):
+            h[i, j] += v
+            h[j, i] = h[i, j]
         step = np.linalg.solve(h, g)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
@@ -128,17 +140,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return beta / scale
 
 
+def _may_be_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) whose id may be among `ids`, and a few others: a bit for each hash is looked
+    up, 64 in a row of a table of 2**20 rows at most, which is broadcast. Ids of two types, which
+    hash differently, are left to the join."""
+    if docs.schema["id"].dataType != ids.schema["id"].dataType:
+        return docs
+    h = F.xxhash64(F.lit(SEED), "id")
+    place, bit = F.shiftrightunsigned(h, 44), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    of = lambda df: df.withColumn("h", h).withColumn("place", place).withColumn("bit", bit)
+    bits = of(ids.select("id")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    return of(docs).join(F.broadcast(bits), "place").filter("bits & bit <> 0").select("id", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", calibrate_docs: int = CALIBRATE_DOCS, model_docs: int = MODEL_DOCS) -> Model:
-    """Learns from labelled ids of all folds but 0; the last fold fits the curve."""
-    lab = label_of(labels, id_col, label_col).withColumn("f", fold("id", FOLDS)).filter("f <> 0")
-    lm, cal = lab.filter(f"f <> {FOLDS - 1}"), lab.filter(f"f = {FOLDS - 1}")
-    drawn = [bounded_ids(rows, y, limit, SEED).select("id", "y", F.lit(c).alias("cal"))
-             for y in (0, 1) for c, rows, limit in ((0, lm, model_docs), (1, cal, calibrate_docs))]
-    ids = written(drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).unionByName(drawn[3]), "toxic-ids")
+          label_col: str = "toxic", calibrate_docs: int | None = None, model_docs: int | None = None) -> Model:
+    """Learns from all labelled ids of all folds but 0; the last fold fits the curve. With limits, from
+    at most that many of each class."""
+    lab = (label_of(labels, id_col, label_col).withColumn("f", fold("id", FOLDS)).filter("f <> 0")
+           .select("id", "y", (F.col("f") == FOLDS - 1).cast("int").alias("cal")))
+    for c, limit in ((0, model_docs), (1, calibrate_docs)):
+        if limit is not None:
+            mine = lab.filter(F.col("cal") == c)
+            bounded = [bounded_ids(mine, y, limit, SEED).withColumn("cal", F.lit(c)) for y in (0, 1)]
+            lab = lab.filter(F.col("cal") != c).unionByName(bounded[0]).unionByName(bounded[1])
+    lab = written(lab, "toxic-ids")
     # copies of one text are one document of the sample
-    sample = written(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-                     .join(F.broadcast(ids), "id").groupBy(F.xxhash64("text").alias("h"), "y", "cal")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sample = written(_may_be_among(texts, lab).join(lab.hint("merge"), "id").groupBy(F.xxhash64("text").alias("h"), "y", "cal")
                      .agg(F.min("text").alias("text")), "toxic-sample")
     counts = written(sample.filter("cal = 0").select("y", "text").mapInArrow(_count_words, "w long, c0 long, c1 long")
                      .groupBy("w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxic-counts")
@@ -164,9 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # without unseen rows of both classes the curve falls back to the models' own sample
     both = sample.filter("cal = 1").select("y").distinct().count() == 2
     shared = docs.sparkSession.sparkContext.broadcast(m)
-    rows = (sample.filter("cal = 1") if both else sample).select("y", "text").mapInArrow(
-        _evidence(shared), "y int, a double, b double").toPandas()
-    m.curve = logistic(np.column_stack([rows["a"], rows["b"], np.ones(len(rows))]), rows["y"].to_numpy())
+    m.curve = logistic(written((sample.filter("cal = 1") if both else sample).select("y", "text").mapInArrow(
+        _evidence(shared), "y int, a double, b double"), "toxic-evidence"))
     return m
 
 

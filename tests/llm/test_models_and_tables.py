@@ -294,6 +294,32 @@ def test_toxicity_counts_all_labelled_documents(spark):
     assert len(at) == 1 and model.ratio[at[0]] > 0
 
 
+def test_toxicity_counts_beyond_any_bound(spark):
+    """More than 65,536 documents of a class fit the models and more than 1,024 the curve."""
+    lab = spark.range(240_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    folds = lab.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"), fold("doc_id", 5).alias("f"))
+    lm = folds.filter("f in (1, 2, 3) and y = 1").select("id", "y")
+    rest = lm.join(bounded_ids(lm, 1, 65_536, toxicity.SEED), "id", "left_anti").select("id", F.lit(" vexx").alias("more"))
+    assert rest.count() > 100
+    docs = (lab.withColumnRenamed("doc_id", "id").join(rest, "id", "left").select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("plain text "), "id", F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < F.col("toxic") * 8 + 1, " grobl").otherwise(" fine"),
+                 F.coalesce("more", F.lit(""))).alias("text")))
+    model = toxicity.train(docs, lab)
+    word, _ = toxicity.tokens(np.frombuffer(b"vexx", np.uint8), np.array([0, 4]))
+    assert model.words[np.flatnonzero(model.words == word[0])].tolist() == word.tolist()
+    # the curve is the optimum over all rows of the last fold
+    cal = docs.join(folds.filter("f = 4").withColumnRenamed("id", "doc_id"), "doc_id").select("text", "y").toPandas()
+    data = [t.encode() for t in cal["text"]]
+    x = model.evidence(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    y = cal["y"].to_numpy()
+    scale = np.append(np.abs(x[:, :-1]).mean(axis=0), 1)
+    p = 1 / (1 + np.exp(-(x @ model.curve)))
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    slope = (x / scale).T @ (weight * (y - p)) / len(y) - 1e-3 * np.append((model.curve * scale)[:-1], 0)
+    assert len(y) > 40_000 and np.abs(slope).max() < 1e-7
+
+
 def test_quality(spark):
     rng = random.Random(6)
     words = word_list(rng, "abcdefghijklmno", 500)
