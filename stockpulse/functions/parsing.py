@@ -66,7 +66,8 @@ def null_sentinels(c: Column) -> Column:
 
 def normalise_text(c: Column) -> Column:
     """Strip, '_' and '-' -> space, lower case. NULL stays NULL."""
-    return F.lower(F.translate(F.trim(c), "_-", "  "))
+    blank = lambda x, dash: F.replace(x, F.lit(dash), F.lit(" "))  # noqa: E731 (translate looks every character up)
+    return F.lower(blank(blank(F.trim(c), "_"), "-"))
 
 
 def row_hash(cols: list[str]) -> Column:

@@ -61,8 +61,8 @@ def clean_transactions(df: DataFrame) -> DataFrame:
         c = F.col(f.name)
         if f.name in P.TIME_COLS:
             c = c if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else P.to_timestamp_lenient(c)
-        elif f.name in P.NUMERIC_COLS:
-            c = P.to_number(c)
+        elif f.name in P.NUMERIC_COLS:                 # a double reads back from its text as itself
+            c = F.nanvl(c, F.lit(None).cast("double")) if isinstance(f.dataType, T.DoubleType) else P.to_number(c)
         elif f.name in P.TEXT_NORM_COLS:
             c = P.normalise_text(c.cast("string"))
         cols.append(c.alias(f.name))

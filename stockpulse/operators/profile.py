@@ -34,9 +34,12 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column_name, value, cnt) for every column."""
     cols = cols or df.columns
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-                      for c in cols])
-    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    # an unpivot is generated code (an array of structs per row is not), a column's number is a short key
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(str(i)) for i, c in enumerate(cols)])
+    per = (texts.unpivot([], texts.columns, "i", "value").where(F.col("value").isNotNull())
+           .groupBy("i", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i").cast("int") + 1)
+    return per.select(name.alias("column_name"), "value", "cnt")
 
 
 def describe(df: DataFrame, quartiles: bool = False) -> DataFrame:

@@ -9,8 +9,10 @@ per rule and per outcome from the write itself.
 
 Uniqueness is computed as aggregate-then-join, not as a window: the key counts
 are a partial/final aggregate (map-side combine), and only keys with more than
-one copy are joined back. A key holding a third of all rows therefore never
-has to sit in one task; on the join side AQE splits the skewed partition.
+one copy are joined back. `write_split` writes these keys first: their size is
+then known, so a few are broadcast, small parts of many are hashed, and AQE splits
+the partition of a key that holds a third of all rows (it does so only where both
+sides of the join are plain shuffles).
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockpulse.session import session_conf, written_table
+
 NOT_NULL = "not_null"
 UNIQUE = "unique"
 BETWEEN = "between"
@@ -70,6 +74,12 @@ SKU_SUITE = [
     Rule(UNIQUE, "sku_id"),
 ]
 
+# Settings of the split's write: both outcomes are open at once, so the rows need no sort by outcome (Spark
+# sorts the rest once as many files are open as allowed, so 2 would sort); keys whose parts are this small are
+# hashed in the join instead of both sides being sorted.
+SPLIT_CONF = {"spark.sql.maxConcurrentOutputFileWriters": "4",
+              "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+
 # checkpoints = named (suite, batch) pairs.
 CHECKPOINTS = {"transactions_checkpoint": TRANSACTIONS_SUITE, "skus_checkpoint": SKU_SUITE}
 
@@ -82,14 +92,19 @@ def _dup_flag_col(rule: Rule) -> str:
     return f"__dup_{rule.column}"
 
 
-def _with_dup_flags(df: DataFrame, suite) -> DataFrame:
+def repeated_keys(df: DataFrame, column: str) -> DataFrame:
+    """The values of a column that more than one row holds (NULL aside), once each."""
+    return (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+            .where("__n > 1").select(column))
+
+
+def _with_dup_flags(df: DataFrame, suite, keys=repeated_keys) -> DataFrame:
+    rows = df
     for r in suite:
         if r.kind != UNIQUE:
             continue
-        c = r.column
-        dups = (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-                .where("__n > 1").select(c, F.lit(True).alias(_dup_flag_col(r))))
-        df = df.join(dups, c, "left")
+        dups = keys(rows, r.column).select(r.column, F.lit(True).alias(_dup_flag_col(r)))
+        df = df.join(dups, r.column, "left")
     return df
 
 
@@ -113,12 +128,14 @@ def _violation(r: Rule, df_cols) -> F.Column:
     raise ValueError(r.kind)
 
 
-def annotate(df: DataFrame, suite) -> DataFrame:
+def annotate(df: DataFrame, suite, keys=repeated_keys) -> DataFrame:
     """Add `failed_rules` (array of violated row-rule names, may be empty)."""
     cols = list(df.columns)
-    flagged = _with_dup_flags(df, [r for r in suite if r.kind == UNIQUE and r.column in cols])
-    names = F.array(*[F.when(_violation(r, cols), F.lit(r.name)) for r in _row_rules(suite)])
-    out = flagged.withColumn("failed_rules", F.filter(names, lambda x: x.isNotNull()))
+    flagged = _with_dup_flags(df, [r for r in suite if r.kind == UNIQUE and r.column in cols], keys)
+    none = F.array().cast("array<string>")
+    # one short array per rule, joined: generated code, where a filter by lambda is interpreted row by row
+    out = flagged.withColumn("failed_rules", F.concat(none, *[
+        F.when(_violation(r, cols), F.array(F.lit(r.name))).otherwise(none) for r in _row_rules(suite)]))
     return out.drop(*[c for c in out.columns if c.startswith("__dup_")])
 
 
@@ -136,10 +153,12 @@ def write_split(df: DataFrame, suite, path: str) -> dict[str, int]:
     that the write saw: rows, passed, rejected and one per rule."""
     from stockpulse.sources.zones import counted
     names = [r.name for r in _row_rules(suite)]
-    marked = annotate(df, suite).withColumn("passed", F.size("failed_rules") == 0)
-    got = counted(marked, lambda x: x.write.mode("overwrite").partitionBy("passed").parquet(path),
-                  passed=F.count_if("passed"), rejected=F.count_if(~F.col("passed")),
-                  **{f"__r{i}": F.count_if(F.array_contains("failed_rules", n)) for i, n in enumerate(names)})
+    marked = (annotate(df, suite, lambda rows, column: written_table(repeated_keys(rows, column), "repeated"))
+              .withColumn("passed", F.size("failed_rules") == 0))
+    with session_conf(df.sparkSession, SPLIT_CONF):
+        got = counted(marked, lambda x: x.write.mode("overwrite").partitionBy("passed").parquet(path),
+                      passed=F.count_if("passed"), rejected=F.count_if(~F.col("passed")),
+                      **{f"__r{i}": F.count_if(F.array_contains("failed_rules", n)) for i, n in enumerate(names)})
     return {k: got[k] for k in ("rows", "passed", "rejected")} | {f"rule:{n}": got[f"__r{i}"] for i, n in enumerate(names)}
 
 

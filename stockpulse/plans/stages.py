@@ -11,6 +11,7 @@ go into the run log; nothing is read again to be counted.
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from stockpulse.functions.parsing import to_number
 from stockpulse.operators import cleaning, demand, profile, rules
 from stockpulse.operators.monitoring import RunLog, logged_counts
+from stockpulse.session import side_by_side
 from stockpulse.sources import io
 from stockpulse.sources.zones import counted
 from stockpulse.sources.tables import landing_transactions, sku_master
@@ -65,29 +67,40 @@ def run_stages(spark: SparkSession, sf_dir: str, out_base: str, only: str | None
 
     def validation():
         counts: dict[str, int] = {}
-        for name, (landing, suite) in _landing(spark, sf_dir).items():
+
+        def check(name, landing, suite):
             split = at(f"raw_zone/{name}_checked")
             seen = rules.write_split(landing, suite, split)       # the rules run once
-            counts |= {f"{name}/{k}": n for k, n in seen.items()}
+            counts.update({f"{name}/{k}": n for k, n in seen.items()})
             passed, rejected = rules.read_split(spark, split)
-            table(counts, passed, f"raw_zone/{name}")
-            if seen["rejected"]:
-                table(counts, rejected.withColumn("failed_rules", F.array_join("failed_rules", ",")), f"raw_zone/{name}_rejected")
-            valid = spark.read.parquet(at(f"raw_zone/{name}"))
-            csv(counts, valid, f"raw_zone/{name}_valid_csv")
-            csv(counts, profile.describe(valid), f"profiles/{name}_describe_csv")
-            csv(counts, cleaning.null_counts(valid), f"profiles/{name}_nulls_csv")
+
+            def keep_passed():
+                table(counts, passed, f"raw_zone/{name}")
+                valid = spark.read.parquet(at(f"raw_zone/{name}"))
+                side_by_side(lambda: csv(counts, valid, f"raw_zone/{name}_valid_csv"),
+                             lambda: csv(counts, profile.describe(valid), f"profiles/{name}_describe_csv"),
+                             lambda: csv(counts, cleaning.null_counts(valid), f"profiles/{name}_nulls_csv"))
+
+            def keep_rejected():
+                if seen["rejected"]:
+                    table(counts, rejected.withColumn("failed_rules", F.array_join("failed_rules", ",")),
+                          f"raw_zone/{name}_rejected")
+            side_by_side(keep_passed, keep_rejected)
+        side_by_side(*[partial(check, name, *landed) for name, landed in _landing(spark, sf_dir).items()])
         return counts
 
     def clean_zone():
         counts: dict[str, int] = {}
         landed = _landing(spark, sf_dir)                               # for their schemas only
-        for name, clean in (("inventory_transactions", cleaning.clean_transactions), ("sku_master", cleaning.clean_sku_master)):
+
+        def keep(name, clean):
             raw = io.read_zone(spark, at(f"raw_zone/{name}"), landed[name][0].schema)
             if raw.isEmpty():                                          # A4: no table or no rows, nothing to do
-                continue
+                return
             table(counts, clean(raw), f"clean_zone/{name}")
             csv(counts, spark.read.parquet(at(f"clean_zone/{name}")), f"clean_zone/{name}_csv")
+        side_by_side(lambda: keep("inventory_transactions", cleaning.clean_transactions),
+                     lambda: keep("sku_master", cleaning.clean_sku_master))
         return counts
 
     def daily_table():

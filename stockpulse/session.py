@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -60,6 +64,33 @@ def apply_core_conf(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+_conf_lock = threading.RLock()
+
+
+@contextmanager
+def session_conf(spark: SparkSession, settings: dict[str, str]):
+    """The session's SQL settings while one action runs, as they were afterwards. One such
+    action at a time, so that none restores the settings of another."""
+    with _conf_lock:
+        before = {k: spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def side_by_side(*actions: Callable[[], object]) -> None:
+    """Run actions that do not need each other's results at the same time: the last tasks of one and
+    the small jobs of another then leave no cores idle. All end before the first fault is raised."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        started = [pool.submit(a) for a in actions]
+    for a in started:
+        a.result()
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints, if any."""
     sc = spark.sparkContext
